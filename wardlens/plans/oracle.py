@@ -69,3 +69,83 @@ oracle("opp_replace", f"""
 select * from ({_opp_multi(OPP_SPECS_SQL, "1996, 1997")}) r where opportunity_name <> 'Widget reduction'
 union all
 select * from ({_opp_multi("(values ('Widget reduction', 'reduction', 'PROMO', 'widget')) as sp(spec_name, spec_type, category, keyword)", "1996")}) n""")
+
+
+# ------------------------------------------------------------ redundancy
+oracle("ctf_map", """
+select c.ctf, m.msdrg_code, cast(null as varchar) as cpt_code
+from (select distinct c_mktsegment as ctf from customer) c
+  left join f_ctf_map m on m.ctf = c.ctf and m.version_id = 2
+union all
+select c.ctf, cast(null as varchar), m.cpt_code
+from (select distinct c_mktsegment as ctf from customer) c
+  left join f_ctf_cpt_map m on m.ctf = c.ctf and m.version_id = 2""")
+
+oracle("src_filter", "select distinct source_system_id from f_source_system where category_id = 1")
+
+oracle("enc_usage", """
+select e.encounter_id, e.record_number, e.service_line, e.patient_setting, e.entity, l.service_date, l.service_ts,
+  md.full_name as ordering_md_name, md.specialty as ordering_md_spec, c.cpt_code, c.cpt_name as cpt_description,
+  k.unit_cost, cast(sum(l.units) as decimal(38,2)) as uos, cast(sum(l.units * k.unit_cost) as decimal(38,4)) as vdc
+from f_encounter e
+  join f_line l on l.encounter_id = e.encounter_id
+  left join f_cost k on k.row_id = l.row_id
+  join f_charge_code cc on cc.charge_code_id = l.charge_code_id
+  join f_cpt c on c.cpt_id = l.cpt_id
+  join f_physician md on md.physician_id = l.physician_id
+where c.cpt_code in ('C007', 'C011', 'C023') and e.fiscal_year = 1996
+  and cc.cost_driver in ('PROMO', 'ECONOMY', 'STANDARD')
+  and e.patient_setting in ('1-URGENT', '2-HIGH', '3-MEDIUM')
+  and e.source_system_id in (select source_system_id from f_source_system where category_id = 1)
+group by all""")
+
+USAGE_CLEAN = """
+select * from f_usage where encounter_id not in (select encounter_id from f_usage where uos <= 0 or vdc <= 0)"""
+oracle("enc_clean", USAGE_CLEAN)
+
+RANKED = f"""
+select u.*, case cpt_code when 'purchase' then 'A' when 'click' then 'B' else 'NA' end as cc_rank
+from ({USAGE_CLEAN}) u"""
+oracle("code_rank", RANKED)
+
+USAGE_ORDER = "service_date, cc_rank, service_ts, cpt_code, unit_cost, event_id"
+oracle("row_index", f"""
+select r.*, cast(row_number() over (partition by encounter_id order by {USAGE_ORDER}) as bigint) as row_num
+from ({RANKED}) r""")
+
+ADJ_ALL = f"""
+select r.*,
+  case when lag(service_date) over w = service_date then 'same day' else 'NA' end as same_day,
+  cast(coalesce(date_diff('day', lag(service_date) over w, service_date), 99999) as int) as date_diff
+from ({RANKED}) r
+window w as (partition by encounter_id order by {USAGE_ORDER})"""
+oracle("adjacent_rows", f"select * from ({ADJ_ALL}) a where service_ts is not null")
+
+SAME_DAY = f"""
+select a.*,
+  cast(case when same_day = 'same day' then vdc when same_day = 'NA' and uos > 1 then (uos - 1) * unit_cost
+       else 0 end as decimal(38,4)) as same_day_excess_vdc,
+  case when same_day = 'same day' then uos else uos - 1 end as same_day_excess_uos
+from ({ADJ_ALL}) a
+where service_ts is not null and record_number in
+  (select record_number from ({ADJ_ALL}) x where same_day = 'same day' or (same_day = 'NA' and uos > 1))"""
+oracle("same_day_excess", SAME_DAY)
+
+NEXT_DAY = f"""
+select a.*,
+  cast(case when date_diff = 1 then unit_cost else 0 end as decimal(38,4)) as subseq_day_excess_vdc,
+  case when date_diff = 1 then 1 else 0 end as subseq_day_excess_uos
+from ({ADJ_ALL}) a
+where service_ts is not null and record_number in (select record_number from ({ADJ_ALL}) x where date_diff = 1)"""
+oracle("next_day_excess", NEXT_DAY)
+
+oracle("savings", f"""
+with sd as (select sum(same_day_excess_uos) u, sum(same_day_excess_vdc) v from ({SAME_DAY}) s),
+     nd as (select sum(subseq_day_excess_uos) u, sum(subseq_day_excess_vdc) v from ({NEXT_DAY}) n)
+select cast(2024 as int) as fiscalyear, cast(sd.u as int) as same_day_excess_tests,
+  cast(sd.v as double) as same_day_excess_vdc, cast(nd.u as int) as consecutive_daily_tests,
+  cast(nd.v as double) as consecutive_daily_vdc, cast(sd.u + nd.u as int) as total_excess_tests,
+  cast(sd.v + nd.v as double) as total_excess_vdc, cast(sd.v * 0.75 as double) as same_day_savings_75,
+  cast(nd.v * 0.5 as double) as consecutive_daily_savings_50,
+  cast(sd.v * 0.75 + nd.v * 0.5 as double) as total_savings
+from sd, nd""")

@@ -74,3 +74,75 @@ def q_opp_replace(spark, sf):
     report = opp.multi_opportunity_report(f.line, f.cost, f.charge_code, OPP_SPECS, OPP_YEARS)
     redo = opp.multi_opportunity_report(f.line, f.cost, f.charge_code, OPP_SPECS[:1], (1996,))
     return opp.replace_opportunity(report, OPP_SPECS[0].name, redo)
+
+
+# ------------------------------------------------------------ redundancy
+from wardlens.operators import redundancy as red  # noqa: E402
+from wardlens.params import RedundancyParams  # noqa: E402
+
+RED = RedundancyParams(cpt_codes=("C007", "C011", "C023"), cost_drivers=("PROMO", "ECONOMY", "STANDARD"),
+                       fiscal_year=1996, patient_settings=("1-URGENT", "2-HIGH", "3-MEDIUM"),
+                       ranks=(("purchase", "A"), ("click", "B")))
+USAGE_TIEBREAK = ("service_ts", "cpt_code", "unit_cost", "event_id")
+USAGE_YEAR = 2024
+
+
+@register("ctf_map")
+def q_ctf_map(spark, sf):
+    f = fx(spark, sf)
+    return red.ctf_mapping(f.ctf, f.ctf_map, f.ctf_cpt_map, 2)
+
+
+@register("src_filter")
+def q_src_filter(spark, sf):
+    return red.billing_source_systems(fx(spark, sf).source_system, 1)
+
+
+@register("enc_usage")
+def q_enc_usage(spark, sf):
+    f = fx(spark, sf)
+    return red.encounter_usage(f.encounter, f.line, f.cost, f.charge_code, f.cpt, f.physician,
+                               f.source_system, RED)
+
+
+@register("enc_clean")
+def q_enc_clean(spark, sf):
+    return red.clean_usage(fx(spark, sf).usage)
+
+
+def _ranked(spark, sf):
+    return red.rank_codes(red.clean_usage(fx(spark, sf).usage), RED.ranks)
+
+
+@register("code_rank")
+def q_code_rank(spark, sf):
+    return _ranked(spark, sf)
+
+
+@register("row_index")
+def q_row_index(spark, sf):
+    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK)
+
+
+@register("adjacent_rows")
+def q_adjacent_rows(spark, sf):
+    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK)
+
+
+def _adjacent_all(spark, sf):
+    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK, keep_null_time=True)
+
+
+@register("same_day_excess")
+def q_same_day_excess(spark, sf):
+    return red.same_day_excess(_adjacent_all(spark, sf))
+
+
+@register("next_day_excess")
+def q_next_day_excess(spark, sf):
+    return red.next_day_excess(_adjacent_all(spark, sf))
+
+
+@register("savings")
+def q_savings(spark, sf):
+    return red.savings(_adjacent_all(spark, sf), USAGE_YEAR)
