@@ -149,3 +149,133 @@ select cast(2024 as int) as fiscalyear, cast(sd.u as int) as same_day_excess_tes
   cast(nd.v * 0.5 as double) as consecutive_daily_savings_50,
   cast(sd.v * 0.75 + nd.v * 0.5 as double) as total_savings
 from sd, nd""")
+
+
+# ------------------------------------------------------- entity compare
+ENT_ENC = """
+select e.encounter_id, e.record_number, e.entity, e.patient_setting, e.service_line,
+  md.full_name as primary_md, md.specialty as primary_md_spec
+from f_encounter e join f_physician md on md.physician_id = e.attend_physician_id
+where e.fiscal_year in (1996) and e.has_charge = 'Yes'
+  and e.source_system_id in (select source_system_id from f_source_system where category_id = 1)"""
+oracle("ent_enc", ENT_ENC)
+
+oracle("service_line", f"""
+select e.encounter_id, n.n_name as service_line
+from ({ENT_ENC}) e join f_encounter fe on fe.encounter_id = e.encounter_id
+  join nation n on n.n_nationkey = fe.orgpin""")
+
+ENT_BILL = f"""
+select e.*, cc.cost_driver, cc.rollup_name as cc_rollup, cc.name as full_charge_code_description,
+  cast(sum(l.units) as decimal(38,2)) as uos, cast(sum(l.units * k.unit_cost) as decimal(38,4)) as vdc
+from ({ENT_ENC}) e join f_line l on l.encounter_id = e.encounter_id
+  join f_cost k on k.row_id = l.row_id
+  join f_charge_code cc on cc.charge_code_id = l.charge_code_id
+where cc.cost_driver not in ('Excluded', '')
+group by all"""
+oracle("ent_bill", ENT_BILL)
+
+ENT_BILL_ENC = f"""
+select encounter_id, entity, patient_setting, service_line, sum(vdc) as vdc
+from ({ENT_BILL}) b group by encounter_id, entity, patient_setting, service_line"""
+oracle("ent_bill_enc", ENT_BILL_ENC)
+
+
+def _worklist(sql_filter: str = "") -> str:
+    return f"""
+select entity, patient_setting, service_line, count(distinct encounter_id) as cases, sum(vdc) as vdc
+from ({ENT_BILL_ENC}) be group by entity, patient_setting, service_line
+having sum(vdc) > 10000
+order by vdc desc, cases desc, entity, patient_setting, service_line limit 100"""
+
+
+ENT_WORKLIST = _worklist()
+oracle("ent_worklist", ENT_WORKLIST)
+ENT_WORKLIST_COMPAT = f"""
+select entity, patient_setting, service_line, cases, vdc from (
+  select w.*, row_number() over (partition by entity, service_line order by vdc desc, cases desc, patient_setting) rn
+  from ({ENT_WORKLIST}) w) x where rn = 1"""
+
+ENT_VOL = f"""
+select entity, patient_setting, service_line, count(distinct encounter_id) as tot_cases
+from ({ENT_ENC}) e group by entity, patient_setting, service_line"""
+oracle("ent_volumes", ENT_VOL)
+
+ENT_USAGE = f"""
+select u.*, {sql_ratio('u.vdc', 4, 'u.cases', 0, 6)} as vdc_per_case from (
+  select b.full_charge_code_description, b.cost_driver, b.cc_rollup, b.entity, b.patient_setting, b.service_line,
+    count(distinct b.encounter_id) as cases, sum(b.vdc) as vdc, v.tot_cases
+  from ({ENT_BILL}) b join ({ENT_VOL}) v
+    on v.entity = b.entity and v.patient_setting = b.patient_setting and v.service_line = b.service_line
+  group by b.full_charge_code_description, b.cost_driver, b.cc_rollup, b.entity, b.patient_setting,
+    b.service_line, v.tot_cases) u"""
+oracle("ent_usage", ENT_USAGE)
+
+
+def _pairs(worklist: str) -> str:
+    return f"""
+select distinct a.full_charge_code_description as full_cc_description, a.cost_driver, a.cc_rollup,
+  b.cc_rollup as comparison_cc_rollup, a.patient_setting, a.service_line, a.entity as entity_of_interest,
+  b.entity as comparison_entity, a.vdc_per_case - b.vdc_per_case as cost_per_case_diff,
+  a.vdc_per_case as eoi_vdc_per_case, coalesce(b.vdc_per_case, 0) as other_entity_vdc_per_case,
+  {sql_ratio('a.cases', 0, 'a.tot_cases', 0, 6)} as eoi_case_vol_perc,
+  {sql_ratio('b.cases', 0, 'b.tot_cases', 0, 6)} as other_entities_case_vol_perc,
+  a.cases as eoi_cases, a.tot_cases as eoi_tot_cases, coalesce(b.cases, 0) as other_entity_cases,
+  coalesce(b.tot_cases, 0) as other_entity_tot_cases, a.vdc as eoi_vdc, coalesce(b.vdc, 0) as other_entity_vdc
+from (select u.* from ({ENT_USAGE}) u join ({worklist}) w
+        on w.entity = u.entity and w.patient_setting = u.patient_setting and w.service_line = u.service_line) a
+  left join ({ENT_USAGE}) b
+    on b.full_charge_code_description = a.full_charge_code_description and b.cost_driver = a.cost_driver
+   and b.service_line = a.service_line and b.patient_setting = a.patient_setting and b.entity <> a.entity"""
+
+
+ENT_PAIRS = _pairs(ENT_WORKLIST)
+oracle("ent_pairs", ENT_PAIRS)
+
+oracle("ent_unique", f"""
+select charge_codes_unique_to_entity_of_interest, cost_driver, charge_code_rollup, entity_of_interest,
+  patient_setting, service_line, cast(eoi_case_vol_perc as decimal(20,2)) as eoi_case_perc,
+  cast(eoi_cases as int) as eoi_cases, cast(eoi_tot_cases as int) as eoi_tot_cases,
+  cast(eoi_vdc as decimal(20,2)) as eoi_vdc, cast(eoi_vdc_per_case as decimal(20,2)) as eoi_vdc_per_case
+from (select distinct full_cc_description as charge_codes_unique_to_entity_of_interest, cost_driver,
+        cc_rollup as charge_code_rollup, entity_of_interest, patient_setting, service_line, eoi_case_vol_perc,
+        eoi_cases, eoi_tot_cases, eoi_vdc, eoi_vdc_per_case
+      from ({ENT_PAIRS}) p where comparison_entity is null and eoi_vdc > 0) d""")
+
+
+def _overlap(pairs: str) -> str:
+    avg_diff = sql_ratio("s_diff", 6, "n", 0, 6)
+    avg_perc = sql_ratio("s_perc", 6, "n_perc", 0, 6)
+    return f"""
+select full_cc_description as overlapping_charge_codes,
+  cast({avg_diff} * eoi_cases as decimal(20,2)) as impact_dollars,
+  case when eoi_case_vol_perc - {avg_perc} > 0.05 then 'Over 5% Higher Utilization than other entities'
+       when eoi_case_vol_perc - {avg_perc} < -0.05 then 'Over 5% Lower Utilization than other entities'
+       else 'Within 5% Utilization of other entities' end as utilization_comparison,
+  cost_driver, cc_rollup as charge_code_rollup, patient_setting, service_line, entity_of_interest,
+  cast(n_ent as int) as num_other_entities,
+  cast({avg_diff} as decimal(20,2)) as avg_cost_per_case_diff,
+  cast(eoi_vdc_per_case as decimal(20,2)) as eoi_vdc_per_case,
+  cast({sql_ratio('s_vpc', 6, 'n', 0, 6)} as decimal(20,2)) as avg_other_entity_vdc_per_case,
+  cast(eoi_case_vol_perc as decimal(20,2)) as eoi_case_perc,
+  cast({avg_perc} as decimal(20,2)) as avg_other_entity_case_perc,
+  cast(eoi_cases as int) as eoi_cases,
+  {sql_int_avg('s_cases', 'n')} as avg_other_entity_cases,
+  cast(eoi_tot_cases as int) as eoi_tot_cases,
+  {sql_int_avg('s_tot', 'n')} as avg_other_entity_tot_cases
+from (
+  select full_cc_description, cost_driver, cc_rollup, patient_setting, service_line, entity_of_interest,
+    eoi_case_vol_perc, eoi_tot_cases, eoi_cases, eoi_vdc_per_case,
+    count(*) as n, sum(cost_per_case_diff) as s_diff, sum(other_entity_vdc_per_case) as s_vpc,
+    sum(other_entities_case_vol_perc) as s_perc, count(other_entities_case_vol_perc) as n_perc,
+    sum(other_entity_cases) as s_cases, sum(other_entity_tot_cases) as s_tot,
+    count(distinct comparison_entity) as n_ent
+  from ({pairs}) p
+  where comparison_entity is not null and cost_per_case_diff > 0
+  group by full_cc_description, cost_driver, cc_rollup, patient_setting, service_line, entity_of_interest,
+    eoi_case_vol_perc, eoi_tot_cases, eoi_cases, eoi_vdc_per_case) g"""
+
+
+oracle("ent_overlap", _overlap(ENT_PAIRS))
+oracle("ent_overlap_compat", _overlap(_pairs(ENT_WORKLIST_COMPAT)))
+oracle("ent_report_sorted", _overlap(ENT_PAIRS))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardlens.params import OpportunitySpec
 from wardlens.sources.tables import ParquetTables
@@ -146,3 +147,98 @@ def q_next_day_excess(spark, sf):
 @register("savings")
 def q_savings(spark, sf):
     return red.savings(_adjacent_all(spark, sf), USAGE_YEAR)
+
+
+# ------------------------------------------------------- entity compare
+from wardlens.operators import entity_compare as ent  # noqa: E402
+from wardlens.params import EntityCompareParams  # noqa: E402
+
+ENT = EntityCompareParams(fiscal_years=(1996,))
+
+
+def _ent_enc(spark, sf):
+    f = fx(spark, sf)
+    return ent.encounter_base(f.encounter, f.source_system, f.physician, ENT)
+
+
+def _ent_bill(spark, sf):
+    f = fx(spark, sf)
+    return ent.bill(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT)
+
+
+def _ent_usage(spark, sf):
+    return ent.code_usage(_ent_bill(spark, sf), ent.group_volumes(_ent_enc(spark, sf)))
+
+
+def _ent_worklist(spark, sf, compat=False):
+    wl = ent.work_list(ent.bill_by_encounter(_ent_bill(spark, sf)), ENT)
+    return ent.first_setting_per_line(wl) if compat else wl
+
+
+def _ent_pairs(spark, sf, compat=False):
+    return ent.comparison_pairs(_ent_usage(spark, sf), _ent_worklist(spark, sf, compat))
+
+
+@register("ent_enc")
+def q_ent_enc(spark, sf):
+    return _ent_enc(spark, sf)
+
+
+@register("service_line")
+def q_service_line(spark, sf):
+    f = fx(spark, sf)
+    nations = f.t.nation.select(F.col("n_nationkey").alias("orgpin"), "n_name")
+    enc = _ent_enc(spark, sf).join(f.encounter.select("encounter_id", "orgpin"), "encounter_id")
+    return ent.with_service_line(enc, nations, "orgpin", "n_name").select("encounter_id", "service_line")
+
+
+@register("ent_bill")
+def q_ent_bill(spark, sf):
+    return _ent_bill(spark, sf)
+
+
+@register("ent_bill_enc")
+def q_ent_bill_enc(spark, sf):
+    return ent.bill_by_encounter(_ent_bill(spark, sf))
+
+
+@register("ent_worklist")
+def q_ent_worklist(spark, sf):
+    return _ent_worklist(spark, sf)
+
+
+@register("ent_volumes")
+def q_ent_volumes(spark, sf):
+    return ent.group_volumes(_ent_enc(spark, sf))
+
+
+@register("ent_usage")
+def q_ent_usage(spark, sf):
+    return _ent_usage(spark, sf)
+
+
+@register("ent_pairs")
+def q_ent_pairs(spark, sf):
+    return _ent_pairs(spark, sf)
+
+
+@register("ent_unique")
+def q_ent_unique(spark, sf):
+    return ent.unique_codes(_ent_pairs(spark, sf))
+
+
+@register("ent_overlap")
+def q_ent_overlap(spark, sf):
+    return ent.overlapping_codes(_ent_pairs(spark, sf), ENT.band)
+
+
+@register("ent_overlap_compat")
+def q_ent_overlap_compat(spark, sf):
+    return ent.overlapping_codes(_ent_pairs(spark, sf, compat=True), ENT.band)
+
+
+@register("ent_report_sorted")
+def q_ent_report_sorted(spark, sf):
+    f = fx(spark, sf)
+    _, over = ent.reports(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT)
+    return over
