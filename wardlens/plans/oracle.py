@@ -279,3 +279,138 @@ from (
 oracle("ent_overlap", _overlap(ENT_PAIRS))
 oracle("ent_overlap_compat", _overlap(_pairs(ENT_WORKLIST_COMPAT)))
 oracle("ent_report_sorted", _overlap(ENT_PAIRS))
+
+
+# --------------------------------------------------------------- quality
+def _qa_enc(pop_filter: str, names: str) -> str:
+    return f"""
+select distinct e.encounter_id, e.service_line as msdrg_case_type_family, pop.patient_population, e.fiscal_year,
+  s.category_name as source_system_category, e.patient_setting, md.full_name as attend_physician_name,
+  md.specialty as attend_physician_specialty, e.entity, cast(floor(e.age / 10) as int) as age_cohort, e.age,
+  cast(e.age % 2 as int) as gender, cast(e.los % 4 as int) as risk_of_mortality,
+  cast(e.los % 4 as int) as severity_of_illness, e.los, e.primary_qvi_id
+from f_encounter e
+  join f_source_system s on s.source_system_id = e.source_system_id
+  join f_physician md on md.physician_id = e.attend_physician_id
+  {pop_filter} (select encounter_id, max(name) as patient_population from f_indicator
+             where name in ({names}) group by encounter_id) pop on pop.encounter_id = e.encounter_id
+where e.fiscal_year = 1996 and s.category_name = 'Hospital Billing' and e.has_charge = 'Yes'
+  and e.patient_setting in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') and e.attend_physician_id <> 0"""
+
+
+QA_ENC = _qa_enc("left join", "'MACHINERY', 'BUILDING', 'FURNITURE'") + \
+    " and e.service_line in ('MACHINERY', 'BUILDING', 'FURNITURE')"
+oracle("qa_encounters", QA_ENC)
+oracle("qa_population", _qa_enc("join", "'CI_A'"))
+
+PROC_DATES = f"""
+select distinct l.encounter_id, l.service_date, l.service_ts
+from f_line l join f_cpt c on c.cpt_id = l.cpt_id
+where c.cpt_code in ('C007', 'C011', 'C023', 'C031', 'C042')
+  and l.encounter_id in (select encounter_id from ({QA_ENC}) qe)"""
+oracle("proc_dates", PROC_DATES)
+PROC_ORDER = f"""
+select p.*, cast(row_number() over (partition by encounter_id order by service_date, service_ts) as int) as proc_order
+from ({PROC_DATES}) p"""
+oracle("proc_order", PROC_ORDER)
+SINGLE = f"select encounter_id, cast(count(*) as int) as maxproc from ({PROC_DATES}) p group by encounter_id having count(*) = 1"
+oracle("single_proc", SINGLE)
+
+
+def _phase(proc: str, charge: str) -> str:
+    d = f"date_diff('day', cast({proc} as date), cast({charge} as date))"
+    return (f"case when {d} < 0 then 'Before Proc' when {d} > 0 then 'After Proc' "
+            f"when {d} = 0 then 'Day of Proc' else 'NA' end")
+
+
+oracle("phase_label", f"""
+select l.row_id, l.encounter_id, p.service_ts as proc_date, l.service_ts as charge_service_date,
+  {_phase('p.service_ts', 'l.service_ts')} as date_of_service
+from f_line l join ({PROC_DATES}) p on p.encounter_id = l.encounter_id
+  join ({SINGLE}) s on s.encounter_id = l.encounter_id""")
+
+
+def _group(label: str, qvi_join: str, where: str) -> str:
+    return f"""
+select {label} as qvi, e.fiscal_year, e.entity, e.encounter_id, e.msdrg_case_type_family, e.patient_population,
+  e.attend_physician_name, e.attend_physician_specialty, e.age_cohort, e.age, e.gender, e.risk_of_mortality,
+  e.severity_of_illness, e.los, e.patient_setting, {_phase('p.service_ts', 'l.service_ts')} as date_of_service,
+  s.maxproc as total_proc, p.service_ts as proc_date, l.service_ts as charge_service_date, cc.cost_driver,
+  cc.name as charge_code_desc, cast(sum(k.unit_cost * l.units) as decimal(38,4)) as vdc
+from ({QA_ENC}) e
+  join ({SINGLE}) s on s.encounter_id = e.encounter_id
+  join ({PROC_ORDER}) p on p.encounter_id = e.encounter_id
+  join f_line l on l.encounter_id = e.encounter_id
+  join f_charge_code cc on cc.charge_code_id = l.charge_code_id
+  left join f_cost k on k.row_id = l.row_id
+  {qvi_join}
+where cc.cost_driver <> 'Excluded' {where}
+group by all"""
+
+
+QVI_GROUP = _group("q.qvi_name", "join f_qvi q on q.encounter_id = e.encounter_id", "and q.qvi_name in ('VAP')")
+CONTROL_GROUP = _group("'Control'", "", "and e.primary_qvi_id = 0")
+oracle("qvi_group", QVI_GROUP)
+oracle("control_group", CONTROL_GROUP)
+QA_GROUPS = f"select * from ({QVI_GROUP}) a union all select * from ({CONTROL_GROUP}) b"
+
+oracle("driver_summary", f"""
+select g.qvi, g.cost_driver, count(distinct g.encounter_id) as cases, t.totcases,
+  {sql_ratio('sum(g.vdc)', 4, 'count(distinct g.encounter_id)', 0, 6)} as vdc_per_case
+from ({QA_GROUPS}) g join (select qvi, count(distinct encounter_id) as totcases from ({QA_GROUPS}) x group by qvi) t
+  on t.qvi = g.qvi
+group by g.qvi, g.cost_driver, t.totcases""")
+
+CHI_BASE = f"""
+select coalesce(c.cost_driver, q.cost_driver) as cost_driver, cast(coalesce(q.n, 0) as bigint) as qvi_trmt,
+  cast(t.qvi_tot as bigint) as qvi_tot, cast(coalesce(c.n, 0) as bigint) as con_trmt, cast(t.con_tot as bigint) as con_tot
+from (select cost_driver, count(distinct encounter_id) as n from ({QA_GROUPS}) g where qvi <> 'Control' group by cost_driver) q
+  full outer join (select cost_driver, count(distinct encounter_id) as n from ({QA_GROUPS}) g
+                   where qvi = 'Control' group by cost_driver) c on c.cost_driver = q.cost_driver
+  cross join (select count(distinct case when qvi <> 'Control' then encounter_id end) as qvi_tot,
+                     count(distinct case when qvi = 'Control' then encounter_id end) as con_tot
+              from ({QA_GROUPS}) g) t"""
+oracle("chi_base", CHI_BASE)
+
+CHI_ROWS = f"""
+select cost_driver, qvi_trmt, qvi_tot - qvi_trmt as qvi_no_trmt, qvi_tot,
+  {sql_ratio('qvi_trmt * 100', 0, 'qvi_tot', 0, 2, 19)} as qvi_trmt_perc,
+  con_trmt, con_tot - con_trmt as con_no_trmt, con_tot,
+  {sql_ratio('con_trmt * 100', 0, 'con_tot', 0, 2, 19)} as con_trmt_perc
+from ({CHI_BASE}) b"""
+oracle("chi_rows", CHI_ROWS)
+oracle("chi_cols", f"""
+select cost_driver, cast(qvi_trmt + con_trmt as decimal(19,2)) as trmt_tot,
+  cast(qvi_no_trmt + con_no_trmt as decimal(19,2)) as no_trmt_tot, cast(qvi_tot + con_tot as decimal(19,2)) as grand_tot
+from ({CHI_ROWS}) r""")
+
+
+def _exp(a: str, b: str) -> str:
+    return sql_ratio(f"({a}) * ({b})", 0, "qvi_tot + con_tot", 0, 2, 19)
+
+
+CHI_EXP = f"""
+select cost_driver,
+  {_exp('qvi_tot', 'qvi_trmt + con_trmt')} as exp_qvi_trmt, {_exp('qvi_tot', 'qvi_no_trmt + con_no_trmt')} as exp_qvi_no_trmt,
+  {_exp('con_tot', 'qvi_trmt + con_trmt')} as exp_con_trmt, {_exp('con_tot', 'qvi_no_trmt + con_no_trmt')} as exp_con_no_trmt
+from ({CHI_ROWS}) r"""
+oracle("chi_expected", CHI_EXP)
+
+
+def _cell(o: str) -> str:
+    dev = f"abs(r.{o} - e.exp_{o})"
+    return f"coalesce({sql_ratio(f'{dev} * {dev}', 4, f'e.exp_{o}', 2, 6)}, cast(0 as decimal(38,6))) as diff_{o}"
+
+
+CHI_DIFF = f"""
+select r.cost_driver, {_cell('qvi_trmt')}, {_cell('qvi_no_trmt')}, {_cell('con_trmt')}, {_cell('con_no_trmt')}
+from ({CHI_ROWS}) r join ({CHI_EXP}) e on e.cost_driver = r.cost_driver"""
+oracle("chi_diff", CHI_DIFF)
+oracle("chi_label", f"""
+select d.cost_driver, d.diff_qvi_trmt + d.diff_qvi_no_trmt + d.diff_con_trmt + d.diff_con_no_trmt as chi_square,
+  case when d.diff_qvi_trmt + d.diff_qvi_no_trmt + d.diff_con_trmt + d.diff_con_no_trmt > 3.841
+            and r.qvi_trmt_perc > r.con_trmt_perc then 'Statistically Higher Utilization'
+       when d.diff_qvi_trmt + d.diff_qvi_no_trmt + d.diff_con_trmt + d.diff_con_no_trmt > 3.841
+            and r.qvi_trmt_perc < r.con_trmt_perc then 'Statistically Lower Utilization'
+       else 'Not Statistical Difference' end as significance
+from ({CHI_DIFF}) d join ({CHI_ROWS}) r on r.cost_driver = d.cost_driver""")

@@ -242,3 +242,121 @@ def q_ent_report_sorted(spark, sf):
     f = fx(spark, sf)
     _, over = ent.reports(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT)
     return over
+
+
+# --------------------------------------------------------------- quality
+from dataclasses import replace as _replace  # noqa: E402
+
+from wardlens.operators import quality as qa  # noqa: E402
+from wardlens.params import QualityParams  # noqa: E402
+
+QA = QualityParams(fiscal_year=1996, qvi_names=("VAP",), population=("MACHINERY", "BUILDING", "FURNITURE"),
+                   population_kind="ctf", procedure_cpts=("C007", "C011", "C023", "C031", "C042"),
+                   inpatient_settings=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"))
+QA_IND = _replace(QA, population=("CI_A",), population_kind="indicator")
+
+
+def _qa_enc(spark, sf, p=QA):
+    f = fx(spark, sf)
+    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, p)
+
+
+def _proc_dates(spark, sf):
+    f = fx(spark, sf)
+    return qa.procedure_dates(f.line, _qa_enc(spark, sf), f.cpt, QA.procedure_cpts)
+
+
+def _qa_groups(spark, sf):
+    f = fx(spark, sf)
+    enc, pd_ = _qa_enc(spark, sf), _proc_dates(spark, sf)
+    ev = qa.event_group(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
+    co = qa.control_group(enc, pd_, f.line, f.cost, f.charge_code, QA)
+    return ev.unionByName(co)
+
+
+def _chi_rows(spark, sf):
+    return qa.chi_rows(qa.chi_base(_qa_groups(spark, sf), QA.control_label))
+
+
+@register("qa_encounters")
+def q_qa_encounters(spark, sf):
+    return _qa_enc(spark, sf)
+
+
+@register("qa_population")
+def q_qa_population(spark, sf):
+    return _qa_enc(spark, sf, QA_IND)
+
+
+@register("proc_dates")
+def q_proc_dates(spark, sf):
+    return _proc_dates(spark, sf)
+
+
+@register("proc_order")
+def q_proc_order(spark, sf):
+    return qa.procedure_order(_proc_dates(spark, sf))
+
+
+@register("single_proc")
+def q_single_proc(spark, sf):
+    return qa.single_procedure(_proc_dates(spark, sf))
+
+
+@register("phase_label")
+def q_phase_label(spark, sf):
+    f = fx(spark, sf)
+    pd_ = _proc_dates(spark, sf)
+    proc = pd_.join(qa.single_procedure(pd_), "encounter_id").select("encounter_id", F.col("service_ts").alias("proc_date"))
+    return (f.line.select("row_id", "encounter_id", "service_ts").join(proc, "encounter_id")
+            .select("row_id", "encounter_id", "proc_date", F.col("service_ts").alias("charge_service_date"),
+                    qa.phase(F.col("proc_date"), F.col("service_ts")).alias("date_of_service")))
+
+
+@register("qvi_group")
+def q_qvi_group(spark, sf):
+    f = fx(spark, sf)
+    return qa.event_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code, f.qvi, QA)
+
+
+@register("control_group")
+def q_control_group(spark, sf):
+    f = fx(spark, sf)
+    return qa.control_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code, QA)
+
+
+@register("driver_summary")
+def q_driver_summary(spark, sf):
+    return qa.driver_summary(_qa_groups(spark, sf))
+
+
+@register("chi_base")
+def q_chi_base(spark, sf):
+    return qa.chi_base(_qa_groups(spark, sf), QA.control_label)
+
+
+@register("chi_rows")
+def q_chi_rows(spark, sf):
+    return _chi_rows(spark, sf)
+
+
+@register("chi_cols")
+def q_chi_cols(spark, sf):
+    return qa.chi_cols(_chi_rows(spark, sf))
+
+
+@register("chi_expected")
+def q_chi_expected(spark, sf):
+    return qa.chi_expected(_chi_rows(spark, sf))
+
+
+@register("chi_diff")
+def q_chi_diff(spark, sf):
+    r = _chi_rows(spark, sf)
+    return qa.chi_diff(r, qa.chi_expected(r))
+
+
+@register("chi_label")
+def q_chi_label(spark, sf):
+    r = _chi_rows(spark, sf)
+    return qa.chi_label(r, qa.chi_diff(r, qa.chi_expected(r)), QA.critical_value)
