@@ -204,3 +204,21 @@ def chi_label(rows: DataFrame, diff: DataFrame, critical: str = "3.841") -> Data
              .when(sig & (col("qvi_trmt_perc") < col("con_trmt_perc")), "Statistically Lower Utilization")
              .otherwise("Not Statistical Difference"))
     return j.select("cost_driver", chi.alias("chi_square"), label.alias("significance"))
+
+
+def quality_groups(encounters, proc_dates, lines, costs, charge_code, qvi, p: QualityParams) -> DataFrame:
+    """A34 + A35 in one pass over the encounter x procedure x line chain.
+
+    Each encounter carries the list of group labels it belongs to (its
+    selected quality events, plus the control label when it has none) and
+    rows are exploded per label, so an encounter in both groups appears in
+    both, as with the two separate queries.
+    """
+    q = (qvi.where(col("qvi_name").isin(list(p.qvi_names)))
+         .groupBy("encounter_id").agg(F.collect_set("qvi_name").alias("_events")))
+    e = encounters.join(q, "encounter_id", "left")
+    ctrl = F.when(col("primary_qvi_id") == 0, F.array(lit(p.control_label))).otherwise(F.array().cast("array<string>"))
+    e = e.withColumn("_labels", F.concat(F.coalesce(col("_events"), F.array().cast("array<string>")), ctrl)) \
+         .where(F.size("_labels") > 0)
+    j = _group_lines(e, proc_dates, lines, costs, charge_code, p).withColumn("_label", F.explode("_labels"))
+    return _aggregate_group(j, col("_label"))

@@ -414,3 +414,53 @@ select d.cost_driver, d.diff_qvi_trmt + d.diff_qvi_no_trmt + d.diff_con_trmt + d
             and r.qvi_trmt_perc < r.con_trmt_perc then 'Statistically Lower Utilization'
        else 'Not Statistical Difference' end as significance
 from ({CHI_DIFF}) d join ({CHI_ROWS}) r on r.cost_driver = d.cost_driver""")
+
+
+# ----------------------------------------------------------- contingency
+DEIDENT = f"""
+select qvi, fiscal_year, encounter_id, msdrg_case_type_family, attend_physician_specialty, age_cohort, age, gender,
+  risk_of_mortality, severity_of_illness, los, patient_setting, date_of_service, total_proc, proc_date,
+  charge_service_date, cost_driver, charge_code_desc, vdc
+from ({QA_GROUPS}) g"""
+oracle("deidentify", DEIDENT)
+CLEAN = f"""
+select * from (
+  select qvi, fiscal_year, cast(encounter_id as varchar) as encounter_id, msdrg_case_type_family,
+    attend_physician_specialty, age_cohort, age, gender, risk_of_mortality, severity_of_illness, los,
+    patient_setting, date_of_service, total_proc, proc_date, charge_service_date, cost_driver, charge_code_desc,
+    coalesce(try_cast(cast(vdc as varchar) as double), 0.0) as vdc
+  from ({DEIDENT}) d) c where vdc > 0"""
+oracle("clean_cost", CLEAN)
+
+
+def _contingency(src: str, x: str, y: str, groups: list[str]) -> str:
+    g = "".join(f"{c}, " for c in groups)
+    on = lambda a, b, extra: " and ".join([f"{a}.{c} = {b}.{c}" for c in groups + extra]) or "true"
+    term = sql_ratio("t.n_total * c.n * c.n", 0, "r.n_x * k.n_y", 0, 9)
+    return f"""
+with cells as (select {g}{x}, {y}, count(*) as n from ({src}) s group by all),
+  rws as (select {g}{x}, sum(n) as n_x from cells group by all),
+  cls as (select {g}{y}, sum(n) as n_y from cells group by all),
+  tab as (select {g}sum(n) as n_total, count(distinct {x}) as r_, count(distinct {y}) as c_ from cells
+          {'group by ' + ', '.join(groups) if groups else ''}),
+  j as (select c.*, r.n_x, k.n_y, t.n_total, t.r_, t.c_, {term} as term
+        from cells c join rws r on {on('r', 'c', [x])} join cls k on {on('k', 'c', [y])} join tab t on {on('t', 'c', [])}),
+  st as (select {g}sum(term) as s_ from j {'group by ' + ', '.join(groups) if groups else ''})
+select {''.join(f'j.{c}, ' for c in groups)}j.{x}, j.{y}, j.n, j.n_y as n_bar,
+  {sql_ratio('j.n * 100', 0, 'j.n_y', 0, 2)} as pct,
+  cast(st.s_ - j.n_total as decimal(20,6)) as chi_square, cast((j.r_ - 1) * (j.c_ - 1) as int) as dof
+from j join st on {on('st', 'j', [])}"""
+
+
+oracle("assoc_overall", _contingency(CLEAN, "qvi", "cost_driver", []))
+
+SIG = f"""
+select cost_driver, n, cast({sql_ratio('k * ss - n * n', 0, 'n', 0, 6)} as decimal(20,6)) as chi_square,
+  cast(k - 1 as int) as dof,
+  {sql_ratio('k * ss - n * n', 0, 'n', 0, 6)} > 3.841458820694124 as significant
+from (select cost_driver, sum(o) as n, sum(o * o) as ss from
+        (select cost_driver, qvi, count(*) as o from ({CLEAN}) c group by all) a group by cost_driver) p
+  cross join (select count(distinct qvi) as k from ({CLEAN}) c) kk"""
+oracle("sig_drivers", SIG)
+SIG_SUBSET = f"select * from ({CLEAN}) c where cost_driver in (select cost_driver from ({SIG}) s where significant)"
+oracle("assoc_by_driver", _contingency(SIG_SUBSET, "qvi", "date_of_service", ["cost_driver"]))

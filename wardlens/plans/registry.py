@@ -269,9 +269,7 @@ def _proc_dates(spark, sf):
 def _qa_groups(spark, sf):
     f = fx(spark, sf)
     enc, pd_ = _qa_enc(spark, sf), _proc_dates(spark, sf)
-    ev = qa.event_group(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
-    co = qa.control_group(enc, pd_, f.line, f.cost, f.charge_code, QA)
-    return ev.unionByName(co)
+    return qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
 
 
 def _chi_rows(spark, sf):
@@ -360,3 +358,48 @@ def q_chi_diff(spark, sf):
 def q_chi_label(spark, sf):
     r = _chi_rows(spark, sf)
     return qa.chi_label(r, qa.chi_diff(r, qa.chi_expected(r)), QA.critical_value)
+
+
+# ----------------------------------------------------------- contingency
+from wardlens.operators import contingency as ct  # noqa: E402
+
+IDENTIFYING = ("Entity", "Patient Population", "AttendPhysicianName")
+
+
+def _clean_export(spark, sf):
+    return ct.clean_cost(ct.deidentify(_qa_groups(spark, sf), IDENTIFYING), "vdc")
+
+
+@register("deidentify")
+def q_deidentify(spark, sf):
+    return ct.deidentify(_qa_groups(spark, sf), IDENTIFYING)
+
+
+@register("clean_cost")
+def q_clean_cost(spark, sf):
+    return _clean_export(spark, sf)
+
+
+@register("assoc_overall")
+def q_assoc_overall(spark, sf):
+    return ct.contingency(_clean_export(spark, sf), "qvi", "cost_driver")
+
+
+@register("sig_drivers")
+def q_sig_drivers(spark, sf):
+    return ct.significant_levels(_clean_export(spark, sf), "qvi", "cost_driver")
+
+
+def _by_driver(spark, sf):
+    sub = ct.significant_subset(_clean_export(spark, sf), "qvi", "cost_driver")
+    return ct.contingency(sub, "qvi", "date_of_service", ["cost_driver"])
+
+
+@register("assoc_by_driver")
+def q_assoc_by_driver(spark, sf):
+    return _by_driver(spark, sf)
+
+
+@register("assoc_pvalues")
+def q_assoc_pvalues(spark, sf):
+    return ct.with_pvalues(_by_driver(spark, sf), ["cost_driver"])
