@@ -464,3 +464,104 @@ from (select cost_driver, sum(o) as n, sum(o * o) as ss from
 oracle("sig_drivers", SIG)
 SIG_SUBSET = f"select * from ({CLEAN}) c where cost_driver in (select cost_driver from ({SIG}) s where significant)"
 oracle("assoc_by_driver", _contingency(SIG_SUBSET, "qvi", "date_of_service", ["cost_driver"]))
+
+
+# ------------------------------------------------------------- benchmark
+COHORT = """
+select distinct s.client as client_name, s.clienttype, s.censusregion as client_region, s.opex as client_opex,
+  ec.alias as entity_name, ec.isamc as entity_amc, ec.isurban as entity_urban, ec.entitytype,
+  ec.opex as entity_opex, ec.bedsize as entity_bedsize, e.orgpin, e.strataid, e.msdrg_code,
+  e.discharge_date as dischargedate, cast(year(e.discharge_date) as int) as dc_year,
+  cast(floor(e.age / 10) as int) as age_rollup, e.encounter_id,
+  case when s.client ilike '%NATION_7%' then 1 else 0 end as clientofinterest,
+  case when ec.entity_key = 7 then 'Alpha Hospital' when ec.entity_key = 32 then 'Beta Hospital'
+       else 'Other Entities' end as entities_of_interest
+from f_encounter e
+  join f_system_criteria s on s.orgpin = e.orgpin and s.strataid = e.strataid
+  join f_entity_criteria ec on ec.orgpin = e.orgpin and ec.strataid = e.strataid and ec.entity_key = e.entity_key
+where e.source_system_id in (select source_system_id from f_source_system where category_name = 'Hospital Billing')
+  and e.patient_setting in ('1-URGENT', '2-HIGH', '3-MEDIUM') and year(e.discharge_date) = 1996
+  and (s.clienttype = 'T0' or s.censusregion = 'ASIA' or ec.entitytype = 'MACHINERY')"""
+oracle("peer_cohort", COHORT)
+oracle("peer_flags", f"select orgpin, strataid, encounter_id, clientofinterest, entities_of_interest from ({COHORT}) c")
+PEER_BILLING = f"""
+select c.*, b.servicedateid, b.servicedate, b.billedcptid, b.billedcptcode, b.billedcptdescription,
+  b.sphchargecodecostdriver, cast(sum(b.totalunitsofservice) as decimal(38,2)) as units_of_service,
+  cast(sum(b.variabledirectcost) as decimal(38,4)) as variable_direct_cost
+from f_billing b join ({COHORT}) c on c.encounter_id = b.encounterid and c.orgpin = b.orgpin and c.strataid = b.strataid
+where b.billedcptcode = 'C007'
+group by all"""
+oracle("peer_billing", PEER_BILLING)
+oracle("peer_checks", f"""
+select clientofinterest, count(distinct client_name) as clients, max(dischargedate) as max_discharge_date
+from ({COHORT}) c group by clientofinterest""")
+
+CLIENT_DIMS = [("clienttype", "clientofinterest", "'T0'"), ("client_region", "clientofinterest", "'ASIA'"),
+               ("client_opex", "clientofinterest", "'X1'")]
+ENTITY_DIMS = [("entitytype", "entities_of_interest", "'MACHINERY'"),
+               ("entity_opex", "entities_of_interest", "'X1', 'X2'"),
+               ("entity_bedsize", "entities_of_interest", "'small', 'large'"),
+               ("entity_urban", "entities_of_interest", None)]
+
+
+def _stack(src: str, dims, extra: str) -> str:
+    parts = []
+    for dim, flag, allowed in dims:
+        cond = f"{dim} is not null" if allowed is None else f"cast({dim} as varchar) in ({allowed})"
+        parts.append(f"select '{dim}' as dimension, cast({flag} as varchar) as flag, cast({dim} as varchar) as dim_value, "
+                     f"{extra} from ({src}) s where {cond}")
+    return " union all ".join(parts)
+
+
+def _metrics(src: str, keys: list[str], with_uos: bool = True, top: int | None = None) -> str:
+    k = ", ".join(keys)
+    enc = ", ".join(c for c in ("orgpin", "strataid", "encounter_id") if c not in keys)
+    tail = f" order by cases desc, {k} limit {top}" if top else ""
+    if not with_uos:
+        return f"select {k}, count(*) as cases from (select distinct {k}, {enc} from ({src}) s) d group by {k}{tail}"
+    return f"""
+select {k}, count(*) as cases, cast(sum(u) as decimal(38,2)) as uos, cast(sum(d) as bigint) as patient_days,
+  {sql_ratio('sum(u)', 2, 'count(*)', 0, 1)} as uos_per_case, {sql_ratio('sum(u)', 2, 'sum(d)', 0, 1)} as uos_per_patientday
+from (select {k}, {enc}, sum(units_of_service) as u, count(distinct servicedateid) as d from ({src}) s group by all) e
+group by {k}{tail}"""
+
+
+BILL_EXTRA = "orgpin, strataid, encounter_id, servicedateid, units_of_service"
+oracle("util_client_dims", _metrics(_stack(PEER_BILLING, CLIENT_DIMS, BILL_EXTRA), ["dimension", "flag", "dim_value"]))
+oracle("util_entity_dims", _metrics(_stack(PEER_BILLING, ENTITY_DIMS, BILL_EXTRA), ["dimension", "flag", "dim_value"]))
+oracle("util_all_dims", _metrics(_stack(PEER_BILLING, CLIENT_DIMS + ENTITY_DIMS, BILL_EXTRA),
+                                 ["dimension", "flag", "dim_value"]))
+oracle("volume_dims", _metrics(_stack(COHORT, CLIENT_DIMS + ENTITY_DIMS, "orgpin, strataid, encounter_id"),
+                               ["dimension", "flag", "dim_value"], with_uos=False))
+
+
+def _side(sql: str, side: str, with_orgpin: bool, with_uos: bool = True) -> str:
+    org = "orgpin" if with_orgpin else "cast(null as int) as orgpin"
+    rest = ("uos, patient_days, uos_per_case, uos_per_patientday" if with_uos else
+            "cast(null as decimal(38,2)) as uos, cast(null as bigint) as patient_days, "
+            "cast(null as decimal(38,1)) as uos_per_case, cast(null as decimal(38,1)) as uos_per_patientday")
+    return f"select '{side}' as side, msdrg_code, {org}, cases, {rest} from ({sql}) t"
+
+
+COI_B = f"select * from ({PEER_BILLING}) b where clientofinterest = 1"
+CMP_B = f"select * from ({PEER_BILLING}) b where clientofinterest = 0"
+COI_TOP = _metrics(COI_B, ["msdrg_code", "orgpin"], top=5)
+oracle("top_drg_coi", _side(COI_TOP, "coi", True) + " union all " + _side(
+    _metrics(f"select * from ({CMP_B}) c where msdrg_code in (select msdrg_code from ({COI_TOP}) t)", ["msdrg_code"], top=5),
+    "comparator", False))
+COI_DRGS = f"select msdrg_code from ({COI_TOP}) t"
+oracle("top_drg_coi_total", _side(
+    _metrics(f"select * from ({COHORT}) c where clientofinterest = 1 and msdrg_code in ({COI_DRGS})",
+             ["msdrg_code", "orgpin"], with_uos=False, top=5), "coi_total", True, False) + " union all " + _side(
+    _metrics(f"select * from ({COHORT}) c where clientofinterest = 0 and msdrg_code in ({COI_DRGS})",
+             ["msdrg_code"], with_uos=False, top=5), "comparator_total", False, False))
+CMP_TOP = _metrics(f"select * from ({CMP_B}) c where msdrg_code <> '000'", ["msdrg_code"], top=5)
+CMP_DRGS = f"select msdrg_code from ({CMP_TOP}) t"
+oracle("top_drg_cohort", " union all ".join([
+    _side(CMP_TOP, "comparator", False),
+    _side(_metrics(f"select * from ({COI_B}) c where msdrg_code in ({CMP_DRGS})", ["msdrg_code", "orgpin"], top=5),
+          "coi", True),
+    _side(_metrics(f"select * from ({COHORT}) c where clientofinterest = 0 and msdrg_code in ({CMP_DRGS})",
+                   ["msdrg_code"], with_uos=False, top=5), "comparator_total", False, False),
+    _side(_metrics(f"select * from ({COHORT}) c where clientofinterest = 1 and msdrg_code in ({CMP_DRGS})",
+                   ["msdrg_code", "orgpin"], with_uos=False, top=5), "coi_total", True, False)]))

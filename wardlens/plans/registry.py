@@ -403,3 +403,83 @@ def q_assoc_by_driver(spark, sf):
 @register("assoc_pvalues")
 def q_assoc_pvalues(spark, sf):
     return ct.with_pvalues(_by_driver(spark, sf), ["cost_driver"])
+
+
+# ------------------------------------------------------------- benchmark
+from wardlens.operators import benchmark as bm  # noqa: E402
+from wardlens.params import CohortCriteria  # noqa: E402
+
+BM = CohortCriteria(source_category="Hospital Billing", patient_setting=("1-URGENT", "2-HIGH", "3-MEDIUM"),
+                    discharge_year=1996, clienttype="T0", censusregion="ASIA", entitytype="MACHINERY",
+                    coi_pattern="%NATION_7%", entities_of_interest=((7, "Alpha Hospital"), (32, "Beta Hospital")),
+                    cpt_code="C007")
+BM_CLIENT_DIMS = (("clienttype", "clientofinterest", ("T0",)), ("client_region", "clientofinterest", ("ASIA",)),
+                  ("client_opex", "clientofinterest", ("X1",)))
+BM_ENTITY_DIMS = (("entitytype", "entities_of_interest", ("MACHINERY",)),
+                  ("entity_opex", "entities_of_interest", ("X1", "X2")),
+                  ("entity_bedsize", "entities_of_interest", ("small", "large")),
+                  ("entity_urban", "entities_of_interest", None))
+
+
+def _cohort(spark, sf):
+    f = fx(spark, sf)
+    return bm.peer_cohort(f.encounter, f.system_criteria, f.entity_criteria, f.source_system, BM)
+
+
+def _peer_billing(spark, sf):
+    return bm.peer_billing(fx(spark, sf).billing, _cohort(spark, sf), BM.cpt_code)
+
+
+@register("peer_cohort")
+def q_peer_cohort(spark, sf):
+    return _cohort(spark, sf)
+
+
+@register("peer_flags")
+def q_peer_flags(spark, sf):
+    return bm.peer_flags(_cohort(spark, sf))
+
+
+@register("peer_billing")
+def q_peer_billing(spark, sf):
+    return _peer_billing(spark, sf)
+
+
+@register("peer_checks")
+def q_peer_checks(spark, sf):
+    return bm.peer_checks(_cohort(spark, sf))
+
+
+@register("util_client_dims")
+def q_util_client_dims(spark, sf):
+    return bm.utilisation(_peer_billing(spark, sf), BM_CLIENT_DIMS)
+
+
+@register("util_entity_dims")
+def q_util_entity_dims(spark, sf):
+    return bm.utilisation(_peer_billing(spark, sf), BM_ENTITY_DIMS)
+
+
+@register("util_all_dims")
+def q_util_all_dims(spark, sf):
+    return bm.utilisation(_peer_billing(spark, sf), BM_CLIENT_DIMS + BM_ENTITY_DIMS)
+
+
+@register("volume_dims")
+def q_volume_dims(spark, sf):
+    return bm.volumes(_cohort(spark, sf), BM_CLIENT_DIMS + BM_ENTITY_DIMS)
+
+
+@register("top_drg_coi")
+def q_top_drg_coi(spark, sf):
+    return bm.top_drg_coi(_peer_billing(spark, sf))
+
+
+@register("top_drg_coi_total")
+def q_top_drg_coi_total(spark, sf):
+    return bm.top_drg_coi_total(_peer_billing(spark, sf), _cohort(spark, sf))
+
+
+@register("top_drg_cohort")
+def q_top_drg_cohort(spark, sf):
+    return bm.top_drg_cohort(_peer_billing(spark, sf), _cohort(spark, sf))
