@@ -565,3 +565,26 @@ oracle("top_drg_cohort", " union all ".join([
                    ["msdrg_code"], with_uos=False, top=5), "comparator_total", False, False),
     _side(_metrics(f"select * from ({COHORT}) c where clientofinterest = 1 and msdrg_code in ({CMP_DRGS})",
                    ["msdrg_code", "orgpin"], with_uos=False, top=5), "coi_total", True, False)]))
+
+
+# ------------------------------------------------------------------- drg
+from wardlens.functions.drg import sql_mdc_group  # noqa: E402
+
+oracle("client_db_name", "select orgpin, client, 'P_' || replace(client, '_', '') as db_name from f_system_criteria")
+oracle("mdc_group", f"""
+select encounter_id, msdrg_code, try_cast(msdrg_code as int) as msdrg_numeric, {sql_mdc_group('msdrg_code')} as msdrg_groupings
+from f_encounter""")
+PX_DETAIL = f"""
+select e.encounter_id, e.record_number, 'MS-DRG ' || e.msdrg_code as msdrg_fulldescription,
+  try_cast(e.msdrg_code as int) as msdrg_numeric, {sql_mdc_group('e.msdrg_code')} as msdrg_groupings,
+  'Procedure ' || p.px_code as icd10px_fulldescription, p.seq as sequence_number, m.labelone as section,
+  m.labeltwo || '-' || m.labelfour as body_system_part, m.labeltwo as body_system, m.labelfour as body_part
+from f_encounter e join f_procedure p on p.encounter_id = e.encounter_id
+  left join f_pcs_map m on m.code = p.px_code
+where e.fiscal_year = 1996"""
+oracle("px_detail", PX_DETAIL)
+oracle("px_by_encounter", f"select encounter_id, sequence_number, msdrg_groupings, body_system_part from ({PX_DETAIL}) d")
+oracle("px_pattern", f"select * from ({PX_DETAIL}) d where msdrg_fulldescription ilike '% 98%'")
+oracle("mdc_body_part", f"""
+select msdrg_groupings, body_system_part, count(distinct encounter_id) as cases, count(*) as icd10px_codes
+from ({PX_DETAIL}) d group by msdrg_groupings, body_system_part""")

@@ -483,3 +483,44 @@ def q_top_drg_coi_total(spark, sf):
 @register("top_drg_cohort")
 def q_top_drg_cohort(spark, sf):
     return bm.top_drg_cohort(_peer_billing(spark, sf), _cohort(spark, sf))
+
+
+# ------------------------------------------------------------------- drg
+from wardlens.operators import drg as drg_ops  # noqa: E402
+
+DRG_YEAR = 1996
+
+
+def _px_detail(spark, sf):
+    f = fx(spark, sf)
+    return drg_ops.procedure_detail(f.encounter, f.procedure, f.pcs_map, DRG_YEAR)
+
+
+@register("client_db_name")
+def q_client_db_name(spark, sf):
+    return drg_ops.client_database_name(fx(spark, sf).system_criteria.select("orgpin", "client"), "client", "_")
+
+
+@register("mdc_group")
+def q_mdc_group(spark, sf):
+    return drg_ops.with_mdc_group(fx(spark, sf).encounter.select("encounter_id", "msdrg_code"))
+
+
+@register("px_detail")
+def q_px_detail(spark, sf):
+    return _px_detail(spark, sf)
+
+
+@register("px_by_encounter")
+def q_px_by_encounter(spark, sf):
+    return drg_ops.by_encounter(_px_detail(spark, sf))
+
+
+@register("px_pattern")
+def q_px_pattern(spark, sf):
+    return drg_ops.description_pattern(_px_detail(spark, sf), "% 98%")
+
+
+@register("mdc_body_part")
+def q_mdc_body_part(spark, sf):
+    return drg_ops.category_body_part(_px_detail(spark, sf))
