@@ -588,3 +588,45 @@ oracle("px_pattern", f"select * from ({PX_DETAIL}) d where msdrg_fulldescription
 oracle("mdc_body_part", f"""
 select msdrg_groupings, body_system_part, count(distinct encounter_id) as cases, count(*) as icd10px_codes
 from ({PX_DETAIL}) d group by msdrg_groupings, body_system_part""")
+
+
+# ---------------------------------------------------------------- cohort
+from wardlens.functions.bins import DONOR_BINS, DONOR_BMI, sql_bin_label  # noqa: E402
+from wardlens.operators.cohort import DONOR_FLAGS, FEATURES, POPULATED_COLUMNS  # noqa: E402
+
+oracle("csv_load", "select count(*) as n_rows, 31 as n_cols from f_donor")
+
+
+def _blank(c: str) -> str:
+    return f"({c} is null or trim(cast({c} as varchar)) = '')"
+
+
+DONORS = f"""
+select * from f_donor
+where age >= 18 and tx_year >= 1998 and {_blank('tx_hrt')} and {_blank('tx_kid')} and {_blank('tx_lng')}
+  and {_blank('tx_int')} and {_blank('tx_pan')} and {_blank('tx_retxdate')} and prev_tx is distinct from 'Y'
+  and not {_blank('tx_date')} and age_don >= 10"""
+oracle("cohort_filter", DONORS)
+oracle("populated_pct", " union all ".join(
+    f"select '{c}' as column_name, cast(count({c}) as double) / cast(count(*) as double) * 100 as pct_populated "
+    f"from ({DONORS}) d" for c in POPULATED_COLUMNS))
+oracle("bin_generic", f"""
+select donor_key, donor_line, bmi_don, {sql_bin_label('bmi_don', DONOR_BMI)} as donor_bmi_categories from ({DONORS}) d""")
+BINNED = "select d.*, " + ", ".join(f"{sql_bin_label(src, spec)} as {label}" for src, label, spec in DONOR_BINS) + \
+    f" from ({DONORS}) d"
+oracle("bin_specs", "select donor_key, donor_line, " + ", ".join(b[1] for b in DONOR_BINS) + f" from ({BINNED}) b")
+ONE_HOT = "select b.*, " + ", ".join(f"case when {label} = '{r[2]}' then 1 else 0 end as {r[2]}"
+                                     for _, label, spec in DONOR_BINS for r in spec) + f" from ({BINNED}) b"
+oracle("one_hot", "select donor_key, donor_line, " + ", ".join(r[2] for b in DONOR_BINS for r in b[2]) +
+       f" from ({ONE_HOT}) o")
+
+
+def _flag(name, c, op, v):
+    lit_ = f"'{v}'" if isinstance(v, str) else str(v)
+    cond = f"{c} is distinct from {lit_}" if op == "!=" else f"{c} {'=' if op == '==' else op} {lit_}"
+    return f"case when {cond} then 1 else 0 end as {name}"
+
+
+FLAGGED = "select o.*, " + ", ".join(_flag(*f) for f in DONOR_FLAGS) + f" from ({ONE_HOT}) o"
+oracle("flags", "select donor_key, donor_line, " + ", ".join(f[0] for f in DONOR_FLAGS) + f" from ({FLAGGED}) f")
+oracle("feature_matrix", "select " + ", ".join(FEATURES) + f" from ({FLAGGED}) f")

@@ -524,3 +524,66 @@ def q_px_pattern(spark, sf):
 @register("mdc_body_part")
 def q_mdc_body_part(spark, sf):
     return drg_ops.category_body_part(_px_detail(spark, sf))
+
+
+# ---------------------------------------------------------------- cohort
+import uuid as _uuid  # noqa: E402
+
+from wardlens.operators import cohort as co  # noqa: E402
+from wardlens.functions.bins import DONOR_BMI  # noqa: E402
+from wardlens.params import DonorCohortParams  # noqa: E402
+from wardlens.session import ensure_checkpoint_dir  # noqa: E402
+
+DONOR = DonorCohortParams(min_year=1998)
+DONOR_KEYS = ("donor_key", "donor_line")
+
+
+def _donors(spark, sf):
+    return co.cohort_filter(fx(spark, sf).donor, DONOR)
+
+
+@register("csv_load")
+def q_csv_load(spark, sf):
+    donor = fx(spark, sf).donor
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardlens-csv/{_uuid.uuid4().hex}"
+    co.write_csv(donor, path)
+    return co.shape(co.read_registry_csv(spark, path, donor.schema))
+
+
+@register("populated_pct")
+def q_populated_pct(spark, sf):
+    return co.populated_pct(_donors(spark, sf), co.POPULATED_COLUMNS)
+
+
+@register("cohort_filter")
+def q_cohort_filter(spark, sf):
+    return _donors(spark, sf)
+
+
+@register("bin_generic")
+def q_bin_generic(spark, sf):
+    from wardlens.functions.bins import bin_label
+    return _donors(spark, sf).select(*DONOR_KEYS, "bmi_don", bin_label(F.col("bmi_don"), DONOR_BMI).alias("donor_bmi_categories"))
+
+
+@register("bin_specs")
+def q_bin_specs(spark, sf):
+    from wardlens.functions.bins import DONOR_BINS
+    return co.add_bins(_donors(spark, sf)).select(*DONOR_KEYS, *[b[1] for b in DONOR_BINS])
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    from wardlens.functions.bins import DONOR_BINS
+    names = [r[2] for b in DONOR_BINS for r in b[2]]
+    return co.one_hot(co.add_bins(_donors(spark, sf))).select(*DONOR_KEYS, *names)
+
+
+@register("flags")
+def q_flags(spark, sf):
+    return co.flags(_donors(spark, sf)).select(*DONOR_KEYS, *[f[0] for f in co.DONOR_FLAGS])
+
+
+@register("feature_matrix")
+def q_feature_matrix(spark, sf):
+    return co.feature_matrix(_donors(spark, sf))
