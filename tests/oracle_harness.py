@@ -35,7 +35,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, decimal.Decimal):
-        return ("D", str(v.normalize()) if v == v.to_integral_value() else str(v.normalize()))
+        return ("D", str(v))  # exact text: scale differences count
     if isinstance(v, float):
         if math.isnan(v):
             return ("F", "nan")
