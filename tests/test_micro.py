@@ -136,7 +136,9 @@ def test_blank_and_flags(spark):
     base = dict(age=30.0, tx_year=2005, tx_kid=None, tx_lng=None, tx_int=None, tx_pan=None, tx_retxdate=None,
                 prev_tx=None, tx_date="2005-01-01", age_don=30.0)
     rows = [dict(base, tx_hrt=v) for v in (None, "", "Y")]
-    df = spark.createDataFrame(rows)
+    cols = list(rows[0])
+    schema = ", ".join(f"{c} {'double' if c in ('age', 'age_don') else 'int' if c == 'tx_year' else 'string'}" for c in cols)
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema)
     assert cohort.cohort_filter(df, DonorCohortParams()).count() == 2
     dm = spark.createDataFrame([(1,), (2,), (None,)], "hist_diabetes_don int")
     assert [r.hx_DM2 for r in cohort.flags(dm, [f for f in cohort.DONOR_FLAGS if f[0] == "hx_DM2"]).collect()] == [0, 1, 1]
