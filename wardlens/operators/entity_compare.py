@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.exact import int_avg, ratio
 from wardlens.operators.redundancy import billing_source_systems
+from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import EntityCompareParams
 
 col, lit = F.col, F.lit
@@ -49,9 +50,8 @@ def bill(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: DataFr
     cc = charge_code.where(~col("cost_driver").isin(list(p.excluded_drivers))).select(
         "charge_code_id", "cost_driver", col("rollup_name").alias("cc_rollup"),
         col("name").alias("full_charge_code_description"))
-    on = ["encounter_id", "row_id"] if "encounter_id" in costs.columns else ["row_id"]
-    l = (lines.select("row_id", "encounter_id", "charge_code_id", "units")
-         .join(costs.select(*on, "unit_cost"), on).join(cc, "charge_code_id"))
+    l = join_costs(lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "units"),
+                   costs, "inner").join(cc, "charge_code_id")
     keys = [c for c in enc.columns]
     return l.join(enc, "encounter_id").groupBy(*keys, *CODE).agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
@@ -191,17 +191,18 @@ def reports(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: Dat
             checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both reports, ordered as the reference prints them.
 
-    The pairs table feeds both outputs; with ``checkpoint`` it is cut from
-    its lineage in the shared checkpoint folder first.
+    ``bill`` feeds the work list and both sides of the comparison; with
+    ``checkpoint`` it is cut from its lineage in the shared checkpoint
+    folder, so it is derived from the line fact once.
     """
     b = bill(enc, lines, costs, charge_code, p)
+    if checkpoint:
+        from wardlens.session import materialize
+        b = materialize(b)
     wl = work_list(bill_by_encounter(b), p)
     if compat_first_setting:
         wl = first_setting_per_line(wl)
     pairs = comparison_pairs(code_usage(b, group_volumes(enc)), wl)
-    if checkpoint:
-        from wardlens.session import materialize
-        pairs = materialize(pairs)
     uniq = unique_codes(pairs).orderBy(col("eoi_vdc").desc(), "charge_codes_unique_to_entity_of_interest",
                                         "entity_of_interest", "patient_setting", "service_line")
     over = overlapping_codes(pairs, p.band).orderBy(col("impact_dollars").desc(), "overlapping_charge_codes",

@@ -15,6 +15,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import OpportunitySpec
 
 col, lit = F.col, F.lit
@@ -31,15 +32,14 @@ def pick_charge_codes(charge_code: DataFrame, keywords: Iterable[str], category:
 
 def _line_cost(lines: DataFrame, costs: DataFrame) -> DataFrame:
     # line -> cost is 1:0..1; a missing cost keeps the line with NULL cost.
-    on = ["encounter_id", "row_id"] if "encounter_id" in costs.columns else ["row_id"]
-    return lines.join(costs.select(*on, "unit_cost"), on, "left")
+    return join_costs(lines, costs, "left")
 
 
 def opportunity_summary(lines: DataFrame, costs: DataFrame, codes: DataFrame,
                         fiscal_years: Iterable[int], year_col: str = "line_year") -> DataFrame:
     """Per (fiscal year, code description, encounter): UOS and VDC."""
     l = lines.where(col(year_col).isin(list(fiscal_years))).select(
-        "row_id", "encounter_id", "charge_code_id", year_col, "units")
+        *line_key_columns(lines, costs), "encounter_id", "charge_code_id", year_col, "units")
     j = _line_cost(l.join(codes.select("charge_code_id", "full_description"), "charge_code_id"), costs)
     return j.groupBy(col(year_col).alias("fiscal_year"), "full_description", "encounter_id").agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
@@ -94,7 +94,7 @@ def multi_opportunity_report(lines: DataFrame, costs: DataFrame, charge_code: Da
               .select("charge_code_id", col("name").alias("full_description"),
                       "spec_name", "spec_type", "category").distinct())
     l = lines.where(col(year_col).isin(list(fiscal_years))).select(
-        "row_id", "encounter_id", "charge_code_id", year_col, "units")
+        *line_key_columns(lines, costs), "encounter_id", "charge_code_id", year_col, "units")
     j = _line_cost(l.join(picked, "charge_code_id"), costs)
     summary = j.groupBy("spec_name", "spec_type", "category", col(year_col).alias("fiscal_year"),
                         "full_description", "encounter_id").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.exact import ratio
+from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import QualityParams
 
 col, lit = F.col, F.lit
@@ -91,9 +92,8 @@ def _group_lines(encounters, proc_dates, lines, costs, charge_code, p: QualityPa
     proc = procedure_order(proc_dates).join(single, "encounter_id")
     cc = charge_code.where(col("cost_driver") != p.excluded_driver).select(
         "charge_code_id", "cost_driver", col("name").alias("charge_code_desc"))
-    on = ["encounter_id", "row_id"] if "encounter_id" in costs.columns else ["row_id"]
-    l = (lines.select("row_id", "encounter_id", "charge_code_id", "service_ts", "units")
-         .join(cc, "charge_code_id").join(costs.select(*on, "unit_cost"), on, "left"))
+    l = join_costs(lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "service_ts", "units")
+                   .join(cc, "charge_code_id"), costs, "left")
     return (encounters.join(proc.select("encounter_id", col("service_ts").alias("proc_date"), "maxproc", "proc_order"),
                             "encounter_id")
             .join(l, "encounter_id"))

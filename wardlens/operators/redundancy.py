@@ -23,6 +23,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import RedundancyParams
 
 col, lit = F.col, F.lit
@@ -66,11 +67,10 @@ def encounter_usage(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_c
     cc = charge_code.where(col("cost_driver").isin(list(p.cost_drivers))).select("charge_code_id")
     md = physician.select("physician_id", col("full_name").alias("ordering_md_name"),
                           col("specialty").alias("ordering_md_spec"))
-    l = (lines.select("row_id", "encounter_id", "charge_code_id", "cpt_id", "physician_id",
+    l = (lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "cpt_id", "physician_id",
                       "service_date", "service_ts", "units")
          .join(c, "cpt_id").join(cc, "charge_code_id").join(md, "physician_id"))
-    on = ["encounter_id", "row_id"] if "encounter_id" in costs.columns else ["row_id"]
-    j = l.join(e, "encounter_id").join(costs.select(*on, "unit_cost"), on, "left")
+    j = join_costs(l.join(e, "encounter_id"), costs, "left")
     keys = ["encounter_id", "record_number", "service_line", "patient_setting", "entity", "service_date",
             "service_ts", "ordering_md_name", "ordering_md_spec", "cpt_code", "cpt_description", "unit_cost"]
     return j.groupBy(*keys).agg(

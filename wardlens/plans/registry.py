@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.params import OpportunitySpec
+from wardlens.session import materialize
 from wardlens.sources.tables import ParquetTables
 from wardlens.operators import opportunity as opp
 
@@ -166,17 +167,20 @@ def _ent_bill(spark, sf):
     return ent.bill(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT)
 
 
-def _ent_usage(spark, sf):
-    return ent.code_usage(_ent_bill(spark, sf), ent.group_volumes(_ent_enc(spark, sf)))
+def _ent_usage(spark, sf, b=None):
+    return ent.code_usage(b if b is not None else _ent_bill(spark, sf), ent.group_volumes(_ent_enc(spark, sf)))
 
 
-def _ent_worklist(spark, sf, compat=False):
-    wl = ent.work_list(ent.bill_by_encounter(_ent_bill(spark, sf)), ENT)
+def _ent_worklist(spark, sf, compat=False, b=None):
+    wl = ent.work_list(ent.bill_by_encounter(b if b is not None else _ent_bill(spark, sf)), ENT)
     return ent.first_setting_per_line(wl) if compat else wl
 
 
 def _ent_pairs(spark, sf, compat=False):
-    return ent.comparison_pairs(_ent_usage(spark, sf), _ent_worklist(spark, sf, compat))
+    # ``bill`` feeds the work list and both sides of the self join: cut it
+    # once in the shared checkpoint folder instead of deriving it three times.
+    b = materialize(_ent_bill(spark, sf))
+    return ent.comparison_pairs(_ent_usage(spark, sf, b), _ent_worklist(spark, sf, compat, b))
 
 
 @register("ent_enc")
@@ -240,7 +244,7 @@ def q_ent_overlap_compat(spark, sf):
 @register("ent_report_sorted")
 def q_ent_report_sorted(spark, sf):
     f = fx(spark, sf)
-    _, over = ent.reports(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT)
+    _, over = ent.reports(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT, checkpoint=True)
     return over
 
 
@@ -266,14 +270,16 @@ def _proc_dates(spark, sf):
     return qa.procedure_dates(f.line, _qa_enc(spark, sf), f.cpt, QA.procedure_cpts)
 
 
-def _qa_groups(spark, sf):
+def _qa_groups(spark, sf, cut=False):
     f = fx(spark, sf)
     enc, pd_ = _qa_enc(spark, sf), _proc_dates(spark, sf)
-    return qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
+    g = qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
+    # the group rows feed several aggregates of the 2x2 and contingency chains
+    return materialize(g) if cut else g
 
 
 def _chi_rows(spark, sf):
-    return qa.chi_rows(qa.chi_base(_qa_groups(spark, sf), QA.control_label))
+    return qa.chi_rows(qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label))
 
 
 @register("qa_encounters")
@@ -367,7 +373,7 @@ IDENTIFYING = ("Entity", "Patient Population", "AttendPhysicianName")
 
 
 def _clean_export(spark, sf):
-    return ct.clean_cost(ct.deidentify(_qa_groups(spark, sf), IDENTIFYING), "vdc")
+    return ct.clean_cost(ct.deidentify(_qa_groups(spark, sf, cut=True), IDENTIFYING), "vdc")
 
 
 @register("deidentify")
@@ -470,19 +476,29 @@ def q_volume_dims(spark, sf):
     return bm.volumes(_cohort(spark, sf), BM_CLIENT_DIMS + BM_ENTITY_DIMS)
 
 
+def _cut_cohort_billing(spark, sf):
+    # the top-k reports read the cohort and its billing rows several times:
+    # cut both once in the shared checkpoint folder
+    cohort = materialize(_cohort(spark, sf))
+    return cohort, materialize(bm.peer_billing(fx(spark, sf).billing, cohort, BM.cpt_code))
+
+
 @register("top_drg_coi")
 def q_top_drg_coi(spark, sf):
-    return bm.top_drg_coi(_peer_billing(spark, sf))
+    _, billing = _cut_cohort_billing(spark, sf)
+    return bm.top_drg_coi(billing)
 
 
 @register("top_drg_coi_total")
 def q_top_drg_coi_total(spark, sf):
-    return bm.top_drg_coi_total(_peer_billing(spark, sf), _cohort(spark, sf))
+    cohort, billing = _cut_cohort_billing(spark, sf)
+    return bm.top_drg_coi_total(billing, cohort)
 
 
 @register("top_drg_cohort")
 def q_top_drg_cohort(spark, sf):
-    return bm.top_drg_cohort(_peer_billing(spark, sf), _cohort(spark, sf))
+    cohort, billing = _cut_cohort_billing(spark, sf)
+    return bm.top_drg_cohort(billing, cohort)
 
 
 # ------------------------------------------------------------------- drg

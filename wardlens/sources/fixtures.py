@@ -24,6 +24,12 @@ def _s(c):
     return c.cast("string")
 
 
+def row_key():
+    """Numeric parts of the line identity (what ``row_id`` spells out)."""
+    return [col("l_linenumber").alias("rk_line"), col("l_partkey").alias("rk_part"),
+            F.round(col("l_extendedprice") * 100).cast("bigint").alias("rk_cents")]
+
+
 def row_id():
     return F.concat_ws("-", _s(col("l_orderkey")), _s(col("l_linenumber")), _s(col("l_partkey")),
                        _s(F.round(col("l_extendedprice") * 100).cast("bigint")))
@@ -83,6 +89,7 @@ class Fixtures:
             F.year("l_shipdate").cast("int").alias("line_year"),
             col("l_quantity").cast("decimal(18,2)").alias("units"),
             col("l_linenumber").alias("seq"),
+            *row_key(),
         )
 
     @cached_property
@@ -91,6 +98,7 @@ class Fixtures:
         return j.select(
             row_id().alias("row_id"),
             col("l_orderkey").alias("encounter_id"),
+            *row_key(),
             F.when(col("l_tax") == 0, lit(0).cast("decimal(18,2)"))
              .otherwise(col("p_retailprice").cast("decimal(18,2)")).alias("unit_cost"),
         )
@@ -235,7 +243,8 @@ class Fixtures:
         j = (l.join(e.select("encounter_id", "orgpin", "strataid"), "encounter_id")
              .join(c, "cpt_id")
              .join(cc.select("charge_code_id", "cost_driver"), "charge_code_id")
-             .join(k.select("row_id", "encounter_id", "unit_cost"), ["encounter_id", "row_id"], "left"))
+             .join(k.select("encounter_id", "rk_line", "rk_part", "rk_cents", "unit_cost"),
+                   ["encounter_id", "rk_line", "rk_part", "rk_cents"], "left"))
         d = col("service_date")
         return j.select(
             col("encounter_id").alias("encounterid"), "orgpin", "strataid",
