@@ -96,7 +96,13 @@ def code_usage(b: DataFrame, volumes: DataFrame) -> DataFrame:
 
 def comparison_pairs(usage: DataFrame, worklist: DataFrame) -> DataFrame:
     """Each work-list group's code rows against the same code at the
-    other entities of the same setting and line (left join; NULL = none)."""
+    other entities of the same setting and line (left join; NULL = none).
+
+    ``usage`` is unique per (code, driver, rollup, entity, setting, line)
+    and both rows' keys are in the output, so every pair is already a
+    distinct row: the reference's GROUP BY over all columns needs no
+    shuffle here.
+    """
     a = usage.join(worklist.select(*GROUP), GROUP, "left_semi").alias("a")
     b = usage.alias("b")
     cond = ((col("a.full_charge_code_description") == col("b.full_charge_code_description"))
@@ -125,16 +131,20 @@ def comparison_pairs(usage: DataFrame, worklist: DataFrame) -> DataFrame:
         F.coalesce(col("b.tot_cases"), lit(0)).alias("other_entity_tot_cases"),
         col("a.vdc").alias("eoi_vdc"),
         F.coalesce(col("b.vdc"), lit(0)).alias("other_entity_vdc"),
-    ).distinct()
+    )
 
 
 def unique_codes(pairs: DataFrame) -> DataFrame:
-    """Codes no other entity uses, with positive EOI VDC."""
+    """Codes no other entity uses, with positive EOI VDC.
+
+    An unmatched code row yields exactly one pair row, keyed by its
+    (code, driver, rollup, entity, setting, line): already distinct.
+    """
     d = pairs.where(col("comparison_entity").isNull() & (col("eoi_vdc") > 0)).select(
         col("full_cc_description").alias("charge_codes_unique_to_entity_of_interest"),
         "cost_driver", col("cc_rollup").alias("charge_code_rollup"), "entity_of_interest",
         "patient_setting", "service_line", "eoi_case_vol_perc", "eoi_cases", "eoi_tot_cases",
-        "eoi_vdc", "eoi_vdc_per_case").distinct()
+        "eoi_vdc", "eoi_vdc_per_case")
     return d.select(
         "charge_codes_unique_to_entity_of_interest", "cost_driver", "charge_code_rollup",
         "entity_of_interest", "patient_setting", "service_line",

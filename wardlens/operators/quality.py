@@ -32,6 +32,10 @@ def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: Data
                        indicator: DataFrame, p: QualityParams, ctf_col: str = "service_line") -> DataFrame:
     """Inpatient encounters of the population with their attributes.
 
+    One row per encounter: every join is to a keyed dimension and the
+    indicator bridge is reduced to one row per encounter first, so the
+    reference's SELECT DISTINCT needs no shuffle.
+
     ``population_kind='ctf'`` selects by case-type family (indicator names
     attached where present); ``'indicator'`` selects by clinical indicator.
     """
@@ -56,7 +60,7 @@ def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: Data
         "attend_physician_specialty", "entity", F.floor(col("age") / 10).cast("int").alias("age_cohort"),
         "age", (col("age") % 2).cast("int").alias("gender"),
         (col("los") % 4).cast("int").alias("risk_of_mortality"),
-        (col("los") % 4).cast("int").alias("severity_of_illness"), "los", "primary_qvi_id").distinct()
+        (col("los") % 4).cast("int").alias("severity_of_illness"), "los", "primary_qvi_id")
 
 
 def procedure_dates(lines: DataFrame, encounters: DataFrame, cpt: DataFrame, cpt_codes) -> DataFrame:

@@ -50,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="wardlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        configured = tempfile.mkdtemp(prefix="wardlens-ckpt-", dir=os.environ.get("TMPDIR") or "/tmp")
     sc.setCheckpointDir(configured)
     return configured
 
