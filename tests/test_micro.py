@@ -161,3 +161,44 @@ def test_exact_ratio_half_away_from_zero(spark):
                                "a decimal(18,2), b long")
     got = [r.r for r in df.select(ratio(F.col("a"), 2, F.col("b"), 0, 2).alias("r")).collect()]
     assert got == [Decimal("500.01"), Decimal("-500.01"), Decimal("0.33")]
+
+
+def _qa_inputs(spark):
+    enc = spark.createDataFrame(
+        [(1, "R1", "E", "IP", "CTF", 2020, 0, 1, "Yes", 40, 3, 0)],
+        "encounter_id long, record_number string, entity string, patient_setting string, service_line string, "
+        "fiscal_year int, source_system_id int, attend_physician_id int, has_charge string, age int, los int, "
+        "primary_qvi_id int")
+    src = spark.createDataFrame([(0, 1, "Hospital Billing")], "source_system_id int, category_id int, category_name string")
+    md = spark.createDataFrame([(1, "Dr A", 3, "Spec")], "physician_id long, full_name string, specialty_id int, specialty string")
+    ind = spark.createDataFrame([(1, "CTF"), (1, "OTHER")], "encounter_id long, name string")
+    return enc, src, md, ind
+
+
+def test_indicator_fanout_default_and_compat(spark):
+    from wardlens.params import QualityParams
+    enc, src, md, ind = _qa_inputs(spark)
+    p = QualityParams(fiscal_year=2020, qvi_names=("VAP",), population=("CTF",), inpatient_settings=("IP",))
+    assert quality.quality_encounters(enc, src, md, ind, p).count() == 1
+    assert quality.quality_encounters(enc, src, md, ind, p, compat_fanout=True).count() == 2
+
+
+def test_single_procedure_two_times_one_day(spark):
+    lines = spark.createDataFrame(
+        [(1, 7, D(2024, 1, 1), dt.datetime(2024, 1, 1, 8)), (1, 7, D(2024, 1, 1), dt.datetime(2024, 1, 1, 15))],
+        "encounter_id long, cpt_id int, service_date date, service_ts timestamp")
+    enc = spark.createDataFrame([(1,)], "encounter_id long")
+    cpt = spark.createDataFrame([(7, "C007")], "cpt_id int, cpt_code string")
+    literal = quality.procedure_dates(lines, enc, cpt, ["C007"])
+    by_day = quality.procedure_dates(lines, enc, cpt, ["C007"], by_date=True)
+    assert quality.single_procedure(literal).count() == 0
+    assert quality.single_procedure(by_day).count() == 1
+
+
+def test_patient_days_use_the_pair_not_text(spark):
+    from wardlens.operators import benchmark
+    rows = [(1, 0, 0, 23, Decimal("1.00"), "T0", "1"), (12, 0, 0, 3, Decimal("1.00"), "T0", "1")]
+    b = spark.createDataFrame(rows, "encounter_id long, orgpin int, strataid int, servicedateid int, "
+                                    "units_of_service decimal(18,2), clienttype string, clientofinterest string")
+    r = benchmark.utilisation(b, [("clienttype", "clientofinterest", None)]).first()
+    assert r.patient_days == 2 and r.cases == 2

@@ -94,8 +94,13 @@ def _stack(df: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]],
     return s.select(*extra, "_e.dimension", "_e.flag", "_e.dim_value")
 
 
-def _case_metrics(df: DataFrame, keys: Sequence[str], with_uos: bool = True) -> DataFrame:
-    enc = [c for c in ("orgpin", "strataid", "encounter_id") if c not in keys]
+CASE_KEY = ("orgpin", "strataid", "encounter_id")
+LITERAL_CASE_KEY = ("encounter_id",)   # the reference counts encounter ids alone
+
+
+def _case_metrics(df: DataFrame, keys: Sequence[str], with_uos: bool = True,
+                  case_key: Sequence[str] = CASE_KEY) -> DataFrame:
+    enc = [c for c in case_key if c not in keys]
     if not with_uos:
         return df.select(*keys, *enc).distinct().groupBy(*keys).agg(F.count(lit(1)).alias("cases"))
     per_enc = df.groupBy(*keys, *enc).agg(F.sum("units_of_service").alias("_uos"),
@@ -108,20 +113,24 @@ def _case_metrics(df: DataFrame, keys: Sequence[str], with_uos: bool = True) ->
                     ratio(col("uos"), 2, col("patient_days"), 0, 1).alias("uos_per_patientday"))
 
 
-def utilisation(billing_rows: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]]) -> DataFrame:
+def utilisation(billing_rows: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]],
+                case_key: Sequence[str] = CASE_KEY) -> DataFrame:
     """Cases, UOS, patient days and rates per (dimension, flag, value).
 
     ``dims`` lists (dimension column, flag column, allowed values or None);
     any number of dimensions costs one scan and one two-level aggregate.
+    A case is the composite (orgpin, strataid, encounter); pass
+    ``LITERAL_CASE_KEY`` to count encounter ids alone, as the reference does.
     """
     s = _stack(billing_rows, dims, ["orgpin", "strataid", "encounter_id", "servicedateid", "units_of_service"])
-    return _case_metrics(s, ["dimension", "flag", "dim_value"])
+    return _case_metrics(s, ["dimension", "flag", "dim_value"], case_key=case_key)
 
 
-def volumes(cohort: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]]) -> DataFrame:
+def volumes(cohort: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]],
+            case_key: Sequence[str] = CASE_KEY) -> DataFrame:
     """Total distinct cases per (dimension, flag, value) of the cohort."""
     s = _stack(cohort, dims, ["orgpin", "strataid", "encounter_id"])
-    return _case_metrics(s, ["dimension", "flag", "dim_value"], with_uos=False)
+    return _case_metrics(s, ["dimension", "flag", "dim_value"], with_uos=False, case_key=case_key)
 
 
 def _top(df: DataFrame, keys: Sequence[str], k: int, with_uos: bool = True) -> DataFrame:

@@ -29,7 +29,8 @@ def _population(indicator: DataFrame, names) -> DataFrame:
 
 
 def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: DataFrame,
-                       indicator: DataFrame, p: QualityParams, ctf_col: str = "service_line") -> DataFrame:
+                       indicator: DataFrame, p: QualityParams, ctf_col: str = "service_line",
+                       compat_fanout: bool = False) -> DataFrame:
     """Inpatient encounters of the population with their attributes.
 
     One row per encounter: every join is to a keyed dimension and the
@@ -38,12 +39,18 @@ def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: Data
 
     ``population_kind='ctf'`` selects by case-type family (indicator names
     attached where present); ``'indicator'`` selects by clinical indicator.
+    ``compat_fanout`` keeps the reference's left join to the indicator
+    bridge as written: an encounter with a matching and a non-matching
+    indicator yields two rows (named and NULL), doubling its lines later.
     """
     src = source_system.where(col("category_name") == p.source_category_name).select("source_system_id", "category_name")
     e = (enc.where((col("fiscal_year") == p.fiscal_year) & (col("has_charge") == "Yes")
                    & col("patient_setting").isin(list(p.inpatient_settings)) & (col("attend_physician_id") != 0))
          .join(src, "source_system_id"))
     pop = _population(indicator, p.population)
+    if compat_fanout and p.population_kind == "ctf":
+        pop = indicator.select("encounter_id", F.when(col("name").isin(list(p.population)), col("name"))
+                               .alias("patient_population")).distinct()
     if p.population_kind == "ctf":
         e = e.where(col(ctf_col).isin(list(p.population))).join(pop, "encounter_id", "left")
     elif p.population_kind == "indicator":
@@ -63,12 +70,19 @@ def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: Data
         (col("los") % 4).cast("int").alias("severity_of_illness"), "los", "primary_qvi_id")
 
 
-def procedure_dates(lines: DataFrame, encounters: DataFrame, cpt: DataFrame, cpt_codes) -> DataFrame:
-    """Distinct (encounter, day, datetime) of the procedure of interest."""
+def procedure_dates(lines: DataFrame, encounters: DataFrame, cpt: DataFrame, cpt_codes,
+                    by_date: bool = False) -> DataFrame:
+    """Distinct (encounter, day, datetime) of the procedure of interest.
+
+    As in the reference, two times on one day are two procedures; with
+    ``by_date`` a day counts once (its first time is kept).
+    """
     c = cpt.where(col("cpt_code").isin(list(cpt_codes))).select("cpt_id")
-    return (lines.select("encounter_id", "cpt_id", "service_date", "service_ts").join(c, "cpt_id")
-            .join(encounters.select("encounter_id"), "encounter_id", "left_semi")
-            .select("encounter_id", "service_date", "service_ts").distinct())
+    p = (lines.select("encounter_id", "cpt_id", "service_date", "service_ts").join(c, "cpt_id")
+         .join(encounters.select("encounter_id"), "encounter_id", "left_semi"))
+    if by_date:
+        return p.groupBy("encounter_id", "service_date").agg(F.min("service_ts").alias("service_ts"))
+    return p.select("encounter_id", "service_date", "service_ts").distinct()
 
 
 def procedure_order(proc_dates: DataFrame) -> DataFrame:

@@ -630,3 +630,44 @@ def _flag(name, c, op, v):
 FLAGGED = "select o.*, " + ", ".join(_flag(*f) for f in DONOR_FLAGS) + f" from ({ONE_HOT}) o"
 oracle("flags", "select donor_key, donor_line, " + ", ".join(f[0] for f in DONOR_FLAGS) + f" from ({FLAGGED}) f")
 oracle("feature_matrix", "select " + ", ".join(FEATURES) + f" from ({FLAGGED}) f")
+
+
+# ------------------------------------- redundancy over the billing lines
+ENC_USAGE = ORACLE["enc_usage"]
+LINE_RANKED = f"""
+select u.*, case cpt_code when 'C007' then 'A' when 'C011' then 'B' else 'NA' end as cc_rank
+from (select * from ({ENC_USAGE}) x
+      where encounter_id not in (select encounter_id from ({ENC_USAGE}) y where uos <= 0 or vdc <= 0)) u"""
+LINE_ORDER = ("service_date, cc_rank, service_ts, cpt_code, unit_cost nulls first, ordering_md_name, "
+              "ordering_md_spec")
+LINE_ADJ_ALL = f"""
+select r.*,
+  case when lag(service_date) over w = service_date then 'same day' else 'NA' end as same_day,
+  cast(coalesce(date_diff('day', lag(service_date) over w, service_date), 99999) as int) as date_diff
+from ({LINE_RANKED}) r
+window w as (partition by encounter_id order by {LINE_ORDER})"""
+oracle("adjacent_lines", f"select * from ({LINE_ADJ_ALL}) a where service_ts is not null")
+_LSD = f"""
+select a.*,
+  cast(case when same_day = 'same day' then vdc when same_day = 'NA' and uos > 1 then (uos - 1) * unit_cost
+       else 0 end as decimal(38,4)) as same_day_excess_vdc,
+  case when same_day = 'same day' then uos else uos - 1 end as same_day_excess_uos
+from ({LINE_ADJ_ALL}) a
+where service_ts is not null and record_number in
+  (select record_number from ({LINE_ADJ_ALL}) x where same_day = 'same day' or (same_day = 'NA' and uos > 1))"""
+_LND = f"""
+select a.*,
+  cast(case when date_diff = 1 then unit_cost else 0 end as decimal(38,4)) as subseq_day_excess_vdc,
+  case when date_diff = 1 then 1 else 0 end as subseq_day_excess_uos
+from ({LINE_ADJ_ALL}) a
+where service_ts is not null and record_number in (select record_number from ({LINE_ADJ_ALL}) x where date_diff = 1)"""
+oracle("savings_lines", f"""
+with sd as (select sum(same_day_excess_uos) u, sum(same_day_excess_vdc) v from ({_LSD}) s),
+     nd as (select sum(subseq_day_excess_uos) u, sum(subseq_day_excess_vdc) v from ({_LND}) n)
+select cast(1996 as int) as fiscalyear, cast(sd.u as int) as same_day_excess_tests,
+  cast(sd.v as double) as same_day_excess_vdc, cast(nd.u as int) as consecutive_daily_tests,
+  cast(nd.v as double) as consecutive_daily_vdc, cast(sd.u + nd.u as int) as total_excess_tests,
+  cast(sd.v + nd.v as double) as total_excess_vdc, cast(sd.v * 0.75 as double) as same_day_savings_75,
+  cast(nd.v * 0.5 as double) as consecutive_daily_savings_50,
+  cast(sd.v * 0.75 + nd.v * 0.5 as double) as total_savings
+from sd, nd""")

@@ -603,3 +603,23 @@ def q_flags(spark, sf):
 @register("feature_matrix")
 def q_feature_matrix(spark, sf):
     return co.feature_matrix(_donors(spark, sf))
+
+
+# ------------------------------------- redundancy over the billing lines
+LINE_RANKS = (("C007", "A"), ("C011", "B"))
+LINE_TIEBREAK = ("service_ts", "cpt_code", "unit_cost", "ordering_md_name", "ordering_md_spec")
+
+
+@register("savings_lines")
+def q_savings_lines(spark, sf):
+    """A08 -> A15 end to end on the line fact (usage of the chosen CPT codes)."""
+    usage = q_enc_usage(spark, sf)
+    ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
+    return red.savings(red.adjacent_rows(ranked, LINE_TIEBREAK, keep_null_time=True), RED.fiscal_year)
+
+
+@register("adjacent_lines")
+def q_adjacent_lines(spark, sf):
+    usage = q_enc_usage(spark, sf)
+    ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
+    return red.adjacent_rows(ranked, LINE_TIEBREAK)
