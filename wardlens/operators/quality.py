@@ -106,8 +106,11 @@ def phase(proc_ts, charge_ts):
 
 
 def _group_lines(encounters, proc_dates, lines, costs, charge_code, p: QualityParams):
-    single = single_procedure(proc_dates)
-    proc = procedure_order(proc_dates).join(single, "encounter_id")
+    # Single-procedure encounters have order 1 and one procedure time, so
+    # one aggregate gives both (no window, no self join of the dates).
+    proc = (proc_dates.groupBy("encounter_id")
+            .agg(F.count(lit(1)).cast("int").alias("maxproc"), F.min("service_ts").alias("service_ts"))
+            .where(col("maxproc") == 1).withColumn("proc_order", lit(1)))
     cc = charge_code.where(col("cost_driver") != p.excluded_driver).select(
         "charge_code_id", "cost_driver", col("name").alias("charge_code_desc"))
     l = join_costs(lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "service_ts", "units")

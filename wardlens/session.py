@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Wide projections (the 48-column feature matrix) fuse into one method
+    # larger than HotSpot will JIT-compile (8000 bytes); past that size,
+    # Spark's per-operator code is faster than an interpreted fused method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
