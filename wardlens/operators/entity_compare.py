@@ -212,7 +212,10 @@ def reports(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: Dat
     wl = work_list(bill_by_encounter(b), p)
     if compat_first_setting:
         wl = first_setting_per_line(wl)
-    pairs = comparison_pairs(code_usage(b, group_volumes(enc)), wl)
+    usage = code_usage(b, group_volumes(enc))
+    if checkpoint:
+        usage = materialize(usage)
+    pairs = comparison_pairs(usage, wl)
     uniq = unique_codes(pairs).orderBy(col("eoi_vdc").desc(), "charge_codes_unique_to_entity_of_interest",
                                         "entity_of_interest", "patient_setting", "service_line")
     over = overlapping_codes(pairs, p.band).orderBy(col("impact_dollars").desc(), "overlapping_charge_codes",

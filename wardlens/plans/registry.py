@@ -180,7 +180,9 @@ def _ent_pairs(spark, sf, compat=False):
     # ``bill`` feeds the work list and both sides of the self join: cut it
     # once in the shared checkpoint folder instead of deriving it three times.
     b = materialize(_ent_bill(spark, sf))
-    return ent.comparison_pairs(_ent_usage(spark, sf, b), _ent_worklist(spark, sf, compat, b))
+    # the aggregated usage (with group volumes) is both sides of the self join
+    u = materialize(_ent_usage(spark, sf, b))
+    return ent.comparison_pairs(u, _ent_worklist(spark, sf, compat, b))
 
 
 @register("ent_enc")
