@@ -57,6 +57,21 @@ def canon(cols, rows):
     return [cols[i] for i in order], out
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def type_diffs(sdf, con, sql):
+    rel = con.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in sdf.schema.fields:
+        t = f.dataType.simpleString()
+        if duck_types.get(f.name) != SPARK_TO_DUCK.get(t, t.upper()):
+            out.append((f.name, t, duck_types.get(f.name)))
+    return out
+
+
 def compare(spark, con, name, sf_dir, verbose=True):
     from __spark_entry__ import oracle_sql, queries
     q = queries()[name]
@@ -77,7 +92,7 @@ def compare(spark, con, name, sf_dir, verbose=True):
     ok_rows = len(sr) == len(orr)
     ok_vals = sr == orr
     out = {"name": name, "rows": len(srows), "orows": len(orows), "cols": ok_cols, "vals": ok_vals,
-           "spark_s": round(t1 - t0, 2)}
+           "types": type_diffs(sdf, con, sql), "spark_s": round(t1 - t0, 2)}
     if verbose and not (ok_cols and ok_rows and ok_vals):
         out["scols"], out["ocols"] = sc, oc
         diff_s = [r for r in sr if r not in set(orr)][:3]
@@ -100,7 +115,7 @@ if __name__ == "__main__":
             r = compare(spark, con, n, sf)
         except Exception as e:  # report and continue
             r = {"name": n, "error": repr(e)[:600]}
-        good = r.get("oracle", 1) is None or (r.get("cols") and r.get("vals"))
+        good = r.get("oracle", 1) is None or (r.get("cols") and r.get("vals") and not r.get("types"))
         bad += 0 if good and "error" not in r else 1
         print(("OK  " if good and "error" not in r else "BAD ") + str(r), flush=True)
     print("failures:", bad)

@@ -439,9 +439,9 @@ def _contingency(src: str, x: str, y: str, groups: list[str]) -> str:
     term = sql_ratio("t.n_total * c.n * c.n", 0, "r.n_x * k.n_y", 0, 9)
     return f"""
 with cells as (select {g}{x}, {y}, count(*) as n from ({src}) s group by all),
-  rws as (select {g}{x}, sum(n) as n_x from cells group by all),
-  cls as (select {g}{y}, sum(n) as n_y from cells group by all),
-  tab as (select {g}sum(n) as n_total, count(distinct {x}) as r_, count(distinct {y}) as c_ from cells
+  rws as (select {g}{x}, cast(sum(n) as bigint) as n_x from cells group by all),
+  cls as (select {g}{y}, cast(sum(n) as bigint) as n_y from cells group by all),
+  tab as (select {g}cast(sum(n) as bigint) as n_total, count(distinct {x}) as r_, count(distinct {y}) as c_ from cells
           {'group by ' + ', '.join(groups) if groups else ''}),
   j as (select c.*, r.n_x, k.n_y, t.n_total, t.r_, t.c_, {term} as term
         from cells c join rws r on {on('r', 'c', [x])} join cls k on {on('k', 'c', [y])} join tab t on {on('t', 'c', [])}),
@@ -458,7 +458,7 @@ SIG = f"""
 select cost_driver, n, cast({sql_ratio('k * ss - n * n', 0, 'n', 0, 6)} as decimal(20,6)) as chi_square,
   cast(k - 1 as int) as dof,
   {sql_ratio('k * ss - n * n', 0, 'n', 0, 6)} > 3.841458820694124 as significant
-from (select cost_driver, sum(o) as n, sum(o * o) as ss from
+from (select cost_driver, cast(sum(o) as bigint) as n, sum(o * o) as ss from
         (select cost_driver, qvi, count(*) as o from ({CLEAN}) c group by all) a group by cost_driver) p
   cross join (select count(distinct qvi) as k from ({CLEAN}) c) kk"""
 oracle("sig_drivers", SIG)
