@@ -513,9 +513,10 @@ def _stack(src: str, dims, extra: str) -> str:
     return " union all ".join(parts)
 
 
-def _metrics(src: str, keys: list[str], with_uos: bool = True, top: int | None = None) -> str:
+def _metrics(src: str, keys: list[str], with_uos: bool = True, top: int | None = None,
+             case_key: tuple = ("orgpin", "strataid", "encounter_id")) -> str:
     k = ", ".join(keys)
-    enc = ", ".join(c for c in ("orgpin", "strataid", "encounter_id") if c not in keys)
+    enc = ", ".join(c for c in case_key if c not in keys)
     tail = f" order by cases desc, {k} limit {top}" if top else ""
     if not with_uos:
         return f"select {k}, count(*) as cases from (select distinct {k}, {enc} from ({src}) s) d group by {k}{tail}"
@@ -671,3 +672,56 @@ select cast(1996 as int) as fiscalyear, cast(sd.u as int) as same_day_excess_tes
   cast(nd.v * 0.5 as double) as consecutive_daily_savings_50,
   cast(sd.v * 0.75 + nd.v * 0.5 as double) as total_savings
 from sd, nd""")
+
+
+# ----------------------------------------- literal (compat) behaviours
+from wardlens.functions.bins import COMPAT_SUBSTRINGS, DONOR_AGE_COMPAT  # noqa: E402
+
+oracle("qa_encounters_fanout", f"""
+select distinct e.encounter_id, e.service_line as msdrg_case_type_family, pop.patient_population, e.fiscal_year,
+  s.category_name as source_system_category, e.patient_setting, md.full_name as attend_physician_name,
+  md.specialty as attend_physician_specialty, e.entity, cast(floor(e.age / 10) as int) as age_cohort, e.age,
+  cast(e.age % 2 as int) as gender, cast(e.los % 4 as int) as risk_of_mortality,
+  cast(e.los % 4 as int) as severity_of_illness, e.los, e.primary_qvi_id
+from f_encounter e
+  join f_source_system s on s.source_system_id = e.source_system_id
+  join f_physician md on md.physician_id = e.attend_physician_id
+  left join (select distinct encounter_id,
+               case when name in ('MACHINERY', 'BUILDING', 'FURNITURE', 'CI_A') then name end as patient_population
+             from f_indicator) pop on pop.encounter_id = e.encounter_id
+where e.fiscal_year = 1996 and s.category_name = 'Hospital Billing' and e.has_charge = 'Yes'
+  and e.patient_setting in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') and e.attend_physician_id <> 0
+  and e.service_line in ('MACHINERY', 'BUILDING', 'FURNITURE', 'CI_A')""")
+
+oracle("single_proc_by_date", f"""
+select encounter_id, cast(count(*) as int) as maxproc
+from (select encounter_id, service_date, min(service_ts) as service_ts
+      from (select l.encounter_id, l.service_date, l.service_ts
+            from f_line l join f_cpt c on c.cpt_id = l.cpt_id
+            where c.cpt_code in ('C007', 'C011', 'C023', 'C031', 'C042')
+              and l.encounter_id in (select encounter_id from ({QA_ENC}) qe)) p
+      group by encounter_id, service_date) d
+group by encounter_id having count(*) = 1""")
+
+
+def _cell_compat(o: str) -> str:
+    first = "abs(r.qvi_trmt - e.exp_qvi_trmt)"
+    dev = f"abs(r.{o} - e.exp_{o})"
+    return f"coalesce({sql_ratio(f'{dev} * {first}', 4, f'e.exp_{o}', 2, 6)}, cast(0 as decimal(38,6))) as diff_{o}"
+
+
+oracle("chi_diff_compat", f"""
+select r.cost_driver, {_cell_compat('qvi_trmt')}, {_cell_compat('qvi_no_trmt')}, {_cell_compat('con_trmt')},
+  {_cell_compat('con_no_trmt')}
+from ({CHI_ROWS}) r join ({CHI_EXP}) e on e.cost_driver = r.cost_driver""")
+
+oracle("util_literal_cases", _metrics(_stack(PEER_BILLING, CLIENT_DIMS + ENTITY_DIMS, BILL_EXTRA),
+                                      ["dimension", "flag", "dim_value"], case_key=("encounter_id",)))
+
+oracle("one_hot_compat", "select donor_key, donor_line, " + ", ".join(
+    f"case when strpos({label}, '{COMPAT_SUBSTRINGS[r[2]]}') > 0 then 1 else 0 end as {r[2]}"
+    for _, label, spec in DONOR_BINS for r in spec) + f" from ({BINNED}) b")
+
+oracle("bin_specs_compat_age", f"""
+select donor_key, donor_line, age_don, {sql_bin_label('age_don', DONOR_AGE_COMPAT)} as donor_age_categories
+from ({DONORS}) d""")

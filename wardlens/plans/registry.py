@@ -625,3 +625,44 @@ def q_adjacent_lines(spark, sf):
     usage = q_enc_usage(spark, sf)
     ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
     return red.adjacent_rows(ranked, LINE_TIEBREAK)
+
+
+# ----------------------------------------- literal (compat) behaviours
+from wardlens.functions.bins import DONOR_AGE_COMPAT, DONOR_BINS as _BINS  # noqa: E402
+
+QA_FAN = _replace(QA, population=QA.population + ("CI_A",))
+COMPAT_BINS = ((_BINS[0][0], _BINS[0][1], DONOR_AGE_COMPAT),) + tuple(_BINS[1:])
+
+
+@register("qa_encounters_fanout")
+def q_qa_encounters_fanout(spark, sf):
+    f = fx(spark, sf)
+    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, QA_FAN, compat_fanout=True)
+
+
+@register("single_proc_by_date")
+def q_single_proc_by_date(spark, sf):
+    f = fx(spark, sf)
+    return qa.single_procedure(qa.procedure_dates(f.line, _qa_enc(spark, sf), f.cpt, QA.procedure_cpts, by_date=True))
+
+
+@register("chi_diff_compat")
+def q_chi_diff_compat(spark, sf):
+    r = _chi_rows(spark, sf)
+    return qa.chi_diff(r, qa.chi_expected(r), compat_rounding=True)
+
+
+@register("util_literal_cases")
+def q_util_literal_cases(spark, sf):
+    return bm.utilisation(_peer_billing(spark, sf), BM_CLIENT_DIMS + BM_ENTITY_DIMS, case_key=bm.LITERAL_CASE_KEY)
+
+
+@register("one_hot_compat")
+def q_one_hot_compat(spark, sf):
+    names = [r[2] for b in _BINS for r in b[2]]
+    return co.one_hot(co.add_bins(_donors(spark, sf)), compat_substring=True).select(*DONOR_KEYS, *names)
+
+
+@register("bin_specs_compat_age")
+def q_bin_specs_compat_age(spark, sf):
+    return co.add_bins(_donors(spark, sf), COMPAT_BINS).select(*DONOR_KEYS, "age_don", "donor_age_categories")
