@@ -39,3 +39,10 @@ def test_stream_refresh_equals_batch(spark, tmp_path):
     got = {r.encounter_id: r.uos for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     exp = {r.encounter_id: r.uos for r in report(lines).collect()}
     assert got == exp
+
+
+def test_catalog_tables(spark):
+    from wardlens.sources.tables import CatalogTables
+    spark.sql("create database if not exists wl_client_db")
+    spark.range(3).write.mode("overwrite").saveAsTable("wl_client_db.dim_x")
+    assert CatalogTables(spark, "wl_client_db").table("dim_x").count() == 3

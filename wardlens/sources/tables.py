@@ -33,3 +33,28 @@ class ParquetTables:
     def fixtures(self):
         from wardlens.sources.fixtures import Fixtures
         return Fixtures(self)
+
+
+class CatalogTables:
+    """Warehouse tables from a catalog: ``catalog.schema.table`` names.
+
+    The reference reads a client database chosen at run time (a database
+    placeholder in three-part names); here the client database is an
+    argument, and names are quoted identifiers, never pasted SQL text.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, catalog: str | None = None):
+        self.spark = spark
+        self.prefix = ".".join(f"`{p}`" for p in (catalog, schema) if p)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.prefix}.`{name}`" if self.prefix else f"`{name}`")
+
+
+def client_database(spark: SparkSession, clients: DataFrame, orgpin: int, guid_col: str = "DatabaseGUID",
+                    orgpin_col: str = "orgpin", separator: str = "-") -> DataFrame:
+    """The client database name for one client (a one-row lookup; the
+    caller passes the value on to :class:`CatalogTables`)."""
+    from pyspark.sql import functions as F
+    return (clients.where(F.col(orgpin_col) == orgpin)
+            .select(F.concat(F.lit("P_"), F.replace(F.col(guid_col), F.lit(separator), F.lit(""))).alias("db_name")))
