@@ -42,7 +42,9 @@ def test_stream_refresh_equals_batch(spark, tmp_path):
 
 
 def test_catalog_tables(spark):
+    import uuid
     from wardlens.sources.tables import CatalogTables
+    name = f"dim_{uuid.uuid4().hex[:10]}"  # managed folders outlive the in-memory catalog
     spark.sql("create database if not exists wl_client_db")
-    spark.range(3).write.mode("overwrite").saveAsTable("wl_client_db.dim_x")
-    assert CatalogTables(spark, "wl_client_db").table("dim_x").count() == 3
+    spark.range(3).write.saveAsTable(f"wl_client_db.{name}")
+    assert CatalogTables(spark, "wl_client_db").table(name).count() == 3
