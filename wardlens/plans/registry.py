@@ -615,14 +615,16 @@ LINE_TIEBREAK = ("service_ts", "cpt_code", "unit_cost", "ordering_md_name", "ord
 @register("savings_lines")
 def q_savings_lines(spark, sf):
     """A08 -> A15 end to end on the line fact (usage of the chosen CPT codes)."""
-    usage = q_enc_usage(spark, sf)
+    # the usage rows (chosen CPT codes only) feed the cleaning, the day
+    # aggregate and the adjacency join: derive them from the facts once
+    usage = materialize(q_enc_usage(spark, sf))
     ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
     return red.savings(red.adjacent_rows(ranked, LINE_TIEBREAK, keep_null_time=True), RED.fiscal_year)
 
 
 @register("adjacent_lines")
 def q_adjacent_lines(spark, sf):
-    usage = q_enc_usage(spark, sf)
+    usage = materialize(q_enc_usage(spark, sf))
     ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
     return red.adjacent_rows(ranked, LINE_TIEBREAK)
 
