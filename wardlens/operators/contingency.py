@@ -107,10 +107,11 @@ def significant_levels(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> Da
     chi2 = (k * sum(O^2) - n^2) / n with k the number of x levels.  Works
     on the (y, x) count table only.
     """
-    cnt = df.groupBy(y, x).agg(F.count(lit(1)).alias("o")).withColumn("_j", lit(1))
-    # levels of x over the whole (small) count table
-    cnt = cnt.withColumn("_k", F.size(F.collect_set(x).over(Window.partitionBy("_j"))))
-    per = cnt.groupBy(y, "_k").agg(F.sum("o").alias("n"), F.sum(col("o") * col("o")).alias("_ss"))
+    cnt = df.groupBy(y, x).agg(F.count(lit(1)).alias("o"))
+    # number of x levels: a global aggregate (exactly one row), broadcast
+    k = cnt.agg(F.count_distinct(x).alias("_k")).withColumn("_j", lit(1))
+    per = cnt.groupBy(y).agg(F.sum("o").alias("n"), F.sum(col("o") * col("o")).alias("_ss"))
+    per = per.withColumn("_j", lit(1)).join(F.broadcast(k), "_j")
     chi = ratio(col("_k") * col("_ss") - col("n") * col("n"), 0, col("n"), 0, 6).cast("decimal(20,6)")
     dof = (col("_k") - 1).cast("int")
     out = per.select(y, "n", chi.alias("chi_square"), dof.alias("dof"))

@@ -164,15 +164,20 @@ def overlapping_codes(pairs: DataFrame, band: str = "0.05") -> DataFrame:
     keys = ["full_cc_description", "cost_driver", "cc_rollup", "patient_setting", "service_line",
             "entity_of_interest", "eoi_case_vol_perc", "eoi_tot_cases", "eoi_cases", "eoi_vdc_per_case"]
     p = pairs.where(col("comparison_entity").isNotNull() & (col("cost_per_case_diff") > 0))
-    g = p.groupBy(*keys).agg(
+    # Two levels instead of count(distinct comparator): per comparator
+    # entity first, then per code row (the row count is the number of
+    # distinct comparators), so pair rows are not expanded.
+    per_entity = p.groupBy(*keys, "comparison_entity").agg(
         F.count(lit(1)).alias("_n"),
         F.sum("cost_per_case_diff").alias("_s_diff"),
         F.sum("other_entity_vdc_per_case").alias("_s_vpc"),
         F.sum("other_entities_case_vol_perc").alias("_s_perc"),
         F.count("other_entities_case_vol_perc").alias("_n_perc"),
         F.sum("other_entity_cases").alias("_s_cases"),
-        F.sum("other_entity_tot_cases").alias("_s_tot"),
-        F.count_distinct("comparison_entity").alias("_n_ent"))
+        F.sum("other_entity_tot_cases").alias("_s_tot"))
+    g = per_entity.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_s_diff", "_s_vpc", "_s_perc", "_n_perc", "_s_cases", "_s_tot")],
+        F.count(lit(1)).alias("_n_ent"))
     avg_diff = ratio(col("_s_diff"), 6, col("_n"), 0, 6)
     avg_perc = ratio(col("_s_perc"), 6, col("_n_perc"), 0, 6)
     gap = col("eoi_case_vol_perc") - avg_perc
