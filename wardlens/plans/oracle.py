@@ -7,7 +7,10 @@ rounded ratios go through :func:`sql_ratio` (exact integer rounding).
 
 from __future__ import annotations
 
+from wardlens.functions.bins import COMPAT_SUBSTRINGS, DONOR_AGE_COMPAT, DONOR_BINS, DONOR_BMI, sql_bin_label
+from wardlens.functions.drg import sql_mdc_group
 from wardlens.functions.exact import sql_int_avg, sql_ratio
+from wardlens.operators.cohort import DONOR_FLAGS, FEATURES, POPULATED_COLUMNS
 from wardlens.plans.fixture_sql import with_fixtures
 
 ORACLE: dict[str, str] = {}
@@ -569,7 +572,6 @@ oracle("top_drg_cohort", " union all ".join([
 
 
 # ------------------------------------------------------------------- drg
-from wardlens.functions.drg import sql_mdc_group  # noqa: E402
 
 oracle("client_db_name", "select orgpin, client, 'P_' || replace(client, '_', '') as db_name from f_system_criteria")
 oracle("mdc_group", f"""
@@ -592,8 +594,6 @@ from ({PX_DETAIL}) d group by msdrg_groupings, body_system_part""")
 
 
 # ---------------------------------------------------------------- cohort
-from wardlens.functions.bins import DONOR_BINS, DONOR_BMI, sql_bin_label  # noqa: E402
-from wardlens.operators.cohort import DONOR_FLAGS, FEATURES, POPULATED_COLUMNS  # noqa: E402
 
 oracle("csv_load", "select count(*) as n_rows, 31 as n_cols from f_donor")
 
@@ -675,7 +675,6 @@ from sd, nd""")
 
 
 # ----------------------------------------- literal (compat) behaviours
-from wardlens.functions.bins import COMPAT_SUBSTRINGS, DONOR_AGE_COMPAT  # noqa: E402
 
 oracle("qa_encounters_fanout", f"""
 select distinct e.encounter_id, e.service_line as msdrg_case_type_family, pop.patient_population, e.fiscal_year,

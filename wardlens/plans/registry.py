@@ -7,15 +7,27 @@ in for the reference's hand-edited placeholders.
 
 from __future__ import annotations
 
+import uuid as _uuid
 from collections.abc import Callable
+from dataclasses import replace as _replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.params import OpportunitySpec
-from wardlens.session import materialize
-from wardlens.sources.tables import ParquetTables
+from wardlens.functions.bins import DONOR_AGE_COMPAT, DONOR_BMI
+from wardlens.functions.bins import DONOR_BINS as _BINS
+from wardlens.operators import benchmark as bm
+from wardlens.operators import cohort as co
+from wardlens.operators import contingency as ct
+from wardlens.operators import drg as drg_ops
+from wardlens.operators import entity_compare as ent
 from wardlens.operators import opportunity as opp
+from wardlens.operators import quality as qa
+from wardlens.operators import redundancy as red
+from wardlens.params import (CohortCriteria, DonorCohortParams, EntityCompareParams, OpportunitySpec,
+                             QualityParams, RedundancyParams)
+from wardlens.session import ensure_checkpoint_dir, materialize
+from wardlens.sources.tables import ParquetTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,8 +91,6 @@ def q_opp_replace(spark, sf):
 
 
 # ------------------------------------------------------------ redundancy
-from wardlens.operators import redundancy as red  # noqa: E402
-from wardlens.params import RedundancyParams  # noqa: E402
 
 RED = RedundancyParams(cpt_codes=("C007", "C011", "C023"), cost_drivers=("PROMO", "ECONOMY", "STANDARD"),
                        fiscal_year=1996, patient_settings=("1-URGENT", "2-HIGH", "3-MEDIUM"),
@@ -151,8 +161,6 @@ def q_savings(spark, sf):
 
 
 # ------------------------------------------------------- entity compare
-from wardlens.operators import entity_compare as ent  # noqa: E402
-from wardlens.params import EntityCompareParams  # noqa: E402
 
 ENT = EntityCompareParams(fiscal_years=(1996,))
 
@@ -251,10 +259,7 @@ def q_ent_report_sorted(spark, sf):
 
 
 # --------------------------------------------------------------- quality
-from dataclasses import replace as _replace  # noqa: E402
 
-from wardlens.operators import quality as qa  # noqa: E402
-from wardlens.params import QualityParams  # noqa: E402
 
 QA = QualityParams(fiscal_year=1996, qvi_names=("VAP",), population=("MACHINERY", "BUILDING", "FURNITURE"),
                    population_kind="ctf", procedure_cpts=("C007", "C011", "C023", "C031", "C042"),
@@ -369,7 +374,6 @@ def q_chi_label(spark, sf):
 
 
 # ----------------------------------------------------------- contingency
-from wardlens.operators import contingency as ct  # noqa: E402
 
 IDENTIFYING = ("Entity", "Patient Population", "AttendPhysicianName")
 
@@ -414,8 +418,6 @@ def q_assoc_pvalues(spark, sf):
 
 
 # ------------------------------------------------------------- benchmark
-from wardlens.operators import benchmark as bm  # noqa: E402
-from wardlens.params import CohortCriteria  # noqa: E402
 
 BM = CohortCriteria(source_category="Hospital Billing", patient_setting=("1-URGENT", "2-HIGH", "3-MEDIUM"),
                     discharge_year=1996, clienttype="T0", censusregion="ASIA", entitytype="MACHINERY",
@@ -504,7 +506,6 @@ def q_top_drg_cohort(spark, sf):
 
 
 # ------------------------------------------------------------------- drg
-from wardlens.operators import drg as drg_ops  # noqa: E402
 
 DRG_YEAR = 1996
 
@@ -545,12 +546,7 @@ def q_mdc_body_part(spark, sf):
 
 
 # ---------------------------------------------------------------- cohort
-import uuid as _uuid  # noqa: E402
 
-from wardlens.operators import cohort as co  # noqa: E402
-from wardlens.functions.bins import DONOR_BMI  # noqa: E402
-from wardlens.params import DonorCohortParams  # noqa: E402
-from wardlens.session import ensure_checkpoint_dir  # noqa: E402
 
 DONOR = DonorCohortParams(min_year=1998)
 DONOR_KEYS = ("donor_key", "donor_line")
@@ -630,7 +626,6 @@ def q_adjacent_lines(spark, sf):
 
 
 # ----------------------------------------- literal (compat) behaviours
-from wardlens.functions.bins import DONOR_AGE_COMPAT, DONOR_BINS as _BINS  # noqa: E402
 
 QA_FAN = _replace(QA, population=QA.population + ("CI_A",))
 COMPAT_BINS = ((_BINS[0][0], _BINS[0][1], DONOR_AGE_COMPAT),) + tuple(_BINS[1:])
