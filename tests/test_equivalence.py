@@ -114,3 +114,17 @@ def test_phase_labels_cover_lines(spark):
     assert pl.count() == pl.groupBy("date_of_service").count().agg(F.sum("count")).first()[0]
     assert set(r.date_of_service for r in pl.select("date_of_service").distinct().collect()) <= {
         "Before Proc", "After Proc", "Day of Proc", "NA"}
+
+
+def test_hot_group_row_number_spans_tasks(spark):
+    from wardlens.functions.ranking import group_row_number
+    rnd = random.Random(17)
+    rows = [(0, rnd.random(), i) for i in range(3000)] + [(g, rnd.random(), 10000 + i)
+                                                           for i in range(6000) for g in [1 + i % 50]]
+    df = spark.createDataFrame(rows, "g long, v double, id long")
+    got = group_row_number(df, ["g"], ["v", "id"], "rn", num_partitions=8)
+    exp = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    assert {(r.id, r.rn) for r in got.collect()} == {(r.id, r.rn) for r in exp.collect()}
+    tasks = (df.repartitionByRange(8, "g", "v", "id").withColumn("t", F.spark_partition_id())
+             .where("g = 0").select("t").distinct().count())
+    assert tasks > 1  # the hot group is spread over several tasks

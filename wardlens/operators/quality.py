@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.exact import ratio
+from wardlens.functions.ranking import group_row_number
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import QualityParams
 
@@ -86,10 +87,10 @@ def procedure_dates(lines: DataFrame, encounters: DataFrame, cpt: DataFrame, cpt
 
 
 def procedure_order(proc_dates: DataFrame) -> DataFrame:
-    """Procedure order within the encounter (one row per procedure time)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("encounter_id").orderBy("service_date", "service_ts")
-    return proc_dates.withColumn("proc_order", F.row_number().over(w))
+    """Procedure order within the encounter (one row per procedure time),
+    numbered without holding an encounter's procedures in one task."""
+    return group_row_number(proc_dates, ["encounter_id"], ["service_date", "service_ts"], "proc_order") \
+        .withColumn("proc_order", col("proc_order").cast("int"))
 
 
 def single_procedure(proc_dates: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.functions.ranking import group_row_number
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import RedundancyParams
 
@@ -103,17 +104,10 @@ def _order_cols(tiebreak: Sequence[str]) -> list[str]:
 def row_index(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id") -> DataFrame:
     """Position of each row in (day, rank, tie-break) order within ``key``.
 
-    Position = rows on earlier days (running sum over the per-day counts,
-    one row per day) + position within the day.
+    A distributed row number (range partitioning + per-task offsets), so
+    an encounter with a huge number of rows is numbered by many tasks.
     """
-    days = ranked.groupBy(key, "service_date").agg(F.count(lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy("service_date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(key, "service_date", F.coalesce(F.sum("_n").over(w), lit(0)).alias("_before"))
-    wd = Window.partitionBy(key, "service_date").orderBy(*_order_cols(tiebreak))
-    return (ranked.withColumn("_pos", F.row_number().over(wd))
-            .join(days, [key, "service_date"])
-            .withColumn("row_num", (col("_before") + col("_pos")).cast("bigint"))
-            .drop("_pos", "_before"))
+    return group_row_number(ranked, [key], ["service_date", *_order_cols(tiebreak)], "row_num")
 
 
 def adjacent_rows(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id",
