@@ -22,8 +22,12 @@ col, lit = F.col, F.lit
 
 
 def pick_charge_codes(charge_code: DataFrame, keywords: Iterable[str], category: str,
-                      case_insensitive: bool = False) -> DataFrame:
-    """Codes whose description matches any keyword and whose driver is ``category``."""
+                      case_insensitive: bool = True) -> DataFrame:
+    """Codes whose description matches any keyword and whose driver is ``category``.
+
+    Keyword matching ignores case by default, as LIKE does under the
+    warehouse's default (case-insensitive) collation.
+    """
     like = (lambda c, p: c.ilike(p)) if case_insensitive else (lambda c, p: c.like(p))
     match = reduce(or_, [like(col("name"), f"%{k}%") for k in keywords])
     return charge_code.where(match & (col("cost_driver") == category)).select(
@@ -90,7 +94,7 @@ def multi_opportunity_report(lines: DataFrame, costs: DataFrame, charge_code: Da
     sp = F.broadcast(specs_frame(spark, specs))
     cc = charge_code.select("charge_code_id", "name", "cost_driver")
     picked = (cc.join(sp, cc.cost_driver == sp.category)
-              .where(F.like(col("name"), F.concat(lit("%"), col("keyword"), lit("%"))))
+              .where(F.ilike(col("name"), F.concat(lit("%"), col("keyword"), lit("%"))))
               .select("charge_code_id", col("name").alias("full_description"),
                       "spec_name", "spec_type", "category").distinct())
     l = lines.where(col(year_col).isin(list(fiscal_years))).select(

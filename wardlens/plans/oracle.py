@@ -23,7 +23,7 @@ def oracle(name: str, sql: str) -> None:
 # ----------------------------------------------------------- opportunity
 OPP_CODES = """
 select charge_code_id, name as full_description, cost_driver, rollup_name
-from f_charge_code where (name like '%widget%' or name like '%bolt%') and cost_driver = 'PROMO'"""
+from f_charge_code where (name ilike '%widget%' or name ilike '%bolt%') and cost_driver = 'PROMO'"""
 oracle("opp_codes", OPP_CODES)
 
 OPP_SUMMARY = f"""
@@ -60,7 +60,7 @@ from (
   from f_line l
     join (select distinct cc.charge_code_id, cc.name as full_description, sp.spec_name, sp.spec_type, sp.category
           from f_charge_code cc join {specs_sql} on cc.cost_driver = sp.category
-          where cc.name like '%' || sp.keyword || '%') p on p.charge_code_id = l.charge_code_id
+          where cc.name ilike '%' || sp.keyword || '%') p on p.charge_code_id = l.charge_code_id
     left join f_cost k on k.row_id = l.row_id
   where l.line_year in ({years})
   group by all) s
