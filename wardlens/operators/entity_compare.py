@@ -167,19 +167,24 @@ def overlapping_codes(pairs: DataFrame, band: str = "0.05") -> DataFrame:
     # Two levels instead of count(distinct comparator): per comparator
     # entity first, then per code row (the row count is the number of
     # distinct comparators), so pair rows are not expanded.
+    # Sums run on exact micro-unit longs (the 6-decimal values scaled by
+    # 1e6), which aggregate much faster than wide decimals; each average is
+    # one exact division per output row.
+    micro = lambda c: (col(c) * 1000000).cast("long")
     per_entity = p.groupBy(*keys, "comparison_entity").agg(
         F.count(lit(1)).alias("_n"),
-        F.sum("cost_per_case_diff").alias("_s_diff"),
-        F.sum("other_entity_vdc_per_case").alias("_s_vpc"),
-        F.sum("other_entities_case_vol_perc").alias("_s_perc"),
+        F.sum(micro("cost_per_case_diff")).alias("_s_diff"),
+        F.sum(micro("other_entity_vdc_per_case")).alias("_s_vpc"),
+        F.sum(micro("other_entities_case_vol_perc")).alias("_s_perc"),
         F.count("other_entities_case_vol_perc").alias("_n_perc"),
         F.sum("other_entity_cases").alias("_s_cases"),
         F.sum("other_entity_tot_cases").alias("_s_tot"))
     g = per_entity.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("_n", "_s_diff", "_s_vpc", "_s_perc", "_n_perc", "_s_cases", "_s_tot")],
         F.count(lit(1)).alias("_n_ent"))
-    avg_diff = ratio(col("_s_diff"), 6, col("_n"), 0, 6)
-    avg_perc = ratio(col("_s_perc"), 6, col("_n_perc"), 0, 6)
+    avg = lambda s, n: ratio(col(s), 0, col(n) * 1000000, 0, 6)
+    avg_diff = avg("_s_diff", "_n")
+    avg_perc = avg("_s_perc", "_n_perc")
     gap = col("eoi_case_vol_perc") - avg_perc
     b = lit(band).cast("decimal(10,4)")
     label = F.when(gap > b, HIGHER).when(gap < -b, LOWER).otherwise(WITHIN)
@@ -192,7 +197,7 @@ def overlapping_codes(pairs: DataFrame, band: str = "0.05") -> DataFrame:
         col("_n_ent").cast("int").alias("num_other_entities"),
         avg_diff.cast("decimal(20,2)").alias("avg_cost_per_case_diff"),
         col("eoi_vdc_per_case").cast("decimal(20,2)").alias("eoi_vdc_per_case"),
-        ratio(col("_s_vpc"), 6, col("_n"), 0, 6).cast("decimal(20,2)").alias("avg_other_entity_vdc_per_case"),
+        avg("_s_vpc", "_n").cast("decimal(20,2)").alias("avg_other_entity_vdc_per_case"),
         col("eoi_case_vol_perc").cast("decimal(20,2)").alias("eoi_case_perc"),
         avg_perc.cast("decimal(20,2)").alias("avg_other_entity_case_perc"),
         col("eoi_cases").cast("int").alias("eoi_cases"),
