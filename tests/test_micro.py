@@ -202,3 +202,12 @@ def test_patient_days_use_the_pair_not_text(spark):
                                     "units_of_service decimal(18,2), clienttype string, clientofinterest string")
     r = benchmark.utilisation(b, [("clienttype", "clientofinterest", None)]).first()
     assert r.patient_days == 2 and r.cases == 2
+
+
+def test_critical_value_lookup_and_large_dof(spark):
+    from wardlens.functions.chisq import chi2_critical
+    from wardlens.operators.contingency import _critical
+    df = spark.createDataFrame([(1,), (2,), (100,), (101,), (250,)], "dof int")
+    got = [r.c for r in df.select(_critical(F.col("dof"), 0.05).alias("c")).collect()]
+    for d, c in zip((1, 2, 100, 101, 250), got):
+        assert abs(c - chi2_critical(d)) / chi2_critical(d) < (1e-9 if d <= 100 else 1e-3)
