@@ -198,7 +198,7 @@ def test_single_procedure_two_times_one_day(spark):
 def test_patient_days_use_the_pair_not_text(spark):
     from wardlens.operators import benchmark
     rows = [(1, 0, 0, 23, Decimal("1.00"), "T0", "1"), (12, 0, 0, 3, Decimal("1.00"), "T0", "1")]
-    b = spark.createDataFrame(rows, "encounter_id long, orgpin int, strataid int, servicedateid int, "
+    b = spark.createDataFrame(rows, "encounter_id long, orgpin int, stratum_id int, servicedateid int, "
                                     "units_of_service decimal(18,2), clienttype string, clientofinterest string")
     r = benchmark.utilisation(b, [("clienttype", "clientofinterest", None)]).first()
     assert r.patient_days == 2 and r.cases == 2

@@ -23,7 +23,7 @@ col, lit = F.col, F.lit
 OTHER_ENTITIES = "Other Entities"
 
 COHORT_COLS = ["client_name", "clienttype", "client_region", "client_opex", "entity_name", "entity_amc",
-               "entity_urban", "entitytype", "entity_opex", "entity_bedsize", "orgpin", "strataid",
+               "entity_urban", "entitytype", "entity_opex", "entity_bedsize", "orgpin", "stratum_id",
                "msdrg_code", "dischargedate", "dc_year", "age_rollup", "encounter_id",
                "clientofinterest", "entities_of_interest"]
 
@@ -36,12 +36,12 @@ def peer_cohort(encounters: DataFrame, system_criteria: DataFrame, entity_criter
     e = (encounters.where(col("patient_setting").isin(list(p.patient_setting))
                           & (F.year("discharge_date") == p.discharge_year))
          .join(src, "source_system_id", "left_semi"))
-    sc = system_criteria.select("orgpin", "strataid", col("client").alias("client_name"), "clienttype",
+    sc = system_criteria.select("orgpin", "stratum_id", col("client").alias("client_name"), "clienttype",
                                 col("censusregion").alias("client_region"), col("opex").alias("client_opex"))
-    ec = entity_criteria.select("orgpin", "strataid", "entity_key", col("alias").alias("entity_name"),
+    ec = entity_criteria.select("orgpin", "stratum_id", "entity_key", col("alias").alias("entity_name"),
                                 col("isamc").alias("entity_amc"), col("isurban").alias("entity_urban"),
                                 "entitytype", col("opex").alias("entity_opex"), col("bedsize").alias("entity_bedsize"))
-    j = e.join(sc, ["orgpin", "strataid"]).join(ec, ["orgpin", "strataid", "entity_key"])
+    j = e.join(sc, ["orgpin", "stratum_id"]).join(ec, ["orgpin", "stratum_id", "entity_key"])
     crit = [(col("clienttype"), p.clienttype), (col("client_region"), p.censusregion),
             (col("client_opex"), p.client_opex), (col("entitytype"), p.entitytype),
             (col("entity_opex"), p.entity_opex), (col("entity_bedsize"), p.bedsize)]
@@ -61,15 +61,15 @@ def peer_cohort(encounters: DataFrame, system_criteria: DataFrame, entity_criter
 
 def peer_flags(cohort: DataFrame) -> DataFrame:
     """A49 view: the two flags per encounter."""
-    return cohort.select("orgpin", "strataid", "encounter_id", "clientofinterest", "entities_of_interest")
+    return cohort.select("orgpin", "stratum_id", "encounter_id", "clientofinterest", "entities_of_interest")
 
 
 def peer_billing(billing: DataFrame, cohort: DataFrame, cpt_code: str) -> DataFrame:
     """UOS and cost per encounter x service day for one CPT code."""
     b = billing.where(col("billedcptcode") == cpt_code).withColumnRenamed("encounterid", "encounter_id")
-    j = b.join(cohort, ["encounter_id", "orgpin", "strataid"])
+    j = b.join(cohort, ["encounter_id", "orgpin", "stratum_id"])
     keys = COHORT_COLS + ["servicedateid", "servicedate", "billedcptid", "billedcptcode", "billedcptdescription",
-                          "sphchargecodecostdriver"]
+                          "chargecodecostdriver"]
     return j.groupBy(*keys).agg(F.sum("totalunitsofservice").cast("decimal(38,2)").alias("units_of_service"),
                                 F.sum("variabledirectcost").cast("decimal(38,4)").alias("variable_direct_cost"))
 
@@ -94,7 +94,7 @@ def _stack(df: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]],
     return s.select(*extra, "_e.dimension", "_e.flag", "_e.dim_value")
 
 
-CASE_KEY = ("orgpin", "strataid", "encounter_id")
+CASE_KEY = ("orgpin", "stratum_id", "encounter_id")
 LITERAL_CASE_KEY = ("encounter_id",)   # the reference counts encounter ids alone
 
 
@@ -119,17 +119,17 @@ def utilisation(billing_rows: DataFrame, dims: Sequence[tuple[str, str, Sequence
 
     ``dims`` lists (dimension column, flag column, allowed values or None);
     any number of dimensions costs one scan and one two-level aggregate.
-    A case is the composite (orgpin, strataid, encounter); pass
+    A case is the composite (orgpin, stratum_id, encounter); pass
     ``LITERAL_CASE_KEY`` to count encounter ids alone, as the reference does.
     """
-    s = _stack(billing_rows, dims, ["orgpin", "strataid", "encounter_id", "servicedateid", "units_of_service"])
+    s = _stack(billing_rows, dims, ["orgpin", "stratum_id", "encounter_id", "servicedateid", "units_of_service"])
     return _case_metrics(s, ["dimension", "flag", "dim_value"], case_key=case_key)
 
 
 def volumes(cohort: DataFrame, dims: Sequence[tuple[str, str, Sequence[str] | None]],
             case_key: Sequence[str] = CASE_KEY) -> DataFrame:
     """Total distinct cases per (dimension, flag, value) of the cohort."""
-    s = _stack(cohort, dims, ["orgpin", "strataid", "encounter_id"])
+    s = _stack(cohort, dims, ["orgpin", "stratum_id", "encounter_id"])
     return _case_metrics(s, ["dimension", "flag", "dim_value"], with_uos=False, case_key=case_key)
 
 

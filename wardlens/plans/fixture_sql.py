@@ -22,7 +22,7 @@ select o.o_orderkey as encounter_id, 'R' || cast(o.o_orderkey as varchar) as rec
   cast(o.o_custkey % 90 as int) as age, cast(o.o_orderkey % 15 as int) as los,
   case o.o_orderstatus when 'O' then 0 else 1 end as primary_qvi_id,
   lpad(cast(o.o_orderkey % 1000 as varchar), 3, '0') as msdrg_code,
-  o.o_custkey as entity_key, cu.c_nationkey as orgpin, n.n_regionkey as strataid
+  o.o_custkey as entity_key, cu.c_nationkey as orgpin, n.n_regionkey as stratum_id
 from orders o join customer cu on cu.c_custkey = o.o_custkey
   join nation n on n.n_nationkey = cu.c_nationkey join region r on r.r_regionkey = n.n_regionkey""",
     "f_line": f"""
@@ -63,11 +63,11 @@ select user_id as encounter_id, 'R' || cast(user_id as varchar) as record_number
        else cast((1 + event_id % 2) * cast(value as decimal(18,2)) as decimal(18,2)) end as vdc, event_id
 from events where event_type in ('purchase', 'click')""",
     "f_system_criteria": """
-select n_nationkey as orgpin, n_regionkey as strataid, n_name as client, 'T' || cast(n_nationkey % 3 as varchar) as clienttype,
+select n_nationkey as orgpin, n_regionkey as stratum_id, n_name as client, 'T' || cast(n_nationkey % 3 as varchar) as clienttype,
   r_name as censusregion, 'X' || cast(n_nationkey % 4 as varchar) as opex
 from nation join region on r_regionkey = n_regionkey""",
     "f_entity_criteria": """
-select c_nationkey as orgpin, n_regionkey as strataid, c_custkey as entity_key, c_name as alias, c_mktsegment as entitytype,
+select c_nationkey as orgpin, n_regionkey as stratum_id, c_custkey as entity_key, c_name as alias, c_mktsegment as entitytype,
   'X' || cast(c_custkey % 4 as varchar) as opex, cast(c_custkey % 2 as int) as isurban, cast(c_custkey % 5 as int) as isamc,
   case when c_acctbal < 0 then 'small' when c_acctbal < 5000 then 'medium' else 'large' end as bedsize
 from customer join nation on n_nationkey = c_nationkey""",
@@ -122,10 +122,10 @@ from lineitem""",
 
 # f_billing and f_enc_drg build on other adapters.
 BODIES["f_billing"] = """
-select l.encounter_id as encounterid, e.orgpin, e.strataid, l.service_date as servicedate,
+select l.encounter_id as encounterid, e.orgpin, e.stratum_id, l.service_date as servicedate,
   cast(year(l.service_date) * 10000 + month(l.service_date) * 100 + day(l.service_date) as int) as servicedateid,
   l.cpt_id as billedcptid, c.cpt_code as billedcptcode, c.cpt_name as billedcptdescription,
-  cc.cost_driver as sphchargecodecostdriver, l.units as totalunitsofservice,
+  cc.cost_driver as chargecodecostdriver, l.units as totalunitsofservice,
   cast(l.units * k.unit_cost as decimal(38,4)) as variabledirectcost
 from f_line l join f_encounter e on e.encounter_id = l.encounter_id
   join f_cpt c on c.cpt_id = l.cpt_id join f_charge_code cc on cc.charge_code_id = l.charge_code_id

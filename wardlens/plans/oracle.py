@@ -473,25 +473,25 @@ oracle("assoc_by_driver", _contingency(SIG_SUBSET, "qvi", "date_of_service", ["c
 COHORT = """
 select distinct s.client as client_name, s.clienttype, s.censusregion as client_region, s.opex as client_opex,
   ec.alias as entity_name, ec.isamc as entity_amc, ec.isurban as entity_urban, ec.entitytype,
-  ec.opex as entity_opex, ec.bedsize as entity_bedsize, e.orgpin, e.strataid, e.msdrg_code,
+  ec.opex as entity_opex, ec.bedsize as entity_bedsize, e.orgpin, e.stratum_id, e.msdrg_code,
   e.discharge_date as dischargedate, cast(year(e.discharge_date) as int) as dc_year,
   cast(floor(e.age / 10) as int) as age_rollup, e.encounter_id,
   case when s.client ilike '%NATION_7%' then 1 else 0 end as clientofinterest,
   case when ec.entity_key = 7 then 'Alpha Hospital' when ec.entity_key = 32 then 'Beta Hospital'
        else 'Other Entities' end as entities_of_interest
 from f_encounter e
-  join f_system_criteria s on s.orgpin = e.orgpin and s.strataid = e.strataid
-  join f_entity_criteria ec on ec.orgpin = e.orgpin and ec.strataid = e.strataid and ec.entity_key = e.entity_key
+  join f_system_criteria s on s.orgpin = e.orgpin and s.stratum_id = e.stratum_id
+  join f_entity_criteria ec on ec.orgpin = e.orgpin and ec.stratum_id = e.stratum_id and ec.entity_key = e.entity_key
 where e.source_system_id in (select source_system_id from f_source_system where category_name = 'Hospital Billing')
   and e.patient_setting in ('1-URGENT', '2-HIGH', '3-MEDIUM') and year(e.discharge_date) = 1996
   and (s.clienttype = 'T0' or s.censusregion = 'ASIA' or ec.entitytype = 'MACHINERY')"""
 oracle("peer_cohort", COHORT)
-oracle("peer_flags", f"select orgpin, strataid, encounter_id, clientofinterest, entities_of_interest from ({COHORT}) c")
+oracle("peer_flags", f"select orgpin, stratum_id, encounter_id, clientofinterest, entities_of_interest from ({COHORT}) c")
 PEER_BILLING = f"""
 select c.*, b.servicedateid, b.servicedate, b.billedcptid, b.billedcptcode, b.billedcptdescription,
-  b.sphchargecodecostdriver, cast(sum(b.totalunitsofservice) as decimal(38,2)) as units_of_service,
+  b.chargecodecostdriver, cast(sum(b.totalunitsofservice) as decimal(38,2)) as units_of_service,
   cast(sum(b.variabledirectcost) as decimal(38,4)) as variable_direct_cost
-from f_billing b join ({COHORT}) c on c.encounter_id = b.encounterid and c.orgpin = b.orgpin and c.strataid = b.strataid
+from f_billing b join ({COHORT}) c on c.encounter_id = b.encounterid and c.orgpin = b.orgpin and c.stratum_id = b.stratum_id
 where b.billedcptcode = 'C007'
 group by all"""
 oracle("peer_billing", PEER_BILLING)
@@ -517,7 +517,7 @@ def _stack(src: str, dims, extra: str) -> str:
 
 
 def _metrics(src: str, keys: list[str], with_uos: bool = True, top: int | None = None,
-             case_key: tuple = ("orgpin", "strataid", "encounter_id")) -> str:
+             case_key: tuple = ("orgpin", "stratum_id", "encounter_id")) -> str:
     k = ", ".join(keys)
     enc = ", ".join(c for c in case_key if c not in keys)
     tail = f" order by cases desc, {k} limit {top}" if top else ""
@@ -530,12 +530,12 @@ from (select {k}, {enc}, sum(units_of_service) as u, count(distinct servicedatei
 group by {k}{tail}"""
 
 
-BILL_EXTRA = "orgpin, strataid, encounter_id, servicedateid, units_of_service"
+BILL_EXTRA = "orgpin, stratum_id, encounter_id, servicedateid, units_of_service"
 oracle("util_client_dims", _metrics(_stack(PEER_BILLING, CLIENT_DIMS, BILL_EXTRA), ["dimension", "flag", "dim_value"]))
 oracle("util_entity_dims", _metrics(_stack(PEER_BILLING, ENTITY_DIMS, BILL_EXTRA), ["dimension", "flag", "dim_value"]))
 oracle("util_all_dims", _metrics(_stack(PEER_BILLING, CLIENT_DIMS + ENTITY_DIMS, BILL_EXTRA),
                                  ["dimension", "flag", "dim_value"]))
-oracle("volume_dims", _metrics(_stack(COHORT, CLIENT_DIMS + ENTITY_DIMS, "orgpin, strataid, encounter_id"),
+oracle("volume_dims", _metrics(_stack(COHORT, CLIENT_DIMS + ENTITY_DIMS, "orgpin, stratum_id, encounter_id"),
                                ["dimension", "flag", "dim_value"], with_uos=False))
 
 

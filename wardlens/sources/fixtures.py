@@ -67,7 +67,7 @@ class Fixtures:
             F.lpad(_s(col("o_orderkey") % 1000), 3, "0").alias("msdrg_code"),
             col("o_custkey").alias("entity_key"),
             col("c_nationkey").alias("orgpin"),
-            col("n_regionkey").alias("strataid"),
+            col("n_regionkey").alias("stratum_id"),
         )
 
     def _lineitem_part(self, *cols: str) -> DataFrame:
@@ -174,7 +174,7 @@ class Fixtures:
         n = self.t.nation.select("n_nationkey", "n_name", "n_regionkey")
         r = self.t.region.select("r_regionkey", "r_name")
         return n.join(r, r.r_regionkey == n.n_regionkey).select(
-            col("n_nationkey").alias("orgpin"), col("n_regionkey").alias("strataid"),
+            col("n_nationkey").alias("orgpin"), col("n_regionkey").alias("stratum_id"),
             col("n_name").alias("client"),
             F.concat(lit("T"), _s(col("n_nationkey") % 3)).alias("clienttype"),
             col("r_name").alias("censusregion"),
@@ -185,7 +185,7 @@ class Fixtures:
         c = self.t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
         n = self.t.nation.select("n_nationkey", "n_regionkey")
         return c.join(n, n.n_nationkey == c.c_nationkey).select(
-            col("c_nationkey").alias("orgpin"), col("n_regionkey").alias("strataid"),
+            col("c_nationkey").alias("orgpin"), col("n_regionkey").alias("stratum_id"),
             col("c_custkey").alias("entity_key"), col("c_name").alias("alias"),
             col("c_mktsegment").alias("entitytype"),
             F.concat(lit("X"), _s(col("c_custkey") % 4)).alias("opex"),
@@ -240,19 +240,19 @@ class Fixtures:
     def billing(self) -> DataFrame:
         """Cross-client billing summary view (one row per billed line)."""
         l, e, c, cc, k = self.line, self.encounter, self.cpt, self.charge_code, self.cost
-        j = (l.join(e.select("encounter_id", "orgpin", "strataid"), "encounter_id")
+        j = (l.join(e.select("encounter_id", "orgpin", "stratum_id"), "encounter_id")
              .join(c, "cpt_id")
              .join(cc.select("charge_code_id", "cost_driver"), "charge_code_id")
              .join(k.select("encounter_id", "rk_line", "rk_part", "rk_cents", "unit_cost"),
                    ["encounter_id", "rk_line", "rk_part", "rk_cents"], "left"))
         d = col("service_date")
         return j.select(
-            col("encounter_id").alias("encounterid"), "orgpin", "strataid",
+            col("encounter_id").alias("encounterid"), "orgpin", "stratum_id",
             d.alias("servicedate"),
             (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int").alias("servicedateid"),
             col("cpt_id").alias("billedcptid"), col("cpt_code").alias("billedcptcode"),
             col("cpt_name").alias("billedcptdescription"),
-            col("cost_driver").alias("sphchargecodecostdriver"),
+            col("cost_driver").alias("chargecodecostdriver"),
             col("units").alias("totalunitsofservice"),
             (col("units") * col("unit_cost")).cast("decimal(38,4)").alias("variabledirectcost"))
 
