@@ -286,7 +286,8 @@ def _qa_groups(spark, sf, cut=False):
 
 
 def _chi_rows(spark, sf):
-    return qa.chi_rows(qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label))
+    # one row per cost driver, read by the expected, diff and label steps
+    return materialize(qa.chi_rows(qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label)))
 
 
 @register("qa_encounters")
