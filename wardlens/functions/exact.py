@@ -64,3 +64,16 @@ def int_avg(total: Column, count: Column) -> Column:
 
 def sql_int_avg(total: str, count: str) -> str:
     return f"(CASE WHEN ({count}) > 0 THEN CAST(CAST(({total}) AS BIGINT) // CAST(({count}) AS BIGINT) AS INTEGER) END)"
+
+
+def money_sum(expr: Column, scale: int = 4, precision: int = 38) -> Column:
+    """Exact ``sum(expr)`` for a decimal expression with ``scale`` decimals.
+
+    Accumulates the unscaled values as longs (a fixed-width aggregation
+    buffer) instead of wide decimals, and converts the group total back to
+    ``decimal(precision, scale)`` once.  Overflow past 9.2e18 unscaled units
+    raises under ANSI mode rather than wrapping.
+    """
+    total = F.sum((expr * F.lit(10 ** scale)).cast("long"))
+    step = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")
+    return (total.cast("decimal(20,0)") * step).cast(f"decimal({precision},{scale})")

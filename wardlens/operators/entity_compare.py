@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.exact import int_avg, ratio
+from wardlens.functions.exact import int_avg, money_sum, ratio
 from wardlens.operators.redundancy import billing_source_systems
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import EntityCompareParams
@@ -55,7 +55,7 @@ def bill(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: DataFr
     keys = [c for c in enc.columns]
     return l.join(enc, "encounter_id").groupBy(*keys, *CODE).agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
-        F.sum(col("units") * col("unit_cost")).cast("decimal(38,4)").alias("vdc"))
+        money_sum(col("units") * col("unit_cost")).alias("vdc"))
 
 
 def bill_by_encounter(b: DataFrame) -> DataFrame:

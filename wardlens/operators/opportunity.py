@@ -15,6 +15,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlens.functions.exact import money_sum
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import OpportunitySpec
 
@@ -47,7 +48,7 @@ def opportunity_summary(lines: DataFrame, costs: DataFrame, codes: DataFrame,
     j = _line_cost(l.join(codes.select("charge_code_id", "full_description"), "charge_code_id"), costs)
     return j.groupBy(col(year_col).alias("fiscal_year"), "full_description", "encounter_id").agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
-        F.sum(col("units") * col("unit_cost")).cast("decimal(38,4)").alias("vdc"))
+        money_sum(col("units") * col("unit_cost")).alias("vdc"))
 
 
 def _report_columns(name, otype, category):
@@ -102,7 +103,7 @@ def multi_opportunity_report(lines: DataFrame, costs: DataFrame, charge_code: Da
     j = _line_cost(l.join(picked, "charge_code_id"), costs)
     summary = j.groupBy("spec_name", "spec_type", "category", col(year_col).alias("fiscal_year"),
                         "full_description", "encounter_id").agg(
-        F.sum("units").alias("uos"), F.sum(col("units") * col("unit_cost")).alias("vdc"))
+        F.sum("units").alias("uos"), money_sum(col("units") * col("unit_cost")).alias("vdc"))
     agg = summary.groupBy("spec_name", "spec_type", "category", "fiscal_year", "full_description") \
         .agg(*_report_aggs())
     return agg.select(*_report_columns(col("spec_name"), col("spec_type"), col("category")),

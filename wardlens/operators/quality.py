@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.exact import ratio
+from wardlens.functions.exact import money_sum, ratio
 from wardlens.functions.ranking import group_row_number
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import QualityParams
@@ -130,7 +130,7 @@ def _aggregate_group(j: DataFrame, label, encounters: DataFrame) -> DataFrame:
     keys = [label.alias("qvi"), "encounter_id", phase(col("proc_date"), col("service_ts")).alias("date_of_service"),
             col("maxproc").alias("total_proc"), "proc_date", col("service_ts").alias("charge_service_date"),
             "cost_driver", "charge_code_desc"]
-    agg = j.groupBy(*keys).agg(F.sum(col("unit_cost") * col("units")).cast("decimal(38,4)").alias("vdc"))
+    agg = j.groupBy(*keys).agg(money_sum(col("unit_cost") * col("units")).alias("vdc"))
     return agg.join(encounters.select(*ATTRS), "encounter_id").select(
         "qvi", *ATTRS, "date_of_service", "total_proc", "proc_date", "charge_service_date", "cost_driver",
         "charge_code_desc", "vdc")

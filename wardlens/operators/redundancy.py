@@ -23,6 +23,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.functions.exact import money_sum
 from wardlens.functions.ranking import group_row_number
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import RedundancyParams
@@ -76,7 +77,7 @@ def encounter_usage(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_c
             "service_ts", "ordering_md_name", "ordering_md_spec", "cpt_code", "cpt_description", "unit_cost"]
     return j.groupBy(*keys).agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
-        F.sum(col("units") * col("unit_cost")).cast("decimal(38,4)").alias("vdc"))
+        money_sum(col("units") * col("unit_cost")).alias("vdc"))
 
 
 def clean_usage(usage: DataFrame, key: str = "encounter_id") -> DataFrame:
