@@ -211,3 +211,21 @@ def test_critical_value_lookup_and_large_dof(spark):
     got = [r.c for r in df.select(_critical(F.col("dof"), 0.05).alias("c")).collect()]
     for d, c in zip((1, 2, 100, 101, 250), got):
         assert abs(c - chi2_critical(d)) / chi2_critical(d) < (1e-9 if d <= 100 else 1e-3)
+
+
+def test_money_sum_equals_decimal_sum(spark):
+    import random
+    from wardlens.functions.exact import money_sum
+    rnd = random.Random(5)
+    rows = [(rnd.randint(1, 5), Decimal(rnd.randint(-10**6, 10**6)) / 100 if rnd.random() > 0.1 else None,
+             Decimal(rnd.randint(1, 5000)) / 100) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g int, a decimal(18,2), b decimal(18,2)")
+    got = {r.g: r.v for r in df.groupBy("g").agg(money_sum(F.col("a") * F.col("b")).alias("v")).collect()}
+    exp = {r.g: r.v for r in df.groupBy("g").agg(F.sum(F.col("a") * F.col("b")).cast("decimal(38,4)").alias("v")).collect()}
+    assert got == exp
+
+
+def test_checkpoint_dir_from_session_is_kept(spark):
+    from wardlens.session import ensure_checkpoint_dir
+    before = spark.sparkContext.getCheckpointDir()
+    assert ensure_checkpoint_dir(spark) == before and before
