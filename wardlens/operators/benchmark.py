@@ -122,6 +122,20 @@ def utilisation(billing_rows: DataFrame, dims: Sequence[tuple[str, str, Sequence
     A case is the composite (orgpin, stratum_id, encounter); pass
     ``LITERAL_CASE_KEY`` to count encounter ids alone, as the reference does.
     """
+    if tuple(case_key) == CASE_KEY:
+        # Every dimension and flag is an attribute of the case, so UOS and
+        # service days are aggregated per case first and only the case rows
+        # are exploded into (dimension, flag, value) entries.
+        attrs = sorted({c for d, f, _ in dims for c in (d, f)})
+        per_case = billing_rows.groupBy(*CASE_KEY, *attrs).agg(
+            F.sum("units_of_service").alias("_uos"), F.count_distinct("servicedateid").alias("_days"))
+        s = _stack(per_case, dims, [*CASE_KEY, "_uos", "_days"])
+        g = s.groupBy("dimension", "flag", "dim_value").agg(
+            F.count(lit(1)).alias("cases"), F.sum("_uos").cast("decimal(38,2)").alias("uos"),
+            F.sum("_days").alias("patient_days"))
+        return g.select("dimension", "flag", "dim_value", "cases", "uos", "patient_days",
+                        ratio(col("uos"), 2, col("cases"), 0, 1).alias("uos_per_case"),
+                        ratio(col("uos"), 2, col("patient_days"), 0, 1).alias("uos_per_patientday"))
     s = _stack(billing_rows, dims, ["orgpin", "stratum_id", "encounter_id", "servicedateid", "units_of_service"])
     return _case_metrics(s, ["dimension", "flag", "dim_value"], case_key=case_key)
 
