@@ -3,99 +3,113 @@
 The index stores postings (document, position) of training tokens.  A test
 window is ten consecutive words of a benchmark item.  Of each window, the
 rarest terms by corpus count are its probes; only their postings are stored.
-Each posting is adjusted by the term's offset in the window to the place where
-the window would start, and the lists are intersected on (document, window,
-start).  What all probes agree on is compared word by word with the document,
-so that matches are exact phrases.  :func:`proximity_matches` asks for the
-same probes within a few places of each other instead.
+Each posting is adjusted by the term's offset in the item to the place where
+the item would start, and the lists are intersected on (document, item,
+start): a window whose probes all agree is a candidate.  Candidates are
+compared word by word with the document, so that matches are exact phrases.
+:func:`proximity_matches` asks for the same probes within a few places of each
+other instead.
 
 DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.common import bounded, cut, words
 
-WINDOW, PROBES = 10, 3
+WINDOW, PROBES = 10, 2
 
 
-def test_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(distinct windows ``win, terms``, their items ``win, item``); an item with fewer words, but not none, is one window."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    first = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    cuts = items.select("item", F.explode(F.transform(first, lambda i: F.slice("w", i + 1, size))).alias("terms"))
-    key = F.sha2(F.array_join("terms", " "), 256).alias("win")
-    found = cut(cuts.select("item", "terms", key).distinct(), "windows")
-    return found.select("win", "terms").distinct(), found.select("win", "item").distinct()
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents under (id, hash of the text): rows that agree in both are the same document."""
-    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text"))
+    return docs.select(F.col("doc_id").alias("doc"), text_hash().alias("h"), F.col("text"))
+
+
+def test_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct word sequences ``key, terms``, the items that have them ``key, item``); items without words are left out."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    rows = cut(rows.withColumn("key", F.xxhash64("terms")), "items")
+    return cut(rows.select("key", "terms").distinct(), "item-terms"), rows.select("key", "item").distinct()
+
+
+def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``key, at`` (first word), ``terms``: the windows; an item with fewer words is one window."""
+    first = F.sequence(F.lit(0), F.greatest(F.size("terms") - size, F.lit(0)))
+    return items.select("key", F.explode(F.transform(first, lambda i: F.struct(i.alias("at"), F.slice("terms", i + 1, size).alias("terms")))).alias("w")).select("key", "w.*")
 
 
 def probe_terms(docs: DataFrame, windows: DataFrame, probes: int = PROBES) -> DataFrame:
-    """The ``probes`` rarest distinct terms of each window: ``win, term, offset, n_probes``.
+    """``key, at, probes``: of each window, the ``probes`` rarest distinct terms (``term, offset`` in the item).
 
     Rarity is the term's count over all documents; a window with a term that
     no document has cannot occur and is dropped.
     """
-    terms = windows.select("win", F.posexplode("terms").alias("offset", "term")).groupBy("win", "term").agg(F.min("offset").alias("offset"))
+    terms = windows.select("key", "at", F.posexplode("terms").alias("i", "term")).groupBy("key", "at", "term").agg(F.min(F.col("at") + F.col("i")).alias("offset"))
     vocabulary = bounded(cut(terms.select("term").distinct(), "vocabulary"))
     corpus = docs.select(F.explode(words(F.col("text"))).alias("term"))
     counts = cut(corpus.join(vocabulary, "term").groupBy("term").count(), "term-counts")
     # Ranking is within a window, which has ten terms at most.
-    ranked = terms.join(bounded(counts), "term", "left").groupBy("win").agg(
+    ranked = terms.join(bounded(counts), "term", "left").groupBy("key", "at").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "offset"))).alias("t"))
-    live = ranked.where(F.col("t")[0]["n"] > 0).select("win", F.slice("t", 1, probes).alias("t"))
-    return live.select("win", F.size("t").alias("n_probes"), F.explode("t").alias("t")).select("win", "n_probes", "t.term", "t.offset")
+    return ranked.where(F.col("t")[0]["n"] > 0).select("key", "at", F.transform(F.slice("t", 1, probes), lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("probes"))
 
 
 def adjusted_postings(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Postings of the probes, moved to where their window would start: ``doc, h, win, n_probes, offset, start``."""
+    """Postings of the probes, moved to where their item would start: ``doc, h, key, start, offset``."""
+    asked = cut(probes.select("key", F.explode("probes").alias("p")).select("key", "p.*").distinct(), "probes")
     index = _keyed(docs).select("doc", "h", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    hits = index.join(bounded(cut(probes, "probes")), "term")
-    return hits.select("doc", "h", "win", "n_probes", "offset", (F.col("pos") - F.col("offset")).alias("start"))
-
-
-def phrase_matches(docs: DataFrame, windows: DataFrame, postings: DataFrame) -> DataFrame:
-    """Exact occurrences ``doc, h, win, start, n`` (``n`` words from ``start``)."""
-    agreed = (postings.where("start >= 0").groupBy("doc", "h", "win", "start").agg(F.count_distinct("offset").alias("k"), F.first("n_probes").alias("n_probes"))
-              .where("k = n_probes").select("doc", "h", "win", "start"))
-    agreed = cut(agreed.join(bounded(windows), "win"), "candidates")
-    cases = bounded(cut(agreed.select("doc", "h").distinct(), "candidate-docs"))
-    texts = _keyed(docs)
-    texts = texts.join(cases, (texts["doc"].eqNullSafe(cases["doc"])) & (texts["h"] == cases["h"]), "left_semi")
-    spans = agreed.groupBy("doc", "h", "win", "terms").agg(F.collect_set("start").alias("starts"))  # of one document and window
-    d, s = texts.alias("d"), spans.alias("s")
-    joined = d.join(s, (F.col("d.h") == F.col("s.h")) & F.col("d.doc").eqNullSafe(F.col("s.doc")))
-    held = joined.select("s.doc", "s.h", "win", "terms", words(F.col("text")).alias("w"), F.explode("starts").alias("start"))
-    exact = held.where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
-    return exact.select("doc", "h", "win", "start", F.size("terms").alias("n")).distinct()
-
-
-def proximity_matches(postings: DataFrame, slop: int = 8) -> DataFrame:
-    """Windows whose probes all occur at starts that lie within one of the overlapping stretches of ``2 * slop`` places: ``doc, h, win``."""
+    return index.join(bounded(asked), "term").select("doc", "h", "key", (F.col("pos") - F.col("offset")).alias("start"), "offset")
+
+
+def candidates(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """``doc, h, key, start, windows``: the windows whose probes all occur where the item would start."""
+    # An item's windows and a document's agreeing probes of one item: both bounded by the item's length.
+    asked = probes.groupBy("key").agg(F.collect_list(F.struct("at", F.transform("probes", lambda p: p["offset"]).alias("offsets"))).alias("asked"), F.min(F.size("probes")).alias("least"))
+    agreed = postings.groupBy("doc", "h", "key", "start").agg(F.collect_set("offset").alias("got"))
+    met = agreed.join(bounded(cut(asked, "asked")), "key").where(F.size("got") >= F.col("least"))
+    return met.select("doc", "h", "key", "start", F.filter("asked", lambda w: F.size(F.array_except(w["offsets"], "got")) == 0).alias("windows")).where(F.size("windows") > 0)
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, postings: DataFrame, probes: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Exact occurrences ``doc, h, key, start, n`` (``n`` words of the document from ``start``)."""
+    found = cut(candidates(postings, probes), "candidates")
+    cases = bounded(cut(found.select("doc", "h").distinct(), "candidate-docs")).alias("c")
+    d = _keyed(docs).alias("d")
+    texts = d.join(cases, (F.col("d.h") == F.col("c.h")) & F.col("d.doc").eqNullSafe(F.col("c.doc")), "left_semi").dropDuplicates(["doc", "h"]).alias("t")
+    held = found.join(bounded(items), "key").alias("f").join(texts, (F.col("f.h") == F.col("t.h")) & F.col("f.doc").eqNullSafe(F.col("t.doc")))
+    each = held.select("f.doc", "f.h", "key", "start", "terms", words(F.col("t.text")).alias("w"), F.col("windows.at").alias("at"))
+    same = F.filter("at", lambda a: (F.col("start") + a >= 0) & (F.slice("w", F.greatest(F.col("start") + a, F.lit(0)) + 1, size) == F.slice("terms", a + 1, size)))
+    # A short item at the end of a document: the slice of the document is as long as the item's.
+    short = F.filter("at", lambda a: (F.col("start") + a >= 0) & (F.slice("w", F.greatest(F.col("start") + a, F.lit(0)) + 1, F.size("terms")) == F.col("terms")))
+    n = F.least(F.size("terms"), F.lit(size))
+    return each.select("doc", "h", "key", "start", n.alias("n"), F.explode(F.when(F.size("terms") < size, short).otherwise(same)).alias("a")).select("doc", "h", "key", (F.col("start") + F.col("a")).alias("start"), "n").distinct()
+
+
+def proximity_matches(postings: DataFrame, probes: DataFrame, slop: int = 8) -> DataFrame:
+    """``doc, h, key, at``: windows whose probes all occur at starts in one of the overlapping stretches of ``2 * slop`` places."""
     block = F.floor(F.col("start") / slop)
-    return (postings.withColumn("block", F.explode(F.array(block, block - 1))).groupBy("doc", "h", "win", "block")
-            .agg(F.count_distinct("offset").alias("k"), F.first("n_probes").alias("n_probes")).where("k = n_probes").select("doc", "h", "win").distinct())
+    near = postings.withColumn("start", F.explode(F.array(block, block - 1)))
+    return candidates(near, probes).select("doc", "h", "key", F.explode("windows.at").alias("at")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
-    """(exact matches ``doc, h, win, start, n``, items of the windows ``win, item``).
+    """(exact matches ``doc, h, key, start, n``, the items of each key ``key, item``).
 
     ``doc`` is the ``doc_id`` and ``h`` the hash of the text, so repeated rows
     share their matches and null ids match by their text.  Null and empty
     texts, and items without words, have no matches.  An item without an id
     still marks words, but is not counted or named.  Other columns are not read.
     """
-    windows, items = test_windows(benchmark, size)
-    windows = cut(windows, "distinct-windows")
-    postings = adjusted_postings(docs, probe_terms(docs, windows, probes))
-    return cut(phrase_matches(docs, windows, postings), "matches"), items
+    items, named = test_items(benchmark)
+    asked = cut(probe_terms(docs, test_windows(items, size), probes), "window-probes")
+    return cut(phrase_matches(docs, items, adjusted_postings(docs, asked), asked, size), "matches"), named
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -103,14 +117,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches, items = decontaminate(docs, benchmark)
     hit = (matches.select("doc", "h", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
            .distinct().groupBy("doc", "h").agg(F.count("*").alias("n_hit")))
-    named = (matches.select("doc", "h", "win").distinct().join(items, "win").groupBy("doc", "h")
+    named = (matches.select("doc", "h", "key").distinct().join(items, "key").groupBy("doc", "h")
              .agg(F.array_sort(F.collect_set("item")).alias("items")))  # a document's items: as many as the benchmark has
-    found = hit.join(named, hit["h"].eqNullSafe(named["h"]) & hit["doc"].eqNullSafe(named["doc"]), "left").select(hit["doc"], hit["h"], "n_hit", "items")
-    every = _keyed(docs).select("doc", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    found = bounded(cut(found, "contaminated"))
-    out = every.join(found, (every["h"] == found["h"]) & every["doc"].eqNullSafe(found["doc"]), "left")
+    a, b = hit.alias("a"), named.alias("b")
+    found = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.doc").eqNullSafe(F.col("b.doc")), "left").select("a.doc", "a.h", "n_hit", "items")
+    every = _keyed(docs).select("doc", "h", F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("e")
+    found = bounded(cut(found, "contaminated")).alias("f")
+    out = every.join(found, (F.col("e.h") == F.col("f.h")) & F.col("e.doc").eqNullSafe(F.col("f.doc")), "left")
     return out.select(
-        every["doc"].alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.col("e.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
@@ -119,4 +134,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a match, with all their columns."""
     matches, _ = decontaminate(docs, benchmark)
     bad = bounded(cut(matches.select("doc", "h").distinct(), "contaminated-docs"))
-    return docs.join(bad, (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["h"]) & docs["doc_id"].eqNullSafe(bad["doc"]), "left_anti")
+    kept = docs.withColumn("_h", text_hash()).alias("d").join(bad.alias("b"), (F.col("d._h") == F.col("b.h")) & F.col("d.doc_id").eqNullSafe(F.col("b.doc")), "left_anti")
+    return kept.drop("_h")

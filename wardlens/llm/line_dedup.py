@@ -1,12 +1,17 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words.  Words are ordered from rare to
-frequent by their counts over all lines.  Two sets of Jaccard similarity t or
-more share one of their first ``n - ceil(t * n) + 1`` words in that order
-(prefix filter), have sizes within t of each other (length filter), and have
-enough words left after the shared one (positional filter).  A parity bitmap
-bounds the number of differing words from below before the full sets are
-compared.  Lines with an earlier match are removed.
+A line is the set of its words (runs without white space, A-Z lower-cased).
+Words are ordered from rare to frequent by their counts over all lines.  Two
+sets of Jaccard similarity t or more share one of their first
+``n - ceil(t * n) + 1`` words in that order (prefix filter), have sizes within
+t of each other (length filter), and have enough words left after the shared
+one (positional filter).  A parity bitmap bounds the number of differing words
+from below before the full sets are compared.  Lines with an earlier match are
+removed.
+
+Counts are kept per bucket of a hash of the word, which bounds the table that
+the workers get; any order of the words gives the same result.  A word whose
+bucket counts one word occurs once, so it is left out of the postings.
 
 Lines with equal sets are one entry of the join.  In a long posting list each
 line is first compared with the earliest; only lines without a match so far
@@ -15,134 +20,155 @@ meet the rest of the list.
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
+import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import xor
 
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import Memo, bounded, cut, map_batches
+from wardlens.llm.common import ASCII_LOWER, TOKEN, bounded, cut, map_arrow, map_batches
+from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
 PERCENT, LEAST_WORDS = 90, 5
-#: Words whose counts are sent to the workers: the most frequent; rarer words are ordered by their hash.  Any order gives the same result.
-FREQUENT = 50_000
-LONG_LIST = 64
-KEY = ("doc", "h", "line")
+#: Buckets of the word counts, and the highest count that is told apart.
+BUCKETS, MOST = 1 << 20, (1 << 20) - 1
+CHUNK = 1 << 12
+#: A posting list can be long if its word's bucket counts more words than this.
+LONG_LIST = 256
+#: A line: its document's id (the lowest number for null), and text hash and place in one number; the order of these is "earlier".
+KEY = ("doc", "at")
+TOKENS = re.compile(TOKEN)
 
 
-def line_words(line: str) -> set[str]:
-    return set(line.lower().split())
+def line_key() -> tuple[Column, Column]:
+    """(document, text hash as the upper half of ``at``) of a row of documents."""
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(0x7FFFFFFF)
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftleft(text_hash, 32).alias("h")
 
 
-def word_order(docs: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The ``most`` most frequent words over all documents, from rare to frequent."""
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How many words of all documents fall into each bucket; at most :data:`MOST`."""
 
-    def work(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            seen += np.bincount((word_hashes(b.column(0))[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        yield {"chunk": list(range(BUCKETS // CHUNK)), "n": [x.tobytes() for x in seen.reshape(-1, CHUNK)]}
+
+    def add(batches: Iterator[dict]) -> Iterator[dict]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for t in b["text"]:
-                seen.update((t or "").lower().split())
-            if len(seen) > 400_000:
-                yield {"word": list(seen), "n": list(seen.values())}
-                seen.clear()
-        yield {"word": list(seen), "n": list(seen.values())}
+            for chunk, n in zip(b["chunk"], b["n"], strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(n, np.int64)
+        yield {"chunk": list(sums), "n": [x.tobytes() for x in sums.values()]}
 
-    counts = map_batches(docs.select("text"), work, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
+    schema = "chunk int, n binary"
+    parts = map_batches(map_arrow(docs.select("text"), count, schema).repartition("chunk"), add, schema).collect()  # BUCKETS numbers
+    counts = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
+    for r in parts:
+        counts[r["chunk"]] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(counts.ravel(), MOST).astype(np.int32)
 
 
 def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """``doc, h, line, set_id, n, prefix, bits1, bits2`` of every line with ``least_words`` distinct words or more."""
-    rank = docs.sparkSession.sparkContext.broadcast(word_order(docs))
+    """``doc, at, s1, s2`` (hashes of the set), ``n, bits, skip, prefix`` of every line with ``least_words`` distinct words or more.
 
-    def work(batches: Iterator[dict]) -> Iterator[dict]:
-        order = {w: (i + 1) << 44 for i, w in enumerate(rank.value)}
-        key = Memo(lambda w: order.get(w, 0) | xxhash.xxh3_64_intdigest(w) & ((1 << 44) - 1)).__getitem__
-        bit = [1 << i for i in range(128)]
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in (*KEY, "set_id", "n", "prefix", "bits1", "bits2")}
-            for doc, h, text in zip(b["doc"], b["h"], b["text"], strict=True):
-                for i, line in enumerate((text or "").split("\n")):
-                    held = line_words(line)
-                    if len(held) < least_words:
-                        continue
-                    keys = sorted(map(key, held))
-                    n = len(keys)
-                    bits = reduce(xor, [bit[k & 127] for k in keys])
-                    row = (doc, h, i, xxhash.xxh3_128_digest(array("q", keys).tobytes()), n, keys[: n - -(-percent * n // 100) + 1], (bits >> 64) - (1 << 63), (bits & ((1 << 64) - 1)) - (1 << 63))
-                    for c, v in zip(out.values(), row, strict=True):
-                        c.append(v)
-            yield out
-
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    return map_batches(rows, work, "doc bigint, h bigint, line int, set_id binary, n int, prefix array<bigint>, bits1 bigint, bits2 bigint")
-
-
-def _can_match(percent: int, a: str, b: str) -> Column:
-    """Length, positional and bitmap filter of two postings (columns ``n, pos, bits1, bits2``)."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))  # the shared word and what follows
-    differ = F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2")))
-    total = n + m
-    # Shared words s reach the limit if s * (100 + percent) >= percent * total; words that differ are total - 2 * s.
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
+    ``prefix`` holds the keys of the first words but for the ``skip`` first, which occur once; a key is the count and a hash.
+    """
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
+
+    def of(batch: pa.RecordBatch) -> dict:
+        h, starts, data, offsets = word_hashes(batch.column("text"))
+        breaks = np.flatnonzero(data == 10)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        line = np.searchsorted(breaks, starts) + owner  # each text starts a line too
+        key = (counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 43) | (h >> np.uint64(21)).astype(np.int64)
+        order = np.lexsort((key, line))
+        key, line, owner, h = key[order], line[order], owner[order], h[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line, owner, h = key[new], line[new], owner[new], h[new]
+        first = np.flatnonzero(np.diff(line, prepend=-1))  # of each line with words
+        n = np.diff(first, append=len(line))
+        place = np.arange(len(key)) - np.repeat(first, n)
+        kept = n >= least_words
+        with np.errstate(over="ignore"):
+            if len(first):
+                s1, s2 = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h * np.uint64(BASE) + np.uint64(1)), first)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
+            else:
+                s1 = s2 = bits = h
+        once = (key >> 43) <= 1
+        in_prefix = place < np.repeat(n - -(-percent * n // 100) + 1, n)
+        posted = in_prefix & ~once & np.repeat(kept, n)
+        number = np.repeat(np.arange(len(first)), n)
+        sizes = np.bincount(number[posted], minlength=len(first))[kept]
+        skip = np.bincount(number[in_prefix & once], minlength=len(first))[kept]
+        doc, top = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
+        o = owner[first][kept]
+        place_in_doc = line[first][kept] - (np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1))[o]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
+        signed = lambda x: x[kept].view(np.int64)
+        return {"doc": doc[o], "at": top[o] | place_in_doc, "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(bits), "skip": skip.astype(np.int32), "prefix": lists}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        return map(of, batches)
+
+    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, at bigint, s1 bigint, s2 bigint, n int, bits bigint, skip int, prefix array<bigint>")
+
+
+def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """``doc_a, at_a, doc, at`` (the later line) of postings under one word that pass the length, positional and bitmap filter."""
+    a, b = a.alias("a"), b.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))  # the shared word and what follows
+    differ, total = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))), n + m
+    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.at") < F.col("b.at")))
+    # Shared words s reach the limit if s * (100 + percent) >= percent * total; the words that differ are total - 2 * s.
+    can = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & can).select(F.col("a.doc").alias("doc_a"), F.col("a.at").alias("at_a"), "b.doc", "b.at")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines ``doc, h, line`` of ``pairs`` (structs ``a`` earlier, ``b`` later) whose full sets reach the limit."""
+    """The later lines ``doc, at`` of pairs whose full sets of words reach the limit."""
     pairs = cut(pairs.distinct(), "line-pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).select("k.*").distinct(), "pair-lines")
-    cases = bounded(cut(wanted.select("doc", "h").distinct(), "pair-docs"))
-    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    texts = texts.join(cases, (texts["h"] == cases["h"]) & texts["doc"].eqNullSafe(cases["doc"]), "left_semi")
-    lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    few = bounded(wanted)
-    lines = lines.join(few, (lines["h"] == few["h"]) & (lines["line"] == few["line"]) & lines["doc"].eqNullSafe(few["doc"]), "left_semi")
-    lines = cut(lines.select(F.struct(*KEY).alias("k"), "s").dropDuplicates(["k"]), "pair-texts")
-    both = pairs.join(lines.toDF("a", "s"), "a").join(lines.toDF("b", "t"), "b").select("b", "s", "t")
+    wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(F.col("doc_a").alias("doc"), F.col("at_a").alias("at")))).alias("k")).select("k.*").distinct(), "pair-lines")
+    cases = bounded(cut(wanted.select("doc", F.shiftleft(F.shiftright("at", 32), 32).alias("h")).distinct(), "pair-docs"))
+    texts = docs.select(*line_key(), "text").join(cases, ["doc", "h"], "left_semi")
+    lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("i", "s")).select("doc", F.col("h").bitwiseOR(F.col("i").cast("long")).alias("at"), "s")
+    lines = cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
+    both = pairs.join(lines.toDF("doc_a", "at_a", "s"), ["doc_a", "at_a"]).join(lines.toDF("doc", "at", "t"), list(KEY)).select("doc", "at", "s", "t")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
-            good = []
-            for b, s, t in zip(x["b"], x["s"], x["t"], strict=True):
-                p, q = line_words(s), line_words(t)
-                if 100 * len(p & q) >= percent * len(p | q):
-                    good.append(b)
-            yield {c: [g[c] for g in good] for c in KEY}
+            sets = [[set(TOKENS.findall(v.translate(ASCII_LOWER))) for v in x[c]] for c in "st"]
+            good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if 100 * len(p & q) >= percent * len(p | q)]
+            yield {c: [x[c][i] for i in good] for c in KEY}
 
-    return map_batches(both, work, "doc bigint, h bigint, line int").distinct()
+    return map_batches(both, work, "doc bigint, at bigint").distinct()
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc, h, line`` of every line that matches an earlier one; lines are ordered by document id, text hash and place."""
+    """``doc, at`` of every line that matches an earlier one; lines are ordered by document id, text hash and place."""
     lines = cut(line_sets(docs, percent, least_words), "line-sets")
     # A set is represented by its earliest line.
-    entries = cut(lines.groupBy("set_id").agg(
-        F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2")), "line-entries")
-    repeats = entries.where("k > 1").select("set_id", "first")
-    equal = lines.select(*KEY, "set_id").join(repeats, "set_id").where(F.struct(*KEY) != F.col("first"))
-
-    posts = entries.select("first", "n", "bits1", "bits2", F.posexplode("prefix").alias("pos", "word"))
-    sizes = posts.groupBy("word").agg(F.count("*").alias("size"), F.min("first").alias("earliest")).where("size > 1")
-    posts = cut(posts.join(sizes, "word"), "line-postings")
-
-    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.alias("a"), b.alias("b")
-        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.first") < F.col("b.first")) & _can_match(percent, "a", "b")
-        return a.join(b, on).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
-
-    short, long = posts.where(F.col("size") <= LONG_LIST), posts.where(F.col("size") > LONG_LIST)
-    near = cut(verified(pairs(short, short).union(pairs(long.where("first = earliest"), long)), docs, percent), "line-matches")
-    if not long.isEmpty():
-        matched = near.select(F.struct(*KEY).alias("first"))
-        rest = long.join(matched, "first", "left_anti")
-        near = near.union(verified(pairs(long, rest), docs, percent))
-    return equal.select(*KEY).union(near).distinct()
+    entries = cut(lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "skip", "prefix"))), "line-entries")
+    repeats = entries.where("k > 1").select("s1", "s2", "first")
+    equal = lines.select(*KEY, "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first")).select(*KEY)
+
+    posts = entries.select(F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "bits", "skip", F.posexplode("prefix").alias("i", "word"))
+    posts = posts.select("doc", "at", "n", "bits", (F.col("skip") + F.col("i")).alias("pos"), "word")
+    often = F.shiftright("word", 43) > LONG_LIST
+    short, long = posts.where(~often), cut(posts.where(often), "long-lists")
+    earliest = long.groupBy("word").agg(F.min(F.struct(*KEY, "n", "bits", "pos")).alias("e")).select("word", "e.*")
+    near = cut(verified(_pairs(short, short, percent).union(_pairs(earliest, long, percent)), docs, percent), "line-matches")
+    rest = cut(long.join(near, list(KEY), "left_anti"), "unmatched")
+    if not rest.isEmpty():
+        near = near.union(verified(_pairs(long, rest, percent), docs, percent))
+    return equal.union(near).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -157,13 +183,16 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     rows (equal id and text) are one document and lose the same lines.  A null
     text stays null, with 0 lines; an empty text has 1.
     """
-    gone = later_matches(docs, percent, least_words).groupBy("doc", "h").agg(F.collect_list("line").alias("_gone"))  # of one document
-    gone = bounded(cut(gone, "removed-lines"))
+    matches = later_matches(docs, percent, least_words)
+    gone = matches.groupBy("doc", F.shiftleft(F.shiftright("at", 32), 32).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")).alias("_gone"))  # of one document
+    gone = bounded(cut(gone, "removed-lines")).alias("g")
     base = docs.drop("n_lines", "n_removed")
-    joined = base.join(gone, (F.xxhash64(F.coalesce(base["text"], F.lit(""))) == gone["h"]) & base["doc_id"].eqNullSafe(gone["doc"]), "left")
+    doc, h = line_key()
+    keyed = base.withColumn("_doc", doc).withColumn("_h", h).alias("d")
+    joined = keyed.join(gone, (F.col("d._doc") == F.col("g.doc")) & (F.col("d._h") == F.col("g.h")), "left").select("d.*", "_gone")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
-    return joined.select(*[text.alias("text") if c == "text" else base[c] for c in base.columns], n_lines, n_removed)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in base.columns], n_lines, n_removed)

@@ -20,25 +20,24 @@ never becomes all of its pairs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import ASCII_LOWER, TOKEN, Memo, bounded, cut, map_batches
+from wardlens.llm.common import bounded, cut, map_arrow
 from wardlens.llm.components import connected_components
+from wardlens.llm.hashing import BASE, MASK, mix, word_hashes
 
 COORDS, ROWS, MATCHES = 28, 4, 2
 #: Posting lists up to this length give all their pairs.
 SHORT_LIST = 24
 #: Stars around the smallest unresolved members before the rest is compared in full.
 STARS = 4
-TOKENS = re.compile(TOKEN)
-MASK = (1 << 64) - 1
 
 
 @cache
@@ -48,29 +47,26 @@ def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rule.integers(1, MASK, n, np.uint64, endpoint=True) | np.uint64(1), rule.integers(0, MASK, n, np.uint64, endpoint=True)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; words are runs without white space, A-Z counted as a-z."""
+    h, starts, _, offsets = word_hashes(texts)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    n = np.bincount(owner, minlength=len(texts)) if len(h) else np.zeros(len(texts), int)
+    ends = np.cumsum(n)
 
+    def join(length: int, parts: list[np.ndarray]) -> np.ndarray:
+        out = np.full(len(parts[0]), length, np.uint64)
+        for x in parts:
+            out = mix(out * np.uint64(BASE) + x)
+        return out
 
-def shingler(k: int):
-    """A function from text to its sorted distinct shingle hashes (64 bits)."""
-    word = Memo(xxhash.xxh3_64_intdigest).__getitem__
-
-    def shingles(text: str | None) -> np.ndarray:
-        found = TOKENS.findall((text or "").translate(ASCII_LOWER))
-        if not found:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(word, found), np.uint64, len(found))
-        n = min(k, len(h))
-        with np.errstate(over="ignore"):
-            out = np.full(len(h) - n + 1, n, np.uint64)
-            for i in range(n):
-                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
-
-    return shingles
+    with np.errstate(over="ignore"):
+        every = join(k, [h[i : len(h) - k + 1 + i] for i in range(k)]) if len(h) >= k else h[:0]
+        out = []
+        for size, end in zip(n.tolist(), ends.tolist(), strict=True):
+            a = end - size
+            out.append(np.unique(every[a : end - k + 1]) if size >= k else join(size, [h[i : i + 1] for i in range(a, end)]) if size else h[:0])
+    return out
 
 
 def signature(shingles: np.ndarray, coords: int, rows: int) -> np.ndarray:
@@ -81,23 +77,26 @@ def signature(shingles: np.ndarray, coords: int, rows: int) -> np.ndarray:
         for i in range(0, len(shingles), 2048):
             x = shingles[i : i + 2048, None] * a + b
             x ^= x >> np.uint64(31)
-            low = np.minimum(low, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+            low = np.minimum(low, (x * np.uint64(BASE)).min(axis=0))
         out = np.zeros(coords, np.uint64)
         for r in range(rows):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + low[r::rows])
+            out = mix(out * np.uint64(BASE) + low[r::rows])
     return out >> np.uint64(1)
 
 
 def signatures(docs: DataFrame, k: int, coords: int = COORDS, rows: int = ROWS) -> DataFrame:
     """``doc, n, set_id, sig`` of every row; ``set_id`` is a hash of the full set, null with an empty set."""
 
-    def work(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles = shingler(k)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            sets = [shingles(t) for t in b["_text"]]
-            yield {"doc": b["_id"], "n": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], "sig": [signature(s, coords, rows).tolist() if len(s) else None for s in sets]}
+            sets = shingle_sets(b.column("text"), k)
+            yield {"doc": b.column("doc"), "n": [len(s) for s in sets], "set_id": [set_name(s) for s in sets], "sig": [signature(s, coords, rows).astype(np.int64) if len(s) else None for s in sets]}
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), work, "doc bigint, n bigint, set_id string, sig array<bigint>")
 
-    return map_batches(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), work, "doc bigint, n bigint, set_id string, sig array<bigint>")
+
+def set_name(shingles: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else None
 
 
 def near_enough(least: Column, most: Column, percent: int) -> Column:
@@ -123,29 +122,18 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     texts = cut(texts, "close-texts")
     dealt = close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
-    def work(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles, last = shingler(k), {}
-
-        def of(node, text: str, wanted: str):
-            """Neighbouring pairs often share a document."""
-            if (node, wanted) not in last:
-                if len(last) > 64:
-                    last.clear()
-                s = shingles(text)
-                last[node, wanted] = s if xxhash.xxh3_128_hexdigest(s.tobytes()) == wanted else None
-            return last[node, wanted]
-
-        for batch in batches:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for x in batches:
             out = []
-            for a, b, x, y, s, t in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b", "set_a", "set_b")), strict=True):
-                p, q = of(a, x, s), of(b, y, t)
-                if p is not None and q is not None:
+            names = (x.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))
+            for a, b, s, t, p, q in zip(*names, shingle_sets(x.column("text_a"), k), shingle_sets(x.column("text_b"), k), strict=True):
+                if set_name(p) == s and set_name(q) == t:  # of rows that share an id, only one text stands for it
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         out.append((a, b))
             yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
 
-    return map_batches(dealt.select("a", "b", "text_a", "text_b", "set_a", "set_b"), work, "a bigint, b bigint")
+    return map_arrow(dealt.select("a", "b", "text_a", "text_b", "set_a", "set_b"), work, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, rows: int = ROWS, matches: int = MATCHES) -> DataFrame:
