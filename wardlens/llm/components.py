@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from wardlens.llm.common import cut
 
+#: Links per task where the table is small; one task's worth needs no shuffle at all.
+TASK_LINKS = 200_000
+
+
+def _dealt(links: DataFrame, n: int) -> DataFrame:
+    """A table that fits into one task is read by one, so that its aggregates and joins need no exchange."""
+    return links.coalesce(1) if n <= TASK_LINKS else links
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) of every node with an edge ``a, b``; each round halves long paths.
+    """``node, component`` (the smallest node reachable) of every node with an edge ``a, b``; each round shortens paths.
 
-    Each node keeps links to its smallest neighbour only, so a node with very
-    many links is an aggregate, never a collected list.
+    A node's neighbours are aggregated to the smallest, never collected, so a
+    node may have any number of links.
     """
-    both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(both, "links")
-    while True:
+    links = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    print_of = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    last = links.agg(*print_of).first()
+    while last["n"]:
+        now = _dealt(links, last["n"])
         # Large star: the larger neighbours of a node link to the smallest of its neighbours and itself.
-        ways = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = _dealt(ways, last["n"])
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ways.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         # Small star: a node and its smaller neighbours link to the smallest of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
-        small = small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        following = cut(small, "links")
-        if following.count() == links.count() and following.exceptAll(links).isEmpty():
+        pairs = F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
+        links = cut(small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "links")
+        after = links.agg(*print_of).first()
+        if after == last:
             break
-        links = following
-    return following.select(F.col("b").alias("node"), F.col("a").alias("component")).union(following.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        last = after
+    return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

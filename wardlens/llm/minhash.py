@@ -12,10 +12,11 @@ full shingle sets.  At the linking limit of 0.85 a pair is missed with
 probability under 1e-6, farther up hardly ever.
 
 Equal sets are one node, so copies cost nothing.  A short posting list gives
-its pairs.  A long one first gives only the links to its smallest member;
-members that this leaves in another component are then compared with the
-whole list, so no link between components is lost and a group of near copies
-never becomes all of its pairs.
+its pairs.  A long one first gives only the links to its smallest member.
+Members that this leaves outside the list's largest component are then
+compared with the whole list, block by block inside the tasks, which return
+only links that join two components.  So no such link is lost, and a group of
+near copies never becomes rows for all of its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from wardlens.llm.hashing import BASE, MASK, mix, word_hashes
 COORDS, ROWS, MATCHES = 28, 4, 2
 #: Posting lists up to this length give all their pairs.
 SHORT_LIST = 24
-#: Stars around the smallest unresolved members before the rest is compared in full.
-STARS = 4
+#: Members and shingles of a block of a long list, on average at most; two blocks at a time are compared in a task.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 400_000
 
 
 @cache
@@ -105,21 +106,28 @@ def near_enough(least: Column, most: Column, percent: int) -> Column:
 
 
 def posting_lists(nodes: DataFrame, coords: int, matches: int) -> DataFrame:
-    """Members ``post, node, n, size`` of the posting lists with two members or more, under the prefix coordinates."""
-    posts = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, coords - matches + 1)).alias("c", "v")).select(F.xxhash64("c", "v").alias("post"), "node", "n")
+    """Members ``post, c, node, n, size`` of the posting lists with two members or more, under the prefix coordinates ``c``."""
+    posts = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, coords - matches + 1)).alias("c", "v")).select(F.xxhash64("c", "v").alias("post"), "c", "node", "n")
     sizes = posts.groupBy("post").agg(F.count("*").alias("size")).where("size > 1")
     return cut(posts.join(sizes, "post"), "postings")
 
 
+def short_signature() -> Column:
+    return F.transform("sig", lambda v: (v % (1 << 31)).cast("int")).alias("sig")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc, text`` of the documents in ``wanted`` (``doc``); repeated rows stay."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(bounded(wanted), "doc", "left_semi")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, matches: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``) that agree in ``matches`` coordinates and whose full sets reach the limit."""
-    sig = nodes.select("node", F.transform("sig", lambda v: (v % (1 << 31)).cast("int")).alias("sig"), "set_id")
+    sig = nodes.select("node", short_signature(), "set_id")
     both = pairs.distinct().join(sig.toDF("a", "sig_a", "set_a"), "a").join(sig.toDF("b", "sig_b", "set_b"), "b")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     close = cut(both.where(same >= matches).select("a", "b", "set_a", "set_b"), "close-pairs")
-    wanted = bounded(cut(close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "close-docs"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi").dropDuplicates()
-    texts = cut(texts, "close-texts")
+    texts = cut(texts_of(cut(close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "close-docs"), docs), "close-texts")
     dealt = close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -136,6 +144,90 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     return map_arrow(dealt.select("a", "b", "text_a", "text_b", "set_a", "set_b"), work, "a bigint, b bigint")
 
 
+def joining_links(u: dict, v: dict, c: int, percent: int, matches: int) -> list[tuple[int, int]]:
+    """The pairs of parts that links between two blocks of one list join.
+
+    Blocks have ``node, part, n, sig`` and ``set``.  A pair is looked at in the
+    list of the first coordinate in which it agrees, if it agrees in
+    ``matches`` or more; links inside what earlier links join are left out.
+    """
+    n, m = u["n"][:, None], v["n"][None, :]
+    todo = (u["part"][:, None] != v["part"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    same = np.zeros(todo.shape, np.int16)
+    for i in range(u["sig"].shape[1]):
+        equal = u["sig"][:, i, None] == v["sig"][None, :, i]
+        if i < c:
+            todo &= ~equal
+            if not todo.any():
+                return []
+        else:
+            same += equal
+    todo &= same >= matches
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    held: dict[tuple[int, int], set] = {}
+
+    def elements(side: int, i: int) -> set:
+        if (side, i) not in held:
+            held[side, i] = set((u, v)[side]["set"][i].tolist())
+        return held[side, i]
+
+    out = []
+    for i, j in np.argwhere(todo).tolist():
+        a, b = root(int(u["part"][i])), root(int(v["part"][j]))
+        if a != b:
+            p, q = elements(0, i), elements(1, j)
+            both = len(p & q)
+            if 100 * both >= percent * (len(p) + len(q) - both):
+                top[max(a, b)] = min(a, b)
+                out.append((int(u["part"][i]), int(v["part"][j])))
+    return out
+
+
+def open_links(long: DataFrame, parts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, matches: int) -> DataFrame:
+    """The pairs of parts ``a, b`` that links of long lists join: whoever is outside a list's largest part meets the whole list."""
+    owned = long.join(parts.withColumnRenamed("component", "part"), "node", "left").select("post", "c", "node", "n", F.coalesce("part", "node").alias("part"))
+    sizes = owned.groupBy("post", "part").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    main = sizes.groupBy("post").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("w").alias("w")).where("parts > 1")
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_NODES, F.col("w") / BLOCK_SHINGLES))
+    members = cut(owned.join(main.select("post", F.col("main.part").alias("main"), blocks.alias("blocks")), "post"), "open-lists")
+    texts = texts_of(cut(members.select(F.col("node").alias("doc")).distinct(), "open-docs"), docs).join(nodes.select(F.col("node").alias("doc"), short_signature(), "set_id"), "doc")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            found, names = shingle_sets(b.column("text"), k), b.column("set_id").to_pylist()
+            good = [i for i, (s, name) in enumerate(zip(found, names, strict=True)) if set_name(s) == name]
+            yield {"node": b.column("doc").take(pa.array(good, pa.int64())), "sig": b.column("sig").take(pa.array(good, pa.int64())), "set": [found[i].tobytes() for i in good]}
+
+    held = map_arrow(texts.select("doc", "text", "sig", "set_id"), sets, "node bigint, sig array<int>, set binary").dropDuplicates(["node"])
+    full = members.join(held, "node").select("post", "c", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"), (F.col("part") != F.col("main")).alias("rest"), F.struct("node", "part", "n", "sig", "set").alias("x"))
+    side = cut(full.groupBy("post", "c", "blocks", "block", "rest").agg(F.collect_list("x").alias("x")), "list-blocks")  # of one block
+    # Each pair of blocks is a key of its own, so that a long list is spread over tasks.
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    u = side.where("rest").select("post", "c", F.col("block").alias("i"), every.alias("j"), F.col("x").alias("u")).repartition("post", "i", "j")
+    v = side.select("post", every.alias("i"), F.col("block").alias("j"), "rest", F.col("x").alias("v")).repartition("post", "i", "j")
+    meet = u.join(v, ["post", "i", "j"]).where(~F.col("rest") | (F.col("i") <= F.col("j")))  # two blocks outside the largest part meet once
+
+    def read(x) -> dict:
+        rows = x.values
+        sets = [np.frombuffer(s, np.uint64) for s in rows.field("set").to_pylist()]
+        numbers = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "n")}
+        return numbers | {"sig": rows.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(sets), -1), "set": sets}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = joining_links(read(b.column("u")[i]), read(b.column("v")[i]), b.column("c")[i].as_py(), percent, matches)
+                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return cut(map_arrow(meet.select("c", "u", "v"), work, "a bigint, b bigint"), "joined-parts")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, rows: int = ROWS, matches: int = MATCHES) -> DataFrame:
     """Group documents by links of similarity ``percent`` / 100 or more on ``k``-word shingles.
 
@@ -156,37 +248,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     short = lists.where(F.col("size") <= SHORT_LIST)
     x, y = short.alias("x"), short.alias("y")
     pairs = x.join(y, (F.col("x.post") == F.col("y.post")) & (F.col("x.node") < F.col("y.node")) & near_enough(F.least("x.n", "y.n"), F.greatest("x.n", "y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    long = cut(lists.where(F.col("size") > SHORT_LIST).select("post", "node", "n"), "long-lists")
+    long = cut(lists.where(F.col("size") > SHORT_LIST).select("post", "c", "node", "n"), "long-lists")
 
     def star(members: DataFrame) -> DataFrame:
         hub = members.groupBy("post").agg(F.min(F.struct("node", "n")).alias("hub"))
         return members.join(hub, "post").where((F.col("node") != F.col("hub.node")) & near_enough(F.least("n", "hub.n"), F.greatest("n", "hub.n"), percent)).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
-    def open_members(parts: DataFrame) -> DataFrame:
-        """Members of the long lists that still hold several parts: ``post, node, n, part, main`` (the list's largest part)."""
-        owned = long.join(parts.withColumnRenamed("component", "part"), "node", "left").select("post", "node", "n", F.coalesce("part", "node").alias("part"))
-        sizes = owned.groupBy("post", "part").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("post").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        return cut(owned.join(main.select("post", F.col("main.part").alias("main")), "post"), "open-lists")
-
-    links = cut(confirmed(pairs.union(star(long)), nodes, docs, k, percent, matches), "links")
-    parts = cut(connected_components(links), "components")
-    members = open_members(parts)
-    for _ in range(STARS):
-        if members.isEmpty():
-            break
-        found = cut(confirmed(star(members.where("part <> main").select("post", "node", "n")), nodes, docs, k, percent, matches), "links")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        parts = cut(connected_components(links), "components")
-        members = open_members(parts)
-    if not members.isEmpty():
-        # The exact way for the rest: whoever is outside a list's largest part meets all other parts of the list.
-        u, v = members.where("part <> main").alias("u"), members.alias("v")
-        more = u.join(v, (F.col("u.post") == F.col("v.post")) & (F.col("u.part") != F.col("v.part")) & near_enough(F.least("u.n", "v.n"), F.greatest("u.n", "v.n"), percent))
-        more = more.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"))
-        parts = cut(connected_components(links.union(cut(confirmed(more, nodes, docs, k, percent, matches), "links"))), "components")
+    parts = cut(connected_components(confirmed(pairs.union(star(long)), nodes, docs, k, percent, matches)), "components")
+    if not long.isEmpty():
+        joined = cut(connected_components(open_links(long, parts, nodes, docs, k, percent, matches)).toDF("component", "whole"), "joined")
+        # A node without any link so far is a part by itself.
+        new = joined.select(F.col("component").alias("node"), "component").join(parts, "node", "left_anti")
+        parts = parts.union(new).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     label = member.join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("component_id"))
     out = sigs.select("doc", "n").join(label, "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
