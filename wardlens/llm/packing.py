@@ -11,19 +11,24 @@ merging task remains.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import Memo, cut, map_batches
+from wardlens.llm.common import cut, map_batches
 
 WINDOW, OPEN, END_ID = 2048, 64, 1
 #: Entries of a worker's cache of tokenised chunks.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
+#: Longer chunks leave the cache after their batch, which bounds it in bytes too.
+KEPT_CHARS = 64
 #: Ids a merging task gets on average.
 MERGE_IDS = 8_000_000
 
@@ -35,19 +40,72 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encoder(path: str, end_id: int = END_ID):
-    """A function from text to its ids as little-endian 32-bit bytes, ``end_id`` last.
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers use for each byte: printable bytes stand for themselves, the others come after 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    The tokenizer drops white space and never merges across it, so chunks
-    between spaces or new lines are encoded apart, through a bounded cache.
-    """
-    tok = tokenizer(path)
 
-    def ids(chunk: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in tok.encode(chunk, add_special_tokens=False).ids)
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer normalises with NFC and lower case, drops white space, takes runs of letters, and maps bytes: what :func:`encoder` relies on."""
+    spec = json.loads(tokenizer(path).to_str())
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+    return [x.get("type") for x in pre] == ["Split", "ByteLevel"] and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pre[0]["pattern"].get("Regex", "") and steps == ["NFC", "Replace", "Lowercase"]
+
 
-    get, end = Memo(ids, CACHE_ENTRIES, {"": b""}).__getitem__, end_id.to_bytes(4, "little")
-    return lambda text: b"".join(map(get, (text or "").replace("\n", " ").split(" "))) + end
+def encoder(path: str, end_id: int = END_ID, entries: int = CACHE_ENTRIES):
+    """A function from texts to their ids as little-endian 32-bit bytes, ``end_id`` last.
+
+    Where the tokenizer drops white space and never merges across it, chunks
+    between spaces or new lines are encoded apart, each new one once, through
+    a bounded cache.  A word of letters is a pre-token of its own, whose bytes
+    go straight to the model; a full stop or comma after it is another.
+    Other chunks, and texts of other tokenizers, go through the whole tokenizer.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    tok = tokenizer(path)
+    number = [i.to_bytes(4, "little") for i in range(tok.get_vocab_size(with_added_tokens=True))]
+    pack = lambda ids: b"".join([number[i] for i in ids])
+    if not splits_words(path):
+        return lambda texts: [pack(e.ids) + number[end_id] for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    model, letters = tok.model, byte_letters()
+    cache: dict[str, bytes] = {}
+
+    def learn(chunks: set[str]) -> None:
+        odd, made = [c for c in ("", ".", ",") if c not in cache], []
+        for c in chunks:
+            core, tail = (c[:-1], c[-1]) if c[-1:] in (".", ",") else (c, "")
+            low = core.lower()
+            if "Σ" in core or not low.isalpha() or not is_normalized("NFC", low) or not is_normalized("NFC", core):
+                odd.append(c)
+                continue
+            if low not in cache:
+                word = low if low.isascii() else "".join([letters[x] for x in low.encode()])
+                cache[low] = pack([t.id for t in model.tokenize(word)])
+            if low != c:
+                made.append((c, low, tail))
+        for c, e in zip(odd, tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            cache[c] = pack(e.ids)
+        for c, low, tail in made:
+            cache[c] = cache[low] + cache[tail]
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        seen = set().union(*split)
+        new = seen - cache.keys()
+        if len(cache) + len(new) > entries:
+            cache.clear()
+            new = seen
+        learn(new)
+        out = [b"".join(map(cache.__getitem__, chunks)) + number[end_id] for chunks in split]
+        for c in [c for c in new if len(c) > KEPT_CHARS]:
+            cache.pop(c, None)
+        return out
+
+    return encode
 
 
 def pack_partition(docs: Iterator[tuple[object, bytes]], window: int = WINDOW, most_open: int = OPEN) -> Iterator[tuple[bool, list[tuple]]]:
@@ -127,7 +185,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, most_open:
 
     def first(batches: Iterator[dict]) -> Iterator[dict]:
         encode, seq = encoder(path, end_id), TaskContext.get().partitionId() << 32
-        stream = ((i, encode(t)) for b in batches for i, t in zip(b["_id"], b["_text"], strict=True))
+        stream = (x for b in batches for x in zip(b["_id"], encode(b["_text"]), strict=True))
         numbered = ((seq + k if closed else None, pieces) for k, (closed, pieces) in enumerate(pack_partition(stream, window, most_open)))
         yield from rows(numbered, keep_ids)
 
