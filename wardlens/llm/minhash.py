@@ -1,15 +1,15 @@
 """Near-duplicate documents: an inverted join over signature coordinates.
 
 A document is the set of its distinct word shingles.  Its signature has
-:data:`COORDS` coordinates; the value of one is a hash of :data:`ROWS`
-independent minimum hashes, so that two sets of similarity s agree in a
-coordinate with probability s ** ROWS.  Documents are posted under each
+:data:`COORDS` coordinates; the value of one is a hash of some independent
+minimum hashes (:func:`rows_for`), so that two sets of similarity s agree in a
+coordinate with probability s ** rows.  Documents are posted under each
 (coordinate, value).  Pairs that agree in fewer than :data:`MATCHES`
 coordinates are dropped, so only the first ``COORDS - MATCHES + 1`` coordinates
 are posted (prefix); the others are counted from the signatures of the pairs
 that a posting list brings together (skip).  What remains is confirmed on the
-full shingle sets.  At the linking limit of 0.85 a pair is missed with
-probability under 1e-6, farther up hardly ever.
+full shingle sets.  At the linking limit a pair is missed with probability
+under :data:`MISSED` (3e-8 at 0.85, 6e-8 at 0.8), farther up hardly ever.
 
 Equal sets are one node, so copies cost nothing.  A short posting list gives
 its pairs.  A long one first gives only the links to its smallest member.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from wardlens.llm.common import bounded, cut, map_arrow
 from wardlens.llm.components import connected_components
 from wardlens.llm.hashing import BASE, MASK, mix, word_hashes
 
-COORDS, ROWS, MATCHES = 28, 4, 2
+COORDS, MATCHES = 28, 2
+#: The number of minimum hashes in a coordinate is the largest that misses a pair at the linking limit with less than this probability.
+MISSED = 1e-6
 #: Posting lists up to this length give all their pairs.
 SHORT_LIST = 24
 #: Members and shingles of a block of a long list, on average at most; two blocks at a time are compared in a task.
@@ -70,6 +73,15 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def rows_for(percent: int, coords: int = COORDS, matches: int = MATCHES) -> int:
+    """The most minimum hashes a coordinate for which a pair at the limit agrees in ``matches`` coordinates with probability 1 - :data:`MISSED`."""
+    def missed(rows: int) -> float:
+        p = (percent / 100) ** rows
+        return sum(comb(coords, i) * p**i * (1 - p) ** (coords - i) for i in range(matches))
+
+    return max((r for r in range(1, 17) if missed(r) <= MISSED), default=1)
+
+
 def signature(shingles: np.ndarray, coords: int, rows: int) -> np.ndarray:
     """``coords`` values of 63 bits; in blocks, so that memory does not grow with the text."""
     a, b = _hashes(coords * rows)
@@ -85,7 +97,7 @@ def signature(shingles: np.ndarray, coords: int, rows: int) -> np.ndarray:
     return out >> np.uint64(1)
 
 
-def signatures(docs: DataFrame, k: int, coords: int = COORDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, k: int, rows: int, coords: int = COORDS) -> DataFrame:
     """``doc, n, set_id, sig`` of every row; ``set_id`` is a hash of the full set, null with an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -228,7 +240,7 @@ def open_links(long: DataFrame, parts: DataFrame, nodes: DataFrame, docs: DataFr
     return cut(map_arrow(meet.select("c", "u", "v"), work, "a bigint, b bigint"), "joined-parts")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, rows: int = ROWS, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
     """Group documents by links of similarity ``percent`` / 100 or more on ``k``-word shingles.
 
     Returns ``doc_id, n_shingles, component_id`` (the smallest id reachable,
@@ -238,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     the one with the smallest set hash stands for it.  A row without an id is
     linked with nothing and has a null component.  Other columns are not read.
     """
-    sigs = cut(signatures(docs, k, coords, rows), "signatures")
+    sigs = cut(signatures(docs, k, rows_for(percent, coords, matches), coords), "signatures")
     held = sigs.where(F.col("set_id").isNotNull() & F.col("doc").isNotNull())
     one = held.groupBy("doc").agg(F.min(F.struct("set_id", "n", "sig")).alias("s")).select("doc", "s.*")
     nodes = cut(one.groupBy("set_id").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")

@@ -2,9 +2,9 @@
 
 The dimensions are dealt out to :data:`PARTS` parts; each part knows only its
 share of a score.  Phase 1 gathers, of every part, each query's k highest
-shares, and the lowest share.  Measured from a part's lowest share, shares are
-not negative, so the k-th best sum of gathered shares is a safe lower bound of
-the k-th score.  Phase 2 sends every part that bound divided by the number of
+shares with the scores of their vectors, and the lowest share.  The k-th best
+gathered score is a safe lower bound of the k-th score.  Measured from a
+part's lowest share, shares are not negative.  Phase 2 sends every part that bound divided by the number of
 parts: a vector that stays below it in all parts cannot be among the k best,
 so the entries at or above it suffice.  Their bounds are tightened once more.
 Phase 3 resolves what remains by whole inner products.
@@ -55,19 +55,21 @@ def _matrix(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local(meeting: DataFrame, parts: int, k: int) -> DataFrame:
-    """Phase 1: ``query, part, id, share`` of each block's ``k`` highest shares; the lowest share has a null id."""
+    """Phase 1: ``query, part, id, share, score`` of each block's ``k`` highest shares; the lowest share has a null id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 (q, qm), (c, cm) = _matrix(b.column("qs"), i), _matrix(b.column("cs"), i)
-                out = [[], [], [], []]
-                for p, dims in enumerate(np.array_split(np.arange(qm.shape[1]), parts)):
-                    shares = qm[:, dims] @ cm[:, dims].T
+                out: list[list] = [[], [], [], [], []]
+                own = q[:, None] == c[None, :]  # a query meets no row with its id
+                every = [qm[:, dims] @ cm[:, dims].T for dims in np.array_split(np.arange(qm.shape[1]), parts)]
+                score = sum(every)
+                for p, shares in enumerate(every):
                     low = shares.min(axis=1)
-                    shares[q[:, None] == c[None, :]] = -np.inf  # not the query's own row
+                    shares[own] = -np.inf
                     top = np.argsort(-shares, axis=1, kind="stable")[:, :k]
-                    best = np.take_along_axis(shares, top, axis=1)
+                    best, whole = np.take_along_axis(shares, top, axis=1), np.take_along_axis(score, top, axis=1)
                     for j in range(len(q)):
                         good = best[j] > -np.inf
                         n = int(good.sum())
@@ -75,9 +77,11 @@ def _local(meeting: DataFrame, parts: int, k: int) -> DataFrame:
                         out[1] += [p] * (n + 1)
                         out[2] += [*c[top[j][good]].tolist(), None]
                         out[3] += [*best[j][good], low[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query", "part", "id", "share"])
+                        out[4] += [*whole[j][good], None]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query", "part", "id", "share", "score"])
 
-    return meeting.mapInArrow(run, "query bigint, part int, id bigint, share double")
+    return meeting.mapInArrow(run, "query bigint, part int, id bigint, share double, score double")
 
 
 def _above(meeting: DataFrame, parts: int) -> DataFrame:
@@ -122,11 +126,11 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K, parts: int = PA
 
     lists = cut(_local(meeting, parts, k), "local-lists")
     low = lists.where("id is null").groupBy("query", "part").agg(F.min("share").alias("low"))
-    top = lists.where("id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query", "part").orderBy(F.desc("share"), "id"))).where(F.col("rank") <= k)
-    sums = top.join(low, ["query", "part"]).groupBy("query", "id").agg(F.sum(F.col("share") - F.col("low")).alias("bound"))
-    safe = _best(sums, "bound", k, "id").groupBy("query").agg(F.min("bound").alias("bound"), F.count("*").alias("n"))
-    # With fewer than k entries known there is no bound, and all entries are sent.
-    cutoff = low.join(safe, "query", "left").select("query", "part", "low", F.when(F.col("n") >= k, F.col("low") + F.col("bound") / parts).otherwise(F.col("low")).alias("cutoff"))
+    scores = lists.where("id is not null").groupBy("query", "id").agg(F.max("score").alias("score"))
+    safe = _best(scores, "score", k, "id").groupBy("query").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
+    room = low.groupBy("query").agg(F.sum("low").alias("lows")).join(safe, "query", "left")
+    # With fewer than k entries known there is no bound, and all entries are sent.  The last term is for rounding.
+    cutoff = low.join(room, "query").select("query", "part", "low", F.when(F.col("n") >= k, F.greatest(F.col("low"), F.col("low") + (F.col("bound") - F.col("lows")) / parts - 1e-6)).otherwise(F.col("low")).alias("cutoff"))
     cutoff = cut(cutoff, "cutoffs")
     block = ask.select("q", F.explode("qs").alias("x")).select("q", F.col("x.id").alias("query")).distinct()
     by_block = block.join(cutoff, "query").groupBy("q").agg(F.collect_list(F.struct("query", "part", "cutoff")).alias("cutoffs"))  # of one block
