@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import cut, map_batches
+from wardlens.llm.common import Memo, cut, map_batches
 
 WINDOW, OPEN, END_ID = 2048, 64, 1
 #: Entries of a worker's cache of tokenised chunks.
-CACHE_ENTRIES = 800_000
-#: Longer chunks leave the cache after their batch, which bounds it in bytes too.
+CACHE_ENTRIES = 500_000
+#: Longer chunks are not kept, which bounds the cache in bytes too.
 KEPT_CHARS = 64
 #: Ids a merging task gets on average.
 MERGE_IDS = 8_000_000
@@ -60,8 +60,7 @@ def encoder(path: str, end_id: int = END_ID, entries: int = CACHE_ENTRIES):
     """A function from texts to their ids as little-endian 32-bit bytes, ``end_id`` last.
 
     Where the tokenizer drops white space and never merges across it, chunks
-    between spaces or new lines are encoded apart, each new one once, through
-    a bounded cache.  A word of letters is a pre-token of its own, whose bytes
+    between spaces or new lines are encoded apart, through a bounded cache.  A word of letters is a pre-token of its own, whose bytes
     go straight to the model; a full stop or comma after it is another.
     Other chunks, and texts of other tokenizers, go through the whole tokenizer.
     """
@@ -72,40 +71,21 @@ def encoder(path: str, end_id: int = END_ID, entries: int = CACHE_ENTRIES):
     if not splits_words(path):
         return lambda texts: [pack(e.ids) + number[end_id] for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     model, letters = tok.model, byte_letters()
-    cache: dict[str, bytes] = {}
-
-    def learn(chunks: set[str]) -> None:
-        odd, made = [c for c in ("", ".", ",") if c not in cache], []
-        for c in chunks:
-            core, tail = (c[:-1], c[-1]) if c[-1:] in (".", ",") else (c, "")
-            low = core.lower()
-            if "Σ" in core or not low.isalpha() or not is_normalized("NFC", low) or not is_normalized("NFC", core):
-                odd.append(c)
-                continue
-            if low not in cache:
-                word = low if low.isascii() else "".join([letters[x] for x in low.encode()])
-                cache[low] = pack([t.id for t in model.tokenize(word)])
-            if low != c:
-                made.append((c, low, tail))
-        for c, e in zip(odd, tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            cache[c] = pack(e.ids)
-        for c, low, tail in made:
-            cache[c] = cache[low] + cache[tail]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*split)
-        new = seen - cache.keys()
-        if len(cache) + len(new) > entries:
-            cache.clear()
-            new = seen
-        learn(new)
-        out = [b"".join(map(cache.__getitem__, chunks)) + number[end_id] for chunks in split]
-        for c in [c for c in new if len(c) > KEPT_CHARS]:
-            cache.pop(c, None)
-        return out
-
-    return encode
+
+    def chunk(c: str) -> bytes:
+        core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
+        low = core.lower()
+        if not low.isalpha() or "Σ" in core or not (core.isascii() or is_normalized("NFC", core) and is_normalized("NFC", low)):
+            return pack(tok.encode(c, add_special_tokens=False).ids)
+        if low != c:
+            return known[low] + known[tail]
+        found = model.tokenize(low if low.isascii() else "".join([letters[x] for x in low.encode()]))
+        return number[found[0].id] if len(found) == 1 else b"".join([number[t.id] for t in found])
+
+    marks = {"": b"", **{c: pack(tok.encode(c, add_special_tokens=False).ids) for c in ".,"}}
+    known = Memo(chunk, entries, marks, KEPT_CHARS)
+    get, end = known.__getitem__, number[end_id]
+    return lambda texts: [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end for t in texts]
 
 
 def pack_partition(docs: Iterator[tuple[object, bytes]], window: int = WINDOW, most_open: int = OPEN) -> Iterator[tuple[bool, list[tuple]]]:

@@ -50,6 +50,7 @@ INSULT = {"idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "wor
 THREAT = {"kill", "murder", "strangle", "stab", "shoot", "hang", "burn", "beat", "crush", "töten", "umbringen", "tuer", "matar"}
 TARGET = {"you", "your", "yours", "they", "them", "these", "those", "he", "she", "him", "her", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "ton", "vous", "tú", "usted", "ustedes", "ellos"}
 NEGATION = {"not", "never", "no", "nobody", "isn", "aren", "wasn", "don", "doesn", "nicht", "nie", "kein", "keine", "pas", "jamais", "nunca", "jamás"}
+OTHER = (".", 0.0)
 REPORT = {"said", "says", "say", "called", "calls", "quoted", "quotes", "wrote", "writes", "claimed", "reported", "sagte", "nannte", "schrieb", "déclaré", "disait", "dijo", "escribió"}
 
 
@@ -105,9 +106,9 @@ def lexicon(stems: dict[str, float]):
         for symbol, group, weight in (("H", THREAT, 2.0), ("T", TARGET, 0.0), ("N", NEGATION, 0.0), ("R", REPORT, 0.0)):
             if word in group:
                 return symbol, weight
-        return ".", 0.0
+        return OTHER
 
-    return Memo(look, 500_000, chars=40)
+    return Memo(look, 200_000, chars=40)
 
 
 def grammar(stems: dict[str, float]):
