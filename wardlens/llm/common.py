@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -83,10 +85,20 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
         for got in work(batches):
             columns = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """:func:`map_arrow` over columns as Python lists."""
     return map_arrow(df, lambda batches: work(b.to_pydict() for b in batches), schema)
@@ -99,9 +111,12 @@ class Memo(dict):
     entries it starts afresh from ``start``.
     """
 
-    def __init__(self, make: Callable, most: int = 300_000, start: dict | None = None, chars: int = 64):
+    def __init__(self, make: Callable | None = None, most: int = 300_000, start: dict | None = None, chars: int = 64):
+        """Without ``make``, a subclass has it as a method (a function that refers to the dict would keep it alive)."""
         super().__init__(start or {})
-        self.make, self.most, self.start, self.chars = make, most, start or {}, chars
+        self.most, self.start, self.chars = most, start or {}, chars
+        if make:
+            self.make = make
 
     def __missing__(self, key: str):
         value = self.make(key)

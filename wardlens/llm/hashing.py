@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 MASK = (1 << 64) - 1
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once; a longer word makes the stretch longer.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -38,14 +38,19 @@ def byte_values() -> np.ndarray:
     return values
 
 
-@cache
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    with np.errstate(over="ignore"):
-        up = np.full(n, BASE, np.uint64)
-        down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """At least ``n`` powers of the base and of its inverse modulo 2 ** 64; one table, made longer when needed."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            size = 1 << max(n, STRETCH).bit_length()
+            up = np.full(size, BASE, np.uint64)
+            down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _POWERS[0], _POWERS[1]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +96,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
             if not len(s):
                 continue
-            up, down = powers(1 << max(b - a - 1, 1).bit_length())
+            up, down = powers(b - a)
             total = np.cumsum(values[part] * up[: b - a])
             low = np.where(s > 0, total[s - 1], np.uint64(0))
             hashes.append(mix((total[e] - low) * down[s] + (e - s).astype(np.uint64)))

@@ -72,19 +72,19 @@ def encoder(path: str, end_id: int = END_ID, entries: int = CACHE_ENTRIES):
         return lambda texts: [pack(e.ids) + number[end_id] for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     model, letters = tok.model, byte_letters()
 
-    def chunk(c: str) -> bytes:
-        core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
-        low = core.lower()
-        if not low.isalpha() or "Σ" in core or not (core.isascii() or is_normalized("NFC", core) and is_normalized("NFC", low)):
-            return pack(tok.encode(c, add_special_tokens=False).ids)
-        if low != c:
-            return known[low] + known[tail]
-        found = model.tokenize(low if low.isascii() else "".join([letters[x] for x in low.encode()]))
-        return number[found[0].id] if len(found) == 1 else b"".join([number[t.id] for t in found])
+    class Chunks(Memo):
+        def make(self, c: str) -> bytes:
+            core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
+            low = core.lower()
+            if not low.isalpha() or "Σ" in core or not (core.isascii() or is_normalized("NFC", core) and is_normalized("NFC", low)):
+                return pack(tok.encode(c, add_special_tokens=False).ids)
+            if low != c:
+                return self[low] + self[tail]
+            found = model.tokenize(low if low.isascii() else "".join([letters[x] for x in low.encode()]))
+            return number[found[0].id] if len(found) == 1 else b"".join([number[t.id] for t in found])
 
     marks = {"": b"", **{c: pack(tok.encode(c, add_special_tokens=False).ids) for c in ".,"}}
-    known = Memo(chunk, entries, marks, KEPT_CHARS)
-    get, end = known.__getitem__, number[end_id]
+    get, end = Chunks(None, entries, marks, KEPT_CHARS).__getitem__, number[end_id]
     return lambda texts: [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end for t in texts]
 
 
