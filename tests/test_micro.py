@@ -204,13 +204,19 @@ def test_patient_days_use_the_pair_not_text(spark):
     assert r.patient_days == 2 and r.cases == 2
 
 
-def test_critical_value_lookup_and_large_dof(spark):
-    from wardlens.functions.chisq import chi2_critical
-    from wardlens.operators.contingency import _critical
-    df = spark.createDataFrame([(1,), (2,), (100,), (101,), (250,)], "dof int")
-    got = [r.c for r in df.select(_critical(F.col("dof"), 0.05).alias("c")).collect()]
-    for d, c in zip((1, 2, 100, 101, 250), got):
-        assert abs(c - chi2_critical(d)) / chi2_critical(d) < (1e-9 if d <= 100 else 1e-3)
+def test_chi2_tail_large_dof():
+    from wardlens.functions.chisq import chi2_sf
+    for dof in (101, 1_000, 10**6, 10**8):
+        assert abs(chi2_sf(float(dof), dof) - 0.5) < 0.3 / dof ** 0.5 + 1e-4
+    assert abs(chi2_sf(124.34211340400407, 101) - 0.057) < 1e-2
+
+
+def test_contingency_counts_beyond_64_bit_products(spark):
+    from wardlens.operators.contingency import contingency, significant_levels
+    rows = spark.range(12_000_000).select((F.col("id") % 2).alias("x"), (F.floor(F.col("id") / 2) % 2).alias("y"))
+    out = contingency(rows, "x", "y").collect()
+    assert len(out) == 4 and all(r.n == 3_000_000 and r.chi_square == 0 and r.dof == 1 for r in out)
+    assert [r.significant for r in significant_levels(rows, "x", "y").collect()] == [False, False]
 
 
 def test_money_sum_equals_decimal_sum(spark):

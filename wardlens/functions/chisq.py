@@ -16,16 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _steps(a: float, x: float) -> range:
+    """Steps that either expansion needs by far: they grow with the root of the degrees of freedom."""
+    return range(1, 10_000 + 200 * int(math.sqrt(max(a, x))))
+
+
 def _gamma_p_series(a: float, x: float) -> float:
     term = 1.0 / a
     total = term
     n = a
-    for _ in range(10000):
+    for _ in _steps(a, x):
         n += 1.0
         term *= x / n
         total += term
         if abs(term) < abs(total) * 1e-16:
             break
+    else:
+        raise ArithmeticError(f"chi-squared series did not converge (a={a}, x={x})")
     return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
@@ -35,7 +42,7 @@ def _gamma_q_fraction(a: float, x: float) -> float:
     c = 1.0 / tiny
     d = 1.0 / b
     h = d
-    for i in range(1, 10000):
+    for i in _steps(a, x):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -45,8 +52,10 @@ def _gamma_q_fraction(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"chi-squared fraction did not converge (a={a}, x={x})")
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 

@@ -8,12 +8,10 @@ which makes the statistic identical in every engine.
 
 from __future__ import annotations
 
-import math
 import re
-from functools import lru_cache
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.chisq import chi2_critical, chi2_pvalue
@@ -61,7 +59,9 @@ def contingency(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> Da
         *g, x, y, "n", F.sum("n").over(wx).alias("n_x"), F.sum("n").over(wy).alias("n_y"),
         F.sum("n").over(wg).alias("n_total"),
         F.size(F.collect_set(x).over(wg)).alias("_r"), F.size(F.collect_set(y).over(wg)).alias("_c"))
-    term = ratio(col("n_total") * col("n") * col("n"), 0, col("n_x") * col("n_y"), 0, 9)
+    # Products of three counts leave 64 bits at a few million rows a cell; decimals hold counts up to 1e9 here.
+    wide = {c: col(c).cast("decimal(20,0)") for c in ("n_total", "n", "n_x", "n_y")}
+    term = ratio(wide["n_total"] * wide["n"] * wide["n"], 0, wide["n_x"] * wide["n_y"], 0, 9)
     j = j.withColumn("_s", F.sum(term).over(wg))
     return j.select(
         *groups, x, y, col("n").alias("n"), col("n_y").alias("n_bar"),
@@ -70,36 +70,6 @@ def contingency(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> Da
         ((col("_r") - 1) * (col("_c") - 1)).cast("int").alias("dof"))
 
 
-CRITICAL_TABLE_DOF = 100
-
-
-def _critical(dof: Column, alpha: float) -> Column:
-    """Chi-squared critical value for ``dof`` (exact table up to 100 degrees
-    of freedom, Wilson-Hilferty beyond)."""
-    table = critical_values(alpha, CRITICAL_TABLE_DOF)
-    arr = F.array(*[lit(v) for v in table])
-    z = _normal_quantile(1 - alpha)
-    k = dof.cast("double")
-    wh = k * F.pow(lit(1.0) - lit(2.0) / (lit(9.0) * k) + lit(z) * F.sqrt(lit(2.0) / (lit(9.0) * k)), 3)
-    return F.when(dof <= CRITICAL_TABLE_DOF, F.try_element_at(arr, dof)).otherwise(wh)
-
-
-def _normal_quantile(p: float) -> float:
-    lo, hi = -10.0, 10.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if 0.5 * math.erfc(-mid / math.sqrt(2)) < p:
-            lo = mid
-        else:
-            hi = mid
-    return hi
-
-
-@lru_cache(maxsize=8)
-def critical_values(alpha: float, max_dof: int) -> tuple[float, ...]:
-    return tuple(chi2_critical(d, alpha) for d in range(1, max_dof + 1))
-
-
 def significant_levels(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
     """Per level of ``y``, goodness-of-fit of ``x`` to equal shares
     (the per-bar test of a stacked bar chart); flag p < alpha.
@@ -110,12 +80,12 @@ def significant_levels(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> Da
     cnt = df.groupBy(y, x).agg(F.count(lit(1)).alias("o"))
     # number of x levels: a global aggregate (exactly one row), broadcast
     k = cnt.agg(F.count_distinct(x).alias("_k")).withColumn("_j", lit(1))
-    per = cnt.groupBy(y).agg(F.sum("o").alias("n"), F.sum(col("o") * col("o")).alias("_ss"))
+    per = cnt.groupBy(y).agg(F.sum("o").alias("n"), F.sum(col("o").cast("decimal(20,0)") * col("o")).alias("_ss"))
     per = per.withColumn("_j", lit(1)).join(F.broadcast(k), "_j")
-    chi = ratio(col("_k") * col("_ss") - col("n") * col("n"), 0, col("n"), 0, 6).cast("decimal(20,6)")
+    chi = ratio(col("_k") * col("_ss") - col("n").cast("decimal(20,0)") * col("n"), 0, col("n"), 0, 6).cast("decimal(20,6)")
     dof = (col("_k") - 1).cast("int")
     out = per.select(y, "n", chi.alias("chi_square"), dof.alias("dof"))
-    return out.withColumn("significant", col("chi_square").cast("double") > _critical(col("dof"), alpha))
+    return out.withColumn("significant", chi2_pvalue(col("chi_square").cast("double"), col("dof")) < alpha)
 
 
 def significant_subset(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
