@@ -50,10 +50,12 @@ def bill(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: DataFr
     cc = charge_code.where(~col("cost_driver").isin(list(p.excluded_drivers))).select(
         "charge_code_id", "cost_driver", col("rollup_name").alias("cc_rollup"),
         col("name").alias("full_charge_code_description"))
-    l = join_costs(lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "units"),
-                   costs, "inner").join(cc, "charge_code_id")
+    # Encounters of the year and codes first: only their lines meet the cost fact.
+    l = (lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "units")
+         .join(enc.withColumnRenamed("encounter_id", "_enc"), col("encounter_id") == col("_enc")).drop("_enc")
+         .join(cc, "charge_code_id"))
     keys = [c for c in enc.columns]
-    return l.join(enc, "encounter_id").groupBy(*keys, *CODE).agg(
+    return join_costs(l, costs, "inner").groupBy(*keys, *CODE).agg(
         F.sum("units").cast("decimal(38,2)").alias("uos"),
         money_sum(col("units") * col("unit_cost")).alias("vdc"))
 
@@ -64,10 +66,12 @@ def bill_by_encounter(b: DataFrame) -> DataFrame:
 
 
 def work_list(bill_enc: DataFrame, p: EntityCompareParams) -> DataFrame:
-    """Groups above the VDC floor, top N by VDC then cases (top-k plan)."""
+    """Groups above the VDC floor; with ``worklist_size``, the top N by VDC then cases (top-k plan)."""
     g = bill_enc.groupBy(*GROUP).agg(F.count(lit(1)).alias("cases"), F.sum("vdc").alias("vdc"))
-    return (g.where(col("vdc") > lit(p.min_group_vdc))
-            .orderBy(col("vdc").desc(), col("cases").desc(), *GROUP).limit(p.worklist_size))
+    g = g.where(col("vdc") > lit(p.min_group_vdc))
+    if p.worklist_size is None:
+        return g
+    return g.orderBy(col("vdc").desc(), col("cases").desc(), *GROUP).limit(p.worklist_size)
 
 
 def first_setting_per_line(worklist: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ class EntityCompareParams:
     fiscal_years: tuple[int, ...]
     source_category_id: int = 1
     min_group_vdc: float = 10000.0     # HAVING sum(VDC) > 10000
-    worklist_size: int = 100           # TOP 100
+    worklist_size: int | None = None   # the work list's top N; None: every group is compared
     band: str = "0.05"                 # +/- utilisation band
     excluded_drivers: tuple[str, ...] = ("Excluded", "")
 

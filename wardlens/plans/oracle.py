@@ -232,7 +232,8 @@ from (select u.* from ({ENT_USAGE}) u join ({worklist}) w
    and b.service_line = a.service_line and b.patient_setting = a.patient_setting and b.entity <> a.entity"""
 
 
-ENT_PAIRS = _pairs(ENT_WORKLIST)
+ENT_GROUPS = ENT_WORKLIST[:ENT_WORKLIST.rindex("order by")]
+ENT_PAIRS = _pairs(ENT_GROUPS)
 oracle("ent_pairs", ENT_PAIRS)
 
 oracle("ent_unique", f"""
@@ -280,6 +281,7 @@ from (
 
 
 oracle("ent_overlap", _overlap(ENT_PAIRS))
+oracle("ent_overlap_top100", _overlap(_pairs(ENT_WORKLIST)))
 oracle("ent_overlap_compat", _overlap(_pairs(ENT_WORKLIST_COMPAT)))
 oracle("ent_report_sorted", _overlap(ENT_PAIRS))
 

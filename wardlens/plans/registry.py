@@ -179,18 +179,19 @@ def _ent_usage(spark, sf, b=None):
     return ent.code_usage(b if b is not None else _ent_bill(spark, sf), ent.group_volumes(_ent_enc(spark, sf)))
 
 
-def _ent_worklist(spark, sf, compat=False, b=None):
-    wl = ent.work_list(ent.bill_by_encounter(b if b is not None else _ent_bill(spark, sf)), ENT)
+def _ent_worklist(spark, sf, compat=False, b=None, top=None):
+    params = _replace(ENT, worklist_size=100 if compat else top)
+    wl = ent.work_list(ent.bill_by_encounter(b if b is not None else _ent_bill(spark, sf)), params)
     return ent.first_setting_per_line(wl) if compat else wl
 
 
-def _ent_pairs(spark, sf, compat=False):
+def _ent_pairs(spark, sf, compat=False, top=None):
     # ``bill`` feeds the work list and both sides of the self join: cut it
     # once in the shared checkpoint folder instead of deriving it three times.
     b = materialize(_ent_bill(spark, sf))
     # the aggregated usage (with group volumes) is both sides of the self join
     u = materialize(_ent_usage(spark, sf, b))
-    return ent.comparison_pairs(u, _ent_worklist(spark, sf, compat, b))
+    return ent.comparison_pairs(u, _ent_worklist(spark, sf, compat, b, top))
 
 
 @register("ent_enc")
@@ -218,7 +219,7 @@ def q_ent_bill_enc(spark, sf):
 
 @register("ent_worklist")
 def q_ent_worklist(spark, sf):
-    return _ent_worklist(spark, sf)
+    return _ent_worklist(spark, sf, top=100)
 
 
 @register("ent_volumes")
@@ -246,6 +247,11 @@ def q_ent_overlap(spark, sf):
     return ent.overlapping_codes(_ent_pairs(spark, sf), ENT.band)
 
 
+@register("ent_overlap_top100")
+def q_ent_overlap_top100(spark, sf):
+    return ent.overlapping_codes(_ent_pairs(spark, sf, top=100), ENT.band)
+
+
 @register("ent_overlap_compat")
 def q_ent_overlap_compat(spark, sf):
     return ent.overlapping_codes(_ent_pairs(spark, sf, compat=True), ENT.band)
