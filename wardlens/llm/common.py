@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     named = "file://" + tempfile.mkdtemp(prefix="wardlens-llm-", dir=os.environ.get("TMPDIR") or "/tmp")
     spark.conf.set("spark.checkpoint.dir", named)
