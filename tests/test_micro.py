@@ -235,3 +235,15 @@ def test_checkpoint_dir_from_session_is_kept(spark):
     from wardlens.session import ensure_checkpoint_dir
     before = spark.sparkContext.getCheckpointDir()
     assert ensure_checkpoint_dir(spark) == before and before
+
+
+def test_adjacent_rows_keep_rows_without_a_date(spark):
+    from wardlens.operators.redundancy import adjacent_rows
+    rows = [(1, None, None, 1, 1), (1, "1996-01-02", "1996-01-02 01:00:00", 1, 2), (1, "1996-01-02", "1996-01-02 02:00:00", 1, 3), (2, None, None, 1, 4)]
+    df = (spark.createDataFrame(rows, "encounter_id int, service_date string, service_ts string, cc_rank int, row_id int")
+          .withColumn("service_date", F.to_date("service_date")).withColumn("service_ts", F.to_timestamp("service_ts")))
+    out = {r.row_id: r for r in adjacent_rows(df, ["row_id"], keep_null_time=True).collect()}
+    assert set(out) == {1, 2, 3, 4}
+    assert [out[i].same_day for i in (1, 2, 3, 4)] == ["NA", "NA", "same day", "NA"]
+    assert [out[i].date_diff for i in (1, 2, 3, 4)] == [99999, 99999, 0, 99999]
+    assert {r.row_id for r in adjacent_rows(df, ["row_id"]).collect()} == {2, 3}

@@ -124,7 +124,9 @@ def adjacent_rows(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encoun
     day = ranked.groupBy(key, "service_date").agg(F.min(okey).alias("_first"))
     w = Window.partitionBy(key).orderBy("service_date")
     day = day.withColumn("_prev_day", F.lag("service_date").over(w))
-    j = ranked.join(day, [key, "service_date"])
+    # Null-safe: rows without a date are a day of their own, the first.
+    day = day.withColumnsRenamed({key: "_key", "service_date": "_day"})
+    j = ranked.join(day, ranked[key].eqNullSafe(day["_key"]) & ranked["service_date"].eqNullSafe(day["_day"]))
     first = okey.eqNullSafe(col("_first"))
     out = j.select(
         *ranked.columns,

@@ -13,8 +13,10 @@ from wardlens.session import ensure_checkpoint_dir
 def refresh_report_per_batch(lines_stream: DataFrame, line_table_path: str, report_path: str,
                              report: Callable[[DataFrame], DataFrame], name: str = "wardlens-report",
                              trigger: dict | None = None) -> StreamingQuery:
-    """Append each micro-batch of lines to ``line_table_path`` (parquet),
-    then rebuild ``report`` over the whole table and overwrite ``report_path``.
+    """Write each micro-batch of lines to its own folder of ``line_table_path``
+    (parquet, ``batch_id=N``), then rebuild ``report`` over the whole table
+    and overwrite ``report_path``.  A batch that is replayed overwrites its
+    folder, so its lines count once.
 
     The stream's progress is checkpointed under the session's
     ``spark.checkpoint.dir`` so a restarted job resumes where it stopped.
@@ -23,8 +25,8 @@ def refresh_report_per_batch(lines_stream: DataFrame, line_table_path: str, repo
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(line_table_path)
-        full = spark.read.parquet(line_table_path)
+        batch.write.mode("overwrite").parquet(f"{line_table_path.rstrip('/')}/batch_id={batch_id}")
+        full = spark.read.parquet(line_table_path).drop("batch_id")
         report(full).write.mode("overwrite").parquet(report_path)
 
     w = lines_stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
