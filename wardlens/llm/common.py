@@ -68,9 +68,9 @@ def words(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 4 MB, so that very long texts do not pile up in a Python worker."""
+    """Arrow batches of at most 1,000 rows and 2 MB, so that very long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
