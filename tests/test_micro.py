@@ -165,22 +165,50 @@ def test_exact_ratio_half_away_from_zero(spark):
 
 def _qa_inputs(spark):
     enc = spark.createDataFrame(
-        [(1, "R1", "E", "IP", "CTF", 2020, 0, 1, "Yes", 40, 3, 0)],
+        [(1, "R1", "E", "IP", "CTF", 2020, 0, 1, "Yes", 40, 3, 0, 1, 5, 4)],
         "encounter_id long, record_number string, entity string, patient_setting string, service_line string, "
         "fiscal_year int, source_system_id int, attend_physician_id int, has_charge string, age int, los int, "
-        "primary_qvi_id int")
+        "primary_qvi_id int, gender_id int, apr_drg_id int, age_cohort_id int")
     src = spark.createDataFrame([(0, 1, "Hospital Billing")], "source_system_id int, category_id int, category_name string")
     md = spark.createDataFrame([(1, "Dr A", 3, "Spec")], "physician_id long, full_name string, specialty_id int, specialty string")
     ind = spark.createDataFrame([(1, "CTF"), (1, "OTHER")], "encounter_id long, name string")
-    return enc, src, md, ind
+    gender = spark.createDataFrame([(1, "Female")], "gender_id int, description string")
+    apr = spark.createDataFrame([(5, 3, 2)], "apr_drg_id int, aprrom int, aprsoi int")
+    ages = spark.createDataFrame([(4, "40-49")], "age_cohort_id int, name string")
+    return enc, src, md, ind, gender, apr, ages
 
 
 def test_indicator_fanout_default_and_compat(spark):
     from wardlens.params import QualityParams
-    enc, src, md, ind = _qa_inputs(spark)
+    dims = _qa_inputs(spark)
     p = QualityParams(fiscal_year=2020, qvi_names=("VAP",), population=("CTF",), inpatient_settings=("IP",))
-    assert quality.quality_encounters(enc, src, md, ind, p).count() == 1
-    assert quality.quality_encounters(enc, src, md, ind, p, compat_fanout=True).count() == 2
+    one = quality.quality_encounters(*dims, p).collect()
+    assert [(r.gender, r.risk_of_mortality, r.severity_of_illness, r.age_cohort) for r in one] == [("Female", 3, 2, "40-49")]
+    assert quality.quality_encounters(*dims, p, compat_fanout=True).count() == 2
+
+
+def test_excluded_driver_is_found_in_any_spelling(spark):
+    from wardlens.params import QualityParams
+    p = QualityParams(fiscal_year=2020, qvi_names=("VAP",), population=("CTF",))
+    enc = spark.createDataFrame([(1, 0)], "encounter_id long, primary_qvi_id int").selectExpr(
+        "*", *[f"'x' as {a}" for a in quality.ATTRS if a != "encounter_id"])
+    ts = dt.datetime(2020, 1, 1, 8)
+    proc = spark.createDataFrame([(1, ts.date(), ts)], "encounter_id long, service_date date, service_ts timestamp")
+    lines = spark.createDataFrame([(i, 1, 7, i, ts, Decimal(2)) for i in range(4)], "row_id long, encounter_id long, "
+                                  "charge_code_id int, ub_revenue_code_id int, service_ts timestamp, units decimal(18,2)")
+    costs = spark.createDataFrame([(i, Decimal(3)) for i in range(4)], "row_id long, unit_cost decimal(18,2)")
+    cc = spark.createDataFrame([(7, "Code seven")], "charge_code_id int, description string")
+    ub = spark.createDataFrame([(0, "Room"), (1, "excluded "), (2, " EXCLUDED"), (3, None)],
+                               "ub_revenue_code_id int, cost_driver string")
+    got = quality.control_group(enc, proc, lines, costs, cc, ub, p).collect()
+    assert [(r.cost_driver, r.charge_code_desc, r.vdc) for r in got] == [("Room", "Code seven", Decimal("6.0000"))]
+
+
+def test_driver_summary_pools_events(spark):
+    g = spark.createDataFrame([("VAP", "X", 1, Decimal(2)), ("FALL", "X", 2, Decimal(4)), ("Control", "X", 3, Decimal(1))],
+                              "qvi string, cost_driver string, encounter_id long, vdc decimal(18,4)")
+    got = {r.event_group: (r.cases, r.totcases, r.vdc_per_case) for r in quality.driver_summary(g, "Control").collect()}
+    assert got == {"Quality event": (2, 2, Decimal("3.000000")), "Control": (1, 1, Decimal("1.000000"))}
 
 
 def test_single_procedure_two_times_one_day(spark):

@@ -9,6 +9,7 @@ pair itself, not a concatenated text key.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 from operator import or_
 from typing import Sequence
@@ -22,10 +23,10 @@ from wardlens.params import CohortCriteria
 col, lit = F.col, F.lit
 OTHER_ENTITIES = "Other Entities"
 
-COHORT_COLS = ["client_name", "clienttype", "client_region", "client_opex", "entity_name", "entity_amc",
-               "entity_urban", "entitytype", "entity_opex", "entity_bedsize", "orgpin", "stratum_id",
-               "msdrg_code", "dischargedate", "dc_year", "age_rollup", "encounter_id",
-               "clientofinterest", "entities_of_interest"]
+CRITERIA_COLS = ["client_name", "clienttype", "client_region", "client_opex", "entity_name", "entity_region",
+                 "entity_amc", "entity_urban", "entitytype", "entity_opex", "entity_bedsize", "orgpin", "stratum_id"]
+COHORT_COLS = [*CRITERIA_COLS, "msdrg_code", "primary_cpt_code", "dischargedate", "dc_year", "primary_icd10dx_code",
+               "age_rollup", "encounter_id", "clientofinterest", "entities_of_interest"]
 
 
 def peer_cohort(encounters: DataFrame, system_criteria: DataFrame, entity_criteria: DataFrame,
@@ -34,11 +35,13 @@ def peer_cohort(encounters: DataFrame, system_criteria: DataFrame, entity_criter
     matches), flagged for the client and entities of interest."""
     src = source_system.where(col("category_name") == p.source_category).select("source_system_id")
     e = (encounters.where(col("patient_setting").isin(list(p.patient_setting))
-                          & (F.year("discharge_date") == p.discharge_year))
+                          & (col("discharge_date") >= lit(date(p.discharge_year, 1, 1)))
+                          & (col("discharge_date") < lit(date(p.discharge_year + 1, 1, 1))))
          .join(src, "source_system_id", "left_semi"))
     sc = system_criteria.select("orgpin", "stratum_id", col("client").alias("client_name"), "clienttype",
                                 col("censusregion").alias("client_region"), col("opex").alias("client_opex"))
     ec = entity_criteria.select("orgpin", "stratum_id", "entity_key", col("alias").alias("entity_name"),
+                                col("censusregion").alias("entity_region"),
                                 col("isamc").alias("entity_amc"), col("isurban").alias("entity_urban"),
                                 "entitytype", col("opex").alias("entity_opex"), col("bedsize").alias("entity_bedsize"))
     j = e.join(sc, ["orgpin", "stratum_id"]).join(ec, ["orgpin", "stratum_id", "entity_key"])
@@ -52,9 +55,8 @@ def peer_cohort(encounters: DataFrame, system_criteria: DataFrame, entity_criter
     for key, name in reversed(list(p.entities_of_interest)):
         label = F.when(col("entity_key") == key, name).otherwise(label)
     return j.select(
-        *[c for c in COHORT_COLS[:12]], "msdrg_code", col("discharge_date").alias("dischargedate"),
-        F.year("discharge_date").cast("int").alias("dc_year"),
-        F.floor(col("age") / 10).cast("int").alias("age_rollup"), "encounter_id",
+        *CRITERIA_COLS, "msdrg_code", "primary_cpt_code", col("discharge_date").alias("dischargedate"),
+        F.year("discharge_date").cast("int").alias("dc_year"), "primary_icd10dx_code", "age_rollup", "encounter_id",
         F.when(col("client_name").ilike(p.coi_pattern), 1).otherwise(0).alias("clientofinterest"),
         label.alias("entities_of_interest")).distinct()
 
@@ -80,6 +82,12 @@ def peer_checks(cohort: DataFrame) -> DataFrame:
                                                   F.max("dischargedate").alias("max_discharge_date"))
 
 
+def peer_billing_checks(billing: DataFrame) -> DataFrame:
+    """A51, billing side: per flag and billed code, the clients and the last discharge date."""
+    return billing.groupBy("clientofinterest", "billedcptcode", "billedcptdescription").agg(
+        F.count_distinct("client_name").alias("clients"), F.max("dischargedate").alias("max_discharge_date"))
+
+
 CLIENT_DIMS = ("clienttype", "client_region", "client_opex")
 ENTITY_DIMS = ("entitytype", "entity_opex", "entity_bedsize", "entity_urban")
 

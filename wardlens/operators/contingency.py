@@ -9,13 +9,16 @@ which makes the statistic identical in every engine.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.chisq import chi2_critical, chi2_pvalue
 from wardlens.functions.exact import ratio
+from wardlens.session import materialize
 
 col, lit = F.col, F.lit
 
@@ -38,31 +41,35 @@ def clean_cost(df: DataFrame, cost_col: str = "vdc", id_col: str = "encounter_id
     return out.withColumn(id_col, col(id_col).cast("string")) if id_col in df.columns else out
 
 
-def _with_key(df: DataFrame, groups: Sequence[str]):
-    if groups:
-        return df, list(groups)
-    return df.withColumn("_k", lit(1)), ["_k"]
+def _attach(cells: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``cells`` with the totals of their ``keys`` (NULL is a key too); without keys ``totals`` is one row."""
+    if not keys:
+        return cells.withColumn("_j", lit(1)).join(F.broadcast(totals.withColumn("_j", lit(1))), "_j").drop("_j")
+    t = totals.withColumnsRenamed({c: "_t_" + c for c in keys})
+    same = reduce(and_, [cells[c].eqNullSafe(t["_t_" + c]) for c in keys])
+    return cells.join(t, same).drop(*["_t_" + c for c in keys])
 
 
 def contingency(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per (groups, x, y) cell: count, share of the y-bar, and the
     table's chi-squared statistic and degrees of freedom.
 
-    The input is aggregated once to cells; all totals are windows over that
-    cell table (bounded by levels(x) * levels(y) per group), so the input
-    plan is evaluated a single time.
+    The input is aggregated once to cells, which are cut; row, column and
+    table totals are partial aggregates of the cells joined back, so no task
+    holds all cells of a table.
     """
-    d, g = _with_key(df, groups)
-    cells = d.groupBy(*g, x, y).agg(F.count(lit(1)).alias("n"))
-    wg, wx, wy = Window.partitionBy(*g), Window.partitionBy(*g, x), Window.partitionBy(*g, y)
-    j = cells.select(
-        *g, x, y, "n", F.sum("n").over(wx).alias("n_x"), F.sum("n").over(wy).alias("n_y"),
-        F.sum("n").over(wg).alias("n_total"),
-        F.size(F.collect_set(x).over(wg)).alias("_r"), F.size(F.collect_set(y).over(wg)).alias("_c"))
+    g = list(groups)
+    cells = materialize(df.groupBy(*g, x, y).agg(F.count(lit(1)).alias("n")))
+    rows = cells.groupBy(*g, x).agg(F.sum("n").alias("n_x"))
+    cols = cells.groupBy(*g, y).agg(F.sum("n").alias("n_y"))
+    j = _attach(_attach(cells, rows, [*g, x]), cols, [*g, y])
+    j = _attach(j, rows.groupBy(*g).agg(F.sum("n_x").alias("n_total"), F.count(x).alias("_r")), g)
+    j = _attach(j, cols.groupBy(*g).agg(F.count(y).alias("_c")), g)
     # Products of three counts leave 64 bits at a few million rows a cell; decimals hold counts up to 1e9 here.
     wide = {c: col(c).cast("decimal(20,0)") for c in ("n_total", "n", "n_x", "n_y")}
     term = ratio(wide["n_total"] * wide["n"] * wide["n"], 0, wide["n_x"] * wide["n_y"], 0, 9)
-    j = j.withColumn("_s", F.sum(term).over(wg))
+    j = j.withColumn("_term", term)
+    j = _attach(j, j.groupBy(*g).agg(F.sum("_term").alias("_s")), g)
     return j.select(
         *groups, x, y, col("n").alias("n"), col("n_y").alias("n_bar"),
         ratio(col("n") * 100, 0, col("n_y"), 0, 2).alias("pct"),
@@ -95,7 +102,7 @@ def significant_subset(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> Da
 
 
 def with_pvalues(tests: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One row per table with statistic, dof and p-value."""
+    """One row per table with statistic, dof and p-value (NULL for tables of one row or column)."""
     t = tests.select(*groups, "chi_square", "dof").distinct()
     return t.withColumn("p_value", chi2_pvalue(col("chi_square").cast("double"), col("dof")))
 

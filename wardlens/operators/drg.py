@@ -21,20 +21,25 @@ def with_mdc_group(df: DataFrame, code_col: str = "msdrg_code") -> DataFrame:
         "msdrg_groupings", mdc_group(col(code_col)))
 
 
-def procedure_detail(encounters: DataFrame, procedures: DataFrame, pcs_map: DataFrame,
-                     fiscal_year: int) -> DataFrame:
-    """Procedure rows of the year's encounters with the DRG category and
-    the ICD-10-PCS body system / part (NULL when the code is unmapped)."""
-    e = encounters.where(col("fiscal_year") == fiscal_year).select("encounter_id", "record_number", "msdrg_code")
+def procedure_detail(encounters: DataFrame, procedures: DataFrame, pcs_map: DataFrame, msdrg: DataFrame,
+                     icd10px: DataFrame, icd10dx: DataFrame, fiscal_year: int) -> DataFrame:
+    """Procedure rows of the year's encounters with the names of their DRG,
+    procedure and primary diagnosis, the DRG category and the ICD-10-PCS body
+    system / part (NULL when the code is unmapped)."""
+    e = encounters.where(col("fiscal_year") == fiscal_year).select(
+        "encounter_id", "record_number", "msdrg_code", "primary_icd10dx_code")
+    e = (e.join(msdrg.select("msdrg_code", col("name").alias("msdrg_fulldescription")), "msdrg_code")
+         .join(icd10dx.select(col("code").alias("primary_icd10dx_code"),
+                              col("name").alias("prim_icd10dx_description")), "primary_icd10dx_code"))
+    px = icd10px.select(col("code").alias("px_code"), col("name").alias("icd10px_fulldescription"))
     m = pcs_map.select(col("code").alias("px_code"), col("labelone").alias("section"),
                        col("labeltwo").alias("body_system"), col("labelfour").alias("body_part"))
-    j = e.join(procedures.select("encounter_id", "px_code", "seq"), "encounter_id").join(m, "px_code", "left")
+    j = (e.join(procedures.select("encounter_id", "px_code", "seq"), "encounter_id").join(px, "px_code")
+         .join(m, "px_code", "left"))
     return j.select(
-        "encounter_id", "record_number",
-        F.concat(lit("MS-DRG "), col("msdrg_code")).alias("msdrg_fulldescription"),
+        "encounter_id", "record_number", "prim_icd10dx_description", "msdrg_fulldescription",
         drg_number(col("msdrg_code")).alias("msdrg_numeric"), mdc_group(col("msdrg_code")).alias("msdrg_groupings"),
-        F.concat(lit("Procedure "), col("px_code")).alias("icd10px_fulldescription"),
-        col("seq").alias("sequence_number"), "section",
+        "icd10px_fulldescription", col("seq").alias("sequence_number"), "section",
         F.concat(col("body_system"), lit("-"), col("body_part")).alias("body_system_part"),
         "body_system", "body_part")
 

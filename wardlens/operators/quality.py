@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.exact import money_sum, ratio
 from wardlens.functions.ranking import group_row_number
+from wardlens.functions.text import norm_text
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import QualityParams
 
@@ -30,8 +31,8 @@ def _population(indicator: DataFrame, names) -> DataFrame:
 
 
 def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: DataFrame,
-                       indicator: DataFrame, p: QualityParams, ctf_col: str = "service_line",
-                       compat_fanout: bool = False) -> DataFrame:
+                       indicator: DataFrame, gender: DataFrame, apr_drg: DataFrame, age_cohort: DataFrame,
+                       p: QualityParams, ctf_col: str = "service_line", compat_fanout: bool = False) -> DataFrame:
     """Inpatient encounters of the population with their attributes.
 
     One row per encounter: every join is to a keyed dimension and the
@@ -61,14 +62,16 @@ def quality_encounters(enc: DataFrame, source_system: DataFrame, physician: Data
     md = physician.select(col("physician_id").alias("attend_physician_id"),
                           col("full_name").alias("attend_physician_name"),
                           col("specialty").alias("attend_physician_specialty"))
-    e = e.join(md, "attend_physician_id")
+    e = (e.join(md, "attend_physician_id")
+         .join(gender.select("gender_id", col("description").alias("gender")), "gender_id")
+         .join(apr_drg.select("apr_drg_id", col("aprrom").alias("risk_of_mortality"),
+                              col("aprsoi").alias("severity_of_illness")), "apr_drg_id")
+         .join(age_cohort.select("age_cohort_id", col("name").alias("age_cohort")), "age_cohort_id"))
     return e.select(
         "encounter_id", col(ctf_col).alias("msdrg_case_type_family"), "patient_population", "fiscal_year",
         col("category_name").alias("source_system_category"), "patient_setting", "attend_physician_name",
-        "attend_physician_specialty", "entity", F.floor(col("age") / 10).cast("int").alias("age_cohort"),
-        "age", (col("age") % 2).cast("int").alias("gender"),
-        (col("los") % 4).cast("int").alias("risk_of_mortality"),
-        (col("los") % 4).cast("int").alias("severity_of_illness"), "los", "primary_qvi_id")
+        "attend_physician_specialty", "entity", "age_cohort", "age", "gender", "risk_of_mortality",
+        "severity_of_illness", "los", "primary_qvi_id")
 
 
 def procedure_dates(lines: DataFrame, encounters: DataFrame, cpt: DataFrame, cpt_codes,
@@ -106,19 +109,27 @@ def phase(proc_ts, charge_ts):
             .otherwise("NA"))
 
 
-def _group_lines(encounter_keys, proc_dates, lines, costs, charge_code, p: QualityParams):
+def _group_lines(encounter_keys, proc_dates, lines, costs, charge_code, ub_revenue_code, p: QualityParams):
     """Billing lines of single-procedure encounters in ``encounter_keys``
-    (encounter id plus group-label columns), with the procedure time."""
+    (encounter id plus group-label columns), with the procedure time.
+
+    The cost driver is that of the line's UB revenue code; the excluded
+    driver is compared without regard to case and outer blanks.
+    """
     # Single-procedure encounters have order 1 and one procedure time, so
     # one aggregate gives both (no window, no self join of the dates).
     proc = (proc_dates.groupBy("encounter_id")
             .agg(F.count(lit(1)).cast("int").alias("maxproc"), F.min("service_ts").alias("proc_date"))
             .where(col("maxproc") == 1))
-    cc = charge_code.where(col("cost_driver") != p.excluded_driver).select(
-        "charge_code_id", "cost_driver", col("name").alias("charge_code_desc"))
-    l = join_costs(lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "service_ts", "units")
-                   .join(cc, "charge_code_id"), costs, "left")
-    return encounter_keys.join(proc, "encounter_id").join(l, "encounter_id")
+    ub = ub_revenue_code.where(norm_text(col("cost_driver")) != norm_text(lit(p.excluded_driver))).select(
+        "ub_revenue_code_id", "cost_driver")
+    cc = charge_code.select("charge_code_id", col("description").alias("charge_code_desc"))
+    # The few encounters come first: only their lines meet the cost fact.
+    l = (lines.select(*line_key_columns(lines, costs), "encounter_id", "charge_code_id", "ub_revenue_code_id",
+                      "service_ts", "units")
+         .join(encounter_keys.join(proc, "encounter_id"), "encounter_id")
+         .join(ub, "ub_revenue_code_id").join(cc, "charge_code_id"))
+    return join_costs(l, costs, "left")
 
 
 def _aggregate_group(j: DataFrame, label, encounters: DataFrame) -> DataFrame:
@@ -136,27 +147,33 @@ def _aggregate_group(j: DataFrame, label, encounters: DataFrame) -> DataFrame:
         "charge_code_desc", "vdc")
 
 
-def event_group(encounters, proc_dates, lines, costs, charge_code, qvi, p: QualityParams) -> DataFrame:
+def event_group(encounters, proc_dates, lines, costs, charge_code, ub_revenue_code, qvi,
+                p: QualityParams) -> DataFrame:
     """Single-procedure encounters with a selected quality event."""
     q = qvi.where(col("qvi_name").isin(list(p.qvi_names))).select("encounter_id", "qvi_name")
     keys = encounters.select("encounter_id").join(q, "encounter_id")
-    return _aggregate_group(_group_lines(keys, proc_dates, lines, costs, charge_code, p), col("qvi_name"), encounters)
+    return _aggregate_group(_group_lines(keys, proc_dates, lines, costs, charge_code, ub_revenue_code, p),
+                            col("qvi_name"), encounters)
 
 
-def control_group(encounters, proc_dates, lines, costs, charge_code, p: QualityParams) -> DataFrame:
+def control_group(encounters, proc_dates, lines, costs, charge_code, ub_revenue_code, p: QualityParams) -> DataFrame:
     """Single-procedure encounters without any quality event."""
     keys = encounters.where(col("primary_qvi_id") == 0).select("encounter_id")
-    return _aggregate_group(_group_lines(keys, proc_dates, lines, costs, charge_code, p), lit(p.control_label),
-                            encounters)
+    return _aggregate_group(_group_lines(keys, proc_dates, lines, costs, charge_code, ub_revenue_code, p),
+                            lit(p.control_label), encounters)
 
 
-def driver_summary(groups: DataFrame) -> DataFrame:
-    """Per group and cost driver: cases, group cases, VDC per case."""
-    per = groups.groupBy("qvi", "cost_driver").agg(
+def driver_summary(groups: DataFrame, control_label: str, event_label: str = "Quality event") -> DataFrame:
+    """Per cost driver of the event and the control group: cases, group cases, VDC per case.
+
+    All selected quality events are one group, as in the 2x2 table.
+    """
+    g = groups.withColumn("event_group", F.when(col("qvi") == control_label, control_label).otherwise(event_label))
+    per = g.groupBy("event_group", "cost_driver").agg(
         F.count_distinct("encounter_id").alias("cases"), F.sum("vdc").alias("_vdc"))
-    tot = groups.groupBy("qvi").agg(F.count_distinct("encounter_id").alias("totcases"))
-    return per.join(tot, "qvi").select(
-        "qvi", "cost_driver", "cases", "totcases",
+    tot = g.groupBy("event_group").agg(F.count_distinct("encounter_id").alias("totcases"))
+    return per.join(tot, "event_group").select(
+        "event_group", "cost_driver", "cases", "totcases",
         ratio(col("_vdc"), 4, col("cases"), 0, 6).alias("vdc_per_case"))
 
 
@@ -237,7 +254,8 @@ def chi_label(rows: DataFrame, diff: DataFrame, critical: str = "3.841") -> Data
     return j.select("cost_driver", chi.alias("chi_square"), label.alias("significance"))
 
 
-def quality_groups(encounters, proc_dates, lines, costs, charge_code, qvi, p: QualityParams) -> DataFrame:
+def quality_groups(encounters, proc_dates, lines, costs, charge_code, ub_revenue_code, qvi,
+                   p: QualityParams) -> DataFrame:
     """A34 + A35 in one pass over the encounter x procedure x line chain.
 
     Each encounter carries the list of group labels it belongs to (its
@@ -252,5 +270,6 @@ def quality_groups(encounters, proc_dates, lines, costs, charge_code, qvi, p: Qu
     ctrl = F.when(col("primary_qvi_id") == 0, F.array(lit(p.control_label))).otherwise(empty)
     keys = (e.select("encounter_id", F.concat(F.coalesce(col("_events"), empty), ctrl).alias("_labels"))
             .where(F.size("_labels") > 0))
-    j = _group_lines(keys, proc_dates, lines, costs, charge_code, p).withColumn("_label", F.explode("_labels"))
+    j = _group_lines(keys, proc_dates, lines, costs, charge_code, ub_revenue_code, p)
+    j = j.withColumn("_label", F.explode("_labels"))
     return _aggregate_group(j, col("_label"), encounters)

@@ -36,15 +36,16 @@ NEXT_DAY_RATE = "0.5"
 
 
 def ctf_mapping(ctf: DataFrame, icd_map: DataFrame, cpt_map: DataFrame, version: int = 2) -> DataFrame:
-    """Case-type families with their MS-DRG and CPT codes at ``version``.
+    """Case-type families with their MS-DRG, ICD-10 and CPT codes at ``version``.
 
     Emitted in long form (one row per family x code, the other code column
     NULL) instead of the per-family product of the two code lists.
     """
-    icd = icd_map.where(col("version_id") == version).select("ctf", "msdrg_code")
+    icd = icd_map.where(col("version_id") == version).select("ctf", "msdrg_code", "icd10_code")
     cpt = cpt_map.where(col("version_id") == version).select("ctf", "cpt_code")
-    a = ctf.join(icd, "ctf", "left").select("ctf", "msdrg_code", lit(None).cast("string").alias("cpt_code"))
-    b = ctf.join(cpt, "ctf", "left").select("ctf", lit(None).cast("string").alias("msdrg_code"), "cpt_code")
+    a = ctf.join(icd, "ctf", "left").select("ctf", "msdrg_code", "icd10_code", lit(None).cast("string").alias("cpt_code"))
+    b = ctf.join(cpt, "ctf", "left").select("ctf", *[lit(None).cast("string").alias(c) for c in ("msdrg_code", "icd10_code")],
+                                            "cpt_code")
     return a.unionByName(b)
 
 
@@ -102,13 +103,18 @@ def _order_cols(tiebreak: Sequence[str]) -> list[str]:
     return ["cc_rank", *tiebreak]
 
 
-def row_index(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id") -> DataFrame:
-    """Position of each row in (day, rank, tie-break) order within ``key``.
+def row_index(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id",
+              whole_table: bool = False) -> DataFrame:
+    """Position of each row in (day, rank, tie-break) order within ``key``,
+    or with ``whole_table`` in (``key``, day, rank, tie-break) order of all rows.
 
     A distributed row number (range partitioning + per-task offsets), so
     an encounter with a huge number of rows is numbered by many tasks.
     """
-    return group_row_number(ranked, [key], ["service_date", *_order_cols(tiebreak)], "row_num")
+    order = ["service_date", *_order_cols(tiebreak)]
+    if whole_table:
+        return group_row_number(ranked, [], [key, *order], "row_num")
+    return group_row_number(ranked, [key], order, "row_num")
 
 
 def adjacent_rows(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id",

@@ -22,22 +22,49 @@ select o.o_orderkey as encounter_id, 'R' || cast(o.o_orderkey as varchar) as rec
   cast(o.o_custkey % 90 as int) as age, cast(o.o_orderkey % 15 as int) as los,
   case o.o_orderstatus when 'O' then 0 else 1 end as primary_qvi_id,
   lpad(cast(o.o_orderkey % 1000 as varchar), 3, '0') as msdrg_code,
-  o.o_custkey as entity_key, cu.c_nationkey as orgpin, n.n_regionkey as stratum_id
+  o.o_custkey as entity_key, cu.c_nationkey as orgpin, n.n_regionkey as stratum_id,
+  cast(o.o_custkey % 2 as int) as gender_id, cast(o.o_orderkey % 60 as int) as apr_drg_id,
+  cast(o.o_custkey % 90 // 10 as int) as age_cohort_id, cast(o.o_custkey % 90 // 10 as int) as age_rollup,
+  'C' || lpad(cast(o.o_orderkey % 50 + 1 as varchar), 3, '0') as primary_cpt_code,
+  'D' || cast(o.o_custkey % 300 as varchar) as primary_icd10dx_code
 from orders o join customer cu on cu.c_custkey = o.o_custkey
   join nation n on n.n_nationkey = cu.c_nationkey join region r on r.r_regionkey = n.n_regionkey""",
     "f_line": f"""
 select {ROW_ID} as row_id,
   l_orderkey as encounter_id, l_partkey as charge_code_id, l_suppkey as physician_id, p_size as cpt_id,
   cast(l_shipdate as date) as service_date, l_shipdate as service_ts, cast(year(l_shipdate) as int) as line_year,
-  cast(l_quantity as decimal(18,2)) as units, l_linenumber as seq
+  cast(l_quantity as decimal(18,2)) as units, l_linenumber as seq,
+  cast(l_suppkey % 25 as int) as ub_revenue_code_id
 from lineitem join part on p_partkey = l_partkey""",
     "f_cost": f"""
 select {ROW_ID} as row_id, l_orderkey as encounter_id,
   case when l_tax = 0 then cast(0 as decimal(18,2)) else cast(p_retailprice as decimal(18,2)) end as unit_cost
 from lineitem join part on p_partkey = l_partkey where l_discount > 0""",
     "f_charge_code": """
-select p_partkey as charge_code_id, p_name as name, p_brand as rollup_name,
+select p_partkey as charge_code_id, p_name as name, p_name || ' ' || p_brand as description, p_brand as rollup_name,
   case p_type when 'SMALL' then 'Excluded' else p_type end as cost_driver from part""",
+    "f_ub_revenue_code": """
+select cast(n_nationkey as int) as ub_revenue_code_id,
+  case n_nationkey when 11 then 'Excluded' when 23 then 'excluded ' else r_name end as cost_driver
+from nation join region on r_regionkey = n_regionkey""",
+    "f_gender": """
+select distinct cast(c_custkey % 2 as int) as gender_id, case c_custkey % 2 when 0 then 'Female' else 'Male' end as description
+from customer""",
+    "f_apr_drg": """
+select distinct cast(o_orderkey % 60 as int) as apr_drg_id, cast(o_orderkey % 60 % 4 + 1 as int) as aprrom,
+  cast(o_orderkey % 60 // 15 + 1 as int) as aprsoi from orders""",
+    "f_age_cohort": """
+select distinct cast(c_custkey % 90 // 10 as int) as age_cohort_id,
+  cast(c_custkey % 90 // 10 * 10 as varchar) || '-' || cast(c_custkey % 90 // 10 * 10 + 9 as varchar) as name from customer""",
+    "f_msdrg": """
+select distinct lpad(cast(o_orderkey % 1000 as varchar), 3, '0') as msdrg_code,
+  'Stay ' || lpad(cast(o_orderkey % 1000 as varchar), 3, '0')
+    || case when o_orderkey % 1000 % 3 = 0 then ' with CC' else ' without CC' end as name from orders""",
+    "f_icd10px": """
+select 'PX' || cast(p_partkey % 500 as varchar) as code, max(p_name) as name from part group by p_partkey % 500""",
+    "f_icd10dx": """
+select 'D' || cast(c_custkey % 300 as varchar) as code, 'Disorder ' || max(c_mktsegment) as name
+from customer group by c_custkey % 300""",
     "f_cpt": """
 select distinct p_size as cpt_id, 'C' || lpad(cast(p_size as varchar), 3, '0') as cpt_code,
   'Procedure C' || lpad(cast(p_size as varchar), 3, '0') as cpt_name from part""",
@@ -61,13 +88,14 @@ select user_id as encounter_id, 'R' || cast(user_id as varchar) as record_number
   case when event_id % 97 = 0 then cast(0 as decimal(18,2)) else cast(value as decimal(18,2)) end as unit_cost,
   case when event_id % 97 = 0 then cast(0 as decimal(18,2))
        else cast((1 + event_id % 2) * cast(value as decimal(18,2)) as decimal(18,2)) end as vdc, event_id
-from events where event_type in ('purchase', 'click')""",
+from events""",
     "f_system_criteria": """
 select n_nationkey as orgpin, n_regionkey as stratum_id, n_name as client, 'T' || cast(n_nationkey % 3 as varchar) as clienttype,
   r_name as censusregion, 'X' || cast(n_nationkey % 4 as varchar) as opex
 from nation join region on r_regionkey = n_regionkey""",
     "f_entity_criteria": """
 select c_nationkey as orgpin, n_regionkey as stratum_id, c_custkey as entity_key, c_name as alias, c_mktsegment as entitytype,
+  'E' || cast(c_custkey % 5 as varchar) as censusregion,
   'X' || cast(c_custkey % 4 as varchar) as opex, cast(c_custkey % 2 as int) as isurban, cast(c_custkey % 5 as int) as isamc,
   case when c_acctbal < 0 then 'small' when c_acctbal < 5000 then 'medium' else 'large' end as bedsize
 from customer join nation on n_nationkey = c_nationkey""",
@@ -79,6 +107,7 @@ from part where (p_partkey % 500) % 7 <> 0 group by p_partkey % 500""",
 select l_orderkey as encounter_id, 'PX' || cast(l_partkey % 500 as varchar) as px_code, l_linenumber as seq from lineitem""",
     "f_ctf_map": """
 select distinct c_mktsegment as ctf, lpad(cast(o_orderkey % 1000 as varchar), 3, '0') as msdrg_code,
+  'Z' || cast(o_orderkey % 1000 % 97 as varchar) as icd10_code,
   cast(1 + o_orderkey % 2 as int) as version_id
 from orders join customer on c_custkey = o_custkey""",
     "f_ctf_cpt_map": """
@@ -131,7 +160,8 @@ from f_line l join f_encounter e on e.encounter_id = l.encounter_id
   join f_cpt c on c.cpt_id = l.cpt_id join f_charge_code cc on cc.charge_code_id = l.charge_code_id
   left join f_cost k on k.row_id = l.row_id"""
 
-ORDER = ["f_encounter", "f_line", "f_cost", "f_charge_code", "f_cpt", "f_physician", "f_source_system",
+ORDER = ["f_ub_revenue_code", "f_gender", "f_apr_drg", "f_age_cohort", "f_msdrg", "f_icd10px", "f_icd10dx",
+         "f_encounter", "f_line", "f_cost", "f_charge_code", "f_cpt", "f_physician", "f_source_system",
          "f_qvi", "f_indicator", "f_usage", "f_system_criteria", "f_entity_criteria", "f_pcs_map",
          "f_procedure", "f_ctf_map", "f_ctf_cpt_map", "f_donor", "f_billing"]
 

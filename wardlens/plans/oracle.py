@@ -76,11 +76,11 @@ select * from ({_opp_multi("(values ('Widget reduction', 'reduction', 'PROMO', '
 
 # ------------------------------------------------------------ redundancy
 oracle("ctf_map", """
-select c.ctf, m.msdrg_code, cast(null as varchar) as cpt_code
+select c.ctf, m.msdrg_code, m.icd10_code, cast(null as varchar) as cpt_code
 from (select distinct c_mktsegment as ctf from customer) c
   left join f_ctf_map m on m.ctf = c.ctf and m.version_id = 2
 union all
-select c.ctf, cast(null as varchar), m.cpt_code
+select c.ctf, cast(null as varchar), cast(null as varchar), m.cpt_code
 from (select distinct c_mktsegment as ctf from customer) c
   left join f_ctf_cpt_map m on m.ctf = c.ctf and m.version_id = 2""")
 
@@ -115,6 +115,9 @@ USAGE_ORDER = "service_date, cc_rank, service_ts, cpt_code, unit_cost, event_id"
 oracle("row_index", f"""
 select r.*, cast(row_number() over (partition by encounter_id order by {USAGE_ORDER}) as bigint) as row_num
 from ({RANKED}) r""")
+oracle("row_index_whole_table", f"""
+select r.*, cast(row_number() over (order by encounter_id, {USAGE_ORDER}) as bigint) as row_num
+from ({RANKED}) r""")
 
 ADJ_ALL = f"""
 select r.*,
@@ -284,6 +287,7 @@ oracle("ent_overlap", _overlap(ENT_PAIRS))
 oracle("ent_overlap_top100", _overlap(_pairs(ENT_WORKLIST)))
 oracle("ent_overlap_compat", _overlap(_pairs(ENT_WORKLIST_COMPAT)))
 oracle("ent_report_sorted", _overlap(ENT_PAIRS))
+ORACLE["ent_report_unique_sorted"] = ORACLE["ent_unique"]
 
 
 # --------------------------------------------------------------- quality
@@ -291,10 +295,12 @@ def _qa_enc(pop_filter: str, names: str) -> str:
     return f"""
 select distinct e.encounter_id, e.service_line as msdrg_case_type_family, pop.patient_population, e.fiscal_year,
   s.category_name as source_system_category, e.patient_setting, md.full_name as attend_physician_name,
-  md.specialty as attend_physician_specialty, e.entity, cast(floor(e.age / 10) as int) as age_cohort, e.age,
-  cast(e.age % 2 as int) as gender, cast(e.los % 4 as int) as risk_of_mortality,
-  cast(e.los % 4 as int) as severity_of_illness, e.los, e.primary_qvi_id
+  md.specialty as attend_physician_specialty, e.entity, ac.name as age_cohort, e.age,
+  ge.description as gender, ap.aprrom as risk_of_mortality, ap.aprsoi as severity_of_illness, e.los, e.primary_qvi_id
 from f_encounter e
+  join f_age_cohort ac on ac.age_cohort_id = e.age_cohort_id
+  join f_gender ge on ge.gender_id = e.gender_id
+  join f_apr_drg ap on ap.apr_drg_id = e.apr_drg_id
   join f_source_system s on s.source_system_id = e.source_system_id
   join f_physician md on md.physician_id = e.attend_physician_id
   {pop_filter} (select encounter_id, max(name) as patient_population from f_indicator
@@ -340,16 +346,17 @@ def _group(label: str, qvi_join: str, where: str) -> str:
 select {label} as qvi, e.fiscal_year, e.entity, e.encounter_id, e.msdrg_case_type_family, e.patient_population,
   e.attend_physician_name, e.attend_physician_specialty, e.age_cohort, e.age, e.gender, e.risk_of_mortality,
   e.severity_of_illness, e.los, e.patient_setting, {_phase('p.service_ts', 'l.service_ts')} as date_of_service,
-  s.maxproc as total_proc, p.service_ts as proc_date, l.service_ts as charge_service_date, cc.cost_driver,
-  cc.name as charge_code_desc, cast(sum(k.unit_cost * l.units) as decimal(38,4)) as vdc
+  s.maxproc as total_proc, p.service_ts as proc_date, l.service_ts as charge_service_date, ub.cost_driver,
+  cc.description as charge_code_desc, cast(sum(k.unit_cost * l.units) as decimal(38,4)) as vdc
 from ({QA_ENC}) e
   join ({SINGLE}) s on s.encounter_id = e.encounter_id
   join ({PROC_ORDER}) p on p.encounter_id = e.encounter_id
   join f_line l on l.encounter_id = e.encounter_id
   join f_charge_code cc on cc.charge_code_id = l.charge_code_id
+  join f_ub_revenue_code ub on ub.ub_revenue_code_id = l.ub_revenue_code_id
   left join f_cost k on k.row_id = l.row_id
   {qvi_join}
-where cc.cost_driver <> 'Excluded' {where}
+where upper(trim(ub.cost_driver)) <> 'EXCLUDED' {where}
 group by all"""
 
 
@@ -359,12 +366,19 @@ oracle("qvi_group", QVI_GROUP)
 oracle("control_group", CONTROL_GROUP)
 QA_GROUPS = f"select * from ({QVI_GROUP}) a union all select * from ({CONTROL_GROUP}) b"
 
-oracle("driver_summary", f"""
-select g.qvi, g.cost_driver, count(distinct g.encounter_id) as cases, t.totcases,
-  {sql_ratio('sum(g.vdc)', 4, 'count(distinct g.encounter_id)', 0, 6)} as vdc_per_case
-from ({QA_GROUPS}) g join (select qvi, count(distinct encounter_id) as totcases from ({QA_GROUPS}) x group by qvi) t
-  on t.qvi = g.qvi
-group by g.qvi, g.cost_driver, t.totcases""")
+
+
+def _driver_summary(events: str) -> str:
+    return " union all ".join(f"""
+select '{label}' as event_group, cost_driver, count(distinct encounter_id) as cases,
+  (select count(distinct encounter_id) from ({src}) t) as totcases,
+  {sql_ratio('sum(vdc)', 4, 'count(distinct encounter_id)', 0, 6)} as vdc_per_case
+from ({src}) g group by cost_driver""" for label, src in (("Quality event", events), ("Control", CONTROL_GROUP)))
+
+
+oracle("driver_summary", _driver_summary(QVI_GROUP))
+oracle("driver_summary_two_events", _driver_summary(_group(
+    "q.qvi_name", "join f_qvi q on q.encounter_id = e.encounter_id", "and q.qvi_name in ('VAP', 'FALL')")))
 
 CHI_BASE = f"""
 select coalesce(c.cost_driver, q.cost_driver) as cost_driver, cast(coalesce(q.n, 0) as bigint) as qvi_trmt,
@@ -468,16 +482,33 @@ from (select cost_driver, cast(sum(o) as bigint) as n, sum(o * o) as ss from
   cross join (select count(distinct qvi) as k from ({CLEAN}) c) kk"""
 oracle("sig_drivers", SIG)
 SIG_SUBSET = f"select * from ({CLEAN}) c where cost_driver in (select cost_driver from ({SIG}) s where significant)"
-oracle("assoc_by_driver", _contingency(SIG_SUBSET, "qvi", "date_of_service", ["cost_driver"]))
+ASSOC_BY_DRIVER = _contingency(SIG_SUBSET, "qvi", "date_of_service", ["cost_driver"])
+oracle("assoc_by_driver", ASSOC_BY_DRIVER)
+
+
+def _pvalues(tests: str, groups: str) -> str:
+    # 1 - P(dof/2, chi/2), with the positive series of the lower incomplete gamma function; its terms fall
+    # geometrically beyond twice the argument.
+    a, x = "(dof / 2.0)", "(cast(chi_square as double) / 2)"
+    term = f"exp(n * ln({x}) + {a} * ln({x}) - {x} - lgamma({a} + n + 1))"
+    lower = f"list_sum(list_transform(range(0, cast(4 * {x} + 4 * {a} + 200 as bigint)), lambda n: {term}))"
+    return f"""
+select {groups}chi_square, dof, case when dof <= 0 then null when chi_square <= 0 then 1.0
+  else cast(round(greatest(0.0, 1 - {lower}), 6) as double) end as p_value
+from (select distinct {groups}chi_square, dof from ({tests}) t) d"""
+
+
+oracle("assoc_pvalues", _pvalues(ASSOC_BY_DRIVER, "cost_driver, "))
+oracle("assoc_overall_p", _pvalues(_contingency(CLEAN, "qvi", "cost_driver", []), ""))
 
 
 # ------------------------------------------------------------- benchmark
 COHORT = """
 select distinct s.client as client_name, s.clienttype, s.censusregion as client_region, s.opex as client_opex,
-  ec.alias as entity_name, ec.isamc as entity_amc, ec.isurban as entity_urban, ec.entitytype,
-  ec.opex as entity_opex, ec.bedsize as entity_bedsize, e.orgpin, e.stratum_id, e.msdrg_code,
-  e.discharge_date as dischargedate, cast(year(e.discharge_date) as int) as dc_year,
-  cast(floor(e.age / 10) as int) as age_rollup, e.encounter_id,
+  ec.alias as entity_name, ec.censusregion as entity_region, ec.isamc as entity_amc, ec.isurban as entity_urban, ec.entitytype,
+  ec.opex as entity_opex, ec.bedsize as entity_bedsize, e.orgpin, e.stratum_id, e.msdrg_code, e.primary_cpt_code,
+  e.discharge_date as dischargedate, cast(year(e.discharge_date) as int) as dc_year, e.primary_icd10dx_code,
+  e.age_rollup, e.encounter_id,
   case when s.client ilike '%NATION_7%' then 1 else 0 end as clientofinterest,
   case when ec.entity_key = 7 then 'Alpha Hospital' when ec.entity_key = 32 then 'Beta Hospital'
        else 'Other Entities' end as entities_of_interest
@@ -500,6 +531,10 @@ oracle("peer_billing", PEER_BILLING)
 oracle("peer_checks", f"""
 select clientofinterest, count(distinct client_name) as clients, max(dischargedate) as max_discharge_date
 from ({COHORT}) c group by clientofinterest""")
+oracle("peer_billing_checks", f"""
+select clientofinterest, billedcptcode, billedcptdescription, count(distinct client_name) as clients,
+  max(dischargedate) as max_discharge_date
+from ({PEER_BILLING}) b group by all""")
 
 CLIENT_DIMS = [("clienttype", "clientofinterest", "'T0'"), ("client_region", "clientofinterest", "'ASIA'"),
                ("client_opex", "clientofinterest", "'X1'")]
@@ -580,11 +615,13 @@ oracle("mdc_group", f"""
 select encounter_id, msdrg_code, try_cast(msdrg_code as int) as msdrg_numeric, {sql_mdc_group('msdrg_code')} as msdrg_groupings
 from f_encounter""")
 PX_DETAIL = f"""
-select e.encounter_id, e.record_number, 'MS-DRG ' || e.msdrg_code as msdrg_fulldescription,
+select e.encounter_id, e.record_number, dx.name as prim_icd10dx_description, ms.name as msdrg_fulldescription,
   try_cast(e.msdrg_code as int) as msdrg_numeric, {sql_mdc_group('e.msdrg_code')} as msdrg_groupings,
-  'Procedure ' || p.px_code as icd10px_fulldescription, p.seq as sequence_number, m.labelone as section,
+  px.name as icd10px_fulldescription, p.seq as sequence_number, m.labelone as section,
   m.labeltwo || '-' || m.labelfour as body_system_part, m.labeltwo as body_system, m.labelfour as body_part
 from f_encounter e join f_procedure p on p.encounter_id = e.encounter_id
+  join f_icd10px px on px.code = p.px_code join f_icd10dx dx on dx.code = e.primary_icd10dx_code
+  join f_msdrg ms on ms.msdrg_code = e.msdrg_code
   left join f_pcs_map m on m.code = p.px_code
 where e.fiscal_year = 1996"""
 oracle("px_detail", PX_DETAIL)
@@ -681,10 +718,12 @@ from sd, nd""")
 oracle("qa_encounters_fanout", f"""
 select distinct e.encounter_id, e.service_line as msdrg_case_type_family, pop.patient_population, e.fiscal_year,
   s.category_name as source_system_category, e.patient_setting, md.full_name as attend_physician_name,
-  md.specialty as attend_physician_specialty, e.entity, cast(floor(e.age / 10) as int) as age_cohort, e.age,
-  cast(e.age % 2 as int) as gender, cast(e.los % 4 as int) as risk_of_mortality,
-  cast(e.los % 4 as int) as severity_of_illness, e.los, e.primary_qvi_id
+  md.specialty as attend_physician_specialty, e.entity, ac.name as age_cohort, e.age,
+  ge.description as gender, ap.aprrom as risk_of_mortality, ap.aprsoi as severity_of_illness, e.los, e.primary_qvi_id
 from f_encounter e
+  join f_age_cohort ac on ac.age_cohort_id = e.age_cohort_id
+  join f_gender ge on ge.gender_id = e.gender_id
+  join f_apr_drg ap on ap.apr_drg_id = e.apr_drg_id
   join f_source_system s on s.source_system_id = e.source_system_id
   join f_physician md on md.physician_id = e.attend_physician_id
   left join (select distinct encounter_id,

@@ -136,6 +136,11 @@ def q_row_index(spark, sf):
     return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK)
 
 
+@register("row_index_whole_table")
+def q_row_index_whole_table(spark, sf):
+    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK, whole_table=True)
+
+
 @register("adjacent_rows")
 def q_adjacent_rows(spark, sf):
     return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK)
@@ -264,18 +269,27 @@ def q_ent_report_sorted(spark, sf):
     return over
 
 
+@register("ent_report_unique_sorted")
+def q_ent_report_unique_sorted(spark, sf):
+    f = fx(spark, sf)
+    uniq, _ = ent.reports(_ent_enc(spark, sf), f.line, f.cost, f.charge_code, ENT, checkpoint=True)
+    return uniq
+
+
 # --------------------------------------------------------------- quality
 
 
 QA = QualityParams(fiscal_year=1996, qvi_names=("VAP",), population=("MACHINERY", "BUILDING", "FURNITURE"),
                    population_kind="ctf", procedure_cpts=("C007", "C011", "C023", "C031", "C042"),
                    inpatient_settings=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"))
+QA_TWO = _replace(QA, qvi_names=("VAP", "FALL"))
 QA_IND = _replace(QA, population=("CI_A",), population_kind="indicator")
 
 
 def _qa_enc(spark, sf, p=QA):
     f = fx(spark, sf)
-    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, p)
+    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, f.gender, f.apr_drg,
+                                 f.age_cohort, p)
 
 
 def _proc_dates(spark, sf):
@@ -283,10 +297,10 @@ def _proc_dates(spark, sf):
     return qa.procedure_dates(f.line, _qa_enc(spark, sf), f.cpt, QA.procedure_cpts)
 
 
-def _qa_groups(spark, sf, cut=False):
+def _qa_groups(spark, sf, cut=False, p=QA):
     f = fx(spark, sf)
     enc, pd_ = _qa_enc(spark, sf), _proc_dates(spark, sf)
-    g = qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.qvi, QA)
+    g = qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.ub_revenue_code, f.qvi, p)
     # the group rows feed several aggregates of the 2x2 and contingency chains
     return materialize(g) if cut else g
 
@@ -334,23 +348,30 @@ def q_phase_label(spark, sf):
 @register("qvi_group")
 def q_qvi_group(spark, sf):
     f = fx(spark, sf)
-    return qa.event_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code, f.qvi, QA)
+    return qa.event_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code,
+                          f.ub_revenue_code, f.qvi, QA)
 
 
 @register("control_group")
 def q_control_group(spark, sf):
     f = fx(spark, sf)
-    return qa.control_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code, QA)
+    return qa.control_group(_qa_enc(spark, sf), _proc_dates(spark, sf), f.line, f.cost, f.charge_code,
+                            f.ub_revenue_code, QA)
 
 
 @register("driver_summary")
 def q_driver_summary(spark, sf):
-    return qa.driver_summary(_qa_groups(spark, sf))
+    return qa.driver_summary(_qa_groups(spark, sf, cut=True), QA.control_label)
+
+
+@register("driver_summary_two_events")
+def q_driver_summary_two_events(spark, sf):
+    return qa.driver_summary(_qa_groups(spark, sf, cut=True, p=QA_TWO), QA_TWO.control_label)
 
 
 @register("chi_base")
 def q_chi_base(spark, sf):
-    return qa.chi_base(_qa_groups(spark, sf), QA.control_label)
+    return qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label)
 
 
 @register("chi_rows")
@@ -421,7 +442,16 @@ def q_assoc_by_driver(spark, sf):
 
 @register("assoc_pvalues")
 def q_assoc_pvalues(spark, sf):
-    return ct.with_pvalues(_by_driver(spark, sf), ["cost_driver"])
+    return _rounded(ct.with_pvalues(_by_driver(spark, sf), ["cost_driver"]))
+
+
+@register("assoc_overall_p")
+def q_assoc_overall_p(spark, sf):
+    return _rounded(ct.with_pvalues(ct.contingency(_clean_export(spark, sf), "qvi", "cost_driver"), []))
+
+
+def _rounded(tests: DataFrame) -> DataFrame:
+    return tests.withColumn("p_value", F.round("p_value", 6))
 
 
 # ------------------------------------------------------------- benchmark
@@ -467,6 +497,11 @@ def q_peer_checks(spark, sf):
     return bm.peer_checks(_cohort(spark, sf))
 
 
+@register("peer_billing_checks")
+def q_peer_billing_checks(spark, sf):
+    return bm.peer_billing_checks(_peer_billing(spark, sf))
+
+
 @register("util_client_dims")
 def q_util_client_dims(spark, sf):
     return bm.utilisation(_peer_billing(spark, sf), BM_CLIENT_DIMS)
@@ -519,7 +554,7 @@ DRG_YEAR = 1996
 
 def _px_detail(spark, sf):
     f = fx(spark, sf)
-    return drg_ops.procedure_detail(f.encounter, f.procedure, f.pcs_map, DRG_YEAR)
+    return drg_ops.procedure_detail(f.encounter, f.procedure, f.pcs_map, f.msdrg, f.icd10px, f.icd10dx, DRG_YEAR)
 
 
 @register("client_db_name")
@@ -641,7 +676,8 @@ COMPAT_BINS = ((_BINS[0][0], _BINS[0][1], DONOR_AGE_COMPAT),) + tuple(_BINS[1:])
 @register("qa_encounters_fanout")
 def q_qa_encounters_fanout(spark, sf):
     f = fx(spark, sf)
-    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, QA_FAN, compat_fanout=True)
+    return qa.quality_encounters(f.encounter, f.source_system, f.physician, f.indicator, f.gender, f.apr_drg,
+                                 f.age_cohort, QA_FAN, compat_fanout=True)
 
 
 @register("single_proc_by_date")

@@ -68,6 +68,12 @@ class Fixtures:
             col("o_custkey").alias("entity_key"),
             col("c_nationkey").alias("orgpin"),
             col("n_regionkey").alias("stratum_id"),
+            (col("o_custkey") % 2).cast("int").alias("gender_id"),
+            (col("o_orderkey") % 60).cast("int").alias("apr_drg_id"),
+            F.floor(col("o_custkey") % 90 / 10).cast("int").alias("age_cohort_id"),
+            F.floor(col("o_custkey") % 90 / 10).cast("int").alias("age_rollup"),
+            F.concat(lit("C"), F.lpad(_s(col("o_orderkey") % 50 + 1), 3, "0")).alias("primary_cpt_code"),
+            F.concat(lit("D"), _s(col("o_custkey") % 300)).alias("primary_icd10dx_code"),
         )
 
     def _lineitem_part(self, *cols: str) -> DataFrame:
@@ -89,6 +95,7 @@ class Fixtures:
             F.year("l_shipdate").cast("int").alias("line_year"),
             col("l_quantity").cast("decimal(18,2)").alias("units"),
             col("l_linenumber").alias("seq"),
+            (col("l_suppkey") % 25).cast("int").alias("ub_revenue_code_id"),
             *row_key(),
         )
 
@@ -109,10 +116,58 @@ class Fixtures:
         return self.t.part.select(
             col("p_partkey").alias("charge_code_id"),
             col("p_name").alias("name"),
+            F.concat_ws(" ", "p_name", "p_brand").alias("description"),
             col("p_brand").alias("rollup_name"),
             F.when(col("p_type") == "SMALL", "Excluded").otherwise(col("p_type")).alias("cost_driver"),
         )
 
+    @cached_property
+    def ub_revenue_code(self) -> DataFrame:
+        """UB revenue codes; two of them are excluded, one written carelessly."""
+        n = self.t.nation.select("n_nationkey", "n_regionkey")
+        r = self.t.region.select("r_regionkey", "r_name")
+        return n.join(r, r.r_regionkey == n.n_regionkey).select(
+            col("n_nationkey").cast("int").alias("ub_revenue_code_id"),
+            F.when(col("n_nationkey") == 11, "Excluded").when(col("n_nationkey") == 23, "excluded ")
+             .otherwise(col("r_name")).alias("cost_driver"))
+
+    @cached_property
+    def gender(self) -> DataFrame:
+        k = (col("c_custkey") % 2).cast("int")
+        return self.t.customer.select(k.alias("gender_id"), F.when(k == 0, "Female").otherwise("Male")
+                                      .alias("description")).distinct()
+
+    @cached_property
+    def apr_drg(self) -> DataFrame:
+        k = (col("o_orderkey") % 60).cast("int")
+        return self.t.orders.select(k.alias("apr_drg_id"), (k % 4 + 1).alias("aprrom"),
+                                    (F.floor(k / 15).cast("int") + 1).alias("aprsoi")).distinct()
+
+    @cached_property
+    def age_cohort(self) -> DataFrame:
+        k = F.floor(col("c_custkey") % 90 / 10).cast("int")
+        return self.t.customer.select(
+            k.alias("age_cohort_id"), F.concat(_s(k * 10), lit("-"), _s(k * 10 + 9)).alias("name")).distinct()
+
+    @cached_property
+    def msdrg(self) -> DataFrame:
+        k = col("o_orderkey") % 1000
+        code = F.lpad(_s(k), 3, "0")
+        return self.t.orders.select(code.alias("msdrg_code"), F.concat(
+            lit("Stay "), code, F.when(k % 3 == 0, " with CC").otherwise(" without CC")).alias("name")).distinct()
+
+    @cached_property
+    def icd10px(self) -> DataFrame:
+        k = col("p_partkey") % 500
+        return (self.t.part.groupBy(k.alias("k")).agg(F.max("p_name").alias("name"))
+                .select(F.concat(lit("PX"), _s(col("k"))).alias("code"), "name"))
+
+    @cached_property
+    def icd10dx(self) -> DataFrame:
+        k = col("c_custkey") % 300
+        return (self.t.customer.groupBy(k.alias("k")).agg(F.max("c_mktsegment").alias("m"))
+                .select(F.concat(lit("D"), _s(col("k"))).alias("code"), F.concat(lit("Disorder "), "m").alias("name")))
+
     @cached_property
     def cpt(self) -> DataFrame:
         code = F.concat(lit("C"), F.lpad(_s(col("p_size")), 3, "0"))
@@ -153,7 +208,7 @@ class Fixtures:
     @cached_property
     def usage(self) -> DataFrame:
         """Event stream presented as per-test usage rows (input of the redundancy analysis)."""
-        e = self.t.events.where(col("event_type").isin("purchase", "click"))
+        e = self.t.events
         uos = (lit(1) + col("event_id") % 2).cast("int")
         zero = col("event_id") % 97 == 0
         price = col("value").cast("decimal(18,2)")
@@ -187,7 +242,7 @@ class Fixtures:
         return c.join(n, n.n_nationkey == c.c_nationkey).select(
             col("c_nationkey").alias("orgpin"), col("n_regionkey").alias("stratum_id"),
             col("c_custkey").alias("entity_key"), col("c_name").alias("alias"),
-            col("c_mktsegment").alias("entitytype"),
+            col("c_mktsegment").alias("entitytype"), F.concat(lit("E"), _s(col("c_custkey") % 5)).alias("censusregion"),
             F.concat(lit("X"), _s(col("c_custkey") % 4)).alias("opex"),
             (col("c_custkey") % 2).cast("int").alias("isurban"),
             (col("c_custkey") % 5).cast("int").alias("isamc"),
@@ -217,6 +272,7 @@ class Fixtures:
         return o.join(cu, cu.c_custkey == o.o_custkey).select(
             col("c_mktsegment").alias("ctf"),
             F.lpad(_s(col("o_orderkey") % 1000), 3, "0").alias("msdrg_code"),
+            F.concat(lit("Z"), _s(col("o_orderkey") % 1000 % 97)).alias("icd10_code"),
             (lit(1) + col("o_orderkey") % 2).cast("int").alias("version_id")).distinct()
 
     @cached_property
