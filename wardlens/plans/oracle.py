@@ -1,7 +1,7 @@
 """DuckDB oracle SQL for every registered query.
 
-Written independently of the Spark operators, over the adapter CTEs of
-:mod:`wardlens.plans.fixture_sql`.  Money stays DECIMAL, counts BIGINT,
+Written over the adapter CTEs of :mod:`wardlens.plans.fixture_sql`; bins,
+DRG ranges and flags share their constants with the operators.  Money stays DECIMAL, counts BIGINT,
 rounded ratios go through :func:`sql_ratio` (exact integer rounding).
 """
 
