@@ -24,8 +24,8 @@ class RedundancyParams:
     source_category_id: int = 1
     # test-complexity ranking: cpt code -> 'A', 'B', ...; others are 'NA'
     ranks: tuple[tuple[str, str], ...] = ()
-    # adjacency key; the reference compares record numbers
-    key: str = "record_number"
+    # adjacency key: encounter_id, or record_number as the reference compares
+    key: str = "encounter_id"
 
 
 @dataclass(frozen=True)

@@ -133,21 +133,21 @@ def q_code_rank(spark, sf):
 
 @register("row_index")
 def q_row_index(spark, sf):
-    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK)
+    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK, RED.key)
 
 
 @register("row_index_whole_table")
 def q_row_index_whole_table(spark, sf):
-    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK, whole_table=True)
+    return red.row_index(_ranked(spark, sf), USAGE_TIEBREAK, RED.key, whole_table=True)
 
 
 @register("adjacent_rows")
 def q_adjacent_rows(spark, sf):
-    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK)
+    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK, RED.key)
 
 
 def _adjacent_all(spark, sf):
-    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK, keep_null_time=True)
+    return red.adjacent_rows(_ranked(spark, sf), USAGE_TIEBREAK, RED.key, keep_null_time=True)
 
 
 @register("same_day_excess")
@@ -657,14 +657,14 @@ def q_savings_lines(spark, sf):
     # aggregate and the adjacency join: derive them from the facts once
     usage = materialize(q_enc_usage(spark, sf))
     ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
-    return red.savings(red.adjacent_rows(ranked, LINE_TIEBREAK, keep_null_time=True), RED.fiscal_year)
+    return red.savings(red.adjacent_rows(ranked, LINE_TIEBREAK, RED.key, keep_null_time=True), RED.fiscal_year)
 
 
 @register("adjacent_lines")
 def q_adjacent_lines(spark, sf):
     usage = materialize(q_enc_usage(spark, sf))
     ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
-    return red.adjacent_rows(ranked, LINE_TIEBREAK)
+    return red.adjacent_rows(ranked, LINE_TIEBREAK, RED.key)
 
 
 # ----------------------------------------- literal (compat) behaviours
