@@ -129,6 +129,27 @@ def test_line_dedup_brute_force(spark, percent):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(8)
+    base = [" ".join(rng.sample(VOCAB, rng.randint(1, 7))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(base) for _ in range(rng.randint(0, 5)))) for i in range(40)] + [(50, "a b c\n\na b"), (51, "a b c d\nB a\n\nc"), (52, "a b c d e\nC"), *ODD]
+    sets = [(i, k, set(TOKENS.findall(low(line)))) for i, t in rows if i is not None for k, line in enumerate((t or "").split("\n"))]
+    for percent in (80, 90):
+        gone = {(i, k) for i, k, s in sets if s and any((j, m) < (i, k) and q and 100 * len(s & q) >= percent * len(s | q) for j, m, q in sets)}
+        expected = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in gone) if t is not None else None for i, t in rows if i is not None}
+        out = line_dedup.dedup_lines(docs(spark, rows), percent, line_dedup.EVERY_LINE).collect()
+        assert {r.doc_id: r.text for r in out if r.doc_id is not None} == expected
+
+
+def test_line_stage_drops_copies_with_short_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, "\n".join([prose(rng, 12), f"short {i}", prose(rng, 20), "the end"])) for i in range(5)]
+    given = docs(spark, rows + [(10 + i, t) for i, t in rows]).select("doc_id", "text", "n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_stage(spark, given, "").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_word_hashes():
     texts = ["Ab ab\tAB é É", None, "", "  x", "y" * 700, "a\nb"]
     old, hashing.STRETCH = hashing.STRETCH, 64

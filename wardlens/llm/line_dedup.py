@@ -33,6 +33,8 @@ from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
 PERCENT, LEAST_WORDS = 90, 5
+#: The least words with which every line that has a word takes part; the registered query and the pipeline use it.
+EVERY_LINE = 1
 #: Buckets of the word counts, and the highest count that is told apart.
 BUCKETS, MOST = 1 << 20, (1 << 20) - 1
 CHUNK = 1 << 12
@@ -103,7 +105,8 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
                 s1 = s2 = bits = h
         once = (key >> 43) <= 1
         in_prefix = place < np.repeat(n - -(-percent * n // 100) + 1, n)
-        posted = in_prefix & ~once & np.repeat(kept, n)
+        # At most n / (n + 1) similarity is left for a line whose set is not equal; if that is too little, the join by equal sets finds all.
+        posted = in_prefix & ~once & np.repeat(kept & (100 * n >= percent * (n + 1)), n)
         number = np.repeat(np.arange(len(first)), n)
         sizes = np.bincount(number[posted], minlength=len(first))[kept]
         skip = np.bincount(number[in_prefix & once], minlength=len(first))[kept]

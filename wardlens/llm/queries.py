@@ -30,7 +30,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), least_words=line_dedup.EVERY_LINE)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
