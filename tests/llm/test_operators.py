@@ -184,6 +184,27 @@ def test_toxicity_learns(spark):
     assert toxicity.score_toxicity(docs(spark, []), toxicity.Model()).count() == 0
 
 
+def test_toxicity_held_out_languages(spark):
+    """Each language's insults are learned, however few its rows, and though clean words begin alike."""
+    rng = random.Random(41)
+    rows, toxic, lang = [], {}, {}
+    for name, n, insults, clean in (("en", 800, ("grumflop", "wexelnit"), "grumfkeit"), ("de", 240, ("achlichpfau",), "achlichkeit"), ("fr", 240, ("réeuxvimont",), "réeuxvelle"), ("es", 160, ("bomenteco",), "bomentera")):
+        for k in range(n):
+            i = len(rows)
+            toxic[i], lang[i] = int(k % 8 == 0), name
+            words = prose(rng, 60).split() + [clean if k % 3 else "other"]
+            words += [rng.choice(insults)] * toxic[i]
+            rng.shuffle(words)
+            rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id bigint, quality int, toxic int")
+    table_ = docs(spark, rows)
+    scored = toxicity.score_toxicity(table_, toxicity.fit(table_, labels)).withColumn("held", toxicity.held_out(F.col("doc_id"))).where("held").collect()
+    for name in ("en", "de", "fr", "es"):
+        mine = [r for r in scored if lang[r.doc_id] == name]
+        assert sum(toxic[r.doc_id] for r in mine) >= 2
+        assert [r.predicted for r in mine] == [toxic[r.doc_id] for r in mine], name
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 def brute_components(rows, k, percent):
     sets = {}

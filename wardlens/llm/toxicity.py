@@ -13,9 +13,11 @@ from left to right and multiply the weight of an insult or threat:
 clauses (how many, their weights), never by isolated words alone; a logistic
 model over these few clause features gives the score.
 
-Insult stems are a small hand-written list and what the labelled training
-rows show: stems (the first 4 to 6 letters) that occur in toxic rows far more
-often than in others, weighted by that ratio.
+Insults are a small hand-written list and what the labelled training rows
+show: whole words and stems (the first 4 to 10 letters) that occur in toxic
+rows more often than in others beyond doubt, weighted by that ratio.  Each is
+tested by its own counts, not against the best one, so that a language with
+few labelled rows keeps its insults.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ from wardlens.llm.common import Memo, cut, map_batches
 TRAIN_ROWS = 20_000
 #: Learned stems, at most; they are sent to the executors.
 STEMS = 2_000
-#: A learned stem must lie in that share of the best stem's weight, and in that many toxic rows.
-SHARE, LEAST_ROWS = 0.7, 4
-STEM_CHARS = (4, 5, 6)
+#: A learned stem lies in that many toxic rows, and its weight (log ratio) less so many standard errors reaches that of twice as often.
+LEAST_ROWS, ERRORS, LEAST_WEIGHT = 4, 3.0, math.log(2)
+STEM_CHARS = tuple(range(4, 11))
+#: Ends a learned whole word.
+END = " "
 NEAR = 4
 THRESHOLD = 0.3
 
@@ -96,11 +100,16 @@ class Model:
     coef: list[float] = field(default_factory=lambda: [-5.0, 1.0, 1.0, 1.0, 0.5, 0.5])
 
 
+def stems_of(word: str) -> list[str]:
+    """What can be learned from a word: the word itself and its stems."""
+    return [word + END, *(word[:n] for n in STEM_CHARS if len(word) >= n)]
+
+
 def lexicon(stems: dict[str, float]):
     """The lexical step: word -> (symbol, weight), through a bounded cache."""
 
     def look(word: str) -> tuple[str, float]:
-        best = max([stems.get(word[:n], 0.0) for n in STEM_CHARS if len(word) >= n], default=0.0)
+        best = max(stems.get(s, 0.0) for s in stems_of(word))
         if word in INSULT or best:
             return "I", max(best, 3.0 if word in INSULT else 0.0)
         for symbol, group, weight in (("H", THREAT, 2.0), ("T", TARGET, 0.0), ("N", NEGATION, 0.0), ("R", REPORT, 0.0)):
@@ -167,14 +176,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn_stems(train: DataFrame) -> dict[str, float]:
-    """Stems by how much oftener they occur in toxic rows; at most :data:`STEMS`, those with the highest weights."""
+    """Whole words and stems by how much oftener they occur in toxic rows; at most :data:`STEMS`, those with the highest weights."""
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         seen = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, y in zip(b["_text"], b["_y"], strict=True):
                 every = set(WORD.findall((text or "").lower()))
-                seen[y].update({w[:n] for w in every for n in STEM_CHARS if len(w) >= n})
+                seen[y].update({s for w in every for s in stems_of(w)})
                 seen[y][""] += 1
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield from out(seen)
@@ -194,12 +203,11 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
     if not clean:
         return {}
     weight = F.log(((F.col("t") + 0.5) / (toxic["t"] + 1.0)) / ((F.col("c") + 1.0) / (clean + 1.0)))
-    ranked = sums.where((F.col("_stem") != "") & (F.col("t") >= LEAST_ROWS)).select("_stem", weight.alias("w"), "t")
-    best = ranked.orderBy(F.desc("w"), "_stem").limit(STEMS).collect()
-    if not best:
-        return {}
-    kept = {r["_stem"]: r["w"] for r in best if r["w"] >= max(SHARE * best[0]["w"], 1.0)}
-    return {s: w for s, w in kept.items() if not any(s[:n] in kept for n in STEM_CHARS if n < len(s))}
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 1.0))
+    ranked = sums.where((F.col("_stem") != "") & (F.col("t") >= LEAST_ROWS) & (weight - ERRORS * error >= LEAST_WEIGHT)).select("_stem", weight.alias("w"))
+    kept = {r["_stem"]: r["w"] for r in ranked.orderBy(F.desc("w"), "_stem").limit(STEMS).collect()}
+    # What a kept shorter stem of no less weight covers adds nothing.
+    return {s: w for s, w in kept.items() if not any(kept.get(q, -1.0) >= w for q in stems_of(s.rstrip(END)) if len(q) < len(s))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
