@@ -141,6 +141,18 @@ def test_line_dedup_short_lines(spark):
         assert {r.doc_id: r.text for r in out if r.doc_id is not None} == expected
 
 
+def test_line_key_holds_whole_text_hash(spark):
+    """Texts without an id whose hashes agree in the low 31 bits do not share their removed lines."""
+    keyed = lambda ids, text: ids.select(text.alias("t")).withColumn("h", F.xxhash64("t")).withColumn("low", F.col("h").bitwiseAND(0x7FFFFFFF))
+    texts = keyed(spark.range(400_000), F.concat(F.lit("number "), "id", F.lit("\nother words "), "id"))
+    pair = texts.groupBy("low").agg(F.sort_array(F.collect_list(F.struct("h", "t"))).alias("p")).where(F.size("p") == 2).orderBy(F.desc("low")).first()
+    kept, cut = (x.t for x in pair.p)
+    line, rest = cut.split("\n")
+    before = keyed(spark.range(10_000), F.concat(F.lit(f"{line}\nfill "), "id")).where((F.col("h") < pair.p[1].h) & (F.col("low") < pair.low)).orderBy("h").first().t
+    out = line_dedup.dedup_lines(docs(spark, [(None, kept), (None, cut), (None, before)]), 90, line_dedup.EVERY_LINE).collect()
+    assert sorted(r.text for r in out) == sorted([kept, rest, before])
+
+
 def test_line_stage_drops_copies_with_short_lines(spark):
     import corpus_pipeline
 

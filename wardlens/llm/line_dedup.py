@@ -40,15 +40,14 @@ BUCKETS, MOST = 1 << 20, (1 << 20) - 1
 CHUNK = 1 << 12
 #: A posting list can be long if its word's bucket counts more words than this.
 LONG_LIST = 256
-#: A line: its document's id (the lowest number for null), and text hash and place in one number; the order of these is "earlier".
-KEY = ("doc", "at")
+#: A line: its document's id (the lowest number for null), text hash and place; the order of these is "earlier".
+KEY = ("doc", "h", "at")
 TOKENS = re.compile(TOKEN)
 
 
 def line_key() -> tuple[Column, Column]:
-    """(document, text hash as the upper half of ``at``) of a row of documents."""
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(0x7FFFFFFF)
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftleft(text_hash, 32).alias("h")
+    """(document, text hash) of a row of documents."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -76,7 +75,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """``doc, at, s1, s2`` (hashes of the set), ``n, bits, skip, prefix`` of every line with ``least_words`` distinct words or more.
+    """``doc, h, at, s1, s2`` (hashes of the set), ``n, bits, skip, prefix`` of every line with ``least_words`` distinct words or more.
 
     ``prefix`` holds the keys of the first words but for the ``skip`` first, which occur once; a key is the count and a hash.
     """
@@ -110,40 +109,41 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         number = np.repeat(np.arange(len(first)), n)
         sizes = np.bincount(number[posted], minlength=len(first))[kept]
         skip = np.bincount(number[in_prefix & once], minlength=len(first))[kept]
-        doc, top = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
+        doc, text_hash = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
         o = owner[first][kept]
         place_in_doc = line[first][kept] - (np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1))[o]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
         signed = lambda x: x[kept].view(np.int64)
-        return {"doc": doc[o], "at": top[o] | place_in_doc, "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(bits), "skip": skip.astype(np.int32), "prefix": lists}
+        return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(bits), "skip": skip.astype(np.int32), "prefix": lists}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         return map(of, batches)
 
-    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, at bigint, s1 bigint, s2 bigint, n int, bits bigint, skip int, prefix array<bigint>")
+    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, bits bigint, skip int, prefix array<bigint>")
 
 
 def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """``doc_a, at_a, doc, at`` (the later line) of postings under one word that pass the length, positional and bitmap filter."""
+    """``doc_a, h_a, at_a, doc, h, at`` (the later line) of postings under one word that pass the length, positional and bitmap filter."""
     a, b = a.alias("a"), b.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))  # the shared word and what follows
     differ, total = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))), n + m
-    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.at") < F.col("b.at")))
+    same_text = (F.col("a.h") == F.col("b.h")) & (F.col("a.at") < F.col("b.at"))
+    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & ((F.col("a.h") < F.col("b.h")) | same_text))
     # Shared words s reach the limit if s * (100 + percent) >= percent * total; the words that differ are total - 2 * s.
     can = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & can).select(F.col("a.doc").alias("doc_a"), F.col("a.at").alias("at_a"), "b.doc", "b.at")
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & can).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in KEY], *[f"b.{c}" for c in KEY])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines ``doc, at`` of pairs whose full sets of words reach the limit."""
+    """The later lines ``doc, h, at`` of pairs whose full sets of words reach the limit."""
     pairs = cut(pairs.distinct(), "line-pairs")
-    wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(F.col("doc_a").alias("doc"), F.col("at_a").alias("at")))).alias("k")).select("k.*").distinct(), "pair-lines")
-    cases = bounded(cut(wanted.select("doc", F.shiftleft(F.shiftright("at", 32), 32).alias("h")).distinct(), "pair-docs"))
+    wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(*[F.col(f"{c}_a").alias(c) for c in KEY]))).alias("k")).select("k.*").distinct(), "pair-lines")
+    cases = bounded(cut(wanted.select("doc", "h").distinct(), "pair-docs"))
     texts = docs.select(*line_key(), "text").join(cases, ["doc", "h"], "left_semi")
-    lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("i", "s")).select("doc", F.col("h").bitwiseOR(F.col("i").cast("long")).alias("at"), "s")
+    lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("at", "s"))
     lines = cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
-    both = pairs.join(lines.toDF("doc_a", "at_a", "s"), ["doc_a", "at_a"]).join(lines.toDF("doc", "at", "t"), list(KEY)).select("doc", "at", "s", "t")
+    both = pairs.join(lines.toDF("doc_a", "h_a", "at_a", "s"), ["doc_a", "h_a", "at_a"]).join(lines.toDF(*KEY, "t"), list(KEY)).select(*KEY, "s", "t")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
@@ -151,19 +151,19 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if 100 * len(p & q) >= percent * len(p | q)]
             yield {c: [x[c][i] for i in good] for c in KEY}
 
-    return map_batches(both, work, "doc bigint, at bigint").distinct()
+    return map_batches(both, work, "doc bigint, h bigint, at int").distinct()
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc, at`` of every line that matches an earlier one; lines are ordered by document id, text hash and place."""
+    """``doc, h, at`` of every line that matches an earlier one; lines are ordered by document id, text hash and place."""
     lines = cut(line_sets(docs, percent, least_words), "line-sets")
     # A set is represented by its earliest line.
     entries = cut(lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "skip", "prefix"))), "line-entries")
     repeats = entries.where("k > 1").select("s1", "s2", "first")
     equal = lines.select(*KEY, "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first")).select(*KEY)
 
-    posts = entries.select(F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "bits", "skip", F.posexplode("prefix").alias("i", "word"))
-    posts = posts.select("doc", "at", "n", "bits", (F.col("skip") + F.col("i")).alias("pos"), "word")
+    posts = entries.select("first.*", "n", "bits", "skip", F.posexplode("prefix").alias("i", "word"))
+    posts = posts.select(*KEY, "n", "bits", (F.col("skip") + F.col("i")).alias("pos"), "word")
     often = F.shiftright("word", 43) > LONG_LIST
     short, long = posts.where(~often), cut(posts.where(often), "long-lists")
     earliest = long.groupBy("word").agg(F.min(F.struct(*KEY, "n", "bits", "pos")).alias("e")).select("word", "e.*")
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     text stays null, with 0 lines; an empty text has 1.
     """
     matches = later_matches(docs, percent, least_words)
-    gone = matches.groupBy("doc", F.shiftleft(F.shiftright("at", 32), 32).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")).alias("_gone"))  # of one document
+    gone = matches.groupBy("doc", "h").agg(F.collect_list("at").alias("_gone"))  # of one document
     gone = bounded(cut(gone, "removed-lines")).alias("g")
     base = docs.drop("n_lines", "n_removed")
     doc, h = line_key()
