@@ -22,7 +22,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; a document of which nothing is left goes, and ``n_chars`` follows the text."""
     out = line_dedup.dedup_lines(docs, least_words=line_dedup.EVERY_LINE)
-    left = out.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
+    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", n_chars).select(docs.columns)
 

@@ -153,6 +153,15 @@ def test_line_key_holds_whole_text_hash(spark):
     assert sorted(r.text for r in out) == sorted([kept, rest, before])
 
 
+def test_line_stage_drops_blank_rests(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    text = "\n\n".join([prose(rng, 12), prose(rng, 20), " \t", prose(rng, 9)])
+    given = docs(spark, [(1, text), (2, text), (3, " \n\t")]).select("doc_id", "text", "n_chars")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, given, "").collect()) == [(1, text), (3, " \n\t")]
+
+
 def test_line_stage_drops_copies_with_short_lines(spark):
     import corpus_pipeline
 
