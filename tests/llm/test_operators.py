@@ -318,6 +318,19 @@ def test_license_scan(spark):
     assert licenses.license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_mentions():
+    scan = licenses.scanner()
+    labels = lambda t: ",".join(sorted({r.label for *_, r in scan(t)[2]}))
+    for text, label in {
+        "licensed under MPL 2.0": "mpl-2", "released under the LGPL 2.1": "lgpl-2.1", "AGPL-3.0": "agpl-3", "EPL-2.0": "epl-2", "the GNU LGPL v2.1 or later": "lgpl-2.1", "subject to the GPL v2": "gpl-2",
+        "BSD 3-Clause License": "bsd-3-clause", "under the terms of the GPL-3.0-or-later license": "gpl-3", "the Mozilla Public License, v. 2.0": "mpl-2",
+        "released under the GNU General Public License": "gpl", "under the GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl", "distributed under the BSD license": "bsd", "the Apache License": "apache", "licensed under the MPL": "mpl",
+        "Licensed under the Apache License, Version 2.0": "apache-2", "the new BSD license": "bsd-3-clause",
+        "Python 2.0 on BSD behind an Apache server": "", "a general rule": "",
+    }.items():
+        assert labels(text) == label, text
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def test_url_filter(spark):
     entries = [("host:bad.org", "spam", "2024-01-10", True), ("host:bad.org", "spam", "2024-03-01", False), ("host:bad.org", "spam", "2024-03-01", False), ("path:ok.org/x/y", "adult", "2024-02-01", True), ("host:org", "tld", "2024-06-01", None), (None, "spam", "2024-01-01", True)]

@@ -87,6 +87,15 @@ FAMILIES: dict[str, tuple[str, str, str]] = {
     "public-domain": ("", r"(?:released into|placed in|dedicated to) the public domain", "domain"),
     "proprietary": ("", r"proprietary and confidential|confidential and proprietary", "proprietary"),
 }
+#: Families named without a version or clause number, ranked after all others: label -> (names as a pattern, own keyword).
+VERSIONLESS: dict[str, tuple[str, str]] = {
+    "gpl": (r"(?:gnu )?(?:general public license|gpl)", "gpl|general"),
+    "lgpl": (r"(?:gnu )?(?:(?:library|lesser) general public license|lgpl)", "lgpl|general"),
+    "agpl": (r"(?:gnu )?(?:affero general public license|agpl)", "agpl|affero"),
+    "mpl": (r"mozilla public license|mpl", "mpl|mozilla"),
+    "apache": (r"apache(?: software)?", "apache"),
+    "bsd": (r"bsd", "bsd"),
+}
 #: The forms in which a license is named, in order of priority: (confidence, pattern with {spdx} or {name}).
 FORMS: tuple[tuple[float, str], ...] = (
     (1.0, r"(?:licensed|released|distributed|available|published|provided|covered|made available) (?:to you )?under (?:the terms of )?(?:the |a |an )?(?:{name})(?: license| licence)?(?: (?:international|unported|generic))?"),
@@ -98,7 +107,9 @@ FORMS: tuple[tuple[float, str], ...] = (
     (0.5, r"(?:{name})"),
 )
 #: Without one of these in a text, no rule can match (each rule's own keyword is one of them).
-SHORT = {"mit", "x11", "isc", "ruby", "zlib", "openssl", "bsd-2-clause"}  # a bare name of these says nothing of a license
+SHORT = {"mit", "x11", "isc", "ruby", "zlib", "openssl", "bsd-2-clause", "apache", "bsd"}  # a bare name of these says nothing of a license
+BARE_TAG = {"mit-0", "python-2", "php-3"}  # nor does a bare SPDX name of these
+VERSION = "(?: version| v)? "
 
 
 @dataclass(frozen=True)
@@ -110,16 +121,31 @@ class Rule:
     pattern: str
 
 
+def names(spdx: str, name: str) -> tuple[str, str]:
+    """The names of a family as a pattern, and its SPDX names as they stand in prose: "v2" as one word too, "2" for "2 0"."""
+    tags = re.sub(r"^([a-z]+) (\d)", r"(?:gnu )?\1(?: version | v ?| )\2", spdx)
+    tags = re.sub(r"( \)\d) 0(?=$|\(\?: only)", r"\1(?: 0)?", tags)
+    return name.replace(VERSION, "(?: version | v ?| )"), tags
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """The ordered rules, written out from :data:`FAMILIES` and :data:`FORMS`; 300 and more."""
-    out = []
+    """The ordered rules, written out from :data:`FAMILIES`, :data:`VERSIONLESS` and :data:`FORMS`; 300 and more."""
+    out, last = [], len(FORMS) - 1
     for label, (spdx, name, keywords) in FAMILIES.items():
+        name, tags = names(spdx, name)
         for k, (confidence, form) in enumerate(FORMS):
-            if ("{spdx}" in form and not spdx) or (k == len(FORMS) - 1 and label in SHORT) or (not spdx and k < len(FORMS) - 1):
+            if ("{spdx}" in form and not spdx) or (k == last and label in SHORT) or (not spdx and k < last):
                 continue
-            pattern = form.replace("{spdx}", spdx).replace("{name}", name)
+            every = f"{tags}|{name}" if spdx and not (k == last and label in BARE_TAG) else name
+            pattern = form.replace("{spdx}", spdx).replace("{name}", every)
             out.append(Rule(label, k, confidence if spdx else 0.6, frozenset(keywords.split("|")), pattern))
+    for label, (name, keywords) in VERSIONLESS.items():
+        for k, (confidence, form) in enumerate(FORMS):
+            if (k == last and label in SHORT) or "identifier" in form:
+                continue
+            pattern = form.replace("{spdx}|", "").replace("{name}", name)
+            out.append(Rule(label, len(FORMS) + k, round(0.8 * confidence, 2), frozenset(keywords.split("|")), pattern))
     return tuple(out)
 
 
