@@ -162,6 +162,14 @@ def test_line_stage_drops_blank_rests(spark):
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, given, "").collect()) == [(1, text), (3, " \n\t")]
 
 
+def test_line_stage_drops_lines_with_a_changed_word(spark):
+    import corpus_pipeline
+
+    text = " ".join(VOCAB[:12])
+    given = docs(spark, [(1, text), (2, text.replace(VOCAB[3], "changed")), (3, " ".join(VOCAB[6:18]))]).select("doc_id", "text", "n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_stage(spark, given, "").collect()) == [1, 3]
+
+
 def test_line_stage_drops_copies_with_short_lines(spark):
     import corpus_pipeline
 

@@ -32,7 +32,7 @@ from wardlens.llm.common import ASCII_LOWER, TOKEN, bounded, cut, map_arrow, map
 from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
-PERCENT, LEAST_WORDS = 90, 5
+PERCENT, LEAST_WORDS = 80, 5
 #: The least words with which every line that has a word takes part; the registered query and the pipeline use it.
 EVERY_LINE = 1
 #: Buckets of the word counts, and the highest count that is told apart.
