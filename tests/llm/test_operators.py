@@ -213,6 +213,17 @@ def test_toxicity_learns(spark):
     assert toxicity.score_toxicity(docs(spark, []), toxicity.Model()).count() == 0
 
 
+def test_logistic_converges():
+    """Rows that are nearly separable, where whole Newton steps overshoot."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(2000) < 0.1).astype(float)
+        hit = np.where(y == 1, rng.gamma(9, 1.0, 2000), 0.0)
+        x = np.column_stack([np.ones(2000), np.log1p(hit * 9), np.log1p(hit), np.log1p(hit / 2), (hit > 0) * 1.4, np.log1p(20 * hit)])
+        w = np.array(toxicity.logistic(x, y))
+        assert ((x @ w > 0) == (y == 1)).mean() > 0.99
+
+
 def test_toxicity_held_out_languages(spark):
     """Each language's insults are learned, however few its rows, and though clean words begin alike."""
     rng = random.Random(41)
