@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import chat, decontam, licenses, line_dedup, minhash, packing, token_counts, topk, toxicity, url_lists
+from wardlens.llm import chat, decontam, html_text, licenses, line_dedup, minhash, negatives, packing, runs, token_counts, topk, toxicity, url_lists
 from wardlens.llm.common import read
 
 OP5_WORDS, OP5_PERCENT = 3, 85
@@ -91,7 +91,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_line_dedup, op4_toxicity, op5_near_duplicates, op6_token_counts, op7_top_k, op8_license_scan, op9_url_filter, op10_packing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return runs.run_digest(runs.periodic_runs(docs.select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), vec_id % 50 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"), html_text.fit(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_line_dedup, op4_toxicity, op5_near_duplicates, op6_token_counts, op7_top_k, op8_license_scan, op9_url_filter, op10_packing, op11_periodic_runs, op12_hard_negatives, op13_html_text)}
 
 # Lower-cases A-Z only, and takes the words.
 _W = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -150,4 +164,11 @@ asof_ AS (SELECT page_id, pattern, category, bool_or(active) AS active FROM (SEL
   FROM keys k JOIN ent e ON e.pattern = k.pattern AND e.listed_on <= k.fetched_on) WHERE r = 1 GROUP BY ALL),
 m AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS c FROM asof_ WHERE active GROUP BY page_id)
 SELECT page_id, url, fetched_on, host, coalesce(n, 0) AS n_entries, coalesce(c, '') AS categories, n IS NOT NULL AS blocked FROM pg LEFT JOIN m USING (page_id)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, coalesce(CAST(list_sum(list_transform(list_zip(a.x, b.x, true), lambda z: z[1] * z[2])) AS BIGINT), 0) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS "rank", n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY "rank" <= 3""",
 }
