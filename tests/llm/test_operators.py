@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -141,6 +142,83 @@ def test_line_dedup_short_lines(spark):
         assert {r.doc_id: r.text for r in out if r.doc_id is not None} == expected
 
 
+@pytest.mark.parametrize(("block", "sketch"), [(3, True), (4096, False), (3, False)])
+def test_line_dedup_long_lists_and_failed_candidates(spark, monkeypatch, block, sketch):
+    """Lists cut into blocks, and sketches that let every pair through, give the same lines."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    if not sketch:
+        sets = line_dedup.line_sets
+        monkeypatch.setattr(line_dedup, "line_sets", lambda *a: sets(*a).withColumns({c: F.lit(0).cast("bigint") for c in line_dedup.LANES}))
+    rng = random.Random(40)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, "\n".join(" ".join(rng.sample(common, 9) + rng.sample(VOCAB, rng.randint(0, 2))) for _ in range(2)) + "\n" + " ".join(rng.sample([f"v{k}" for k in range(400)], 150))) for i in range(40)]
+    w = rows[3][1].split("\n")[2].split()
+    rows += [(50, " ".join(w[:140] + common[:9])), (51, " ".join(w[:100] + common))]
+    lines = [(i, k, set(line.split())) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    expected = {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & q) >= 80 * len(s | q) for j, m, q in lines)}
+    got = line_dedup.later_matches(docs(spark, rows), 80, 1).collect()
+    assert len(got) == len(expected) and {(r.doc, r["at"]) for r in got} == expected and (50, 0) in expected
+    sets = {(i, k): s for i, k, s in lines}
+    assert all(r.n == len(sets[r.doc, r["at"]]) for r in got)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 2000, np.uint64)
+    sizes = [5, 47, 48, 49, 90, 100, 101, 180, 240]
+    sets = [rng.choice(words[: 2 * n], n, replace=False) for n in sizes for _ in range(12)]
+    first = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    lanes = line_dedup.sketches(np.concatenate(sets), first, np.array([len(s) for s in sets]))
+    x = {"n": np.array([len(s) for s in sets]), "pos": np.zeros(len(sets), np.int64), **dict(zip(line_dedup.LANES, lanes))}
+    x["fold"] = lanes[0] ^ lanes[1] ^ lanes[2] ^ lanes[3]
+    passed = 0
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            like = 100 * both / (len(sets[i]) + len(sets[j]) - both)
+            for percent in (20, 50, 80):
+                ok = bool(line_dedup._can_match(x, np.array([i]), np.array([j]), percent)[0])
+                assert ok or like < percent  # never turns a match away
+                passed += ok and like < percent and percent == 80
+    assert passed < 200
+
+
+def test_line_dedup_clashing_names_and_ids(spark):
+    rows = [(1, "a b c d e f\nother", 1, "x", 2.0, 3), (2, "a b c d e f", 4, "y", 5.0, 6)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, _doc int, _h string, _gone double, row int")
+    out = line_dedup.dedup_lines(given.withColumnsRenamed({"row": "gone"}).withColumns({"doc": F.lit(9), "h": F.lit("h"), "n": F.lit(1), "at": F.lit(2), "row": F.lit("r"), "from_one": F.lit(0)}), 80, 1)
+    assert {(r.doc_id, r.text, r["_doc"], r["_h"], r["_gone"], r.gone, r.doc, r.h, r.n, r["at"], r.row, r.from_one, r.n_lines, r.n_removed) for r in out.collect()} == {
+        (1, "a b c d e f\nother", 1, "x", 2.0, 3, 9, "h", 1, 2, "r", 0, 2, 0), (2, "", 4, "y", 5.0, 6, 9, "h", 1, 2, "r", 0, 1, 1)}
+    with pytest.raises(ValueError, match="doc_id"):
+        line_dedup.dedup_lines(given.withColumn("doc_id", F.lit("text")))
+
+
+def test_line_dedup_drops_scraps_of_copies(spark):
+    """With ``one_source``, what is left of a copy goes; a document with lines from many others stays."""
+    rng = random.Random(12)
+    base = [[prose(rng, 30) for _ in range(5)] for _ in range(6)]
+    rows = [(i, "\n".join(b)) for i, b in enumerate(base)]
+    rows += [(10, "\n".join([*base[0][:4], "own words here"])), (11, "\n".join([*(b[0] for b in base), "own words here"])), (12, "\n".join([base[1][0], prose(rng, 30)])), (13, base[2][0] + "\n" + base[2][0])]
+    rows += [(14, "\n".join(["w x y z v u"] * 9 + ["once more"]))]  # its own repeats are no copy of another
+    out = line_dedup.dedup_lines(docs(spark, rows), 80, 1, one_source=80)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4, 5, 11, 12, 14]
+
+
+def test_scratch_removes_tables(spark):
+    from wardlens.llm.common import Scratch, cut, shared_dir
+
+    folder = lambda: {p for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p.startswith("kept-or-not")}
+    before = folder()
+    with Scratch(spark) as outer:
+        with Scratch(spark) as inner:
+            a, b, c = (inner.keep(cut(spark.range(n), "kept-or-not")) if n < 3 else cut(spark.range(n), "kept-or-not") for n in (1, 2, 3))
+            assert len(folder() - before) == 3
+            inner.drop(c)
+        assert len(folder() - before) == 2
+        outer.keep(a)
+    assert len(folder() - before) == 1 and a.count() == 1
+
+
 def test_line_key_holds_whole_text_hash(spark):
     """Texts without an id whose hashes agree in the low 31 bits do not share their removed lines."""
     keyed = lambda ids, text: ids.select(text.alias("t")).withColumn("h", F.xxhash64("t")).withColumn("low", F.col("h").bitwiseAND(0x7FFFFFFF))

@@ -21,8 +21,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: ``str.translate`` table that lower-cases A-Z and nothing else.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: Broadcast hints are given to sides with at most this many (short) rows; beyond it, they are shuffled.
-BROADCAST_ROWS = 200_000
+#: Broadcast hints are given to sides of at most so many bytes; beyond it, they are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,19 +41,81 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+class Scratch:
+    """The tables that :func:`cut` writes inside a ``with`` block; at its end all are removed but those that are kept.
+
+    What leaves the block must be kept or must not read the others.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _SCRATCH.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, which :func:`cut` has returned, stays; an enclosing block decides on it."""
+        self.paths.remove(df.cut_path)
+        outer = [s for s in _SCRATCH if s is not self]
+        if outer:
+            outer[-1].paths.append(df.cut_path)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for df in tables:
+            self.paths.remove(df.cut_path)
+            self._delete(df.cut_path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __exit__(self, *_) -> None:
+        _SCRATCH.remove(self)
+        for path in self.paths:
+            self._delete(path)
+
+
+_SCRATCH: list[Scratch] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: one computation, no lineage, safe from lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: one computation, no lineage, safe from lost executors.
+
+    Inside a :class:`Scratch` block it is removed at the block's end, unless kept.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """How many bytes a row takes, about: 8 for a number, texts and nested values by their length."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType):
+            size = size + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return size
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small, else as it is (a shuffle join then).
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the sum of its rows' sizes proves it small, else as it is (a shuffle join then).
 
-    ``df`` should come from :func:`cut`, so that counting it is cheap.
+    ``df`` should come from :func:`cut`, so that measuring it is cheap.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most else df
 
 
 def lower_ascii(text: Column) -> Column:

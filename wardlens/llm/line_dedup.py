@@ -5,17 +5,22 @@ Words are ordered from rare to frequent by their counts over all lines.  Two
 sets of Jaccard similarity t or more share one of their first
 ``n - ceil(t * n) + 1`` words in that order (prefix filter), have sizes within
 t of each other (length filter), and have enough words left after the shared
-one (positional filter).  A parity bitmap bounds the number of differing words
-from below before the full sets are compared.  Lines with an earlier match are
-removed.
+one (positional filter).  Parity sketches of 64 to 256 bits bound the number of
+differing words from below before the full sets are compared.  Lines with an
+earlier match are removed.
 
 Counts are kept per bucket of a hash of the word, which bounds the table that
 the workers get; any order of the words gives the same result.  A word whose
 bucket counts one word occurs once, so it is left out of the postings.
 
-Lines with equal sets are one entry of the join.  In a long posting list each
-line is first compared with the earliest; only lines without a match so far
-meet the rest of the list.
+Lines with equal sets are one entry of the join.  The postings are shuffled
+once, by word.  Inside a posting list a line is compared with the earlier ones
+until one passes the filters, which is its candidate; one candidate per line is
+compared in full.  Lines whose candidate fails, which the sketches make rare,
+are compared with all that passes.  So a line with a match leaves early, and a
+group of near copies gives a pair for each line, not for each two of them.  A
+list of more than :data:`BLOCK` postings is cut into blocks, and each two
+blocks are a group of their own.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardlens.llm.common import ASCII_LOWER, TOKEN, bounded, cut, map_arrow, map_batches
+from wardlens.llm.common import ASCII_LOWER, TOKEN, Scratch, bounded, cut, map_arrow, map_batches
 from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
@@ -38,9 +44,14 @@ EVERY_LINE = 1
 #: Buckets of the word counts, and the highest count that is told apart.
 BUCKETS, MOST = 1 << 20, (1 << 20) - 1
 CHUNK = 1 << 12
-#: A posting list can be long if its word's bucket counts more words than this.
-LONG_LIST = 256
-#: A line: its document's id (the lowest number for null), text hash and place; the order of these is "earlier".
+#: Postings of a list that are compared as one group, at most (twice as many where two blocks meet).
+BLOCK = 4096
+#: Postings a worker holds at once, about, beside one group.
+HELD = 1 << 16
+#: Sets of up to so many words have a sketch of 64 bits, or 128; larger ones have 256.
+SHORT, MIDDLE = 48, 100
+LANES = ("b0", "b1", "b2", "b3")
+#: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.
 KEY = ("doc", "h", "at")
 TOKENS = re.compile(TOKEN)
 
@@ -74,8 +85,17 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(counts.ravel(), MOST).astype(np.int32)
 
 
+def sketches(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Four lanes of parity bits of each set (words ``h`` from ``first`` on); short sets are folded into fewer lanes."""
+    bit, lane = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
+    b = [np.bitwise_xor.reduceat(np.where(lane == i, bit, np.uint64(0)), first) if len(first) else bit for i in range(4)]
+    none = np.uint64(0)
+    return [np.where(n <= SHORT, b[0] ^ b[1] ^ b[2] ^ b[3], np.where(n <= MIDDLE, b[0] ^ b[2], b[0])),
+            np.where(n <= SHORT, none, np.where(n <= MIDDLE, b[1] ^ b[3], b[1])), np.where(n <= MIDDLE, none, b[2]), np.where(n <= MIDDLE, none, b[3])]
+
+
 def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """``doc, h, at, s1, s2`` (hashes of the set), ``n, bits, skip, prefix`` of every line with ``least_words`` distinct words or more.
+    """``doc, h, at, s1, s2`` (hashes of the set), ``n, b0 ... b3`` (sketch), ``skip, prefix`` of every line with ``least_words`` distinct words or more.
 
     ``prefix`` holds the keys of the first words but for the ``skip`` first, which occur once; a key is the count and a hash.
     """
@@ -99,9 +119,8 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         with np.errstate(over="ignore"):
             if len(first):
                 s1, s2 = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h * np.uint64(BASE) + np.uint64(1)), first)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
             else:
-                s1 = s2 = bits = h
+                s1 = s2 = h
         once = (key >> 43) <= 1
         in_prefix = place < np.repeat(n - -(-percent * n // 100) + 1, n)
         # At most n / (n + 1) similarity is left for a line whose set is not equal; if that is too little, the join by equal sets finds all.
@@ -114,88 +133,203 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         place_in_doc = line[first][kept] - (np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1))[o]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
         signed = lambda x: x[kept].view(np.int64)
-        return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(bits), "skip": skip.astype(np.int32), "prefix": lists}
+        lanes = {c: signed(x) for c, x in zip(LANES, sketches(h, first, n), strict=True)}
+        return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), **lanes, "skip": skip.astype(np.int32), "prefix": lists}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         return map(of, batches)
 
-    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, bits bigint, skip int, prefix array<bigint>")
+    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, skip int, prefix array<bigint>")
+
 
+def postings(entries: DataFrame) -> DataFrame:
+    """``word, part, side, doc, h, at, n, pos`` and the sketch: an entry under each word of its prefix.
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """``doc_a, h_a, at_a, doc, h, at`` (the later line) of postings under one word that pass the length, positional and bitmap filter."""
-    a, b = a.alias("a"), b.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    left = F.least(n - F.col("a.pos"), m - F.col("b.pos"))  # the shared word and what follows
-    differ, total = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))), n + m
-    same_text = (F.col("a.h") == F.col("b.h")) & (F.col("a.at") < F.col("b.at"))
-    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & ((F.col("a.h") < F.col("b.h")) | same_text))
+    ``part`` is 0, or numbers two blocks of a long list that meet; ``side`` is
+    1 or 2 for the members of two different blocks, else 0.
+    """
+    posts = entries.select(*KEY, "n", *LANES, "skip", F.posexplode("prefix").alias("i", "word"))
+    posts = posts.select("word", *KEY, "n", (F.col("skip") + F.col("i")).alias("pos"), *LANES)
+    # A list cannot be longer than its word is frequent, so only lists of frequent words need to be counted.
+    often = F.shiftright("word", 43) > BLOCK
+    long = posts.where(often).groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
+    long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "long-lists"))
+    whole = [F.lit(0).alias("part"), F.lit(0).alias("side")]
+    columns = [*KEY, "n", "pos", *LANES]
+    if long.isEmpty():
+        return posts.select("word", *whole, *columns)
+    block = F.pmod(F.xxhash64(*KEY), F.col("blocks")).cast("int")
+    # Block b meets every block: as the first of two up to the last block, as the second from the first one on.
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        (F.least(block, j) * F.col("blocks") + F.greatest(block, j)).alias("part"),
+        F.when(block == j, 0).when(block < j, 1).otherwise(2).alias("side")))
+    dealt = posts.where(often).join(long, "word", "left")
+    split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(*whole))).otherwise(meet)).alias("m"), *columns)
+    return posts.where(~often).select("word", *whole, *columns).union(split.select("word", "m.part", "m.side", *columns))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of some whole groups (word, part) at a time; batches come sorted by them."""
+    def joined(parts: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(parts).combine_chunks()
+
+    def columns(t: pa.Table) -> dict[str, np.ndarray]:
+        return {c: t.column(c).to_numpy() for c in t.column_names}
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= HELD:
+            t = joined(held)
+            word, part = t.column("word").to_numpy(), t.column("part").to_numpy()
+            last = int(np.flatnonzero((word != word[-1]) | (part != part[-1]))[-1]) + 1 if word[0] != word[-1] or part[0] != part[-1] else 0
+            if last:
+                yield columns(t.slice(0, last))
+            held = t.slice(last).combine_chunks().to_batches()
+            rows = t.num_rows - last
+    if rows:
+        yield columns(joined(held))
+
+
+def _can_match(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the postings ``i`` and ``j`` pass the length, positional and sketch filters."""
+    n, m = x["n"][i], x["n"][j]
+    total, both = n + m, np.minimum(n, m)
     # Shared words s reach the limit if s * (100 + percent) >= percent * total; the words that differ are total - 2 * s.
-    can = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & can).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in KEY], *[f"b.{c}" for c in KEY])
+    most = ((100 - percent) * total) // (100 + percent)
+    left = np.minimum(n - x["pos"][i], m - x["pos"][j])  # the shared word and what follows
+    ok = (100 * both >= percent * (total - both)) & (left * (100 + percent) >= percent * total)
+    ok &= np.bitwise_count(x["fold"][i] ^ x["fold"][j]) <= most
+    k = np.flatnonzero(ok & (both > SHORT))
+    if len(k):
+        b = [x[c][i[k]] ^ x[c][j[k]] for c in LANES]
+        differ = np.where(both[k] > MIDDLE, sum(np.bitwise_count(v).astype(np.int64) for v in b), np.bitwise_count(b[0] ^ b[2]).astype(np.int64) + np.bitwise_count(b[1] ^ b[3]))
+        ok[k] = differ <= most[k]
+    return ok
+
+
+def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Pairs ``doc_a, h_a, at_a, doc, h, at, n`` (the later line, with its size) that pass the filters in one list.
+
+    Each posting gives its line's earliest one; with ``every``, those that are ``asked`` give all.
+    """
+    ordered = posts.repartition("word", "part").sortWithinPartitions("word", "part", *KEY)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for x in _groups(batches):
+            x["n"], x["pos"] = x["n"].astype(np.int64), x["pos"].astype(np.int64)
+            for c in LANES:
+                x[c] = x[c].view(np.uint64)
+            x["fold"] = x["b0"] ^ x["b1"] ^ x["b2"] ^ x["b3"]
+            new = np.ones(len(x["n"]), bool)
+            new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
+            first = np.flatnonzero(new)
+            start = np.repeat(first, np.diff(first, append=len(new)))
+            rank = np.arange(len(new)) - start
+            open_, found = np.flatnonzero(x["asked"] if every else rank > 0), []
+            step = 0
+            while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
+                other = start[open_] + step
+                good = _can_match(x, other, open_, percent) & ((x["side"][open_] == 0) | (x["side"][other] != x["side"][open_]))
+                if good.any():
+                    found.append((other[good], open_[good]))
+                    if not every:
+                        open_ = open_[~good]
+                step += 1
+            if found:
+                i, j = map(np.concatenate, zip(*found, strict=True))
+                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")}
+
+    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines ``doc, h, at`` of pairs whose full sets of words reach the limit."""
-    pairs = cut(pairs.distinct(), "line-pairs")
+    """Those of the distinct ``pairs`` whose full sets of words reach the limit: ``doc, h, at, n, doc_a, h_a``."""
     wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(*[F.col(f"{c}_a").alias(c) for c in KEY]))).alias("k")).select("k.*").distinct(), "pair-lines")
     cases = bounded(cut(wanted.select("doc", "h").distinct(), "pair-docs"))
     texts = docs.select(*line_key(), "text").join(cases, ["doc", "h"], "left_semi")
     lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("at", "s"))
     lines = cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
-    both = pairs.join(lines.toDF("doc_a", "h_a", "at_a", "s"), ["doc_a", "h_a", "at_a"]).join(lines.toDF(*KEY, "t"), list(KEY)).select(*KEY, "s", "t")
+    both = pairs.join(lines.toDF("doc_a", "h_a", "at_a", "s"), ["doc_a", "h_a", "at_a"]).join(lines.toDF(*KEY, "t"), list(KEY))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
             sets = [[set(TOKENS.findall(v.translate(ASCII_LOWER))) for v in x[c]] for c in "st"]
             good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if 100 * len(p & q) >= percent * len(p | q)]
-            yield {c: [x[c][i] for i in good] for c in KEY}
+            yield {c: [x[c][i] for i in good] for c in (*KEY, "n", "doc_a", "h_a")}
 
-    return map_batches(both, work, "doc bigint, h bigint, at int").distinct()
+    return map_batches(both.select(*KEY, "n", "doc_a", "h_a", "s", "t"), work, "doc bigint, h bigint, at int, n bigint, doc_a bigint, h_a bigint")
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc, h, at`` of every line that matches an earlier one; lines are ordered by document id, text hash and place."""
-    lines = cut(line_sets(docs, percent, least_words), "line-sets")
-    # A set is represented by its earliest line.
-    entries = cut(lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "skip", "prefix"))), "line-entries")
-    repeats = entries.where("k > 1").select("s1", "s2", "first")
-    equal = lines.select(*KEY, "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first")).select(*KEY)
-
-    posts = entries.select("first.*", "n", "bits", "skip", F.posexplode("prefix").alias("i", "word"))
-    posts = posts.select(*KEY, "n", "bits", (F.col("skip") + F.col("i")).alias("pos"), "word")
-    often = F.shiftright("word", 43) > LONG_LIST
-    short, long = posts.where(~often), cut(posts.where(often), "long-lists")
-    earliest = long.groupBy("word").agg(F.min(F.struct(*KEY, "n", "bits", "pos")).alias("e")).select("word", "e.*")
-    near = cut(verified(_pairs(short, short, percent).union(_pairs(earliest, long, percent)), docs, percent), "line-matches")
-    rest = cut(long.join(near, list(KEY), "left_anti"), "unmatched")
-    if not rest.isEmpty():
-        near = near.union(verified(_pairs(long, rest, percent), docs, percent))
-    return equal.union(near).distinct()
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc, h, at, n`` of every line that matches an earlier one, with ``doc_a, h_a``, the document of an earlier match.
+
+    Lines are ordered by document id, text hash and place.
+    """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer: earlier lines are those of smaller ids")
+    with Scratch(docs.sparkSession) as scratch:
+        lines = cut(line_sets(docs, percent, least_words), "line-sets")
+        # A set is represented by its earliest line.
+        entries = lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", *LANES, "skip", "prefix")))
+        entries = cut(entries, "line-entries")
+        repeats = entries.where("k > 1").select("s1", "s2", "first")
+        equal = lines.select(*KEY, F.col("n").cast("long").alias("n"), "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first"))
+        equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
+        scratch.drop(lines)
+
+        posts = postings(entries.select("first.*", "n", *LANES, "skip", "prefix"))
+        found = cut(candidates(posts, percent), "line-candidates")
+        earliest = F.min(F.struct(*[F.col(f"{c}_a") for c in KEY])).alias("a")
+        pairs = cut(found.groupBy(*KEY, "n").agg(earliest).select(*KEY, "n", "a.*"), "line-pairs")
+        near = cut(verified(pairs, docs, percent), "line-matches")
+        failed = cut(pairs.select(*KEY).join(near, list(KEY), "left_anti"), "line-open")
+        if not failed.isEmpty():
+            marked = posts.join(failed.withColumn("asked", F.lit(True)), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+            words = cut(marked.where("asked").select("word").distinct(), "line-open-words")
+            again = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).distinct()
+            more = verified(cut(again.join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti"), "line-open-pairs"), docs, percent)
+            near = near.union(more.groupBy(*KEY, "n").agg(F.min(F.struct("doc_a", "h_a")).alias("a")).select(*KEY, "n", "a.*"))
+        return scratch.keep(cut(equal.union(near), "line-removals"))
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, one_source: int | None = None) -> DataFrame:
     """Remove lines that match an earlier line of any document.
 
     Returns the rows of ``docs`` with all their columns, ``text`` without the
     removed lines, and ``n_lines, n_removed`` added (columns of these names are
-    replaced).  Earlier: smaller document id (null first), then smaller text
-    hash, then place.  Matching: Jaccard similarity of the word sets, in
-    hundredths ``percent`` or more, whether the earlier line itself stays or
-    not.  Lines with fewer than ``least_words`` distinct words stay.  Repeated
-    rows (equal id and text) are one document and lose the same lines.  A null
-    text stays null, with 0 lines; an empty text has 1.
+    replaced; other names cannot clash).  Earlier: smaller document id (null
+    first), then smaller text hash, then place.  Matching: Jaccard similarity
+    of the word sets, in hundredths ``percent`` or more, whether the earlier
+    line itself stays or not.  Lines with fewer than ``least_words`` distinct
+    words stay.  Repeated rows (equal id and text) are one document and lose
+    the same lines.  A null text stays null, with 0 lines; an empty text has 1.
+    Very long texts and lines take part whole; a line is held by one worker.
+    Ids must be integers, else a ValueError is raised.
+
+    With ``one_source``, a document goes altogether if so many hundredths of
+    its words or more are in removed lines that matched one other document
+    (the distinct words of these lines, against those of all removed lines and
+    the words of the rest): it is a copy, of which only scraps are left.
     """
     matches = later_matches(docs, percent, least_words)
-    gone = matches.groupBy("doc", "h").agg(F.collect_list("at").alias("_gone"))  # of one document
-    gone = bounded(cut(gone, "removed-lines")).alias("g")
+    # A document's removed lines, by the document they matched.
+    gone = matches.groupBy("doc", "h", "doc_a", "h_a").agg(F.collect_list("at").alias("at"), F.sum("n").alias("n"))
+    other = (F.col("doc_a") != F.col("doc")) | (F.col("h_a") != F.col("h"))
+    gone = gone.groupBy("doc", "h").agg(F.flatten(F.collect_list("at")).alias("gone"), F.sum("n").alias("n_gone"), F.coalesce(F.max(F.when(other, F.col("n"))), F.lit(0)).alias("from_one"))
+    gone = bounded(cut(gone, "removed-lines"))
     base = docs.drop("n_lines", "n_removed")
-    doc, h = line_key()
-    keyed = base.withColumn("_doc", doc).withColumn("_h", h).alias("d")
-    joined = keyed.join(gone, (F.col("d._doc") == F.col("g.doc")) & (F.col("d._h") == F.col("g.h")), "left").select("d.*", "_gone")
-    parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in base.columns], n_lines, n_removed)
+    keyed = base.select(*line_key(), F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"))
+    joined = keyed.join(gone, ["doc", "h"], "left")
+    given = F.col("row.text")
+    parts = F.split(given, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    text = F.when(F.col("gone").isNull(), given).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
+    n_lines = F.coalesce(F.octet_length(given) - F.octet_length(F.replace(given, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
+    out = joined.select(text.alias("text"), n_lines, n_removed, "row", "gone", "n_gone", "from_one")
+    if one_source is not None:
+        rest = F.size(F.array_remove(F.split("text", TOKEN.replace("^", "")), ""))
+        out = out.where(F.col("gone").isNull() | (100 * F.col("from_one") < one_source * (F.col("n_gone") + rest)))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in base.columns], "n_lines", "n_removed")

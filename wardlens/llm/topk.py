@@ -134,7 +134,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K, parts: int = PA
     cutoff = cut(cutoff, "cutoffs")
     block = ask.select("q", F.explode("qs").alias("x")).select("q", F.col("x.id").alias("query")).distinct()
     by_block = block.join(cutoff, "query").groupBy("q").agg(F.collect_list(F.struct("query", "part", "cutoff")).alias("cutoffs"))  # of one block
-    found = cut(_above(meeting.join(bounded(cut(by_block, "block-cutoffs"), 1000), "q"), parts), "entries")
+    found = cut(_above(meeting.join(bounded(cut(by_block, "block-cutoffs")), "q"), parts), "entries")
 
     sent = found.join(bounded(cutoff), ["query", "part"]).groupBy("query", "id").agg(
         F.sum(F.col("share") - F.col("low")).alias("lower"), F.sum(F.col("cutoff") - F.col("low")).alias("own"))
