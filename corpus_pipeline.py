@@ -12,6 +12,9 @@ from wardlens.llm import decontam, line_dedup, minhash, packing, toxicity
 from wardlens.llm.common import cut, read
 from wardlens.llm.queries import vocabulary
 
+#: A document goes in the line stage if so many hundredths of its words are in lines of one other document: the similarity of the next stage.
+ONE_SOURCE = 80
+
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
@@ -20,8 +23,8 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go; a document of which nothing is left goes, and ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs, least_words=line_dedup.EVERY_LINE)
+    """Lines that match an earlier one go; so does a document of which nothing is left, or only scraps of a copy.  ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, least_words=line_dedup.EVERY_LINE, one_source=ONE_SOURCE)
     left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", n_chars).select(docs.columns)
