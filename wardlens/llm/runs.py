@@ -188,7 +188,7 @@ def planted(text: Column, doc_id: Column) -> Column:
     """The text of the contract: in one of ten documents, by the checksum of the id, the words from some place on repeat."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    n, g = F.size(words), F.floor(h / 10)
+    g = F.floor(h / 10)
 
     def repeat(w: Column) -> Column:
         start = F.pmod(g, F.size(w))
@@ -196,4 +196,6 @@ def planted(text: Column, doc_id: Column) -> Column:
         source = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.when(i < start, i).otherwise(start + F.pmod(i - start, period)).cast("int"))
         return F.array_join(F.transform(source, lambda i: F.get(w, i)), " ")
 
-    return F.when((h % 10 == 0) & (n > 0), repeat(words)).otherwise(text)
+    # Bound as a variable: an expression inside a lambda is computed for each element.
+    once = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)))[0]
+    return F.coalesce(F.when(h % 10 == 0, once), text)
