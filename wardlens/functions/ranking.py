@@ -1,4 +1,4 @@
-"""Row numbers within groups without putting a group in one task.
+"""Row numbers and previous rows within groups without putting a group in one task.
 
 ``row_number() over (partition by g order by o)`` sorts each group inside a
 single task.  Here the rows are range-partitioned on (g, o), so a very
@@ -22,15 +22,37 @@ from pyspark.sql import functions as F
 col = F.col
 
 
+def range_sorted(df: DataFrame, order_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` in total order over its tasks: ``_task`` and ``_mid``, which grows in that order.
+
+    Checkpointed, so that every reader sees the same order.  Rows that agree
+    in ``order_cols`` may lie in two tasks: any number of ties is spread.
+    """
+    from wardlens.session import materialize
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed = materialize(tied.repartitionByRange(n, *order_cols, "_tie").sortWithinPartitions(*order_cols, "_tie")
+                         .drop("_tie").withColumn("_mid", F.monotonically_increasing_id()))
+    return placed.withColumn("_task", F.shiftright(col("_mid"), 33))
+
+
+def previous_row(placed: DataFrame, cols: Sequence[str], out: str = "_prev") -> DataFrame:
+    """The struct ``out`` of ``cols`` of the row before, in the order of :func:`range_sorted`; NULL for the first of all.
+
+    Inside a task it is the lag; the last row of each task is handed to the
+    next task that has rows (one row a task, so that step is small).
+    """
+    here = F.struct(*cols)
+    last = placed.groupBy("_task").agg(F.max_by(here, "_mid").alias("_last"))
+    handed = last.select(col("_task").alias("_t"), F.lag("_last").over(Window.orderBy("_task")).alias("_handed"))
+    lagged = placed.withColumn("_lag", F.lag(here).over(Window.partitionBy("_task").orderBy("_mid")))
+    return (lagged.join(handed, col("_task") == col("_t")).withColumn(out, F.coalesce("_lag", "_handed"))
+            .drop("_t", "_lag", "_handed"))
+
+
 def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                      out: str = "row_num", num_partitions: int | None = None) -> DataFrame:
-    from wardlens.session import materialize
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group_cols, *order_cols]
-    ranked = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                         .withColumn("_mid", F.monotonically_increasing_id()))
-    ranked = ranked.withColumn("_task", F.shiftright(col("_mid"), 33))
+    ranked = range_sorted(df, [*group_cols, *order_cols], num_partitions)
     stats = ranked.groupBy("_task", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -2,10 +2,10 @@
 
 The reference walks a work list of (entity, setting, service line) groups
 in a WHILE loop, re-scanning the encounter and bill tables on each pass.
-Set-based here: one aggregate of code usage for *all* groups, then one
-self join "same code, setting and line, other entity", which is bounded by
-(entities - 1) pairs per code row because it runs on aggregated rows, never
-on billing lines.
+Set-based here: one aggregate of code usage for *all* groups, then running
+sums over the entities that use a code, ordered by cost per case: what the
+cheaper entities sum to is a prefix, less the own entity's part of it.  So no
+pair of entities is formed; :func:`comparison_pairs` has them for who asks.
 """
 
 from __future__ import annotations
@@ -144,13 +144,13 @@ def unique_codes(pairs: DataFrame) -> DataFrame:
     An unmatched code row yields exactly one pair row, keyed by its
     (code, driver, rollup, entity, setting, line): already distinct.
     """
-    d = pairs.where(col("comparison_entity").isNull() & (col("eoi_vdc") > 0)).select(
-        col("full_cc_description").alias("charge_codes_unique_to_entity_of_interest"),
-        "cost_driver", col("cc_rollup").alias("charge_code_rollup"), "entity_of_interest",
-        "patient_setting", "service_line", "eoi_case_vol_perc", "eoi_cases", "eoi_tot_cases",
-        "eoi_vdc", "eoi_vdc_per_case")
-    return d.select(
-        "charge_codes_unique_to_entity_of_interest", "cost_driver", "charge_code_rollup",
+    return _unique_report(pairs.where(col("comparison_entity").isNull()))
+
+
+def _unique_report(rows: DataFrame) -> DataFrame:
+    return rows.where(col("eoi_vdc") > 0).select(
+        col("full_cc_description").alias("charge_codes_unique_to_entity_of_interest"), "cost_driver",
+        col("cc_rollup").alias("charge_code_rollup"),
         "entity_of_interest", "patient_setting", "service_line",
         col("eoi_case_vol_perc").cast("decimal(20,2)").alias("eoi_case_perc"),
         col("eoi_cases").cast("int").alias("eoi_cases"),
@@ -186,6 +186,10 @@ def overlapping_codes(pairs: DataFrame, band: str = "0.05") -> DataFrame:
     g = per_entity.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("_n", "_s_diff", "_s_vpc", "_s_perc", "_n_perc", "_s_cases", "_s_tot")],
         F.count(lit(1)).alias("_n_ent"))
+    return _overlap_report(g, band)
+
+
+def _overlap_report(g: DataFrame, band: str) -> DataFrame:
     avg = lambda s, n: ratio(col(s), 0, col(n) * 1000000, 0, 6)
     avg_diff = avg("_s_diff", "_n")
     avg_perc = avg("_s_perc", "_n_perc")
@@ -210,28 +214,88 @@ def overlapping_codes(pairs: DataFrame, band: str = "0.05") -> DataFrame:
         int_avg(col("_s_tot"), col("_n")).alias("avg_other_entity_tot_cases"))
 
 
+def work_groups(usage: DataFrame, p: EntityCompareParams) -> DataFrame:
+    """A20 without a top N, from the code usage: the groups above the VDC floor (a group's VDC is the sum over its codes)."""
+    return usage.groupBy(*GROUP).agg(F.sum("vdc").alias("vdc")).where(col("vdc") > lit(p.min_group_vdc))
+
+
+def compared_usage(usage: DataFrame) -> DataFrame:
+    """A23 without pairs: each code row with what the other entities' rows of its code, setting and line sum to.
+
+    ``others`` is their number; the ``_`` columns are over the cheaper ones
+    (a lower cost per case, ties are not cheaper): rows, entities and sums.
+    They are running sums in the order of cost per case, of the whole code
+    group less the own entity; both share one exchange by code group.  A code
+    group has a row for each entity and rollup that uses the code, so a window
+    holds at most as many rows as the entity dimension has, times the rollups;
+    work is linear in these rows.  A row with a NULL in the group key or the
+    entity compares with nothing, as in the join.
+    """
+    key = ["full_charge_code_description", "cost_driver", "service_line", "patient_setting"]
+    known = col("entity").isNotNull()
+    for c in key:
+        known = known & col(c).isNotNull()
+    perc = ratio(col("cases"), 0, col("tot_cases"), 0, 6)
+    u = usage.where(known).withColumns({"_m": (col("vdc_per_case") * 1000000).cast("long"), "_perc": perc})
+    u = u.withColumn("_p", (col("_perc") * 1000000).cast("long"))
+    group, own = Window.partitionBy(*key), Window.partitionBy(*key, "entity")
+    u = u.withColumn("_lowest", F.min("_m").over(own))
+    # One row of each entity stands for it: the first of its cheapest.
+    u = u.withColumn("_stands", (col("_m").isNotNull() & (F.row_number().over(own.orderBy(col("_m").asc_nulls_last(), "cc_rollup")) == 1)).cast("int"))
+    priced = col("_m").isNotNull()
+    sums = {"_n": priced.cast("int"), "_s_vpc": col("_m"), "_s_perc": F.when(priced, col("_p")),
+            "_n_perc": (priced & col("_p").isNotNull()).cast("int"), "_s_cases": F.when(priced, col("cases")),
+            "_s_tot": F.when(priced, col("tot_cases")), "_n_ent": col("_stands")}
+
+    def cheaper(over, c):
+        return F.coalesce(F.sum(c).over(over.orderBy("_m").rangeBetween(Window.unboundedPreceding, -1)), lit(0))
+
+    less = {"_n_ent": (col("_lowest") < col("_m")).cast("int")}
+    out = {k: F.when(priced, cheaper(group, c) - (less[k] if k in less else cheaper(own, c))).otherwise(lit(0)) for k, c in sums.items()}
+    u = u.withColumns({**out, "others": F.count(lit(1)).over(group) - F.count(lit(1)).over(own)})
+    alone = usage.where(~known).withColumns({"_m": lit(None).cast("long"), "_perc": perc, "others": lit(0),
+                                             **{k: lit(0) for k in sums}})
+    columns = [*usage.columns, "_m", "_perc", "others", *sums]
+    return u.select(columns).union(alone.select(columns)).withColumn("_s_diff", col("_n") * col("_m") - col("_s_vpc"))
+
+
+def _of_interest(compared: DataFrame, worklist: DataFrame) -> DataFrame:
+    return compared.join(worklist.select(*GROUP), GROUP, "left_semi").select(
+        col("full_charge_code_description").alias("full_cc_description"), "cost_driver", "cc_rollup", "patient_setting",
+        "service_line", col("entity").alias("entity_of_interest"), col("_perc").alias("eoi_case_vol_perc"),
+        col("tot_cases").alias("eoi_tot_cases"), col("cases").alias("eoi_cases"), col("vdc").alias("eoi_vdc"),
+        col("vdc_per_case").alias("eoi_vdc_per_case"), "others", "_n", "_n_ent", "_s_diff", "_s_vpc", "_s_perc", "_n_perc", "_s_cases", "_s_tot")
+
+
+def unique_usage(usage: DataFrame, worklist: DataFrame) -> DataFrame:
+    """A24 without pairs: equal to ``unique_codes(comparison_pairs(usage, worklist))``."""
+    return _unique_report(_of_interest(compared_usage(usage), worklist).where(col("others") == 0))
+
+
+def overlapping_usage(usage: DataFrame, worklist: DataFrame, band: str = "0.05") -> DataFrame:
+    """A25 without pairs: equal to ``overlapping_codes(comparison_pairs(usage, worklist), band)``, linear in the entities."""
+    return _overlap_report(_of_interest(compared_usage(usage), worklist).where(col("_n") > 0), band)
+
+
 def reports(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: DataFrame,
             p: EntityCompareParams, compat_first_setting: bool = False,
             checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both reports, ordered as the reference prints them.
 
-    ``bill`` feeds the work list and both sides of the comparison; with
-    ``checkpoint`` it is cut from its lineage in the shared checkpoint
-    folder, so it is derived from the line fact once.
+    The code usage feeds both; with ``checkpoint`` it is cut from its lineage
+    in the shared checkpoint folder, so it is derived from the line fact once.
+    Only a top-N work list needs the bill by encounter besides.
     """
     b = bill(enc, lines, costs, charge_code, p)
+    usage = code_usage(b, group_volumes(enc))
     if checkpoint:
         from wardlens.session import materialize
-        b = materialize(b)
-    wl = work_list(bill_by_encounter(b), p)
+        usage = materialize(usage)
+    wl = work_groups(usage, p) if p.worklist_size is None and not compat_first_setting else work_list(bill_by_encounter(b), p)
     if compat_first_setting:
         wl = first_setting_per_line(wl)
-    usage = code_usage(b, group_volumes(enc))
-    if checkpoint:
-        usage = materialize(usage)
-    pairs = comparison_pairs(usage, wl)
-    uniq = unique_codes(pairs).orderBy(col("eoi_vdc").desc(), "charge_codes_unique_to_entity_of_interest",
+    uniq = unique_usage(usage, wl).orderBy(col("eoi_vdc").desc(), "charge_codes_unique_to_entity_of_interest",
                                         "entity_of_interest", "patient_setting", "service_line")
-    over = overlapping_codes(pairs, p.band).orderBy(col("impact_dollars").desc(), "overlapping_charge_codes",
+    over = overlapping_usage(usage, wl, p.band).orderBy(col("impact_dollars").desc(), "overlapping_charge_codes",
                                                      "entity_of_interest", "patient_setting", "service_line")
     return uniq, over

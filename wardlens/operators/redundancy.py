@@ -2,18 +2,17 @@
 
 The reference numbers every usage row globally (an unpartitioned
 ROW_NUMBER, i.e. one task) and self-joins row i to row i+1.  Here the
-"previous row" is derived from aggregates, so no task ever has to hold a
-whole encounter:
-
-* a row is the first of its (encounter, day) iff its ordering key equals
-  the minimum key of that day (a partial aggregate, safe for hot keys);
-* the first row of a day follows the previous *distinct day* of the
-  encounter, found with ``lag`` over the (encounter, day) table, which has
-  one row per day of stay;
-* every other row follows a row of the same day: "same day", difference 0.
+rows are range-sorted over many tasks and each reads the row before it, the
+last row of a task being handed to the next one, so no task ever has to hold
+a whole encounter.
 
 Scopes ("record numbers having any ...") are one partial aggregate per
 record number joined back, serving both the same-day and next-day sums.
+
+The savings need no rows at all: :func:`savings_from_usage` aggregates them
+to a state per day (its first row and the sums of the others), reads the day
+before from the states of an encounter, and sums over the record numbers in
+scope.  Cleaning is a flag of the same states, so usage is scanned once.
 """
 
 from __future__ import annotations
@@ -22,9 +21,10 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlens.functions.exact import money_sum
-from wardlens.functions.ranking import group_row_number
+from wardlens.functions.ranking import group_row_number, previous_row, range_sorted
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import RedundancyParams
 
@@ -103,6 +103,13 @@ def _order_cols(tiebreak: Sequence[str]) -> list[str]:
     return ["cc_rank", *tiebreak]
 
 
+def _full_order(ranked: DataFrame, tiebreak: Sequence[str], key: str) -> list[str]:
+    """The order inside a day: rank, tie-break, then all other columns, so that only equal rows are interchangeable."""
+    order = _order_cols(tiebreak)
+    return [*order, *(f.name for f in ranked.schema.fields if f.name not in (key, "service_date", *order)
+                      and not isinstance(f.dataType, (T.MapType, T.VariantType)))]
+
+
 def row_index(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encounter_id",
               whole_table: bool = False) -> DataFrame:
     """Position of each row in (day, rank, tie-break) order within ``key``,
@@ -123,23 +130,20 @@ def adjacent_rows(ranked: DataFrame, tiebreak: Sequence[str], key: str = "encoun
 
     ``same_day`` is 'same day' when the previous row of the encounter is on
     the same day, else 'NA'; ``date_diff`` is the day difference to the
-    previous row, 99999 for the first row of an encounter.  ``tiebreak``
-    must make the ordering key unique per row.
+    previous row, 99999 for the first row of an encounter.  Rows that agree
+    in the whole ordering key follow each other: the first is compared with
+    the day before, the others are on the same day.  Which one is first is
+    settled by the other columns; only equal rows are interchangeable.  Rows
+    without a date are a day of their own, the first.
     """
-    okey = F.struct(*[col(c) for c in _order_cols(tiebreak)])
-    day = ranked.groupBy(key, "service_date").agg(F.min(okey).alias("_first"))
-    w = Window.partitionBy(key).orderBy("service_date")
-    day = day.withColumn("_prev_day", F.lag("service_date").over(w))
-    # Null-safe: rows without a date are a day of their own, the first.
-    day = day.withColumnsRenamed({key: "_key", "service_date": "_day"})
-    j = ranked.join(day, ranked[key].eqNullSafe(day["_key"]) & ranked["service_date"].eqNullSafe(day["_day"]))
-    first = okey.eqNullSafe(col("_first"))
+    j = previous_row(range_sorted(ranked, [key, "service_date", *_full_order(ranked, tiebreak, key)]), [key, "service_date"])
+    same_key = col("_prev").isNotNull() & col(f"_prev.{key}").eqNullSafe(col(key))
+    same = same_key & col("_prev.service_date").eqNullSafe(col("service_date"))
+    gap = F.when(same_key, F.date_diff(col("service_date"), col("_prev.service_date")))
     out = j.select(
         *ranked.columns,
-        F.when(first, "NA").otherwise("same day").alias("same_day"),
-        F.when(~first, lit(0))
-         .otherwise(F.coalesce(F.date_diff(col("service_date"), col("_prev_day")), lit(NEW_ENCOUNTER)))
-         .cast("int").alias("date_diff"))
+        F.when(same, "same day").otherwise("NA").alias("same_day"),
+        F.when(same, lit(0)).otherwise(F.coalesce(gap, lit(NEW_ENCOUNTER))).cast("int").alias("date_diff"))
     return out if keep_null_time else out.where(col("service_ts").isNotNull())
 
 
@@ -191,6 +195,10 @@ def savings(adjacent_all: DataFrame, fiscal_year: int, scope_key: str = "record_
     a = s.agg(
         F.sum(F.when(in_same, sd_uos)).alias("sd_uos"), F.sum(F.when(in_same, sd_vdc)).alias("sd_vdc"),
         F.sum(F.when(in_next, nd_uos)).alias("nd_uos"), F.sum(F.when(in_next, nd_vdc)).alias("nd_vdc"))
+    return _savings_report(a, fiscal_year)
+
+
+def _savings_report(a: DataFrame, fiscal_year: int) -> DataFrame:
     r75 = lit(SAME_DAY_RATE).cast("decimal(3,2)")
     r50 = lit(NEXT_DAY_RATE).cast("decimal(3,2)")
     return a.select(
@@ -204,3 +212,52 @@ def savings(adjacent_all: DataFrame, fiscal_year: int, scope_key: str = "record_
         (col("sd_vdc") * r75).cast("double").alias("same_day_savings_75"),
         (col("nd_vdc") * r50).cast("double").alias("consecutive_daily_savings_50"),
         (col("sd_vdc") * r75 + col("nd_vdc") * r50).cast("double").alias("total_savings"))
+
+
+def savings_from_usage(usage: DataFrame, ranks: Iterable[tuple[str, str]], tiebreak: Sequence[str], fiscal_year: int,
+                       key: str = "encounter_id", scope_key: str = "record_number") -> DataFrame:
+    """A09, A10, A12-A15 in one derivation: the savings of unclean, unranked usage rows.
+
+    Equal to ``savings(adjacent_rows(rank_codes(clean_usage(usage))))``, with
+    one scan of ``usage`` and three exchanges: usage rows are combined to day
+    states (by day, combined map-side), these go to their record number, where
+    encounters, days before and scope flags are found, and one row per task
+    goes to the total.  ``scope_key`` must be a function of ``key`` (an
+    encounter has one record number), or the same column.
+
+    A state holds one day: a row per day of stay, never the rows of a day.
+    Rows that tie in the whole ordering key count as in :func:`adjacent_rows`.
+    """
+    u = rank_codes(usage, ranks)
+    timed = col("service_ts").isNotNull()
+    first = F.min(F.struct(*_full_order(u, tiebreak, key))).alias("f")
+    bad = F.max(F.coalesce((col("uos") <= 0) | (col("vdc") <= 0), lit(False)) & col(key).isNotNull()).alias("bad")
+    # Of rows without a time only their place counts, not what they used.
+    keys = list(dict.fromkeys((scope_key, key)))
+    day = u.groupBy(*keys, "service_date").agg(
+        first, bad, F.count(lit(1)).alias("n"), F.count("service_ts").alias("n_timed"),
+        *[F.sum(F.when(timed, col(c))).alias(f"s_{c}") for c in ("uos", "vdc")])
+
+    stay = Window.partitionBy(*keys)
+    before = stay.orderBy("service_date")
+    day = (day.repartition(scope_key)
+           .withColumn("_bad", F.max("bad").over(stay)).where(~col("_bad"))
+           .withColumn("diff", F.coalesce(F.date_diff(col("service_date"), F.lag("service_date").over(before)), lit(NEW_ENCOUNTER))))
+    f_timed = col("f.service_ts").isNotNull()
+
+    def others(c: str):  # the sum over the rows of the day but the first
+        return F.coalesce(col(f"s_{c}"), lit(0)) - F.when(f_timed, F.coalesce(col(f"f.{c}"), lit(0))).otherwise(lit(0))
+
+    more = col("f.uos") > 1
+    first_vdc = F.when(f_timed & more, (col("f.uos") - 1) * col("f.unit_cost"))
+    next_day = f_timed & (col("diff") == 1)
+    scope = day.where(col(scope_key).isNotNull()).groupBy(scope_key).agg(
+        F.sum("n_timed").alias("n_timed"),
+        F.max((col("n") > 1) | F.coalesce(more, lit(False))).alias("in_same"), F.max(col("diff") == 1).alias("in_next"),
+        F.sum(others("uos") + F.when(f_timed, F.coalesce(col("f.uos") - 1, lit(0))).otherwise(lit(0))).alias("sd_uos"),
+        F.sum((others("vdc") + F.coalesce(first_vdc, lit(0))).cast("decimal(38,4)")).alias("sd_vdc"),
+        F.sum(next_day.cast("int")).alias("nd_uos"),
+        F.sum(F.when(next_day, F.coalesce(col("f.unit_cost"), lit(0))).otherwise(lit(0)).cast("decimal(38,4)")).alias("nd_vdc"))
+    a = scope.where(col("n_timed") > 0).agg(*[F.sum(F.when(col(f), col(c))).alias(c) for f, c in
+                    (("in_same", "sd_uos"), ("in_same", "sd_vdc"), ("in_next", "nd_uos"), ("in_next", "nd_vdc"))])
+    return _savings_report(a, fiscal_year)

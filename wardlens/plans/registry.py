@@ -162,7 +162,7 @@ def q_next_day_excess(spark, sf):
 
 @register("savings")
 def q_savings(spark, sf):
-    return red.savings(_adjacent_all(spark, sf), USAGE_YEAR)
+    return red.savings_from_usage(fx(spark, sf).usage, RED.ranks, USAGE_TIEBREAK, USAGE_YEAR, RED.key)
 
 
 # ------------------------------------------------------- entity compare
@@ -190,13 +190,13 @@ def _ent_worklist(spark, sf, compat=False, b=None, top=None):
     return ent.first_setting_per_line(wl) if compat else wl
 
 
-def _ent_pairs(spark, sf, compat=False, top=None):
-    # ``bill`` feeds the work list and both sides of the self join: cut it
-    # once in the shared checkpoint folder instead of deriving it three times.
-    b = materialize(_ent_bill(spark, sf))
-    # the aggregated usage (with group volumes) is both sides of the self join
-    u = materialize(_ent_usage(spark, sf, b))
-    return ent.comparison_pairs(u, _ent_worklist(spark, sf, compat, b, top))
+def _ent_compared(spark, sf, compat=False, top=None):
+    """The aggregated usage, cut once as two steps read it, and the groups to compare."""
+    if compat or top:  # the top N counts cases, so it needs the bill by encounter besides
+        b = materialize(_ent_bill(spark, sf).select("encounter_id", *ent.GROUP, *ent.CODE, "vdc"))
+        return materialize(_ent_usage(spark, sf, b)), _ent_worklist(spark, sf, compat, b, top)
+    u = materialize(_ent_usage(spark, sf))
+    return u, ent.work_groups(u, ENT)
 
 
 @register("ent_enc")
@@ -239,27 +239,27 @@ def q_ent_usage(spark, sf):
 
 @register("ent_pairs")
 def q_ent_pairs(spark, sf):
-    return _ent_pairs(spark, sf)
+    return ent.comparison_pairs(*_ent_compared(spark, sf))
 
 
 @register("ent_unique")
 def q_ent_unique(spark, sf):
-    return ent.unique_codes(_ent_pairs(spark, sf))
+    return ent.unique_usage(*_ent_compared(spark, sf))
 
 
 @register("ent_overlap")
 def q_ent_overlap(spark, sf):
-    return ent.overlapping_codes(_ent_pairs(spark, sf), ENT.band)
+    return ent.overlapping_usage(*_ent_compared(spark, sf), ENT.band)
 
 
 @register("ent_overlap_top100")
 def q_ent_overlap_top100(spark, sf):
-    return ent.overlapping_codes(_ent_pairs(spark, sf, top=100), ENT.band)
+    return ent.overlapping_usage(*_ent_compared(spark, sf, top=100), ENT.band)
 
 
 @register("ent_overlap_compat")
 def q_ent_overlap_compat(spark, sf):
-    return ent.overlapping_codes(_ent_pairs(spark, sf, compat=True), ENT.band)
+    return ent.overlapping_usage(*_ent_compared(spark, sf, compat=True), ENT.band)
 
 
 @register("ent_report_sorted")
@@ -653,11 +653,7 @@ LINE_TIEBREAK = ("service_ts", "cpt_code", "unit_cost", "ordering_md_name", "ord
 @register("savings_lines")
 def q_savings_lines(spark, sf):
     """A08 -> A15 end to end on the line fact (usage of the chosen CPT codes)."""
-    # the usage rows (chosen CPT codes only) feed the cleaning, the day
-    # aggregate and the adjacency join: derive them from the facts once
-    usage = materialize(q_enc_usage(spark, sf))
-    ranked = red.rank_codes(red.clean_usage(usage), LINE_RANKS)
-    return red.savings(red.adjacent_rows(ranked, LINE_TIEBREAK, RED.key, keep_null_time=True), RED.fiscal_year)
+    return red.savings_from_usage(q_enc_usage(spark, sf), LINE_RANKS, LINE_TIEBREAK, RED.fiscal_year, RED.key)
 
 
 @register("adjacent_lines")
