@@ -15,10 +15,11 @@ bucket counts one word occurs once, so it is left out of the postings.
 
 Lines with equal sets are one entry of the join.  The postings are shuffled
 once, by word.  Inside a posting list a line is compared with the earlier ones
-until one passes the filters, which is its candidate; one candidate per line is
-compared in full.  Lines whose candidate fails, which the sketches make rare,
-are compared with all that passes.  So a line with a match leaves early, and a
-group of near copies gives a pair for each line, not for each two of them.  A
+until one passes the filters with room to spare, which is its candidate; one
+candidate per line is compared in full.  Lines whose candidate fails, which the
+sketches make rare, are compared with the weaker ones that passed.  So a line
+with a match leaves early, and a group of near copies gives a pair for each
+line, not for each two of them.  A
 list of more than :data:`BLOCK` postings is cut into blocks, and each two
 blocks are a group of their own.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlens.llm.common import ASCII_LOWER, TOKEN, Scratch, bounded, cut, map_arrow, map_batches
+from wardlens.llm.common import ASCII_LOWER, TOKEN, Scratch, arrow_rows, bounded, cut, map_arrow, map_batches
 from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
@@ -50,7 +51,8 @@ BLOCK = 4096
 HELD = 1 << 16
 #: Sets of up to so many words have a sketch of 64 bits, or 128; larger ones have 256.
 SHORT, MIDDLE = 48, 100
-LANES = ("b0", "b1", "b2", "b3")
+#: A line's first candidate ends its search in a list if at most this part of the words that may differ does by its sketch; weaker ones are noted, and the search goes on.
+STRONG = 0.5
 #: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.
 KEY = ("doc", "h", "at")
 TOKENS = re.compile(TOKEN)
@@ -95,7 +97,7 @@ def sketches(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray
 
 
 def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """``doc, h, at, s1, s2`` (hashes of the set), ``n, b0 ... b3`` (sketch), ``skip, prefix`` of every line with ``least_words`` distinct words or more.
+    """``doc, h, at, s1, s2`` (hashes of the set), ``n, bits, more`` (sketch), ``skip, prefix`` of every line with ``least_words`` distinct words or more.
 
     ``prefix`` holds the keys of the first words but for the ``skip`` first, which occur once; a key is the count and a hash.
     """
@@ -133,95 +135,105 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         place_in_doc = line[first][kept] - (np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1))[o]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
         signed = lambda x: x[kept].view(np.int64)
-        lanes = {c: signed(x) for c, x in zip(LANES, sketches(h, first, n), strict=True)}
-        return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), **lanes, "skip": skip.astype(np.int32), "prefix": lists}
+        b = sketches(h, first, n)
+        more = np.stack(b[1:], axis=1)[kept]
+        more = [x.tobytes() if long else None for x, long in zip(more, (n[kept] > SHORT).tolist(), strict=True)]
+        return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(b[0]), "more": more, "skip": skip.astype(np.int32), "prefix": lists}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         return map(of, batches)
 
-    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, skip int, prefix array<bigint>")
+    return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, bits bigint, more binary, skip int, prefix array<bigint>")
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """``word, part, side, doc, h, at, n, pos`` and the sketch: an entry under each word of its prefix.
+    """``word, part, doc, h, at, place, bits, more``: an entry under each word of its prefix.
 
-    ``part`` is 0, or numbers two blocks of a long list that meet; ``side`` is
-    1 or 2 for the members of two different blocks, else 0.
+    ``place`` has the set's size, the word's position and a side, from the
+    high bits on.  ``part`` is 0, or numbers two blocks of a long list that
+    meet; the side is 1 or 2 for the members of two different blocks, else 0.
     """
-    posts = entries.select(*KEY, "n", *LANES, "skip", F.posexplode("prefix").alias("i", "word"))
-    posts = posts.select("word", *KEY, "n", (F.col("skip") + F.col("i")).alias("pos"), *LANES)
+    posts = entries.select(*KEY, "n", "bits", "more", "skip", F.posexplode("prefix").alias("i", "word"))
+    place = F.shiftleft(F.col("n").cast("long"), 34).bitwiseOR(F.shiftleft((F.col("skip") + F.col("i")).cast("long"), 2))
+    posts = posts.select("word", F.lit(0).cast("long").alias("part"), *KEY, place.alias("place"), "bits", "more")
     # A list cannot be longer than its word is frequent, so only lists of frequent words need to be counted.
     often = F.shiftright("word", 43) > BLOCK
     long = posts.where(often).groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
-    long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "long-lists"))
-    whole = [F.lit(0).alias("part"), F.lit(0).alias("side")]
-    columns = [*KEY, "n", "pos", *LANES]
+    long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "long-lists"))
     if long.isEmpty():
-        return posts.select("word", *whole, *columns)
-    block = F.pmod(F.xxhash64(*KEY), F.col("blocks")).cast("int")
+        return posts
+    block = F.pmod(F.xxhash64(*KEY), F.col("blocks"))
     # Block b meets every block: as the first of two up to the last block, as the second from the first one on.
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
         (F.least(block, j) * F.col("blocks") + F.greatest(block, j)).alias("part"),
-        F.when(block == j, 0).when(block < j, 1).otherwise(2).alias("side")))
+        F.when(block == j, 0).when(block < j, 1).otherwise(2).cast("long").alias("side")))
     dealt = posts.where(often).join(long, "word", "left")
-    split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(*whole))).otherwise(meet)).alias("m"), *columns)
-    return posts.where(~often).select("word", *whole, *columns).union(split.select("word", "m.part", "m.side", *columns))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("side")))
+    split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(meet)).alias("m"), *KEY, "place", "bits", "more")
+    return posts.where(~often).union(split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more"))
+
+
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    """The postings as arrays: ``n, pos, side`` from the place, the sketch's lanes ``b0 ... b3`` and their sum ``fold``."""
+    x = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("place", "bits", "more")}
+    place = t.column("place").to_numpy()
+    x |= {"n": place >> 34, "pos": (place >> 2) & 0xFFFFFFFF, "side": place & 3, "b0": t.column("bits").to_numpy().view(np.uint64)}
+    more = t.column("more").combine_chunks()
+    lanes = np.zeros((t.num_rows, 3), np.uint64)
+    there = more.drop_null()
+    if len(there):
+        ends = np.frombuffer(there.buffers()[1], np.int32)[there.offset : there.offset + len(there) + 1]
+        lanes[more.is_valid().to_numpy(zero_copy_only=False)] = np.frombuffer(there.buffers()[2].to_pybytes()[ends[0] : ends[-1]], np.uint64).reshape(-1, 3)
+    x |= {f"b{i + 1}": lanes[:, i] for i in range(3)}
+    x["fold"] = x["b0"] ^ x["b1"] ^ x["b2"] ^ x["b3"]
+    return x
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of some whole groups (word, part) at a time; batches come sorted by them."""
-    def joined(parts: list[pa.RecordBatch]) -> pa.Table:
-        return pa.Table.from_batches(parts).combine_chunks()
-
-    def columns(t: pa.Table) -> dict[str, np.ndarray]:
-        return {c: t.column(c).to_numpy() for c in t.column_names}
-
     held, rows = [], 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
         if rows >= HELD:
-            t = joined(held)
+            t = pa.Table.from_batches(held)
             word, part = t.column("word").to_numpy(), t.column("part").to_numpy()
-            last = int(np.flatnonzero((word != word[-1]) | (part != part[-1]))[-1]) + 1 if word[0] != word[-1] or part[0] != part[-1] else 0
+            before = np.flatnonzero((word != word[-1]) | (part != part[-1]))  # of the last group
+            last = int(before[-1]) + 1 if len(before) else 0
             if last:
-                yield columns(t.slice(0, last))
+                yield _columns(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
             rows = t.num_rows - last
     if rows:
-        yield columns(joined(held))
+        yield _columns(pa.Table.from_batches(held))
 
 
-def _can_match(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the postings ``i`` and ``j`` pass the length, positional and sketch filters."""
+def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(at least so many words differ, at most so many may) of the postings ``i`` and ``j``; what fails the other filters differs in more."""
     n, m = x["n"][i], x["n"][j]
     total, both = n + m, np.minimum(n, m)
     # Shared words s reach the limit if s * (100 + percent) >= percent * total; the words that differ are total - 2 * s.
     most = ((100 - percent) * total) // (100 + percent)
     left = np.minimum(n - x["pos"][i], m - x["pos"][j])  # the shared word and what follows
-    ok = (100 * both >= percent * (total - both)) & (left * (100 + percent) >= percent * total)
-    ok &= np.bitwise_count(x["fold"][i] ^ x["fold"][j]) <= most
-    k = np.flatnonzero(ok & (both > SHORT))
+    differ = np.bitwise_count(x["fold"][i] ^ x["fold"][j]).astype(np.int64)
+    differ[(100 * both < percent * (total - both)) | (left * (100 + percent) < percent * total)] = 1 << 40
+    k = np.flatnonzero((differ <= most) & (both > SHORT))
     if len(k):
-        b = [x[c][i[k]] ^ x[c][j[k]] for c in LANES]
-        differ = np.where(both[k] > MIDDLE, sum(np.bitwise_count(v).astype(np.int64) for v in b), np.bitwise_count(b[0] ^ b[2]).astype(np.int64) + np.bitwise_count(b[1] ^ b[3]))
-        ok[k] = differ <= most[k]
-    return ok
+        b = [x[f"b{lane}"][i[k]] ^ x[f"b{lane}"][j[k]] for lane in range(4)]
+        differ[k] = np.where(both[k] > MIDDLE, sum(np.bitwise_count(v).astype(np.int64) for v in b), np.bitwise_count(b[0] ^ b[2]).astype(np.int64) + np.bitwise_count(b[1] ^ b[3]))
+    return differ, most
 
 
 def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Pairs ``doc_a, h_a, at_a, doc, h, at, n`` (the later line, with its size) that pass the filters in one list.
+    """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong`` (the later line, with its size) that pass the filters in one list.
 
-    Each posting gives its line's earliest one; with ``every``, those that are ``asked`` give all.
+    Each posting gives its line's earliest strong one, and the weak ones
+    before that; with ``every``, those that are ``asked`` give all.
     """
     ordered = posts.repartition("word", "part").sortWithinPartitions("word", "part", *KEY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for x in _groups(batches):
-            x["n"], x["pos"] = x["n"].astype(np.int64), x["pos"].astype(np.int64)
-            for c in LANES:
-                x[c] = x[c].view(np.uint64)
-            x["fold"] = x["b0"] ^ x["b1"] ^ x["b2"] ^ x["b3"]
             new = np.ones(len(x["n"]), bool)
             new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
             first = np.flatnonzero(new)
@@ -231,17 +243,19 @@ def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame
             step = 0
             while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
                 other = start[open_] + step
-                good = _can_match(x, other, open_, percent) & ((x["side"][open_] == 0) | (x["side"][other] != x["side"][open_]))
+                differ, most = differing(x, other, open_, percent)
+                good = (differ <= most) & ((x["side"][open_] == 0) | (x["side"][other] != x["side"][open_]))
                 if good.any():
-                    found.append((other[good], open_[good]))
+                    strong = good & (differ <= STRONG * most)
+                    found.append((other[good], open_[good], strong[good]))
                     if not every:
-                        open_ = open_[~good]
+                        open_ = open_[~strong]
                 step += 1
             if found:
-                i, j = map(np.concatenate, zip(*found, strict=True))
-                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")}
+                i, j, strong = map(np.concatenate, zip(*found, strict=True))
+                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")} | {"strong": strong}
 
-    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint")
+    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint, strong boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -272,28 +286,41 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
     with Scratch(docs.sparkSession) as scratch:
         lines = cut(line_sets(docs, percent, least_words), "line-sets")
         # A set is represented by its earliest line.
-        entries = lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", *LANES, "skip", "prefix")))
+        entries = lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "more", "skip", "prefix")))
         entries = cut(entries, "line-entries")
         repeats = entries.where("k > 1").select("s1", "s2", "first")
         equal = lines.select(*KEY, F.col("n").cast("long").alias("n"), "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first"))
         equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
         scratch.drop(lines)
 
-        posts = postings(entries.select("first.*", "n", *LANES, "skip", "prefix"))
-        found = cut(candidates(posts, percent), "line-candidates")
-        earliest = F.min(F.struct(*[F.col(f"{c}_a") for c in KEY])).alias("a")
-        pairs = cut(found.groupBy(*KEY, "n").agg(earliest).select(*KEY, "n", "a.*"), "line-pairs")
-        near = cut(verified(pairs, docs, percent), "line-matches")
-        failed = cut(pairs.select(*KEY).join(near, list(KEY), "left_anti"), "line-open")
+        posts = postings(entries.select("first.*", "n", "bits", "more", "skip", "prefix"))
+        found = candidates(posts, percent).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"))
+        with arrow_rows(docs.sparkSession, HELD):
+            found = cut(found, "line-candidates")
+        # The earliest strong candidate, or else the earliest, is compared first.
+        chosen = F.min(F.struct(~F.col("strong"), "doc_a", "h_a", "at_a")).alias("a")
+        pairs = cut(found.groupBy(*KEY, "n").agg(chosen, F.max("strong").alias("strong")).select(*KEY, "n", "a.doc_a", "a.h_a", "a.at_a", "strong"), "line-pairs")
+        near = cut(verified(pairs.drop("strong"), docs, percent), "line-matches")
+        failed = cut(pairs.select(*KEY, "strong").join(near, list(KEY), "left_anti"), "line-open")
         if not failed.isEmpty():
-            marked = posts.join(failed.withColumn("asked", F.lit(True)), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-            words = cut(marked.where("asked").select("word").distinct(), "line-open-words")
-            again = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).distinct()
-            more = verified(cut(again.join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti"), "line-open-pairs"), docs, percent)
-            near = near.union(more.groupBy(*KEY, "n").agg(F.min(F.struct("doc_a", "h_a")).alias("a")).select(*KEY, "n", "a.*"))
+            rest = found.drop("strong").join(failed, list(KEY), "left_semi").join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti")
+            more = _earliest(verified(cut(rest, "line-open-pairs"), docs, percent))
+            near = near.union(cut(more, "line-more-matches"))
+            # A strong candidate that fails has ended a search too early; such a line is compared with all.
+            again = cut(failed.where("strong").join(near, list(KEY), "left_anti").select(*KEY, F.lit(True).alias("asked")), "line-again")
+            if not again.isEmpty():
+                marked = posts.join(bounded(again), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+                words = cut(marked.where("asked").select("word").distinct(), "line-again-words")
+                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).drop("strong").distinct()
+                near = near.union(_earliest(verified(cut(every, "line-again-pairs"), docs, percent)))
         return scratch.keep(cut(equal.union(near), "line-removals"))
 
 
+def _earliest(matches: DataFrame) -> DataFrame:
+    """One match a line."""
+    return matches.groupBy(*KEY, "n").agg(F.min(F.struct("doc_a", "h_a")).alias("a")).select(*KEY, "n", "a.*")
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, one_source: int | None = None) -> DataFrame:
     """Remove lines that match an earlier line of any document.
 
@@ -324,8 +351,13 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     joined = keyed.join(gone, ["doc", "h"], "left")
     given = F.col("row.text")
     parts = F.split(given, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), given).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+
+    def rest_of(parts: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+        return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+
+    # The lines are bound as a variable: an expression inside a lambda is computed for each element.
+    text = F.when(F.col("gone").isNull(), given).otherwise(F.transform(F.array(parts), rest_of)[0])
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
     n_lines = F.coalesce(F.octet_length(given) - F.octet_length(F.replace(given, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     out = joined.select(text.alias("text"), n_lines, n_removed, "row", "gone", "n_gone", "from_one")
