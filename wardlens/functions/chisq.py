@@ -1,19 +1,18 @@
 """Chi-squared tail probabilities.
 
-Spark SQL has no gamma/erfc function, so the p-value of an aggregated
-statistic is computed in an Arrow-batched pandas UDF.  It only ever runs
-on aggregated rows (one per table or per group), never on raw records.
-The regularized incomplete gamma function uses the series expansion below
-a+1 and a continued fraction above it (standard numerical method).
+Spark SQL has no gamma or error function, so the p-value of a statistic is a
+finite recursion over the degrees of freedom as a column expression
+(:func:`chi2_pvalue`).  :func:`chi2_sf` is the same tail as a plain number, for
+critical values: the regularized incomplete gamma function by its series below
+a + 1 and a continued fraction above it (standard numerical method).
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _steps(a: float, x: float) -> range:
@@ -85,7 +84,45 @@ def chi2_critical(dof: int, alpha: float = 0.05) -> float:
     return hi
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(s), int(d)) if pd.notna(s) and pd.notna(d) else None
-                      for s, d in zip(stat, dof)], dtype="float64")
+def _erfc_root(h: Column) -> Column:
+    """erfc(sqrt(h)) for h > 0: the error function's series of positive terms up to 2.5, a continued fraction beyond."""
+    z = F.sqrt(h)
+    start = F.struct(z.alias("t"), z.alias("s"))
+
+    def add(acc: Column, n: Column) -> Column:
+        t = acc["t"] * 2 * h / (2 * n + 1)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    root_pi = math.sqrt(math.pi)
+    series = 1 - 2 / root_pi * F.exp(-h) * F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add, lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1)), F.lit(1.0), lambda f, n: 1 + n / (2 * h) / f)
+    return F.when(h < 2.5, series).otherwise(F.exp(-h) / (z * root_pi * fraction))
+
+
+def chi2_pvalue(stat: Column, dof: Column) -> Column:
+    """P(X > stat) for X ~ chi-squared(dof), as a column expression: no Python worker.
+
+    The tail of dof + 2 is that of dof and one more term, so it is the tail of
+    dof 1 or 2 and a finite sum.  Terms are kept as logarithms, which neither
+    overflow nor vanish for large statistics or many degrees of freedom.  NULL
+    for a NULL or NaN statistic and for dof below 1; 1 for a statistic of 0 or less.
+    """
+    stat, k = stat.cast("double"), dof.cast("int")
+    # Guarded, as all branches are computed for the rows of a batch under ANSI rules.
+    ok = (k >= 1) & (stat > 0) & ~F.isnan(stat)
+    h = F.when(ok, stat / 2).otherwise(F.lit(1.0))
+    odd = k % 2 == 1
+    log_h = F.log(h)
+    first = F.when(odd, -h + 0.5 * log_h - math.lgamma(1.5)).otherwise(-h)
+    n = F.when(ok, F.floor(k / 2)).otherwise(0).cast("int")  # terms: dof / 2, rounded down
+    # Term i (from 0) is h^(i + r) e^-h / gamma(i + r + 1), with r = 0, or 1/2 for odd dof; the next has the factor h / (i + 1 + r).
+    r = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    begin = F.struct(first.alias("log"), F.lit(0.0).alias("s"))
+
+    def add(acc: Column, i: Column) -> Column:
+        return F.struct((acc["log"] + log_h - F.log(i + r)).alias("log"), (acc["s"] + F.exp(acc["log"])).alias("s"))
+
+    steps = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n)
+    total = F.aggregate(steps, begin, add, lambda a: a["s"])
+    tail = F.least(F.lit(1.0), F.when(odd, _erfc_root(h) + total).otherwise(total))
+    return F.when((k >= 1) & stat.isNotNull() & ~F.isnan(stat), F.when(stat <= 0, F.lit(1.0)).otherwise(tail))

@@ -63,6 +63,11 @@ def mdc_group(code: Column) -> Column:
     return expr
 
 
+def category_ranges() -> list[tuple[int, int, str]]:
+    """The categories as rows ``lo, hi, label`` of a range table."""
+    return [(lo, hi, label) for ranges, label in DRG_CATEGORIES for lo, hi in ranges]
+
+
 def sql_mdc_group(code_sql: str) -> str:
     n = f"try_cast({code_sql} as int)"
     arms = []

@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.chisq import chi2_critical, chi2_pvalue
@@ -21,6 +21,8 @@ from wardlens.functions.exact import ratio
 from wardlens.session import materialize
 
 col, lit = F.col, F.lit
+#: Rows of a contingency table up to which the statistic is exact.
+MOST_ROWS = 10 ** 12
 
 
 def _norm(name: str) -> str:
@@ -50,6 +52,23 @@ def _attach(cells: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFra
     return cells.join(t, same).drop(*["_t_" + c for c in keys])
 
 
+def chi_term(n: Column, row: Column, column: Column, total: Column) -> Column:
+    """total * n^2 / (row * column), rounded to 9 decimals, exact for tables of up to :data:`MOST_ROWS` rows.
+
+    The division is staged: the whole part first, then the decimals of what is
+    left, so that no product leaves 38 digits.  A larger table is an error,
+    also where ANSI mode is off and an overflow would be a NULL that sums skip.
+    """
+    whole_number = "decimal(38,0)"
+    n, row, column, big = (c.cast("decimal(13,0)") for c in (n, row, column, total))
+    above, below = (big * n).cast(whole_number) * n, (row * column).cast(whole_number)
+    whole = F.call_function("div", above.cast(whole_number), F.when(below > 0, below)).cast(whole_number)
+    rest = above.cast(whole_number) - (whole * below).cast(whole_number)
+    term = (whole.cast("decimal(20,0)") + ratio(rest, 0, below, 0, 9, precision=11)).cast("decimal(38,9)")
+    error = F.raise_error(lit(f"a contingency table of more than {MOST_ROWS} rows")).cast("decimal(38,9)")
+    return F.when(total > MOST_ROWS, error).otherwise(term)
+
+
 def contingency(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per (groups, x, y) cell: count, share of the y-bar, and the
     table's chi-squared statistic and degrees of freedom.
@@ -65,10 +84,7 @@ def contingency(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> Da
     j = _attach(_attach(cells, rows, [*g, x]), cols, [*g, y])
     j = _attach(j, rows.groupBy(*g).agg(F.sum("n_x").alias("n_total"), F.count(x).alias("_r")), g)
     j = _attach(j, cols.groupBy(*g).agg(F.count(y).alias("_c")), g)
-    # Products of three counts leave 64 bits at a few million rows a cell; decimals hold counts up to 1e9 here.
-    wide = {c: col(c).cast("decimal(20,0)") for c in ("n_total", "n", "n_x", "n_y")}
-    term = ratio(wide["n_total"] * wide["n"] * wide["n"], 0, wide["n_x"] * wide["n_y"], 0, 9)
-    j = j.withColumn("_term", term)
+    j = j.withColumn("_term", chi_term(col("n"), col("n_x"), col("n_y"), col("n_total")))
     j = _attach(j, j.groupBy(*g).agg(F.sum("_term").alias("_s")), g)
     return j.select(
         *groups, x, y, col("n").alias("n"), col("n_y").alias("n_bar"),

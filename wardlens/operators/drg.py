@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.drg import drg_number, mdc_group
+from wardlens.functions.drg import UNGROUPABLE, drg_number, mdc_group
+from wardlens.functions.ranges import checked, range_lookup
 
 col, lit = F.col, F.lit
 
@@ -21,6 +22,12 @@ def with_mdc_group(df: DataFrame, code_col: str = "msdrg_code") -> DataFrame:
         "msdrg_groupings", mdc_group(col(code_col)))
 
 
+def with_range_group(df: DataFrame, ranges: DataFrame, code_col: str = "msdrg_code") -> DataFrame:
+    """A60 with the categories as a table (``lo, hi, label``): a DRG version is data; overlapping ranges are rejected."""
+    numbered = df.withColumn("msdrg_numeric", drg_number(col(code_col)))
+    return range_lookup(numbered, col("msdrg_numeric"), checked(ranges), "label", "msdrg_groupings", UNGROUPABLE)
+
+
 def procedure_detail(encounters: DataFrame, procedures: DataFrame, pcs_map: DataFrame, msdrg: DataFrame,
                      icd10px: DataFrame, icd10dx: DataFrame, fiscal_year: int) -> DataFrame:
     """Procedure rows of the year's encounters with the names of their DRG,

@@ -46,7 +46,12 @@ def with_service_line(enc: DataFrame, dimension: DataFrame, key: str, name_col:
 
 def bill(enc: DataFrame, lines: DataFrame, costs: DataFrame, charge_code: DataFrame,
          p: EntityCompareParams) -> DataFrame:
-    """Encounter x charge code UOS and VDC (lines without cost drop out)."""
+    """Encounter x charge code UOS and VDC (lines without cost drop out).
+
+    Facts that carry the encounter's fiscal year are read for the years in
+    question only: where they are partitioned by it, other folders are pruned.
+    """
+    lines, costs = (f.where(col("fiscal_year").isin(list(p.fiscal_years))) if "fiscal_year" in f.columns else f for f in (lines, costs))
     cc = charge_code.where(~col("cost_driver").isin(list(p.excluded_drivers))).select(
         "charge_code_id", "cost_driver", col("rollup_name").alias("cc_rollup"),
         col("name").alias("full_charge_code_description"))

@@ -180,6 +180,7 @@ from ({ENT_ENC}) e join f_line l on l.encounter_id = e.encounter_id
 where cc.cost_driver not in ('Excluded', '')
 group by all"""
 oracle("ent_bill", ENT_BILL)
+oracle("ent_bill_co_located", ENT_BILL)
 
 ENT_BILL_ENC = f"""
 select encounter_id, entity, patient_setting, service_line, sum(vdc) as vdc
@@ -206,6 +207,10 @@ ENT_VOL = f"""
 select entity, patient_setting, service_line, count(distinct encounter_id) as tot_cases
 from ({ENT_ENC}) e group by entity, patient_setting, service_line"""
 oracle("ent_volumes", ENT_VOL)
+oracle("ent_volumes_merged", " union all ".join(f"""
+select cast({n} as int) as level, {', '.join(f'{c if i < n else "cast(null as varchar)"} as {c}' for i, c in enumerate(('entity', 'patient_setting', 'service_line')))},
+  count(distinct encounter_id) as tot_cases
+from ({ENT_ENC}) e {'group by ' + ', '.join(('entity', 'patient_setting', 'service_line')[:n]) if n else ''}""" for n in (3, 2, 1, 0)))
 
 ENT_USAGE = f"""
 select u.*, {sql_ratio('u.vdc', 4, 'u.cases', 0, 6)} as vdc_per_case from (
@@ -614,6 +619,9 @@ oracle("client_db_name", "select orgpin, client, 'P_' || replace(client, '_', ''
 oracle("mdc_group", f"""
 select encounter_id, msdrg_code, try_cast(msdrg_code as int) as msdrg_numeric, {sql_mdc_group('msdrg_code')} as msdrg_groupings
 from f_encounter""")
+oracle("mdc_group_ranges", f"""
+select encounter_id, msdrg_code, try_cast(msdrg_code as int) as msdrg_numeric, {sql_mdc_group('msdrg_code')} as msdrg_groupings
+from f_encounter""")
 PX_DETAIL = f"""
 select e.encounter_id, e.record_number, dx.name as prim_icd10dx_description, ms.name as msdrg_fulldescription,
   try_cast(e.msdrg_code as int) as msdrg_numeric, {sql_mdc_group('e.msdrg_code')} as msdrg_groupings,

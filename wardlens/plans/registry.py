@@ -10,12 +10,15 @@ from __future__ import annotations
 import uuid as _uuid
 from collections.abc import Callable
 from dataclasses import replace as _replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.functions.bins import DONOR_AGE_COMPAT, DONOR_BMI
 from wardlens.functions.bins import DONOR_BINS as _BINS
+from wardlens.functions.distinct import distinct_counts, distinct_state
+from wardlens.functions.drg import category_ranges
 from wardlens.operators import benchmark as bm
 from wardlens.operators import cohort as co
 from wardlens.operators import contingency as ct
@@ -28,6 +31,7 @@ from wardlens.params import (CohortCriteria, DonorCohortParams, EntityComparePar
                              QualityParams, RedundancyParams)
 from wardlens.session import ensure_checkpoint_dir, materialize
 from wardlens.sources.tables import ParquetTables
+from wardlens.sources.warehouse import co_located
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -217,6 +221,15 @@ def q_ent_bill(spark, sf):
     return _ent_bill(spark, sf)
 
 
+@register("ent_bill_co_located")
+def q_ent_bill_co_located(spark, sf):
+    """A16, A18 over facts that are loaded bucketed by encounter and partitioned by year."""
+    f = fx(spark, sf)
+    facts = co_located(spark, f.encounter, f.line, f.cost, buckets=8)
+    enc = ent.encounter_base(facts.table("encounter"), f.source_system, f.physician, ENT)
+    return ent.bill(enc, facts.table("billing_line"), facts.table("line_cost"), f.charge_code, ENT)
+
+
 @register("ent_bill_enc")
 def q_ent_bill_enc(spark, sf):
     return ent.bill_by_encounter(_ent_bill(spark, sf))
@@ -232,6 +245,16 @@ def q_ent_volumes(spark, sf):
     return ent.group_volumes(_ent_enc(spark, sf))
 
 
+@register("ent_volumes_merged")
+def q_ent_volumes_merged(spark, sf):
+    """A21 at every level from one table of mergeable states: group, entity and setting, entity, all."""
+    state = materialize(distinct_state(_ent_enc(spark, sf), ent.GROUP, "encounter_id"))
+    levels = [distinct_counts(state, ent.GROUP[:n], "tot_cases").select(
+        F.lit(n).cast("int").alias("level"), *[(F.col(c) if i < n else F.lit(None).cast("string")).alias(c) for i, c in enumerate(("entity", "patient_setting", "service_line"))],
+        "tot_cases") for n in (3, 2, 1, 0)]
+    return reduce(DataFrame.unionByName, levels)
+
+
 @register("ent_usage")
 def q_ent_usage(spark, sf):
     return _ent_usage(spark, sf)
@@ -567,6 +590,13 @@ def q_mdc_group(spark, sf):
     return drg_ops.with_mdc_group(fx(spark, sf).encounter.select("encounter_id", "msdrg_code"))
 
 
+@register("mdc_group_ranges")
+def q_mdc_group_ranges(spark, sf):
+    """A60 with the categories as a range table."""
+    ranges = spark.createDataFrame(category_ranges(), "lo int, hi int, label string")
+    return drg_ops.with_range_group(fx(spark, sf).encounter.select("encounter_id", "msdrg_code"), ranges)
+
+
 @register("px_detail")
 def q_px_detail(spark, sf):
     return _px_detail(spark, sf)
