@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -107,6 +108,38 @@ def test_proximity(spark):
     assert 1 in found and decontam.phrase_matches(near, items, posts, probes).count() == 0
 
 
+def test_contamination_of_repetitive_texts_is_linear(spark):
+    """One repeated word, in the document and the item: every place is a match, and time grows with the words."""
+    bench = spark.createDataFrame([(1, "zz " * 14), (2, "yy " * 3)], "item_id bigint, text string")
+    took = []
+    for n in (4_000, 32_000):
+        start = time.perf_counter()
+        r = decontam.contamination_report(docs(spark, [(1, "zz " * n), (2, "a " + "yy " * 3)]), bench).orderBy("doc_id").collect()
+        took.append(time.perf_counter() - start)
+        assert [(x.n_words, x.n_hit, x.n_items) for x in r] == [(n, n, 1), (4, 3, 1)]
+    assert took[1] < 6 * took[0] + 3
+
+
+def test_clashing_internal_names(spark):
+    """Columns named like an operator's own come back unchanged."""
+    names = ["h", "_h", "doc", "row", "s", "id", "n", "_n", "_t", "k", "_k", "_f", "f", "keys", "_keys", "on", "item"]
+    given = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y z " * 9), (2, "x y z " * 9)], "doc_id bigint, text string")
+    given = given.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id bigint, text string")
+    want = [(2, "x y z " * 9, *range(len(names)))]
+    kept = decontam.drop_contaminated(given, bench)
+    assert kept.columns == given.columns and [tuple(r) for r in kept.collect()] == want * 2
+    once = minhash.drop_near_duplicates(given)
+    assert once.columns == given.columns and {r.doc_id: tuple(r) for r in once.collect()}[2] == want[0] and once.count() == 2
+    pages = given.withColumns({"url": F.lit("http://a.example/x"), "fetched_on": F.lit("2024-01-05").cast("date")})
+    entries = spark.createDataFrame([("host:a.example", "spam", "2024-01-01", True)], "pattern string, category string, listed_on string, active boolean").withColumn("listed_on", F.col("listed_on").cast("date"))
+    judged = url_lists.filter_urls(pages, entries)
+    assert judged.columns[: len(pages.columns)] == pages.columns and judged.where("blocked").count() == 3
+    for f in (minhash.near_duplicates, minhash.drop_near_duplicates):
+        with pytest.raises(ValueError, match="doc_id"):
+            f(given.withColumn("doc_id", F.lit("text")))
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("percent", [80, 90])
 def test_line_dedup_brute_force(spark, percent):
@@ -383,23 +416,49 @@ def test_token_counts(spark):
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
-def test_top_k_brute_force(spark, monkeypatch):
+def brute_top(rows, k=10, wanted=lambda i: i % 100 == 0):
+    """Every row but the query's own; missing components count 0."""
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, v) in enumerate(good):
+        if wanted(q):
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(good) if m != n)[:k]
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    return out
+
+
+VECTORS = "vec_id bigint, embedding array<double>, score int"
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_top_k_brute_force(spark, monkeypatch, parts):
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.normal(size=9)], 1) for i in range(300)]
     rows += [(300 + i, rows[4][1], 1) for i in range(30)]  # ties
-    rows += [(400, None, 1), (500, [1.0, None], 1), (501, [float("nan")] * 9, 1), (502, [float("inf")] * 9, 1), (None, [1.0] * 9, 1), (503, [0.5], 1), (0, rows[0][1], 1)]
-    t = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
-    good = {(i, tuple(int(np.floor(1024 * x)) for x in v) + (0,) * (9 - len(v))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    expected = set()
-    for q, v in good:
-        if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:10]
-            expected |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    out = topk.top_k(t, t.where("vec_id % 100 = 0"))
-    assert {tuple(r) for r in out.collect()} == expected
+    rows += [(400, None, 1), (500, [1.0, None], 1), (501, [float("nan")] * 9, 1), (502, [float("inf")] * 9, 1), (None, [1.0] * 9, 1), (503, [0.5], 1)]
+    rows += [(0, rows[0][1], 1), (0, rows[0][1], 1), (100, rows[7][1], 1), (600, [], 1)]  # copies, an id with two vectors, an empty vector
+    t = spark.createDataFrame(rows, VECTORS)
+    assert Counter(tuple(r) for r in topk.top_k(t, t.where("vec_id % 100 = 0"), parts=parts).collect()) == brute_top(rows)
+
+
+def test_top_k_edges(spark):
+    t = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(3)], VECTORS)
     assert topk.top_k(t.limit(0), t.limit(0)).count() == 0
-    assert topk.top_k(t.where("vec_id in (0, 1, 2)"), t.where("vec_id = 0")).count() == 2
+    assert topk.top_k(t, t.where("vec_id = 0")).count() == 2
+    assert topk.top_k(t, t.limit(0)).count() == 0 and topk.top_k(t.limit(0), t).count() == 0
+    short = [(0, [1.0], 1), (100, [0.5, 0.25], 1), *((i, [0.5] * i, 1) for i in range(1, 20))]  # vectors longer than every query
+    got = spark.createDataFrame(short, VECTORS)
+    assert Counter(tuple(r) for r in topk.top_k(got, got.where("vec_id % 100 = 0")).collect()) == brute_top(short)
+    new = spark.createDataFrame([(7, [2.0, 0.0], 1)], VECTORS)  # a query that the table does not hold
+    assert [tuple(r) for r in topk.top_k(t, new).collect()] == [(7, 1, 2, 2048 * 2048), (7, 2, 1, 2048 * 1024), (7, 3, 0, 0)]
+    large = [(100 * i, [float(1 << 16) * (i + 1), 1.0 + i], 1) for i in range(1, 4)]
+    some = [(i, [x / 2048 for x in v], j) for i, v, j in large]
+    big = spark.createDataFrame(some, VECTORS)
+    assert Counter(tuple(r) for r in topk.top_k(big, big).collect()) == brute_top(some)
+    with pytest.raises(ValueError, match="exact"):
+        topk.top_k(spark.createDataFrame([(1, [1e10], 1)], VECTORS), t)
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------

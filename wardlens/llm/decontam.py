@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import bounded, cut, words
+from wardlens.llm.common import Scratch, bounded, cut, words
 
 WINDOW, PROBES = 10, 2
 
@@ -79,17 +79,21 @@ def candidates(postings: DataFrame, probes: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, items: DataFrame, postings: DataFrame, probes: DataFrame, size: int = WINDOW) -> DataFrame:
     """Exact occurrences ``doc, h, key, start, n`` (``n`` words of the document from ``start``)."""
-    found = cut(candidates(postings, probes), "candidates")
-    cases = bounded(cut(found.select("doc", "h").distinct(), "candidate-docs")).alias("c")
-    d = _keyed(docs).alias("d")
-    texts = d.join(cases, (F.col("d.h") == F.col("c.h")) & F.col("d.doc").eqNullSafe(F.col("c.doc")), "left_semi").dropDuplicates(["doc", "h"]).alias("t")
-    held = found.join(bounded(items), "key").alias("f").join(texts, (F.col("f.h") == F.col("t.h")) & F.col("f.doc").eqNullSafe(F.col("t.doc")))
-    each = held.select("f.doc", "f.h", "key", "start", "terms", words(F.col("t.text")).alias("w"), F.col("windows.at").alias("at"))
-    same = F.filter("at", lambda a: (F.col("start") + a >= 0) & (F.slice("w", F.greatest(F.col("start") + a, F.lit(0)) + 1, size) == F.slice("terms", a + 1, size)))
-    # A short item at the end of a document: the slice of the document is as long as the item's.
-    short = F.filter("at", lambda a: (F.col("start") + a >= 0) & (F.slice("w", F.greatest(F.col("start") + a, F.lit(0)) + 1, F.size("terms")) == F.col("terms")))
+    found = candidates(postings, probes).select("doc", "h", "key", "start", F.explode("windows.at").alias("at"))
+    found = cut(found.withColumn("pos", F.col("start") + F.col("at")).where("pos >= 0"), "candidates")
+    # Each text is split once, for all places asked of it; there are at most as many as it has words.
+    asked = cut(found.groupBy("doc", "h").agg(F.collect_set("pos").alias("places")), "candidate-docs")
+    a, d = bounded(asked).alias("a"), _keyed(docs).alias("d")
+    held = d.join(a, (F.col("d.h") == F.col("a.h")) & F.col("d.doc").eqNullSafe(F.col("a.doc"))).select("d.doc", "d.h", "d.text", "places")
+    # Bound as a variable: an expression inside a lambda is computed for each element.
+    at_places = F.transform(F.array(words(F.col("text"))), lambda w: F.transform("places", lambda p: F.struct(p.alias("pos"), F.slice(w, p + 1, size).alias("said"))))[0]
+    said = held.dropDuplicates(["doc", "h"]).select("doc", "h", F.explode(at_places).alias("p")).select("doc", "h", "p.*").alias("s")
+    each = found.alias("f").join(said, (F.col("f.h") == F.col("s.h")) & (F.col("f.pos") == F.col("s.pos")) & F.col("f.doc").eqNullSafe(F.col("s.doc")))
+    each = each.select("f.doc", "f.h", "key", "f.pos", "at", "said").join(bounded(items), "key")
+    # An item with fewer words is one window; at a document's end, fewer words are said.
     n = F.least(F.size("terms"), F.lit(size))
-    return each.select("doc", "h", "key", "start", n.alias("n"), F.explode(F.when(F.size("terms") < size, short).otherwise(same)).alias("a")).select("doc", "h", "key", (F.col("start") + F.col("a")).alias("start"), "n").distinct()
+    same = F.slice("said", 1, n) == F.slice("terms", F.col("at") + 1, n)
+    return each.where(same).select("doc", "h", "key", F.col("pos").alias("start"), n.alias("n")).distinct()
 
 
 def proximity_matches(postings: DataFrame, probes: DataFrame, slop: int = 8) -> DataFrame:
@@ -105,7 +109,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pro
     ``doc`` is the ``doc_id`` and ``h`` the hash of the text, so repeated rows
     share their matches and null ids match by their text.  Null and empty
     texts, and items without words, have no matches.  An item without an id
-    still marks words, but is not counted or named.  Other columns are not read.
+    still marks words, but is not counted or named.  A long text is split once
+    and read whole; what is asked of it grows with its words.  Other columns
+    are not read, so their names cannot clash.
     """
     items, named = test_items(benchmark)
     asked = cut(probe_terms(docs, test_windows(items, size), probes), "window-probes")
@@ -114,15 +120,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pro
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    matches, items = decontaminate(docs, benchmark)
-    hit = (matches.select("doc", "h", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
-           .distinct().groupBy("doc", "h").agg(F.count("*").alias("n_hit")))
-    named = (matches.select("doc", "h", "key").distinct().join(items, "key").groupBy("doc", "h")
-             .agg(F.array_sort(F.collect_set("item")).alias("items")))  # a document's items: as many as the benchmark has
-    a, b = hit.alias("a"), named.alias("b")
-    found = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.doc").eqNullSafe(F.col("b.doc")), "left").select("a.doc", "a.h", "n_hit", "items")
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.keep(cut(_contaminated(*decontaminate(docs, benchmark)), "contaminated"))
     every = _keyed(docs).select("doc", "h", F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("e")
-    found = bounded(cut(found, "contaminated")).alias("f")
+    found = bounded(found).alias("f")
     out = every.join(found, (F.col("e.h") == F.col("f.h")) & F.col("e.doc").eqNullSafe(F.col("f.doc")), "left")
     return out.select(
         F.col("e.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -130,9 +131,22 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def _contaminated(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc, h, n_hit, items`` of the documents with a match."""
+    hit = (matches.select("doc", "h", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
+           .distinct().groupBy("doc", "h").agg(F.count("*").alias("n_hit")))
+    named = (matches.select("doc", "h", "key").distinct().join(items, "key").groupBy("doc", "h")
+             .agg(F.array_sort(F.collect_set("item")).alias("items")))  # a document's items: as many as the benchmark has
+    a, b = hit.alias("a"), named.alias("b")
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.doc").eqNullSafe(F.col("b.doc")), "left").select("a.doc", "a.h", "n_hit", "items")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a match, with all their columns."""
-    matches, _ = decontaminate(docs, benchmark)
-    bad = bounded(cut(matches.select("doc", "h").distinct(), "contaminated-docs"))
-    kept = docs.withColumn("_h", text_hash()).alias("d").join(bad.alias("b"), (F.col("d._h") == F.col("b.h")) & F.col("d.doc_id").eqNullSafe(F.col("b.doc")), "left_anti")
-    return kept.drop("_h")
+    with Scratch(docs.sparkSession) as scratch:
+        matches, _ = decontaminate(docs, benchmark)
+        bad = scratch.keep(cut(matches.select("doc", "h").distinct(), "contaminated-docs"))
+    bad = bounded(bad)
+    rows = docs.select(text_hash().alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
+    kept = rows.join(bad.alias("b"), (F.col("d.h") == F.col("b.h")) & F.col("row.doc_id").eqNullSafe(F.col("b.doc")), "left_anti")
+    return kept.select("row.*")

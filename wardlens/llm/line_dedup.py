@@ -51,8 +51,8 @@ BLOCK = 4096
 HELD = 1 << 16
 #: Sets of up to so many words have a sketch of 64 bits, or 128; larger ones have 256.
 SHORT, MIDDLE = 48, 100
-#: A line's first candidate ends its search in a list if at most this part of the words that may differ does by its sketch; weaker ones are noted, and the search goes on.
-STRONG = 0.5
+#: A candidate ends a line's search in a list if at most this part of the words that may differ does by its sketch; so does the last of so many weaker ones.
+STRONG, WEAK = 0.5, 4
 #: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.
 KEY = ("doc", "h", "at")
 TOKENS = re.compile(TOKEN)
@@ -158,7 +158,10 @@ def postings(entries: DataFrame) -> DataFrame:
     posts = posts.select("word", F.lit(0).cast("long").alias("part"), *KEY, place.alias("place"), "bits", "more")
     # A list cannot be longer than its word is frequent, so only lists of frequent words need to be counted.
     often = F.shiftright("word", 43) > BLOCK
-    long = posts.where(often).groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
+    # The last word of a prefix is its most frequent.
+    some = F.shiftright(F.get("prefix", F.size("prefix") - 1), 43) > BLOCK
+    listed = entries.where(some).select(F.explode("prefix").alias("word"))
+    long = listed.where(often).groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
     long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "long-lists"))
     if long.isEmpty():
         return posts
@@ -225,10 +228,11 @@ def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
 
 
 def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong`` (the later line, with its size) that pass the filters in one list.
+    """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong, ended`` (the later line, with its size) that pass the filters in one list.
 
     Each posting gives its line's earliest strong one, and the weak ones
-    before that; with ``every``, those that are ``asked`` give all.
+    before that, up to the one that ``ended`` the search; with ``every``, those
+    that are ``asked`` give all.
     """
     ordered = posts.repartition("word", "part").sortWithinPartitions("word", "part", *KEY)
 
@@ -240,6 +244,7 @@ def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame
             start = np.repeat(first, np.diff(first, append=len(new)))
             rank = np.arange(len(new)) - start
             open_, found = np.flatnonzero(x["asked"] if every else rank > 0), []
+            weak = np.zeros(len(new), np.int8)
             step = 0
             while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
                 other = start[open_] + step
@@ -247,15 +252,19 @@ def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame
                 good = (differ <= most) & ((x["side"][open_] == 0) | (x["side"][other] != x["side"][open_]))
                 if good.any():
                     strong = good & (differ <= STRONG * most)
-                    found.append((other[good], open_[good], strong[good]))
+                    ended = strong.copy()
                     if not every:
-                        open_ = open_[~strong]
+                        weak[open_] += good
+                        ended |= weak[open_] >= WEAK
+                    found.append((other[good], open_[good], strong[good], ended[good]))
+                    if not every:
+                        open_ = open_[~ended]
                 step += 1
             if found:
-                i, j, strong = map(np.concatenate, zip(*found, strict=True))
-                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")} | {"strong": strong}
+                i, j, strong, ended = map(np.concatenate, zip(*found, strict=True))
+                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")} | {"strong": strong, "ended": ended}
 
-    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint, strong boolean")
+    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint, strong boolean, ended boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -289,29 +298,29 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
         entries = lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "more", "skip", "prefix")))
         entries = cut(entries, "line-entries")
         repeats = entries.where("k > 1").select("s1", "s2", "first")
-        equal = lines.select(*KEY, F.col("n").cast("long").alias("n"), "s1", "s2").join(repeats, ["s1", "s2"]).where(F.struct(*KEY) != F.col("first"))
+        equal = lines.select(*KEY, F.col("n").cast("long").alias("n"), "s1", "s2").join(bounded(repeats), ["s1", "s2"]).where(F.struct(*KEY) != F.col("first"))
         equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
         scratch.drop(lines)
 
         posts = postings(entries.select("first.*", "n", "bits", "more", "skip", "prefix"))
-        found = candidates(posts, percent).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"))
+        found = candidates(posts, percent).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
         with arrow_rows(docs.sparkSession, HELD):
             found = cut(found, "line-candidates")
         # The earliest strong candidate, or else the earliest, is compared first.
         chosen = F.min(F.struct(~F.col("strong"), "doc_a", "h_a", "at_a")).alias("a")
-        pairs = cut(found.groupBy(*KEY, "n").agg(chosen, F.max("strong").alias("strong")).select(*KEY, "n", "a.doc_a", "a.h_a", "a.at_a", "strong"), "line-pairs")
-        near = cut(verified(pairs.drop("strong"), docs, percent), "line-matches")
-        failed = cut(pairs.select(*KEY, "strong").join(near, list(KEY), "left_anti"), "line-open")
+        pairs = cut(found.groupBy(*KEY, "n").agg(chosen, F.max("ended").alias("ended")).select(*KEY, "n", "a.doc_a", "a.h_a", "a.at_a", "ended"), "line-pairs")
+        near = cut(verified(pairs.drop("ended"), docs, percent), "line-matches")
+        failed = cut(pairs.select(*KEY, "ended").join(near, list(KEY), "left_anti"), "line-open")
         if not failed.isEmpty():
-            rest = found.drop("strong").join(failed, list(KEY), "left_semi").join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti")
+            rest = found.drop("strong", "ended").join(failed.drop("ended"), list(KEY), "left_semi").join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti")
             more = _earliest(verified(cut(rest, "line-open-pairs"), docs, percent))
             near = near.union(cut(more, "line-more-matches"))
-            # A strong candidate that fails has ended a search too early; such a line is compared with all.
-            again = cut(failed.where("strong").join(near, list(KEY), "left_anti").select(*KEY, F.lit(True).alias("asked")), "line-again")
+            # Where all that was noted fails, a search has ended too early; such a line is compared with all.
+            again = cut(failed.where("ended").join(near, list(KEY), "left_anti").select(*KEY, F.lit(True).alias("asked")), "line-again")
             if not again.isEmpty():
                 marked = posts.join(bounded(again), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
                 words = cut(marked.where("asked").select("word").distinct(), "line-again-words")
-                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).drop("strong").distinct()
+                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).drop("strong", "ended").distinct()
                 near = near.union(_earliest(verified(cut(every, "line-again-pairs"), docs, percent)))
         return scratch.keep(cut(equal.union(near), "line-removals"))
 

@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardlens.llm.common import bounded, cut, map_arrow
+from wardlens.llm.common import Scratch, bounded, cut, map_arrow
 from wardlens.llm.components import connected_components
 from wardlens.llm.hashing import BASE, MASK, mix, word_hashes
 
@@ -248,8 +249,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     is one shingle; one without words (or null) has none and is linked with
     nothing.  Rows that share an id are one document; if their texts differ,
     the one with the smallest set hash stands for it.  A row without an id is
-    linked with nothing and has a null component.  Other columns are not read.
+    linked with nothing and has a null component.  Ids must be integers, else a
+    ValueError is raised.  Long texts are read whole.  Other columns are not
+    read, so their names cannot clash.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer: a group is named by its smallest id")
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(cut(_near_duplicates(docs, k, percent, coords, matches), "near-duplicates"))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, coords: int, matches: int) -> DataFrame:
     sigs = cut(signatures(docs, k, rows_for(percent, coords, matches), coords), "signatures")
     held = sigs.where(F.col("set_id").isNotNull() & F.col("doc").isNotNull())
     one = held.groupBy("doc").agg(F.min(F.struct("set_id", "n", "sig")).alias("s")).select("doc", "s.*")
@@ -283,12 +293,15 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Repeated rows of one id are one document and give one row (the one with
     the smallest text); rows without an id, and texts without words, stay.
     """
-    groups = near_duplicates(docs, k, percent).where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    rest = docs.join(bounded(cut(groups, "dropped")), "doc_id", "left_anti")
-    again = rest.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    again = bounded(cut(again.select("doc_id"), "repeated"))
-    once = rest.join(again, "doc_id", "left_anti")
-    twice = rest.join(again, "doc_id", "left_semi")
-    names = docs.columns
-    first = twice.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("_t"), *[F.col(c) for c in names])).alias("s")).select(*[F.col(f"s.{c}") for c in names])
-    return once.select(names).unionByName(first)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer: the smallest id of a group stays")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = near_duplicates(docs, k, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+        groups = scratch.keep(cut(groups, "dropped"))
+        again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+        again = scratch.keep(cut(again.join(groups, "id", "left_anti"), "repeated"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(bounded(groups), "id", "left_anti")
+    again = bounded(again)
+    once, twice = rows.join(again, "id", "left_anti"), rows.join(again, "id", "left_semi")
+    first = twice.groupBy("id").agg(F.min(F.struct(F.coalesce("row.text", F.lit("")).alias("text"), "row")).alias("s"))
+    return once.select("row.*").unionByName(first.select("s.row.*"))

@@ -145,10 +145,10 @@ c AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(r, doc_id)) AS kept
 FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.d = doc_id""",
     "op7_top_k": """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s QUALIFY "rank" <= 10""",
+s AS (SELECT q.r AS q, q.vec_id AS query_id, v.vec_id, coalesce(CAST(list_sum(list_transform(list_zip(q.x, v.x, true), lambda z: z[1] * z[2])) AS BIGINT), 0) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.r <> v.r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s QUALIFY "rank" <= 10""",
     "op9_url_filter": r"""
 WITH pg AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS DATE) AS fetched_on,
   regexp_replace(regexp_replace(regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '') AS host,

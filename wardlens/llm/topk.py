@@ -1,149 +1,154 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-The dimensions are dealt out to :data:`PARTS` parts; each part knows only its
-share of a score.  Phase 1 gathers, of every part, each query's k highest
-shares with the scores of their vectors, and the lowest share.  The k-th best
-gathered score is a safe lower bound of the k-th score.  Measured from a
-part's lowest share, shares are not negative.  Phase 2 sends every part that bound divided by the number of
-parts: a vector that stays below it in all parts cannot be among the k best,
-so the entries at or above it suffice.  Their bounds are tightened once more.
-Phase 3 resolves what remains by whole inner products.
-
-Vectors are held in blocks of bounded size; each block of queries meets each
-block of vectors.
+The dimensions are dealt out to :data:`PARTS` parts; a part holds its own
+columns of all vectors and queries, and knows only its share of a score.
+
+1. Every part sends each query's k highest shares, and the lowest share.  The
+   vectors they name are scored in full; the k-th best of these scores is a
+   safe lower bound of the k-th score.
+2. Measured from a part's lowest share, shares are not negative.  Every part
+   gets the bound, less the lowest shares of all, divided by the number of
+   parts: a vector that stays below it in all parts cannot be among the k best,
+   so the entries at or above it suffice.  Their sums are bounds from below
+   and above, which leave few vectors.
+3. What remains is resolved by whole inner products.
+
+Vectors are held in blocks of bounded size.  The queries, the smaller side, are
+sent to every block of vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import bounded, cut
+from wardlens.llm.common import bounded, cut, map_arrow
+from wardlens.llm.negatives import column, matrix
 
 K, PARTS, SCALE = 10, 2, 1024
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Scores are exact while the squared lengths of scaled vectors stay below this.
+MOST = 1 << 53
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """Distinct ``id, v``: floor(scale * x) of each component, padded with 0 to the longest.
+    """``row, id, copy, v``: floor(scale * x) of each component; ``copy`` tells repeated rows apart.
 
     Left out: null ids, null vectors, and vectors with a null, NaN or infinite component.
     """
     x = F.col("embedding")
     rows = embeddings.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(
         F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))))
-    rows = cut(rows.select(F.col("vec_id").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v")).distinct(), "vectors")
-    size = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    return rows.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(size) - F.size("v"))).alias("v"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    rows = rows.groupBy("id", "v").agg(F.count("*").alias("k"))
+    rows = rows.select("id", "v", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("copy"))
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
-def _blocks(vectors: DataFrame, per: int, name: str) -> tuple[DataFrame, int]:
-    n = -(-vectors.count() // per) or 1
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias(name)
-    return vectors.select(block, F.struct("id", "v").alias("x")).groupBy(name).agg(F.collect_list("x").alias(f"{name}s")), n  # `per` vectors on average
+def _measure(rows: DataFrame) -> tuple[int, int]:
+    """(number of rows, the longest vector's size); an error if scores could be inexact."""
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    n, size, most = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
+    if (most or 0.0) >= MOST:  # a score is at most the product of two lengths
+        raise ValueError(f"squared length {most} of a scaled vector: scores are exact below {MOST} only")
+    return n, size or 0
 
 
-def _matrix(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = column[i].values
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1).astype(float)  # exact: below 2 ** 53
+def _blocks(rows: DataFrame, key: str, per: int, n: int, dims: list[tuple[int, int]], *more: Column) -> DataFrame:
+    """``part, block, x``: the columns of each part, in blocks of ``per`` rows on average; ``more`` may read ``part``."""
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // per)))).cast("int").alias("block")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.slice("v", a + 1, size).alias("v")) for p, (a, size) in enumerate(dims)])
+    dealt = rows.withColumn("p", F.explode(parts)).select("*", F.col("p.part").alias("part")).withColumn("block", block)
+    return dealt.groupBy("part", "block").agg(F.collect_list(F.struct(key, F.col("p.v").alias("v"), *more)).alias("x"))
 
 
-def _local(meeting: DataFrame, parts: int, k: int) -> DataFrame:
-    """Phase 1: ``query, part, id, share, score`` of each block's ``k`` highest shares; the lowest share has a null id."""
+def _meet(blocks: DataFrame, n_blocks: int, asked: DataFrame, dims: list[tuple[int, int]], pick: Callable, schema: str) -> DataFrame:
+    """``pick(part, queries, vectors, shares)`` of every block of queries with every block of vectors, part by part; shares are integers."""
+    sent = asked.select("part", F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    pairs = blocks.repartition(min(n_blocks * len(dims), 2000), "part", "block").join(sent, ["part", "block"])
+    sizes = [size for _, size in dims]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for i in range(b.num_rows):
-                (q, qm), (c, cm) = _matrix(b.column("qs"), i), _matrix(b.column("cs"), i)
-                out: list[list] = [[], [], [], [], []]
-                own = q[:, None] == c[None, :]  # a query meets no row with its id
-                every = [qm[:, dims] @ cm[:, dims].T for dims in np.array_split(np.arange(qm.shape[1]), parts)]
-                score = sum(every)
-                for p, shares in enumerate(every):
-                    low = shares.min(axis=1)
-                    shares[own] = -np.inf
-                    top = np.argsort(-shares, axis=1, kind="stable")[:, :k]
-                    best, whole = np.take_along_axis(shares, top, axis=1), np.take_along_axis(score, top, axis=1)
-                    for j in range(len(q)):
-                        good = best[j] > -np.inf
-                        n = int(good.sum())
-                        out[0] += [q[j]] * (n + 1)
-                        out[1] += [p] * (n + 1)
-                        out[2] += [*c[top[j][good]].tolist(), None]
-                        out[3] += [*best[j][good], low[j]]
-                        out[4] += [*whole[j][good], None]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query", "part", "id", "share", "score"])
-
-    return meeting.mapInArrow(run, "query bigint, part int, id bigint, share double, score double")
-
-
-def _above(meeting: DataFrame, parts: int) -> DataFrame:
-    """Phase 2: ``query, part, id, share`` of all entries at or above the cutoff (column ``cutoffs``: query, part, cutoff)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (q, qm), (c, cm) = _matrix(b.column("qs"), i), _matrix(b.column("cs"), i)
-                cuts = {(x["query"], x["part"]): x["cutoff"] for x in b.column("cutoffs")[i].as_py()}
-                for p, dims in enumerate(np.array_split(np.arange(qm.shape[1]), parts)):
-                    shares = qm[:, dims] @ cm[:, dims].T
-                    shares[q[:, None] == c[None, :]] = -np.inf
-                    row, col = np.nonzero(shares >= np.array([cuts.get((int(x), p), np.inf) for x in q])[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(np.full(len(row), p, np.int32)), pa.array(c[col]), pa.array(shares[row, col])], names=["query", "part", "id", "share"])
+            for i, part in enumerate(b.column("part").to_pylist()):
+                a, x = b.column("a")[i].values, b.column("x")[i].values
+                shares = matrix(a, sizes[part]) @ matrix(x, sizes[part]).T
+                shares[column(a, "own")[:, None] == column(x, "row")] = -np.inf  # a query does not meet its own row
+                yield pick(part, a, x, shares)
+
+    return map_arrow(pairs.select("part", "a", "x"), work, schema)
+
 
-    return meeting.mapInArrow(run, "query bigint, part int, id bigint, share double")
+def _best(rows: DataFrame, value: str, k: int, *ties: str, by: tuple[str, ...] = ("q",)) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), *ties))).where(F.col("rank") <= k)
 
 
-def _best(rows: DataFrame, value: str, k: int, *ties: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(value), *ties))).where(F.col("rank") <= k)
+def _scores(pairs: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``q, row, id, score``: whole inner products; missing components count 0."""
+    both = pairs.select("q", "row").join(asked.select("q", F.col("v").alias("x")), "q").join(vectors.select("row", "id", F.col("v").alias("y")), "row")
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: F.coalesce(a * b, F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, c: s + c)
+    return both.select("q", "row", "id", product.alias("score"))
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K, parts: int = PARTS) -> DataFrame:
-    """The ``k`` highest integer inner products of every query with all other vectors.
+    """The ``k`` highest integer inner products of every query with all vectors but its own row.
 
     Both tables have ``vec_id`` and ``embedding``.  Returns ``query_id, rank``
     (from 1), ``vec_id, score``; ties go to the smaller id; fewer rows if there
-    are fewer vectors.  Rows without an id and vectors null or with a null or
-    non-finite component take no part; equal rows count once; a query meets no
-    row with its own id.  Components must stay under 2 ** 20 after scaling, so
-    that sums are exact.  Other columns are not read.
+    are fewer vectors, none if there are none.  Rows without an id and vectors
+    null or with a null or non-finite component take no part.  Repeated rows
+    are rows of their own: a query's own row is one of the vectors that equal
+    it in id and components (none, if the table does not hold it), its copies
+    are met.  Vectors may differ in length: missing components count 0, so an
+    empty vector scores 0 with all.  Squared lengths of scaled vectors must
+    stay below 2 ** 53, else a ValueError is raised.  Other columns are not
+    read, so their names cannot clash.
     """
-    spark = embeddings.sparkSession
-    vectors, asked = cut(integer_vectors(embeddings), "padded"), cut(integer_vectors(queries), "queries")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a block; both phases run before this returns
-    (cand, _), (ask, n_q) = _blocks(vectors, VECTOR_BLOCK, "c"), _blocks(asked, QUERY_BLOCK, "q")
-    cand, ask = cut(cand, "vector-blocks"), cut(ask, "query-blocks")
-    every = cand.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    # Repartitioned, as a few large rows would otherwise stay in one task.
-    meeting = every.join(ask, "q").repartition(max(8, min(2000, cand.count() * n_q)), "q", "c")
-
-    lists = cut(_local(meeting, parts, k), "local-lists")
-    low = lists.where("id is null").groupBy("query", "part").agg(F.min("share").alias("low"))
-    scores = lists.where("id is not null").groupBy("query", "id").agg(F.max("score").alias("score"))
-    safe = _best(scores, "score", k, "id").groupBy("query").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
-    room = low.groupBy("query").agg(F.sum("low").alias("lows")).join(safe, "query", "left")
-    # With fewer than k entries known there is no bound, and all entries are sent.  The last term is for rounding.
-    cutoff = low.join(room, "query").select("query", "part", "low", F.when(F.col("n") >= k, F.greatest(F.col("low"), F.col("low") + (F.col("bound") - F.col("lows")) / parts - 1e-6)).otherwise(F.col("low")).alias("cutoff"))
-    cutoff = cut(cutoff, "cutoffs")
-    block = ask.select("q", F.explode("qs").alias("x")).select("q", F.col("x.id").alias("query")).distinct()
-    by_block = block.join(cutoff, "query").groupBy("q").agg(F.collect_list(F.struct("query", "part", "cutoff")).alias("cutoffs"))  # of one block
-    found = cut(_above(meeting.join(bounded(cut(by_block, "block-cutoffs")), "q"), parts), "entries")
-
-    sent = found.join(bounded(cutoff), ["query", "part"]).groupBy("query", "id").agg(
-        F.sum(F.col("share") - F.col("low")).alias("lower"), F.sum(F.col("cutoff") - F.col("low")).alias("own"))
-    slack = cutoff.groupBy("query").agg(F.sum(F.col("cutoff") - F.col("low")).alias("all"))
-    sent = cut(sent.join(slack, "query").select("query", "id", "lower", (F.col("lower") + F.col("all") - F.col("own")).alias("upper")), "bounds")
-    again = _best(sent, "lower", k, "id").groupBy("query").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
-    survivors = sent.join(again, "query").where((F.col("n") < k) | (F.col("upper") >= F.col("least") - 1e-6)).select("query", "id")
-
-    exact = survivors.join(asked.toDF("query", "x"), "query").join(vectors.toDF("id", "y"), "id").select(
-        "query", "id", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("score"))
-    out = _best(exact, "score", k, "id")
-    return out.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    vectors, asked = integer_vectors(embeddings), integer_vectors(queries).withColumnsRenamed({"row": "q", "id": "query_id"})
+    (n, size), (n_asked, longest) = _measure(vectors), _measure(asked)
+    own = vectors.select(F.col("id").alias("query_id"), "copy", "v", F.col("row").alias("own"))
+    asked = cut(asked.join(own, ["query_id", "copy", "v"], "left").withColumn("own", F.coalesce("own", F.lit(-1).cast("long"))), "queries")
+    dims = [(int(d[0]) if len(d) else 0, len(d)) for d in np.array_split(np.arange(max(size, longest)), parts)]
+    n_blocks = max(1, -(-n // VECTOR_BLOCK))
+    blocks = cut(_blocks(vectors, "row", VECTOR_BLOCK, n, dims), "vector-columns")
+
+    def highest(part: int, a: pa.StructArray, x: pa.StructArray, shares: np.ndarray) -> dict:
+        top = np.argsort(-shares, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(shares, top, axis=1)
+        i, j = np.nonzero(best > -np.inf)
+        low = np.where(shares > -np.inf, shares, np.inf).min(axis=1)
+        q, seen = column(a, "q"), np.flatnonzero(low < np.inf)
+        rows = pa.concat_arrays([pa.array(column(x, "row")[top[i, j]]), pa.nulls(len(seen), pa.int64())])
+        return {"q": np.concatenate((q[i], q[seen])), "part": np.full(len(i) + len(seen), part, np.int32), "row": rows, "share": np.concatenate((best[i, j], low[seen]))}
+
+    first = _blocks(asked, "q", QUERY_BLOCK, n_asked, dims, F.col("own"))
+    lists = cut(_meet(blocks, n_blocks, first, dims, highest, "q bigint, part int, row bigint, share double"), "local-lists")
+    low = lists.where("row is null").groupBy("q", "part").agg(F.min("share").alias("low"))
+    gathered = _best(lists.where("row is not null"), "share", k, "row", by=("q", "part")).select("q", "row").distinct()
+    safe = _best(_scores(gathered, asked, vectors), "score", k, "id").groupBy("q").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
+    room = low.groupBy("q").agg(F.sum("low").alias("lows")).join(safe, "q", "left")
+    # With fewer than k vectors there is no bound, and all entries are sent.  The last term is for rounding.
+    above = F.greatest(F.lit(0.0), (F.col("bound") - F.col("lows")) / parts - 1e-6)
+    cutoffs = cut(low.join(room, "q").select("q", "part", "low", F.when(F.col("n") >= k, F.col("low") + above).otherwise(F.col("low")).alias("cutoff")), "cutoffs")
+
+    def enough(part: int, a: pa.StructArray, x: pa.StructArray, shares: np.ndarray) -> dict:
+        i, j = np.nonzero((shares >= column(a, "cutoff")[:, None]) & (shares > -np.inf))
+        return {"q": column(a, "q")[i], "part": np.full(len(i), part, np.int32), "row": column(x, "row")[j], "share": shares[i, j]}
+
+    by_part = cutoffs.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("part", "cutoff"))).alias("cutoffs"))  # one for each part
+    second = _blocks(asked.join(by_part, "q"), "q", QUERY_BLOCK, n_asked, dims, F.col("own"), F.element_at("cutoffs", F.col("part")).alias("cutoff"))
+    found = cut(_meet(blocks, n_blocks, second, dims, enough, "q bigint, part int, row bigint, share double"), "entries")
+
+    sent = found.join(bounded(cutoffs), ["q", "part"]).groupBy("q", "row").agg(
+        F.sum(F.col("share") - F.col("low")).alias("lower"), F.sum(F.col("cutoff") - F.col("low")).alias("sent"))
+    slack = cutoffs.groupBy("q").agg(F.sum(F.col("cutoff") - F.col("low")).alias("all"))
+    sent = cut(sent.join(slack, "q").select("q", "row", "lower", (F.col("lower") + F.col("all") - F.col("sent")).alias("upper")), "bounds")
+    again = _best(sent, "lower", k, "row").groupBy("q").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
+    survivors = sent.join(again, "q").where((F.col("n") < k) | (F.col("upper") >= F.col("least") - 1e-6))
+
+    out = _best(_scores(survivors, asked, vectors), "score", k, "id").join(asked.select("q", "query_id"), "q")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import Memo, cut, map_batches
+from wardlens.llm.common import Memo, Scratch, cut, map_batches
 
 #: Labelled rows used for fitting, at most (those with the smallest hash of the id); the bound of the classifier's sample.
 TRAIN_ROWS = 20_000
@@ -212,7 +212,11 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn stems and the logistic model from a bounded sample; without toxic or without other rows, the fixed lists and default weights serve."""
-    train = cut(training_rows(docs, labels, rows), "toxic-train")
+    with Scratch(docs.sparkSession):
+        return _fit(cut(training_rows(docs, labels, rows), "toxic-train"))
+
+
+def _fit(train: DataFrame) -> Model:
     model = Model(learn_stems(train))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:

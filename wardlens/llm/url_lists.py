@@ -83,7 +83,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     added = ("host", "n_entries", "categories", "blocked")
     base = captures.drop(*added)
-    rows = base.select("*", url_host(F.col("url")).alias("host"), pattern_keys(url_host(F.col("url")), url_path(F.col("url"))).alias("_keys"))
-    found = bounded(cut(as_of_matches(rows.select(F.col("_keys").alias("keys"), "fetched_on"), validity_intervals(entries)), "active"))
-    out = rows.join(found.withColumnsRenamed({"keys": "_k", "fetched_on": "_f"}), (F.col("_keys") == F.col("_k")) & (F.col("fetched_on") == F.col("_f")), "left")
-    return out.select(*base.columns, "host", F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"), F.col("categories").isNotNull().alias("blocked"))
+    host = url_host(F.col("url"))
+    rows = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), host.alias("host"), pattern_keys(host, url_path(F.col("url"))).alias("keys"), F.col("fetched_on").alias("on"))
+    found = bounded(cut(as_of_matches(rows.select("keys", F.col("on").alias("fetched_on")), validity_intervals(entries)), "active"))
+    found = found.withColumnsRenamed({"keys": "k", "fetched_on": "f"})
+    out = rows.join(found, (F.col("keys") == F.col("k")) & (F.col("on") == F.col("f")), "left")
+    return out.select("row.*", "host", F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"), F.col("categories").isNotNull().alias("blocked"))
