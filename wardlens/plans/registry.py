@@ -320,17 +320,17 @@ def _proc_dates(spark, sf):
     return qa.procedure_dates(f.line, _qa_enc(spark, sf), f.cpt, QA.procedure_cpts)
 
 
-def _qa_groups(spark, sf, cut=False, p=QA):
+def _qa_groups(spark, sf, p=QA):
     f = fx(spark, sf)
     enc, pd_ = _qa_enc(spark, sf), _proc_dates(spark, sf)
-    g = qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.ub_revenue_code, f.qvi, p)
-    # the group rows feed several aggregates of the 2x2 and contingency chains
-    return materialize(g) if cut else g
+    return qa.quality_groups(enc, pd_, f.line, f.cost, f.charge_code, f.ub_revenue_code, f.qvi, p)
 
 
 def _chi_rows(spark, sf):
+    # The group rows feed two aggregates: only the columns that these read are cut.
+    groups = materialize(_qa_groups(spark, sf).select("qvi", "cost_driver", "encounter_id"))
     # one row per cost driver, read by the expected, diff and label steps
-    return materialize(qa.chi_rows(qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label)))
+    return materialize(qa.chi_rows(qa.chi_base(groups, QA.control_label)))
 
 
 @register("qa_encounters")
@@ -384,17 +384,17 @@ def q_control_group(spark, sf):
 
 @register("driver_summary")
 def q_driver_summary(spark, sf):
-    return qa.driver_summary(_qa_groups(spark, sf, cut=True), QA.control_label)
+    return qa.driver_summary(materialize(_qa_groups(spark, sf)), QA.control_label)
 
 
 @register("driver_summary_two_events")
 def q_driver_summary_two_events(spark, sf):
-    return qa.driver_summary(_qa_groups(spark, sf, cut=True, p=QA_TWO), QA_TWO.control_label)
+    return qa.driver_summary(materialize(_qa_groups(spark, sf, QA_TWO)), QA_TWO.control_label)
 
 
 @register("chi_base")
 def q_chi_base(spark, sf):
-    return qa.chi_base(_qa_groups(spark, sf, cut=True), QA.control_label)
+    return qa.chi_base(materialize(_qa_groups(spark, sf).select("qvi", "cost_driver", "encounter_id")), QA.control_label)
 
 
 @register("chi_rows")
@@ -430,7 +430,12 @@ IDENTIFYING = ("Entity", "Patient Population", "AttendPhysicianName")
 
 
 def _clean_export(spark, sf):
-    return ct.clean_cost(ct.deidentify(_qa_groups(spark, sf, cut=True), IDENTIFYING), "vdc")
+    return ct.clean_cost(ct.deidentify(_qa_groups(spark, sf), IDENTIFYING), "vdc")
+
+
+def _tested(spark, sf):
+    """The cleaned rows with the columns that the tests read, cut once for the screen and the tests."""
+    return ct.clean_cost(materialize(_qa_groups(spark, sf).select("qvi", "cost_driver", "date_of_service", "vdc")), "vdc")
 
 
 @register("deidentify")
@@ -445,16 +450,16 @@ def q_clean_cost(spark, sf):
 
 @register("assoc_overall")
 def q_assoc_overall(spark, sf):
-    return ct.contingency(_clean_export(spark, sf), "qvi", "cost_driver")
+    return ct.contingency(_tested(spark, sf), "qvi", "cost_driver")
 
 
 @register("sig_drivers")
 def q_sig_drivers(spark, sf):
-    return ct.significant_levels(_clean_export(spark, sf), "qvi", "cost_driver")
+    return ct.significant_levels(_tested(spark, sf), "qvi", "cost_driver")
 
 
 def _by_driver(spark, sf):
-    sub = ct.significant_subset(_clean_export(spark, sf), "qvi", "cost_driver")
+    sub = ct.significant_subset(_tested(spark, sf), "qvi", "cost_driver")
     return ct.contingency(sub, "qvi", "date_of_service", ["cost_driver"])
 
 
@@ -470,7 +475,7 @@ def q_assoc_pvalues(spark, sf):
 
 @register("assoc_overall_p")
 def q_assoc_overall_p(spark, sf):
-    return _rounded(ct.with_pvalues(ct.contingency(_clean_export(spark, sf), "qvi", "cost_driver"), []))
+    return _rounded(ct.with_pvalues(ct.contingency(_tested(spark, sf), "qvi", "cost_driver"), []))
 
 
 def _rounded(tests: DataFrame) -> DataFrame:
