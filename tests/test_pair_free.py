@@ -132,3 +132,12 @@ def test_previous_row_over_tasks_without_rows(spark):
     assert [(r.g, r.v) for r in got] == sorted((i // 40, i % 7) for i in range(200))
     tied = range_sorted(spark.createDataFrame([(1, 1)] * 4000, "g int, v int"), ["g", "v"], num_partitions=8)
     assert tied.select("_task").distinct().count() > 1  # ties are spread
+
+
+@pytest.mark.parametrize(("name", "amount", "rest"), [
+    ("ent_report_sorted", "impact_dollars", ("overlapping_charge_codes", "entity_of_interest", "patient_setting", "service_line")),
+    ("ent_report_unique_sorted", "eoi_vdc", ("charge_codes_unique_to_entity_of_interest", "entity_of_interest", "patient_setting", "service_line"))])
+def test_reports_come_in_order(spark, name, amount, rest):
+    rows = R.QUERIES[name](spark, SF).collect()
+    keys = [(-r[amount], *(r[c] for c in rest)) for r in rows]
+    assert len(rows) > 10 and keys == sorted(keys)
