@@ -7,7 +7,8 @@ aggregates, and it does all columns in a single pass.
 
 from __future__ import annotations
 
-from typing import Sequence
+import uuid
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from wardlens.functions.bins import COMPAT_SUBSTRINGS, DONOR_BINS, bin_label
 from wardlens.params import DonorCohortParams
+from wardlens.session import ensure_checkpoint_dir
 
 col, lit = F.col, F.lit
 
@@ -67,6 +69,42 @@ def read_registry_csv(spark, path: str, schema: T.StructType | str) -> DataFrame
     return spark.read.csv(path, header=True, schema=schema)
 
 
+#: What a quoted blank is read as before it becomes an empty string: a character that no extract holds.
+_QUOTED_BLANK = "\u0001"
+_RECORD = "_record"
+
+
+class CsvLoad(NamedTuple):
+    """Rows that fit the schema, and the records that do not, as they stand in the file."""
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def load_registry_csv(spark, path: str, schema: T.StructType) -> CsvLoad:
+    """A registry extract with a declared schema, its bad records apart.
+
+    A record is rejected whole if a value does not have its column's type or
+    it has too few or too many values.  An empty field is NULL, a quoted one
+    (``""``) an empty string.  Headers must name the schema's columns, else
+    Spark raises an error.  The file is parsed once, into Parquet in the
+    shared checkpoint folder, which both outputs read.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
+    parsed = (spark.read.schema(wide).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", _RECORD).option("nullValue", "").option("emptyValue", _QUOTED_BLANK).csv(path))
+    text = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
+    parsed = parsed.select(*[F.when(col(c) != _QUOTED_BLANK, col(c)).when(col(c).isNotNull(), "").alias(c) if c in text else col(c) for c in schema.names], _RECORD)
+    cut = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardlens-csv/{uuid.uuid4().hex}"
+    parsed.write.parquet(cut)
+    parsed = spark.read.schema(wide).parquet(cut)
+    return CsvLoad(parsed.where(col(_RECORD).isNull()).drop(_RECORD), parsed.where(col(_RECORD).isNotNull()).select(col(_RECORD).alias("record")))
+
+
+def preview(df: DataFrame, rows: int = 5) -> DataFrame:
+    """The first few rows."""
+    return df.limit(rows)
+
+
 def shape(df: DataFrame) -> DataFrame:
     """Row and column counts, as a one-row DataFrame."""
     return df.agg(F.count(lit(1)).alias("n_rows")).withColumn("n_cols", lit(len(df.columns)))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.functions.exact import money_sum
+from wardlens.functions.keywords import match_keywords
 from wardlens.operators._keys import join_costs, line_key_columns
 from wardlens.params import OpportunitySpec
 
@@ -98,6 +99,26 @@ def multi_opportunity_report(lines: DataFrame, costs: DataFrame, charge_code: Da
               .where(F.ilike(col("name"), F.concat(lit("%"), col("keyword"), lit("%"))))
               .select("charge_code_id", col("name").alias("full_description"),
                       "spec_name", "spec_type", "category").distinct())
+    return report_of_codes(lines, costs, picked, fiscal_years, year_col)
+
+
+def pick_from_dictionary(charge_code: DataFrame, specs: DataFrame, description: str = "name") -> DataFrame:
+    """A01 for a dictionary of keywords: each spec's codes, a row per spec and code.
+
+    ``specs`` has the columns of :func:`specs_frame`, of any length.  The
+    keywords meet the distinct descriptions of their cost driver through a
+    trigram index, not every code with every keyword.
+    """
+    codes = charge_code.select("charge_code_id", col(description).alias("full_description"), col("cost_driver").alias("category"))
+    pairs = match_keywords(codes, "full_description", specs, "keyword", by=["category"])
+    named = pairs.join(specs.select("spec_name", "spec_type", "category", "keyword"), ["category", "keyword"])
+    named = named.select("spec_name", "spec_type", "category", "full_description").distinct()
+    return codes.join(named, ["category", "full_description"]).select("charge_code_id", "full_description", "spec_name", "spec_type", "category")
+
+
+def report_of_codes(lines: DataFrame, costs: DataFrame, picked: DataFrame, fiscal_years: Iterable[int],
+                    year_col: str = "line_year") -> DataFrame:
+    """A02-A03 of picked codes (``charge_code_id``, description and spec) in one scan of the line fact."""
     l = lines.where(col(year_col).isin(list(fiscal_years))).select(
         *line_key_columns(lines, costs), "encounter_id", "charge_code_id", year_col, "units")
     j = _line_cost(l.join(picked, "charge_code_id"), costs)
@@ -117,6 +138,8 @@ def replace_opportunity(report: DataFrame, name: str, new_rows: DataFrame) -> Da
 
 def write_report(report: DataFrame, path: str) -> None:
     """A05 on disk: the report partitioned by opportunity, so re-running one
-    opportunity overwrites only its partition (dynamic partition overwrite)."""
+    opportunity overwrites only its partition (dynamic partition overwrite).
+    A redo without rows leaves the old partition; :class:`wardlens.sources.reports.ReportStore`
+    replaces and deletes in that case too."""
     (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("opportunity_name").parquet(path))

@@ -73,6 +73,42 @@ select * from ({_opp_multi(OPP_SPECS_SQL, "1996, 1997")}) r where opportunity_na
 union all
 select * from ({_opp_multi("(values ('Widget reduction', 'reduction', 'PROMO', 'widget')) as sp(spec_name, spec_type, category, keyword)", "1996")}) n""")
 
+oracle("opp_replace_on_disk", f"""
+select * from ({_opp_multi("(values ('Widget reduction', 'reduction', 'PROMO', 'widget')) as sp(spec_name, spec_type, category, keyword)", "1996")}) r
+union all
+select * from ({_opp_multi("(values ('Ring review', 'reduction', 'PROMO', 'ring'), ('Ring review', 'reduction', 'PROMO', 'red')) as sp(spec_name, spec_type, category, keyword)", "1997")}) n""")
+
+DICTIONARY = """
+select distinct rollup_name as spec_name, 'dictionary' as spec_type, cost_driver as category,
+  upper(substring(description, 3, length(description) - 3)) as keyword
+from f_charge_code
+union all
+select s.spec_name, 'short', d.cost_driver, s.keyword
+from (select distinct cost_driver from f_charge_code) d,
+  (values ('Two letters', 'OT'), ('Two letters', '#7'), ('Wildcards', 'b_lt%#1'), ('Wildcards', 'r%g'), ('No such text', 'qqq')) as s(spec_name, keyword)"""
+DICTIONARY_CODES = f"""
+select distinct cc.charge_code_id, cc.description as full_description, k.spec_name, k.spec_type, k.category
+from f_charge_code cc join ({DICTIONARY}) k on cc.cost_driver = k.category
+where cc.description ilike '%' || k.keyword || '%'"""
+oracle("opp_codes_dictionary", DICTIONARY_CODES)
+oracle("opp_multi_dictionary", f"""
+select cast(fiscal_year as int) as fiscalyear, spec_name as opportunity_name, spec_type as opportunity_type,
+  category, full_description as additional_info, cast(count(distinct encounter_id) as int) as total_cases,
+  cast(sum(uos) as decimal(20,2)) as total_uos, cast(sum(vdc) as decimal(20,2)) as total_vdc
+from (
+  select p.spec_name, p.spec_type, p.category, l.line_year as fiscal_year, p.full_description, l.encounter_id,
+    sum(l.units) as uos, sum(l.units * k.unit_cost) as vdc
+  from f_line l join ({DICTIONARY_CODES}) p on p.charge_code_id = l.charge_code_id
+    left join f_cost k on k.row_id = l.row_id
+  where l.line_year in (1996, 1997)
+  group by all) s
+group by fiscal_year, spec_name, spec_type, category, full_description""")
+oracle("collated_units", """
+select lower(cost_driver) as cost_driver, lower(name) as name, cast(sum(l.units) as decimal(38,2)) as uos, count(*) as n_lines
+from f_line l join f_charge_code c on c.charge_code_id = l.charge_code_id
+where lower(name) in ('red widget', 'blue bolt', 'hot gear')
+group by all""")
+
 
 # ------------------------------------------------------------ redundancy
 oracle("ctf_map", """
@@ -616,6 +652,7 @@ oracle("top_drg_cohort", " union all ".join([
 # ------------------------------------------------------------------- drg
 
 oracle("client_db_name", "select orgpin, client, 'P_' || replace(client, '_', '') as db_name from f_system_criteria")
+oracle("client_entities", "select orgpin, entity_key, alias, entitytype, bedsize from f_entity_criteria where orgpin in (2, 3, 7, 11, 16, 20)")
 oracle("mdc_group", f"""
 select encounter_id, msdrg_code, try_cast(msdrg_code as int) as msdrg_numeric, {sql_mdc_group('msdrg_code')} as msdrg_groupings
 from f_encounter""")
@@ -643,6 +680,8 @@ from ({PX_DETAIL}) d group by msdrg_groupings, body_system_part""")
 # ---------------------------------------------------------------- cohort
 
 oracle("csv_load", "select count(*) as n_rows, 31 as n_cols from f_donor")
+oracle("csv_rows", "select * from f_donor where donor_key % 40 <> 7")
+oracle("csv_rejects", "select donor_key, donor_line, 'n/a' as age from f_donor where donor_key % 40 = 7")
 
 
 def _blank(c: str) -> str:

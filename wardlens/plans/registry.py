@@ -30,6 +30,9 @@ from wardlens.operators import redundancy as red
 from wardlens.params import (CohortCriteria, DonorCohortParams, EntityCompareParams, OpportunitySpec,
                              QualityParams, RedundancyParams)
 from wardlens.session import ensure_checkpoint_dir, materialize
+from wardlens.sources.clients import ClientDatabases, publish_clients
+from wardlens.sources.collation import collated, plain
+from wardlens.sources.reports import ReportStore
 from wardlens.sources.tables import ParquetTables
 from wardlens.sources.warehouse import co_located
 
@@ -94,6 +97,63 @@ def q_opp_replace(spark, sf):
     return opp.replace_opportunity(report, OPP_SPECS[0].name, redo)
 
 
+@register("opp_replace_on_disk")
+def q_opp_replace_on_disk(spark, sf):
+    """A05 in a stored report: one opportunity redone, one redone without rows, one deleted and added again."""
+    f = fx(spark, sf)
+
+    def report(specs, years):
+        return opp.multi_opportunity_report(f.line, f.cost, f.charge_code, specs, years)
+
+    store = ReportStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardlens-reports/{_uuid.uuid4().hex}")
+    first, second, third = OPP_SPECS
+    store.write(report(OPP_SPECS, OPP_YEARS))
+    store.replace([first.name], report([first], (1996,)))
+    store.replace([second.name], report([second], ()))
+    store.delete([third.name])
+    store.replace([third.name], report([third], (1997,)))
+    store.vacuum()
+    return store.read()
+
+
+def _dictionary(spark, sf):
+    """Keywords out of the charge codes' own descriptions, hundreds of them: the description less its outer letters, a spec a brand and driver; some short ones and wildcards."""
+    codes = fx(spark, sf).charge_code
+    inner = codes.select(F.col("rollup_name").alias("spec_name"), F.lit("dictionary").alias("spec_type"), F.col("cost_driver").alias("category"),
+                         F.upper(F.expr("substring(description, 3, length(description) - 3)")).alias("keyword"))
+    drivers = codes.select(F.col("cost_driver").alias("category")).distinct()
+    short = drivers.select(F.explode(F.array(*[F.struct(F.lit(s).alias("spec_name"), F.lit("short").alias("spec_type"), F.col("category"), F.lit(k).alias("keyword")) for s, k in DICTIONARY_SHORT])).alias("s")).select("s.*")
+    return inner.unionByName(short).distinct()
+
+
+DICTIONARY_SHORT = (("Two letters", "OT"), ("Two letters", "#7"), ("Wildcards", "b_lt%#1"), ("Wildcards", "r%g"), ("No such text", "qqq"))
+
+
+@register("opp_codes_dictionary")
+def q_opp_codes_dictionary(spark, sf):
+    return opp.pick_from_dictionary(fx(spark, sf).charge_code, _dictionary(spark, sf), "description")
+
+
+@register("opp_multi_dictionary")
+def q_opp_multi_dictionary(spark, sf):
+    f = fx(spark, sf)
+    picked = opp.pick_from_dictionary(f.charge_code, _dictionary(spark, sf), "description")
+    return opp.report_of_codes(f.line, f.cost, picked, OPP_YEARS)
+
+
+@register("collated_units")
+def q_collated_units(spark, sf):
+    """Charge codes typed in odd case and with trailing blanks: filtered, joined with clean drivers and grouped as the warehouse does."""
+    f = fx(spark, sf)
+    odd = F.when(F.col("charge_code_id") % 3 == 0, F.lower("cost_driver")).when(F.col("charge_code_id") % 3 == 1, F.concat("cost_driver", F.lit("  "))).otherwise(F.col("cost_driver"))
+    name = F.when(F.col("charge_code_id") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" ")))
+    codes = collated(f.charge_code.select("charge_code_id", odd.alias("cost_driver"), name.alias("name")))
+    drivers = collated(f.charge_code.select(F.initcap("cost_driver").alias("cost_driver")).distinct())
+    picked = codes.where(F.col("name").isin("red widget", "Blue Bolt  ", "HOT GEAR")).join(drivers, "cost_driver")
+    per = f.line.join(picked, "charge_code_id").groupBy("cost_driver", "name").agg(F.sum("units").cast("decimal(38,2)").alias("uos"), F.count(F.lit(1)).alias("n_lines"))
+    return per.select(plain(F.col("cost_driver")).alias("cost_driver"), plain(F.col("name")).alias("name"), "uos", "n_lines")
+
+
 # ------------------------------------------------------------ redundancy
 
 RED = RedundancyParams(cpt_codes=("C007", "C011", "C023"), cost_drivers=("PROMO", "ECONOMY", "STANDARD"),
@@ -590,6 +650,19 @@ def q_client_db_name(spark, sf):
     return drg_ops.client_database_name(fx(spark, sf).system_criteria.select("orgpin", "client"), "client", "_")
 
 
+CLIENT_PINS = (2, 3, 7, 11, 16, 20)
+
+
+@register("client_entities")
+def q_client_entities(spark, sf):
+    """Several clients' own entity tables, their databases found by org pin."""
+    f = fx(spark, sf)
+    clients = ClientDatabases(spark, f.system_criteria, id_col="client", separator="_")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardlens-clients/{_uuid.uuid4().hex}"
+    publish_clients(clients, f.entity_criteria.select("orgpin", "entity_key", "alias", "entitytype", "bedsize"), "entity", folder)
+    return clients.table(CLIENT_PINS, "entity")
+
+
 @register("mdc_group")
 def q_mdc_group(spark, sf):
     return drg_ops.with_mdc_group(fx(spark, sf).encounter.select("encounter_id", "msdrg_code"))
@@ -641,6 +714,27 @@ def q_csv_load(spark, sf):
     return co.shape(co.read_registry_csv(spark, path, donor.schema))
 
 
+def _csv_with_faults(spark, sf):
+    """The registry as CSV text in which some records hold an age that is no number."""
+    donor = fx(spark, sf).donor
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardlens-csv/{_uuid.uuid4().hex}"
+    text = donor.select([F.col(c).cast("string").alias(c) for c in donor.columns])
+    co.write_csv(text.withColumn("age", F.when(F.col("donor_key") % 40 == 7, "n/a").otherwise(F.col("age"))), path)
+    return co.load_registry_csv(spark, path, donor.schema)
+
+
+@register("csv_rows")
+def q_csv_rows(spark, sf):
+    return _csv_with_faults(spark, sf).rows
+
+
+@register("csv_rejects")
+def q_csv_rejects(spark, sf):
+    field = F.split("record", ",")
+    rejects = _csv_with_faults(spark, sf).rejects
+    return rejects.select(field[0].cast("bigint").alias("donor_key"), field[1].cast("int").alias("donor_line"), field[2].alias("age"))
+
+
 @register("populated_pct")
 def q_populated_pct(spark, sf):
     return co.populated_pct(_donors(spark, sf), co.POPULATED_COLUMNS)
