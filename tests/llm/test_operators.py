@@ -305,11 +305,75 @@ def test_word_hashes():
 # 4 -------------------------------------------------------------------------------------------------------------------
 def test_grammar():
     match = toxicity.grammar({})
-    total = lambda t: sum(match(t)[0])
-    assert total("you are an idiot") > total("an idiot") > total("you are not an idiot") > 0
-    assert total("she said you are an idiot") < total("you are an idiot")
-    assert match("a calm text. nothing here")[0] == [] and match(None) == ([], 0, 0)
+    one = lambda t: match(t)[0][0]
+    aimed, plain, negated, told = one("you are an idiot"), one("an idiot"), one("you are not an idiot"), one("she said you are an idiot")
+    assert aimed.asserted == plain.asserted > 0 and aimed.targeted > plain.targeted == 0 and aimed.words == ("idiot",)
+    assert negated.negated > 0 == negated.asserted and told.reported > 0 == told.asserted and negated.words == told.words == ()
+    assert one("an idiot like you").targeted > 0 and one("not one who says idiot").negated > 0
+    # A report goes on over a colon, a comma and a quotation mark, not over a full stop.
+    assert one("he wrote: \u201cwhat an idiot\u201d").reported > 0 and one("as he says, an idiot").reported > 0
+    assert one("that is what he said. an idiot").asserted > 0
+    # A threat is more than its verb.
+    assert match("kill the process. burn a disc")[0] == [] and one("i will kill him").asserted > 0 and one("kill you").targeted > 0
+    assert one("they will not shoot").negated > 0 and one("he says they will shoot").reported > 0
+    assert match("a calm text. nothing here")[0] == [] and match(None) == ([], 0)
     assert len(match("you idiot, you moron. fine")[0]) == 2
+    off = toxicity.grammar({}, composed=False)
+    assert [c.asserted > 0 and c[1:4] == (0, 0, 0) for c in off("you are not an idiot. kill the process")[0]] == [True, True]
+
+
+def paths_by_hand(words):
+    """Path of each match of one clause, read off the rules without automata: (word, path, aimed)."""
+    near = toxicity.NEAR + 1
+    out = []
+    for i, w in enumerate(words):
+        before, after = words[max(0, i - near):i], words[i + 1:i + 1 + near]
+        target = any(x in toxicity.TARGET for x in before + after)
+        if w in toxicity.THREAT and not (target or any(x in toxicity.INTENT for x in before)):
+            continue
+        if w in toxicity.INSULT | toxicity.THREAT:
+            path = "negated" if any(x in toxicity.NEGATION for x in before) else "reported" if any(x in toxicity.REPORT for x in words[:i]) else "asserted"
+            out.append((3.0 if w in toxicity.INSULT else 2.0, path, target))
+    return out
+
+
+def test_grammar_equals_rules_by_hand():
+    rng, match = random.Random(8), toxicity.grammar({})
+    some = ["idiot", "moron", "kill", "shoot", "you", "him", "not", "never", "said", "wrote", "will", "going", *"abcdefgh"]
+    for _ in range(2_000):
+        words = [rng.choice(some) for _ in range(rng.randint(1, 16))]
+        want = paths_by_hand(words)
+        got = (match(" ".join(words))[0] or [toxicity.Clause()])[0]
+        for path in ("asserted", "negated", "reported"):
+            assert getattr(got, path) == sum(v for v, p, _ in want if p == path), words
+        assert got.targeted == sum(v for v, p, t in want if p == "asserted" and t), words
+
+
+def auc(scored):
+    """Area under the curve of (score, label): how often a toxic row is above another, ties half."""
+    good, bad = [s for s, y in scored if not y], [s for s, y in scored if y]
+    return sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(good) * len(bad))
+
+
+def test_transducers_carry_the_score(spark):
+    """The same insults and threats in every row; what is said with them makes the label."""
+    rng = random.Random(12)
+    bad = ["you are such an {i}", "what an {i} you are", "i will {t} you", "they are {i} and you know"]
+    fine = ["she said you are an {i}", "you are not an {i}", "he never was an {i}", "the paper wrote: an {i}", "they will not {t} him", "{t} the process", "he says they will {t} him"]
+    rows, y = [], {}
+    for i in range(800):
+        y[i] = int(i % 4 == 0)
+        said = rng.choice(bad if y[i] else fine).format(i=rng.choice(["idiot", "moron", "clown"]), t=rng.choice(["kill", "shoot"]))
+        rows.append((i, f"{prose(rng, 30)}. {said}. {prose(rng, 30)}"))
+    table_ = docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1, v) for i, v in y.items()], "doc_id bigint, quality int, toxic int")
+
+    def held(composed):
+        out = toxicity.score_toxicity(table_, toxicity.fit(table_, labels, composed=composed)).where(toxicity.held_out(F.col("doc_id"))).collect()
+        return auc([(r.score, y[r.doc_id]) for r in out]), sum(r.predicted == y[r.doc_id] for r in out) / len(out)
+
+    (with_, right), (without, _) = held(True), held(False)
+    assert with_ > 0.97 and right > 0.95 and without < with_ - 0.2, (with_, right, without)
 
 
 def test_toxicity_learns(spark):

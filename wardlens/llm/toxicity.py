@@ -1,17 +1,22 @@
 """Toxicity by a weighted grammar of composed finite-state transducers over clauses.
 
 A clause is a run of words between marks such as ``. , ; : ! ?`` or line ends.
-A lexical step turns each word into a symbol: insult, threat, target,
-negation, reported speech or other.  Three small transducers read the symbols
-from left to right and multiply the weight of an insult or threat:
-
-* target: nearer than :data:`NEAR` words to a target it counts more;
-* negation: within :data:`NEAR` words after a negation it counts less;
-* reported speech: after a verb of saying, up to the clause's end, it counts less.
-
-:func:`compose` builds their product.  A document is scored by its matched
-clauses (how many, their weights), never by isolated words alone; a logistic
-model over these few clause features gives the score.
+A lexical step turns each word into a symbol: insult, threat verb, intent
+(``will``, ``going``), target, negation, verb of saying or other.  Small
+transducers read the symbols and mark what they are near to:
+
+* target: nearer than :data:`NEAR` words to a target, before or after it;
+* negation: within :data:`NEAR` words after a negation;
+* report: after a verb of saying, up to the clause's end and, over a colon, a comma or a quotation mark, in the next clause;
+* intent: within :data:`NEAR` words after an intent.
+
+:func:`compose` builds their product; one is read from left to right, one,
+of the target alone, from right to left.  An insult matches by itself; a
+threat is several words: its verb matches only with an intent or a target.
+What matches is asserted, negated or reported, and aimed at a target or not.
+A document is scored by these clauses, never by isolated words: a logistic
+model over the weights that each path gathers gives the score, and so learns
+what a negation, a report or a target is worth.
 
 Insults are a small hand-written list and what the labelled training rows
 show: whole words and stems (the first 4 to 10 letters) that occur in toxic
@@ -27,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,9 +42,7 @@ from wardlens.llm.common import Memo, Scratch, cut, map_batches
 
 #: Labelled rows used for fitting, at most (those with the smallest hash of the id); the bound of the classifier's sample.
 TRAIN_ROWS = 20_000
-#: Learned stems, at most; they are sent to the executors.
-STEMS = 2_000
-#: A learned stem lies in that many toxic rows, and its weight (log ratio) less so many standard errors reaches that of twice as often.
+#: A learned stem (all of them go to the executors; the training rows bound them) lies in that many toxic rows, and its weight (log ratio) less so many standard errors reaches that of twice as often.
 LEAST_ROWS, ERRORS, LEAST_WEIGHT = 4, 3.0, math.log(2)
 STEM_CHARS = tuple(range(4, 11))
 #: Ends a learned whole word.
@@ -46,7 +50,9 @@ END = " "
 NEAR = 4
 THRESHOLD = 0.3
 
-CLAUSE = re.compile(r"[.,;:!?\n\r()\"“”«»]+")
+CLAUSE = re.compile(r"([.,;:!?\n\r()\"“”«»]+)")
+#: Marks over which a report goes on, and those that end it wherever they stand.
+GOES_ON, ENDS = frozenset(":,\"“«"), frozenset(".!?;\n\r")
 WORD = re.compile(r"[^\W\d_]+")
 
 # Symbols of the lexical step.
@@ -54,50 +60,59 @@ INSULT = {"idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "wor
 THREAT = {"kill", "murder", "strangle", "stab", "shoot", "hang", "burn", "beat", "crush", "töten", "umbringen", "tuer", "matar"}
 TARGET = {"you", "your", "yours", "they", "them", "these", "those", "he", "she", "him", "her", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "ton", "vous", "tú", "usted", "ustedes", "ellos"}
 NEGATION = {"not", "never", "no", "nobody", "isn", "aren", "wasn", "don", "doesn", "nicht", "nie", "kein", "keine", "pas", "jamais", "nunca", "jamás"}
+INTENT = {"will", "gonna", "going", "shall", "ll", "must", "should", "werde", "werden", "sollte", "vais", "va", "allons", "voy", "vamos"}
 OTHER = (".", 0.0)
 REPORT = {"said", "says", "say", "called", "calls", "quoted", "quotes", "wrote", "writes", "claimed", "reported", "sagte", "nannte", "schrieb", "déclaré", "disait", "dijo", "escribió"}
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Reads symbols; a state is a small number.  ``arcs``: symbol -> next state (others fall by one towards 0); ``weight`` of what matches in a state over 0."""
+    """Reads symbols; a state is a small number.  ``arcs``: symbol -> next state (others fall by one towards 0); a state over 0 marks what matches in it."""
 
     arcs: dict[str, int]
-    weight: float
     holds: bool = False  # whether the state stays up to the clause's end
 
     def step(self, state: int, symbol: str) -> int:
         return max(self.arcs.get(symbol, 0), state if self.holds else state - 1, 0)
 
-    def emit(self, state: int) -> float:
-        return self.weight if state else 1.0
-
 
-TARGETED = Transducer({"T": NEAR + 1}, 1.5)
-NEGATED = Transducer({"N": NEAR + 1}, 0.4)
-REPORTED = Transducer({"R": 1}, 0.5, holds=True)
+TARGETED = Transducer({"T": NEAR + 1})
+NEGATED = Transducer({"N": NEAR + 1})
+REPORTED = Transducer({"R": 1}, holds=True)
+INTENDED = Transducer({"F": NEAR + 1})
+FORWARD, BACKWARD = (TARGETED, NEGATED, REPORTED, INTENDED), (TARGETED,)
+SYMBOLS = "IHFTNR."
 
 
-def compose(parts: tuple[Transducer, ...] = (TARGETED, NEGATED, REPORTED)) -> tuple[dict, dict]:
-    """The product automaton: ``next[state][symbol]`` and ``weight[state]``, over the states reachable from the start."""
-    start, symbols = (0,) * len(parts), "ITHNR."
-    nexts, weights, todo = {}, {}, [start]
+def compose(parts: tuple[Transducer, ...] = FORWARD) -> dict[tuple, dict[str, tuple]]:
+    """The product automaton, ``next[state][symbol]``, over the states reachable from the start; each part's state over 0 is its mark."""
+    nexts, todo = {}, [(0,) * len(parts), tuple(int(p.holds) for p in parts)]
     while todo:
         state = todo.pop()
         if state in nexts:
             continue
-        weights[state] = math.prod(p.emit(s) for p, s in zip(parts, state, strict=True))
-        nexts[state] = {c: tuple(p.step(s, c) for p, s in zip(parts, state, strict=True)) for c in symbols}
+        nexts[state] = {c: tuple(p.step(s, c) for p, s in zip(parts, state, strict=True)) for c in SYMBOLS}
         todo += nexts[state].values()
-    return nexts, weights
+    return nexts
+
+
+class Clause(NamedTuple):
+    """Weights of what matched, by path; a negated report counts as negated.  ``words``: what is asserted."""
+
+    asserted: float = 0.0
+    targeted: float = 0.0  # the part of ``asserted`` that has a target
+    negated: float = 0.0
+    reported: float = 0.0
+    words: tuple[str, ...] = ()
 
 
 @dataclass
 class Model:
-    """Stems with weights, and the logistic model over :func:`features`."""
+    """Stems with weights, and the logistic model over :func:`features`; without ``composed``, the transducers are off and every match is asserted."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    coef: list[float] = field(default_factory=lambda: [-5.0, 1.0, 1.0, 1.0, 0.5, 0.5])
+    coef: list[float] = field(default_factory=lambda: [-5.0, 1.0, 1.0, 1.0, 0.5, 0.5, 0.5, 0.0, 0.0])
+    composed: bool = True
 
 
 def stems_of(word: str) -> list[str]:
@@ -112,7 +127,7 @@ def lexicon(stems: dict[str, float]):
         best = max(stems.get(s, 0.0) for s in stems_of(word))
         if word in INSULT or best:
             return "I", max(best, 3.0 if word in INSULT else 0.0)
-        for symbol, group, weight in (("H", THREAT, 2.0), ("T", TARGET, 0.0), ("N", NEGATION, 0.0), ("R", REPORT, 0.0)):
+        for symbol, group, weight in (("H", THREAT, 2.0), ("T", TARGET, 0.0), ("N", NEGATION, 0.0), ("R", REPORT, 0.0), ("F", INTENT, 0.0)):
             if word in group:
                 return symbol, weight
         return OTHER
@@ -120,46 +135,62 @@ def lexicon(stems: dict[str, float]):
     return Memo(look, 200_000, chars=40)
 
 
-def grammar(stems: dict[str, float]):
-    """A function from text to the weights of its matched clauses, with the number of distinct matched words and of words."""
-    lex, (nexts, weights) = lexicon(stems), compose()
-    start = (0, 0, 0)
+def grammar(stems: dict[str, float], composed: bool = True):
+    """A function from text to its matched clauses and the number of its words."""
+    lex, forward, backward = lexicon(stems), compose(FORWARD), compose(BACKWARD)
+    told = (0, 0, 1, 0)  # the state in which a report goes on
 
-    def clause(found: list[str]) -> float:
+    def clause(found: list[str], state: tuple) -> Clause:
         symbols = [lex[w] for w in found]
-        total = 0.0
-        # Both directions, as a target may follow; the higher of the two readings counts.
-        for way in (symbols, symbols[::-1]):
-            state, got = start, 0.0
-            for symbol, weight in way:
-                if weight:
-                    got += weight * weights[state]
-                state = nexts[state][symbol]
-            if way is symbols:
-                total = got
-            elif any(s == "T" for s, _ in way) and not any(s in "NR" for s, _ in way):
-                total = max(total, got)
-        return total
-
-    def match(text: str | None) -> tuple[list[float], int, int]:
+        behind, after = (0,), []
+        for symbol, _ in reversed(symbols):
+            after.append(behind)
+            behind = backward[behind][symbol]
+        sums, words = [0.0] * 4, []
+        for word, (symbol, weight), (target_after,) in zip(found, symbols, reversed(after), strict=True):
+            target, negated, reported, intent = state
+            target = target or target_after
+            state = forward[state][symbol]
+            if not weight:
+                continue
+            if not composed:
+                target = negated = reported = 0
+            elif symbol == "H" and not (target or intent):
+                continue
+            sums[2 if negated else 3 if reported else 0] += weight
+            if not negated and not reported:
+                sums[1] += weight if target else 0.0
+                words.append(word)
+        return Clause(*sums, tuple(words))
+
+    def match(text: str | None) -> tuple[list[Clause], int]:
         low = (text or "").lower()
         every = WORD.findall(low)
         hits = {w for w in set(every) if lex[w][1]}
         if not hits:
-            return [], 0, len(every)
-        found = []
-        for part in CLAUSE.split(low):
+            return [], len(every)
+        found, report = [], False
+        parts = CLAUSE.split(low)
+        for part, mark in zip(parts[::2], [*parts[1::2], ""], strict=True):
             inside = WORD.findall(part)
             if not hits.isdisjoint(inside):
-                found.append(clause(inside))
-        return found, len(hits), len(every)
+                c = clause(inside, told if report else (0, 0, 0, 0))
+                if any(c[:4]):
+                    found.append(c)
+            says = report or not REPORT.isdisjoint(inside)
+            report = says and not GOES_ON.isdisjoint(mark) and ENDS.isdisjoint(mark)
+        return found, len(every)
 
     return match
 
 
-def features(clauses: list[float], distinct: int, n_words: int) -> list[float]:
-    top = sorted(clauses, reverse=True)[:2] + [0.0, 0.0]
-    return [1.0, math.log1p(sum(clauses)), math.log1p(top[0]), math.log1p(top[1]), math.log1p(distinct), math.log1p(1000.0 * len(clauses) / max(n_words, 50))]
+def features(clauses: list[Clause], n_words: int) -> list[float]:
+    """What the asserted clauses gather (sum, two highest, distinct words, rate), then each other path's sum."""
+    asserted = sorted((c.asserted for c in clauses if c.asserted), reverse=True)
+    top = [*asserted[:2], 0.0, 0.0]
+    distinct = len({w for c in clauses for w in c.words})
+    paths = [sum(c.targeted for c in clauses), sum(c.negated for c in clauses), sum(c.reported for c in clauses)]
+    return [1.0, *(math.log1p(v) for v in (sum(asserted), top[0], top[1], distinct, 1000.0 * len(asserted) / max(n_words, 50), *paths))]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -176,7 +207,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn_stems(train: DataFrame) -> dict[str, float]:
-    """Whole words and stems by how much oftener they occur in toxic rows; at most :data:`STEMS`, those with the highest weights."""
+    """Whole words and stems by how much oftener they occur in toxic rows."""
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         seen = {0: Counter(), 1: Counter()}
@@ -194,6 +225,8 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
             yield {"_stem": list(c), "_t": [n * y for n in c.values()], "_c": [n * (1 - y) for n in c.values()]}
             c.clear()
 
+    # A text that was copied a thousand times is evidence once.
+    train = train.where("_text IS NOT NULL").dropDuplicates(["_text", "_y"])
     sums = map_batches(train, work, "_stem string, _t bigint, _c bigint").groupBy("_stem").agg(F.sum("_t").alias("t"), F.sum("_c").alias("c"))
     sums = cut(sums.where("t > 0"), "stems")
     toxic = sums.where("_stem = ''").first()
@@ -205,22 +238,22 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
     weight = F.log(((F.col("t") + 0.5) / (toxic["t"] + 1.0)) / ((F.col("c") + 1.0) / (clean + 1.0)))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 1.0))
     ranked = sums.where((F.col("_stem") != "") & (F.col("t") >= LEAST_ROWS) & (weight - ERRORS * error >= LEAST_WEIGHT)).select("_stem", weight.alias("w"))
-    kept = {r["_stem"]: r["w"] for r in ranked.orderBy(F.desc("w"), "_stem").limit(STEMS).collect()}
+    kept = {r["_stem"]: r["w"] for r in ranked.collect()}  # stems of at most `rows` training rows
     # What a kept shorter stem of no less weight covers adds nothing.
     return {s: w for s, w in kept.items() if not any(kept.get(q, -1.0) >= w for q in stems_of(s.rstrip(END)) if len(q) < len(s))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, composed: bool = True) -> Model:
     """Learn stems and the logistic model from a bounded sample; without toxic or without other rows, the fixed lists and default weights serve."""
     with Scratch(docs.sparkSession):
-        return _fit(cut(training_rows(docs, labels, rows), "toxic-train"))
+        return _fit(cut(training_rows(docs, labels, rows), "toxic-train"), composed)
 
 
-def _fit(train: DataFrame) -> Model:
-    model = Model(learn_stems(train))
+def _fit(train: DataFrame, composed: bool) -> Model:
+    model = Model(learn_stems(train), composed=composed)
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        match = grammar(model.stems)
+        match = grammar(model.stems, model.composed)
         for b in batches:
             yield {"x": [features(*match(t)) for t in b["_text"]], "y": b["_y"]}
 
@@ -256,7 +289,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     """Score every whole text.
 
     Returns ``id_col, score`` (0 to 1), ``predicted`` (1 if ``score >=
-    threshold``) and ``n_clauses`` (matched clauses), a row per input row; with
+    threshold``) and ``n_clauses`` (matched clauses, on any path), a row per input row; with
     ``keep``, instead, the rows of ``docs`` whose score is lower than the
     threshold, with all their columns.  Null and empty texts match no clause
     and get the lowest score.  Only the text is an input of the score.
@@ -271,7 +304,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
     if keep:
         def few(batches: Iterator[dict]) -> Iterator[dict]:
-            match = grammar(model.stems)
+            match = grammar(model.stems, model.composed)
             for b in batches:
                 good = [i for i, (s, _) in enumerate(scored(b[text_col], match)) if s < threshold]
                 yield {c: [v[i] for i in good] for c, v in b.items()}
@@ -279,7 +312,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         return map_batches(docs, few, docs.schema)
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        match = grammar(model.stems)
+        match = grammar(model.stems, model.composed)
         for b in batches:
             got = scored(b["_text"], match)
             yield {"_id": b["_id"], "score": [s for s, _ in got], "n_clauses": [n for _, n in got]}
