@@ -539,6 +539,38 @@ def test_license_scan(spark):
     assert licenses.license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_priority_and_denial():
+    rule = lambda label, priority, denied=False: licenses.Rule(label, priority, 1.0, frozenset(), "", denied)
+    best, low, other = rule("a", 0), rule("a", 3), rule("b", 3)
+    assert licenses.resolve([(2, 4, best), (0, 9, low)]) == [(2, 4, best)]  # the same license, better said
+    assert licenses.resolve([(2, 6, best), (1, 7, other)]) == [(2, 6, best)]  # not much longer
+    assert licenses.resolve([(2, 4, best), (1, 7, other)]) == [(1, 7, other)]  # a name that holds another
+    assert licenses.resolve([(2, 4, best), (3, 8, other)]) == [(2, 4, best), (3, 8, other)]
+    assert licenses.resolve([(0, 4, rule("a", -1, True)), (2, 4, best), (0, 9, other), (9, 11, low)]) == [(9, 11, low)]
+    scan = licenses.scanner()
+    labels = lambda t: [(r.label, r.confidence) for _, _, r in scan(t)[2]]
+    assert labels("This is not licensed under GPL 3.") == [] == labels("It was never released under the BSD 3-Clause License")
+    assert labels("not licensed under the GPL 3 but under the MIT license") == [("mit", 0.9)]
+    assert labels("whether or not you like it, licensed under GPL 3") == [("gpl-3", 1.0)]
+
+
+def test_license_scan_equals_plain_matching():
+    """Every rule tried on every text, without keywords, gate or word table; overlaps resolved pair by pair."""
+    rng, scan, ordered = random.Random(3), licenses.scanner(), licenses.compiled()
+    parts = ["licensed under", "released under the", "not licensed under", "the", "under the terms of the", "license", "version 2.0", "3", "GPL", "LGPL", "MIT", "Apache", "BSD", "3-Clause", "Mozilla Public License", "CC", "BY", "NC", "SA", "4.0", "SPDX-License-Identifier:", "GNU", "General Public License", "or later", "and", "word", "clause"]
+    hits = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        words = licenses.WORDS.findall(text.translate(licenses.ASCII_LOWER))
+        line = f" {' '.join(words)} "
+        found = [(line[:m.start()].count(" ") - 1, line[:m.end()].count(" "), r) for r, x in ordered for m in x.finditer(line)]
+        assert licenses.resolve(found) == scan(text)[2], text
+        for a, b, r in scan(text)[2]:
+            hits += 1
+            assert not any(x <= a and b <= y and q.priority < r.priority and q.label == r.label for x, y, q in found if (x, y, q) != (a, b, r)), text
+    assert hits > 200
+
+
 def test_license_mentions():
     scan = licenses.scanner()
     labels = lambda t: ",".join(sorted({r.label for *_, r in scan(t)[2]}))

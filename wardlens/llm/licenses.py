@@ -106,6 +106,8 @@ FORMS: tuple[tuple[float, str], ...] = (
     (0.8, r"(?:{name})(?: license| licence)(?: (?:international|unported|generic))?"),
     (0.5, r"(?:{name})"),
 )
+#: Before the first form, in which a license is denied; these rules come before all others.
+DENIAL = r"(?:not|never|no longer|nor|neither|cannot be|isn t|aren t|wasn t) (?:yet |been |being |be |currently |itself )?"
 #: Without one of these in a text, no rule can match (each rule's own keyword is one of them).
 SHORT = {"mit", "x11", "isc", "ruby", "zlib", "openssl", "bsd-2-clause", "apache", "bsd"}  # a bare name of these says nothing of a license
 BARE_TAG = {"mit-0", "python-2", "php-3"}  # nor does a bare SPDX name of these
@@ -119,6 +121,7 @@ class Rule:
     confidence: float
     keywords: frozenset[str]
     pattern: str
+    denied: bool = False  # says that the license does not hold: it hides what lies in it and is not reported
 
 
 def names(spdx: str, name: str) -> tuple[str, str]:
@@ -140,12 +143,16 @@ def rules() -> tuple[Rule, ...]:
             every = f"{tags}|{name}" if spdx and not (k == last and label in BARE_TAG) else name
             pattern = form.replace("{spdx}", spdx).replace("{name}", every)
             out.append(Rule(label, k, confidence if spdx else 0.6, frozenset(keywords.split("|")), pattern))
+            if k == 0:
+                out.append(Rule(label, -1, 1.0, frozenset(keywords.split("|")), DENIAL + pattern, denied=True))
     for label, (name, keywords) in VERSIONLESS.items():
         for k, (confidence, form) in enumerate(FORMS):
             if (k == last and label in SHORT) or "identifier" in form:
                 continue
             pattern = form.replace("{spdx}|", "").replace("{name}", name)
             out.append(Rule(label, len(FORMS) + k, round(0.8 * confidence, 2), frozenset(keywords.split("|")), pattern))
+            if k == 0:
+                out.append(Rule(label, -1, 1.0, frozenset(keywords.split("|")), DENIAL + pattern, denied=True))
     return tuple(out)
 
 
@@ -154,14 +161,21 @@ def compiled() -> list[tuple[Rule, re.Pattern]]:
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections (first word, end word, rule) that are not contained in a better one: by priority, then length, then place."""
+    """What is left of overlapping detections (first word, end word, rule), by place.
+
+    Of two of which one lies in the other, the one of better priority stays,
+    at one priority the longer.  Only a detection at least twice as long, of
+    another label, takes the place of better-ranked ones inside it: they are
+    parts of its name.  A denial hides all in it and is left out at the end.
+    """
     kept: list[tuple[int, int, Rule]] = []
-    # Longer names hold shorter ones ("cc by nc" holds "cc by"), so at one priority the longer detection comes first.
     for a, b, r in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, r))
-    # A better-ranked short detection inside a much longer, lower-ranked one of another label gives way to it.
-    return sorted((k for k in kept if not any(x <= k[0] and k[1] <= y and (y - x) > (k[1] - k[0]) for x, y, _ in kept)), key=lambda x: (x[0], x[1]))
+        if any(x <= a and b <= y for x, y, _ in kept):
+            continue
+        inside = [k for k in kept if a <= k[0] and k[1] <= b]
+        if all(k[2].label != r.label and not k[2].denied and b - a >= 2 * (k[1] - k[0]) for k in inside):
+            kept = [k for k in kept if k not in inside] + [(a, b, r)]
+    return sorted((k for k in kept if not k[2].denied), key=lambda x: (x[0], x[1]))
 
 
 def scanner():
