@@ -1,6 +1,7 @@
 """Keyword index, stored reports, CSV rejects, client databases and collation, each against a plain form."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,43 @@ def test_dictionary_report_equals_the_report_of_few_specs(spark):
     assert rows(got) == rows(opp.multi_opportunity_report(f.line, f.cost, f.charge_code, R.OPP_SPECS, R.OPP_YEARS))
 
 
+def picked_lines(spark):
+    """Lines, costs and picks with equal and null rows; descriptions whose specs pick the same codes, and others."""
+    rng = random.Random(11)
+    lines = [(rng.randint(1, 25), f"r{i % 180}", rng.choice([*range(1, 12), None]), rng.choice([1995, 1996, 1997]), Decimal(rng.randint(1, 9))) for i in range(400)]
+    costs = [(f"r{i % 150}", None if i % 9 == 0 else Decimal(i % 13)) for i in range(170)]
+    picks = [(c, d, s, t, g) for c, d, g in [(1, "bolt", "A"), (2, "bolt", "A"), (2, "gear", "A"), (3, "gear", None), (4, None, "B"), (5, "nut", "B"), (6, "nut", "B")]
+             for s, t in [("s1", "t"), ("s2", "t"), (None, "t"), ("s1", None)]]
+    picks += [(7, "even", "A", s, "t") for s in ("s1", "s2") for _ in range(2)]  # a code listed twice
+    picks += [(8, "uneven", "A", "s1", "t"), (8, "uneven", "A", "s1", "t"), (8, "uneven", "A", "s2", "t"), (9, "uneven", "A", "s3", "t"), (9, "uneven", "A", "s2", "t")]
+    picks += [(10, "nut", "B", "s1", "t"), (None, "bolt", "A", "s1", "t"), (None, "bolt", "A", "s9", "t")]
+    return (spark.createDataFrame(lines, "encounter_id int, row_id string, charge_code_id int, line_year int, units decimal(18,2)"),
+            spark.createDataFrame(costs, "row_id string, unit_cost decimal(18,2)"),
+            spark.createDataFrame(picks, "charge_code_id int, full_description string, spec_name string, spec_type string, category string"))
+
+
+def test_report_of_any_picks_equals_the_plain_sums(spark):
+    lines, costs, picked = picked_lines(spark)
+    j = lines.where("line_year in (1996, 1997)").join(picked, "charge_code_id").join(costs, "row_id", "left")
+    by = ["line_year", "spec_name", "spec_type", "category", "full_description"]
+    per = j.groupBy(*by, "encounter_id").agg(F.sum("units").alias("u"), F.sum(F.col("units") * F.col("unit_cost")).alias("v"))
+    plainly = per.groupBy(*by).agg(F.count(F.lit(1)).cast("int"), F.sum("u").cast("decimal(20,2)"), F.sum("v").cast("decimal(20,2)"))
+    got = opp.report_of_codes(lines, costs, picked, (1996, 1997))
+    assert got.columns == opp.REPORT_COLUMNS and rows(got) == rows(plainly) and got.count() > 40
+
+
+def test_report_does_not_repeat_a_line_for_each_spec(spark, monkeypatch):
+    f = R.fx(spark, SF)
+    codes = f.charge_code.select("charge_code_id", F.col("name").alias("full_description"), F.col("cost_driver").alias("category"))
+    picked = codes.crossJoin(spark.range(40).select(F.concat(F.lit("s"), "id").alias("spec_name"), F.lit("t").alias("spec_type")))
+    met = []
+    join = opp._line_cost
+    monkeypatch.setattr(opp, "_line_cost", lambda lines, costs: met.append(lines.count()) or join(lines, costs))
+    got = opp.report_of_codes(f.line, f.cost, picked, R.OPP_YEARS)
+    assert met == [f.line.where(F.col("line_year").isin(list(R.OPP_YEARS))).count()]
+    assert got.select("opportunity_name").distinct().count() == 40
+
+
 # ---------------------------------------------------------------- reports
 SCHEMA = "opportunity_name string, n int"
 NAMES = ["plain", "a/b=c %", "", None, "Ünïcode"]

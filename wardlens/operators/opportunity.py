@@ -9,7 +9,7 @@ line fact.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +99,7 @@ def multi_opportunity_report(lines: DataFrame, costs: DataFrame, charge_code: Da
               .where(F.ilike(col("name"), F.concat(lit("%"), col("keyword"), lit("%"))))
               .select("charge_code_id", col("name").alias("full_description"),
                       "spec_name", "spec_type", "category").distinct())
-    return report_of_codes(lines, costs, picked, fiscal_years, year_col)
+    return _tagged(_cases(lines, costs, picked, [*SPEC, *NAMED], fiscal_years, year_col))
 
 
 def pick_from_dictionary(charge_code: DataFrame, specs: DataFrame, description: str = "name") -> DataFrame:
@@ -116,19 +116,61 @@ def pick_from_dictionary(charge_code: DataFrame, specs: DataFrame, description:
     return codes.join(named, ["category", "full_description"]).select("charge_code_id", "full_description", "spec_name", "spec_type", "category")
 
 
-def report_of_codes(lines: DataFrame, costs: DataFrame, picked: DataFrame, fiscal_years: Iterable[int],
-                    year_col: str = "line_year") -> DataFrame:
-    """A02-A03 of picked codes (``charge_code_id``, description and spec) in one scan of the line fact."""
+def _cases(lines: DataFrame, costs: DataFrame, codes: DataFrame, by: list[str], fiscal_years: Iterable[int], year_col: str) -> DataFrame:
+    """Cases, UOS and VDC per fiscal year and ``by``, columns of ``codes``, in one scan of the line fact."""
     l = lines.where(col(year_col).isin(list(fiscal_years))).select(
         *line_key_columns(lines, costs), "encounter_id", "charge_code_id", year_col, "units")
-    j = _line_cost(l.join(picked, "charge_code_id"), costs)
-    summary = j.groupBy("spec_name", "spec_type", "category", col(year_col).alias("fiscal_year"),
-                        "full_description", "encounter_id").agg(
+    j = _line_cost(l.join(codes, "charge_code_id"), costs)
+    summary = j.groupBy(*by, col(year_col).alias("fiscal_year"), "encounter_id").agg(
         F.sum("units").alias("uos"), money_sum(col("units") * col("unit_cost")).alias("vdc"))
-    agg = summary.groupBy("spec_name", "spec_type", "category", "fiscal_year", "full_description") \
-        .agg(*_report_aggs())
-    return agg.select(*_report_columns(col("spec_name"), col("spec_type"), col("category")),
-                      "total_cases", "total_uos", "total_vdc")
+    return summary.groupBy(*by, "fiscal_year").agg(*_report_aggs())
+
+
+def _tagged(cases: DataFrame) -> DataFrame:
+    return cases.select(*_report_columns(col("spec_name"), col("spec_type"), col("category")),
+                        "total_cases", "total_uos", "total_vdc")
+
+
+NAMED = ["category", "full_description"]
+SPEC = ["spec_name", "spec_type"]
+
+
+def _alike(named: DataFrame, prefix: str):
+    """``named`` with its columns prefixed, and the condition that they equal the plain ones (null equals null)."""
+    on = reduce(and_, [col(c).eqNullSafe(col(prefix + c)) for c in NAMED])
+    return named.select(*[col(c).alias(prefix + c if c in NAMED else c) for c in named.columns]), on
+
+
+def report_of_codes(lines: DataFrame, costs: DataFrame, picked: DataFrame, fiscal_years: Iterable[int],
+                    year_col: str = "line_year") -> DataFrame:
+    """A02-A03 of picked codes (``charge_code_id``, description and spec) in one scan of the line fact.
+
+    A line is not repeated for each spec that picks its code.  Where a
+    description's specs pick the same codes (a keyword picks by the
+    description, so they do), its lines are summed once, and the sums are
+    given to each of its specs; other descriptions are summed spec by spec.
+    A code picked repeatedly by a spec counts its lines as often.
+    """
+    # One exchange of the picks by code, which the following read.
+    placed = picked.where(col("charge_code_id").isNotNull()).select("charge_code_id", *NAMED, *SPEC).repartition("charge_code_id")
+    picks = placed.groupBy("charge_code_id", *NAMED, *SPEC).agg(F.count(lit(1)).alias("_times"))
+    codes = picks.groupBy("charge_code_id", *NAMED).agg(
+        F.count(lit(1)).alias("_specs"), F.min("_times").alias("_times"), F.max("_times").alias("_most"))
+    specs = picks.select(*NAMED, *SPEC).distinct()
+    # Every code has all specs of its description, each as often.
+    even = codes.groupBy(*NAMED).agg(F.min("_specs").alias("_least"), F.min(col("_times") == col("_most")).alias("_even")).where("_even")
+    size, same = _alike(specs.groupBy(*NAMED).agg(F.count(lit(1)).alias("_size")), "_s_")
+    whole, of_whole = _alike(even.join(size, same & (col("_least") == col("_size"))).select(*NAMED), "_w_")
+
+    none = [lit(None).cast(picked.schema[c].dataType).alias(c) for c in SPEC]
+    once = codes.join(whole, of_whole, "left_semi").select("charge_code_id", *NAMED, lit(True).alias("_whole"), *none, "_times")
+    apart = picks.join(whole, of_whole, "left_anti").select("charge_code_id", *NAMED, lit(False).alias("_whole"), *SPEC, "_times")
+    listed = once.unionByName(apart).withColumn("_time", F.explode(F.array_repeat(lit(0), col("_times").cast("int")))).drop("_times", "_time")
+
+    cases = _cases(lines, costs, listed, [*NAMED, "_whole", *SPEC], fiscal_years, year_col)
+    tags, of_tag = _alike(specs.withColumnsRenamed({c: "_of_" + c for c in SPEC}), "_t_")
+    spec = {c: F.when(col("_whole"), col("_of_" + c)).otherwise(col(c)) for c in SPEC}
+    return _tagged(cases.join(tags, col("_whole") & of_tag, "left").withColumns(spec))
 
 
 def replace_opportunity(report: DataFrame, name: str, new_rows: DataFrame) -> DataFrame:
