@@ -88,6 +88,25 @@ def test_co_located_facts_need_no_shuffle(spark):
         drop_database(spark, facts)
 
 
+def test_buckets_of_the_facts_grow_with_the_lines(spark, monkeypatch):
+    loaded = []
+
+    def load(*args, **kwargs):
+        loaded.append(co_located(*args, **kwargs))
+        return loaded[-1]
+
+    monkeypatch.setattr(R, "co_located", load)
+    monkeypatch.setattr("wardlens.sources.warehouse.BUCKET_ROWS", 500, raising=False)
+    try:
+        bill = R.QUERIES["ent_bill_co_located"](spark, SF)
+        n = R.fx(spark, SF).t.lineitem.count()
+        told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {loaded[0].prefix}.billing_line").collect()}
+        assert int(told["Num Buckets"]) == -(-n // 500) > 8
+        assert sorted(map(repr, bill.collect())) == sorted(map(repr, R.QUERIES["ent_bill"](spark, SF).collect()))
+    finally:
+        drop_database(spark, loaded[0])
+
+
 def test_tail_equals_the_gamma_function(spark):
     rows = [(float(x), k) for k in (1, 2, 3, 4, 5, 9, 10, 37, 100, 101, 999, 2000) for x in (1e-9, 0.004, 0.5, 1.0, 3.841458820694124, 4.9999, 5.0001, 20.0, 99.5, 950.0, 2000.0, 5000.0)]
     rows += [(0.0, 3), (-1.0, 2)]

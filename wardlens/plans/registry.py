@@ -34,7 +34,7 @@ from wardlens.sources.clients import ClientDatabases, publish_clients
 from wardlens.sources.collation import collated, plain
 from wardlens.sources.reports import ReportStore
 from wardlens.sources.tables import ParquetTables
-from wardlens.sources.warehouse import co_located
+from wardlens.sources.warehouse import bucket_count, co_located
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -285,7 +285,8 @@ def q_ent_bill(spark, sf):
 def q_ent_bill_co_located(spark, sf):
     """A16, A18 over facts that are loaded bucketed by encounter and partitioned by year."""
     f = fx(spark, sf)
-    facts = co_located(spark, f.encounter, f.line, f.cost, buckets=8)
+    buckets = bucket_count(f.t.lineitem.count(), least=8)  # counted in the files' footers
+    facts = co_located(spark, f.encounter, f.line, f.cost, buckets)
     enc = ent.encounter_base(facts.table("encounter"), f.source_system, f.physician, ENT)
     return ent.bill(enc, facts.table("billing_line"), facts.table("line_cost"), f.charge_code, ENT)
 

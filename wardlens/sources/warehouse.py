@@ -18,6 +18,8 @@ from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources.tables import CatalogTables
 
 ENCOUNTER_KEY = "encounter_id"
+#: Rows of a fact that a bucket holds, about: what one task reads while the facts are loaded.
+BUCKET_ROWS = 1 << 20
 
 # Settings a session reading bucketed facts should carry: joins on
 # (encounter_id, line identity) may then reuse the encounter bucketing.
@@ -36,6 +38,11 @@ def write_fact(df: DataFrame, table: str, buckets: int, key: str = ENCOUNTER_KEY
     w.saveAsTable(table)
 
 
+def bucket_count(rows: int, least: int = 1) -> int:
+    """Buckets for facts of up to so many rows: their number grows with the rows, so a task's share does not."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def configure_bucketed_reads(spark: SparkSession) -> None:
     for k, v in BUCKETED_READ_CONF.items():
         spark.conf.set(k, v)
