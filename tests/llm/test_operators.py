@@ -617,3 +617,24 @@ def test_packing_round_trip(spark):
         assert [r.offset for r in rs] == list(np.cumsum([0] + [r.length for r in rs[:-1]])) and sum(r.length for r in rs) <= 256
     assert sum(r.length for r in out) > 0.9 * 256 * len(sequences)
     assert packing.pack_documents(docs(spark, []), path).count() == 0
+
+
+def test_group_order_is_the_full_sort():
+    rng = np.random.default_rng(8)
+    extremes = np.array([-(1 << 63), (1 << 63) - 1, 0, 1, -1], np.int64)
+    for n, groups, width in ((0, 1, 5), (1, 1, 5), (500, 1, 3), (4000, 70, 1 << 62), (4000, 900, 4), (4000, 3000, 1 << 40)):
+        group = np.sort(rng.integers(0, groups, n))
+        for first in (rng.integers(-width, width, n), rng.choice(extremes, n)):
+            second = rng.integers(0, 3, n)
+            got = line_dedup.group_order(group, first, second)
+            assert got.tolist() == np.lexsort((second, first, group)).tolist()
+
+
+def test_postings_are_sorted_by_one_number(spark):
+    """Unless a list is cut into parts, Spark sorts the postings by the word alone, and the lists are ordered as they are read."""
+    docs = spark.createDataFrame([(i, f"one two three four {i % 5} {i % 7}\nfive six {i % 3}") for i in range(40)], "doc_id long, text string")
+    entries = line_dedup.line_sets(docs, 80, 1)
+    posts, by = line_dedup.postings(entries.select("doc", "h", "at", "n", "bits", "more", "skip", "prefix"))
+    assert by == ("word",)
+    plan = line_dedup.candidates(posts, 80, by)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Sort \[word#\d+L? ASC NULLS FIRST\], false", plan)) == 1, plan

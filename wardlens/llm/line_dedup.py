@@ -63,6 +63,27 @@ def line_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
+def group_order(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The order by ``group`` (ascending numbers from 0), then ``keys`` (64-bit integers), then place.
+
+    One sort of numbers that hold the group and the high bits of the first key; what these do not tell apart is sorted in full.
+    """
+    if not len(group):
+        return np.empty(0, np.int64)
+    room = 64 - max(int(group[-1]).bit_length(), 1)
+    first = keys[0].view(np.uint64) - keys[0].min().view(np.uint64)
+    first >>= np.uint64(max(int(first.max()).bit_length() - room, 0))
+    packed = (group.astype(np.uint64) << np.uint64(room)) | first
+    order = np.argsort(packed)
+    packed = packed[order]
+    same = packed[1:] == packed[:-1]
+    if same.any():
+        tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        those = order[tied]
+        order[tied] = those[np.lexsort((those, *(k[those] for k in reversed(keys)), group[those]))]
+    return order
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
     """How many words of all documents fall into each bucket; at most :data:`MOST`."""
 
@@ -109,7 +130,7 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         owner = np.searchsorted(offsets, starts, "right") - 1
         line = np.searchsorted(breaks, starts) + owner  # each text starts a line too
         key = (counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 43) | (h >> np.uint64(21)).astype(np.int64)
-        order = np.lexsort((key, line))
+        order = group_order(line, key)
         key, line, owner, h = key[order], line[order], owner[order], h[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -146,8 +167,8 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
     return map_arrow(docs.select(*line_key(), "text"), work, "doc bigint, h bigint, at int, s1 bigint, s2 bigint, n int, bits bigint, more binary, skip int, prefix array<bigint>")
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """``word, part, doc, h, at, place, bits, more``: an entry under each word of its prefix.
+def postings(entries: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``word, part, doc, h, at, place, bits, more``: an entry under each word of its prefix; and the columns that tell the lists apart.
 
     ``place`` has the set's size, the word's position and a side, from the
     high bits on.  ``part`` is 0, or numbers two blocks of a long list that
@@ -164,7 +185,7 @@ def postings(entries: DataFrame) -> DataFrame:
     long = listed.where(often).groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
     long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "long-lists"))
     if long.isEmpty():
-        return posts
+        return posts, ("word",)
     block = F.pmod(F.xxhash64(*KEY), F.col("blocks"))
     # Block b meets every block: as the first of two up to the last block, as the second from the first one on.
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
@@ -173,7 +194,7 @@ def postings(entries: DataFrame) -> DataFrame:
     dealt = posts.where(often).join(long, "word", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("side")))
     split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(meet)).alias("m"), *KEY, "place", "bits", "more")
-    return posts.where(~often).union(split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more"))
+    return posts.where(~often).union(split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more")), ("word", "part")
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
@@ -192,8 +213,17 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     return x
 
 
+def _ordered(t: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of whole groups, with ``first``, where each starts; a group's lines in order."""
+    x = _columns(t)
+    new = np.ones(t.num_rows, bool)
+    new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
+    order = group_order(np.cumsum(new) - 1, *(x[c].astype(np.int64) for c in KEY))
+    return {c: v[order] for c, v in x.items()} | {"first": np.flatnonzero(new)}
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of some whole groups (word, part) at a time; batches come sorted by them."""
+    """The columns of some whole groups (word, part) at a time; in the batches a group's rows follow each other."""
     held, rows = [], 0
     for b in batches:
         held.append(b)
@@ -204,11 +234,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
             before = np.flatnonzero((word != word[-1]) | (part != part[-1]))  # of the last group
             last = int(before[-1]) + 1 if len(before) else 0
             if last:
-                yield _columns(t.slice(0, last))
+                yield _ordered(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
             rows = t.num_rows - last
     if rows:
-        yield _columns(pa.Table.from_batches(held))
+        yield _ordered(pa.Table.from_batches(held))
 
 
 def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,24 +257,24 @@ def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
     return differ, most
 
 
-def candidates(posts: DataFrame, percent: int, every: bool = False) -> DataFrame:
+def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word", "part"), every: bool = False) -> DataFrame:
     """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong, ended`` (the later line, with its size) that pass the filters in one list.
 
     Each posting gives its line's earliest strong one, and the weak ones
     before that, up to the one that ``ended`` the search; with ``every``, those
-    that are ``asked`` give all.
+    that are ``asked`` give all.  ``by`` tells the lists apart: the word alone
+    where no list is cut into parts.
     """
-    ordered = posts.repartition("word", "part").sortWithinPartitions("word", "part", *KEY)
+    # Groups are brought together here; each is ordered when it is read, which takes one sort of numbers.
+    ordered = posts.repartition("word", "part").sortWithinPartitions(*by)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for x in _groups(batches):
-            new = np.ones(len(x["n"]), bool)
-            new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
-            first = np.flatnonzero(new)
-            start = np.repeat(first, np.diff(first, append=len(new)))
-            rank = np.arange(len(new)) - start
+            first, rows = x["first"], len(x["n"])
+            start = np.repeat(first, np.diff(first, append=rows))
+            rank = np.arange(rows) - start
             open_, found = np.flatnonzero(x["asked"] if every else rank > 0), []
-            weak = np.zeros(len(new), np.int8)
+            weak = np.zeros(rows, np.int8)
             step = 0
             while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
                 other = start[open_] + step
@@ -302,8 +332,8 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
         equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
         scratch.drop(lines)
 
-        posts = postings(entries.select("first.*", "n", "bits", "more", "skip", "prefix"))
-        found = candidates(posts, percent).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
+        posts, by = postings(entries.select("first.*", "n", "bits", "more", "skip", "prefix"))
+        found = candidates(posts, percent, by).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
         with arrow_rows(docs.sparkSession, HELD):
             found = cut(found, "line-candidates")
         # The earliest strong candidate, or else the earliest, is compared first.
@@ -320,7 +350,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
             if not again.isEmpty():
                 marked = posts.join(bounded(again), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
                 words = cut(marked.where("asked").select("word").distinct(), "line-again-words")
-                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, every=True).drop("strong", "ended").distinct()
+                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, by, every=True).drop("strong", "ended").distinct()
                 near = near.union(_earliest(verified(cut(every, "line-again-pairs"), docs, percent)))
         return scratch.keep(cut(equal.union(near), "line-removals"))
 
