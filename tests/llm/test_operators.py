@@ -638,3 +638,31 @@ def test_postings_are_sorted_by_one_number(spark):
     assert by == ("word",)
     plan = line_dedup.candidates(posts, 80, by)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Sort \[word#\d+L? ASC NULLS FIRST\], false", plan)) == 1, plan
+
+
+def test_postings_hold_no_part_unless_lists_are_cut(spark, monkeypatch):
+    """A posting carries the number of its list's part only where there are parts."""
+    docs = spark.createDataFrame([(i, f"one two three four {i % 5} {i % 7}") for i in range(40)], "doc_id long, text string")
+    entries = line_dedup.line_sets(docs, 80, 1).select("doc", "h", "at", "n", "bits", "more", "skip", "prefix")
+    posts, by = line_dedup.postings(entries)
+    assert posts.columns == ["word", "doc", "h", "at", "place", "bits", "more"] and by == ("word",)
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    posts, by = line_dedup.postings(entries)
+    assert "part" in posts.columns and by == ("word", "part")
+
+
+def test_lines_are_split_as_bytes():
+    """Words as bytes are those of the rule, whatever characters a line holds."""
+    line = "A\u00c4 a\u00e4\u00a0b\x1cC\td\x0bE\x0cF\rg \u2003H \x85 \u0130 \x00Z"
+    assert line_dedup.line_words(line) == {w.encode() for w in TOKENS.findall(low(line))} and line_dedup.line_words(" \t") == set()
+
+
+def test_words_are_counted_by_place():
+    """What is counted by looking the marks up is what looking up each start gives."""
+    rng = np.random.default_rng(5)
+    starts = np.unique(rng.integers(0, 900, 200)).astype(np.int64)
+    for marks in (np.sort(rng.integers(0, 1000, 50)), np.empty(0, np.int64), np.array([0, 0, 999])):
+        assert line_dedup.places_before(marks, starts).tolist() == np.searchsorted(marks, starts, "right").tolist()
+    assert line_dedup.places_before(np.array([0, 3]), starts[:0]).tolist() == []
+    data = np.arange(256, dtype=np.uint8)
+    assert np.flatnonzero(~hashing.inside_words(data)).tolist() == sorted(hashing.SPACE)

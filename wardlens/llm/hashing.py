@@ -79,6 +79,11 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> Iter
         a = b
 
 
+def inside_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes are no white space; comparing bytes is much faster than looking them up."""
+    return (data != 32) & (data - np.uint8(9) > 4)  # numbers of 8 bits: what is below 9 wraps
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte) of every word of a string column, with its bytes and offsets.  A-Z count as a-z."""
     data, offsets = text_bytes(column)
@@ -90,14 +95,16 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     with np.errstate(over="ignore"):
         for a, b in _stretches(data, offsets, white):
             part = data[a:b]
-            inside = ~white[part]
+            inside = inside_words(part)
             before = np.concatenate(([False], inside[:-1])) & ~firsts[a:b]
             after = np.concatenate((inside[1:], [False])) & ~firsts[a + 1 : b + 1]
             s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
             if not len(s):
                 continue
             up, down = powers(b - a)
-            total = np.cumsum(values[part] * up[: b - a])
+            total = values.take(part, mode="clip")
+            total *= up[: b - a]
+            total = np.cumsum(total, out=total)
             low = np.where(s > 0, total[s - 1], np.uint64(0))
             hashes.append(mix((total[e] - low) * down[s] + (e - s).astype(np.uint64)))
             starts.append(s + a)

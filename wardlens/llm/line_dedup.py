@@ -26,7 +26,6 @@ blocks are a group of their own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlens.llm.common import ASCII_LOWER, TOKEN, Scratch, arrow_rows, bounded, cut, map_arrow, map_batches
+from wardlens.llm.common import TOKEN, Scratch, arrow_rows, bounded, cut, map_arrow, map_batches
 from wardlens.llm.hashing import BASE, mix, word_hashes
 
 #: Similarity in hundredths; lines of fewer distinct words stay.
@@ -55,7 +54,6 @@ SHORT, MIDDLE = 48, 100
 STRONG, WEAK = 0.5, 4
 #: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.
 KEY = ("doc", "h", "at")
-TOKENS = re.compile(TOKEN)
 
 
 def line_key() -> tuple[Column, Column]:
@@ -84,13 +82,24 @@ def group_order(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def places_before(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many ``marks`` are at or before each of the ``starts`` (both ascending); the marks are looked up, which are fewer."""
+    return np.cumsum(np.bincount(np.searchsorted(starts, marks), minlength=len(starts))[: len(starts)])
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
     """How many words of all documents fall into each bucket; at most :data:`MOST`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = np.zeros(BUCKETS, np.int64)
+        seen, held, words = np.zeros(BUCKETS, np.int64), [], 0
         for b in batches:
-            seen += np.bincount((word_hashes(b.column(0))[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            held.append((word_hashes(b.column(0))[0] & np.uint64(BUCKETS - 1)).astype(np.int32))
+            words += len(held[-1])
+            if words > BUCKETS:  # a count of all buckets costs as much as one of so many words
+                seen += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, words = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=BUCKETS)
         yield {"chunk": list(range(BUCKETS // CHUNK)), "n": [x.tobytes() for x in seen.reshape(-1, CHUNK)]}
 
     def add(batches: Iterator[dict]) -> Iterator[dict]:
@@ -110,11 +119,17 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 def sketches(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Four lanes of parity bits of each set (words ``h`` from ``first`` on); short sets are folded into fewer lanes."""
-    bit, lane = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
-    b = [np.bitwise_xor.reduceat(np.where(lane == i, bit, np.uint64(0)), first) if len(first) else bit for i in range(4)]
-    none = np.uint64(0)
-    return [np.where(n <= SHORT, b[0] ^ b[1] ^ b[2] ^ b[3], np.where(n <= MIDDLE, b[0] ^ b[2], b[0])),
-            np.where(n <= SHORT, none, np.where(n <= MIDDLE, b[1] ^ b[3], b[1])), np.where(n <= MIDDLE, none, b[2]), np.where(n <= MIDDLE, none, b[3])]
+    bit = np.uint64(1) << (h & np.uint64(63))
+    out = [np.bitwise_xor.reduceat(bit, first) if len(first) else bit, *np.zeros((3, len(first)), np.uint64)]
+    long = np.flatnonzero(n > SHORT)
+    if len(long):
+        those = np.repeat(n > SHORT, n)
+        bit, lane, m = bit[those], (h[those] >> np.uint64(6)) & np.uint64(3), n[long]
+        b = [np.bitwise_xor.reduceat(np.where(lane == i, bit, np.uint64(0)), np.cumsum(m) - m) for i in range(4)]
+        middle, none = m <= MIDDLE, np.uint64(0)
+        for lanes, x in zip(out, (np.where(middle, b[0] ^ b[2], b[0]), np.where(middle, b[1] ^ b[3], b[1]), np.where(middle, none, b[2]), np.where(middle, none, b[3])), strict=True):
+            lanes[long] = x
+    return out
 
 
 def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
@@ -127,8 +142,8 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
     def of(batch: pa.RecordBatch) -> dict:
         h, starts, data, offsets = word_hashes(batch.column("text"))
         breaks = np.flatnonzero(data == 10)
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        line = np.searchsorted(breaks, starts) + owner  # each text starts a line too
+        owner = places_before(offsets, starts) - 1
+        line = places_before(breaks, starts) + owner  # each text starts a line too
         key = (counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 43) | (h >> np.uint64(21)).astype(np.int64)
         order = group_order(line, key)
         key, line, owner, h = key[order], line[order], owner[order], h[order]
@@ -157,8 +172,10 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
         signed = lambda x: x[kept].view(np.int64)
         b = sketches(h, first, n)
-        more = np.stack(b[1:], axis=1)[kept]
-        more = [x.tobytes() if long else None for x, long in zip(more, (n[kept] > SHORT).tolist(), strict=True)]
+        long = n[kept] > SHORT
+        more = np.stack(b[1:], axis=1)[kept][long]
+        ends = np.concatenate(([0], np.cumsum(long * more.itemsize * 3))).astype(np.int32)
+        more = pa.Array.from_buffers(pa.binary(), len(long), [pa.array(long).buffers()[1], pa.py_buffer(ends), pa.py_buffer(more.tobytes())])
         return {"doc": doc[o], "h": text_hash[o], "at": place_in_doc.astype(np.int32), "s1": signed(s1), "s2": signed(s2), "n": n[kept].astype(np.int32), "bits": signed(b[0]), "more": more, "skip": skip.astype(np.int32), "prefix": lists}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -168,15 +185,16 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
 
 
 def postings(entries: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """``word, part, doc, h, at, place, bits, more``: an entry under each word of its prefix; and the columns that tell the lists apart.
+    """``word, doc, h, at, place, bits, more``: an entry under each word of its prefix; and the columns that tell the lists apart.
 
     ``place`` has the set's size, the word's position and a side, from the
-    high bits on.  ``part`` is 0, or numbers two blocks of a long list that
-    meet; the side is 1 or 2 for the members of two different blocks, else 0.
+    high bits on.  If there are long lists, a column ``part`` is 0, or numbers
+    two blocks of a long list that meet; the side is 1 or 2 for the members of
+    two different blocks, else 0.
     """
     posts = entries.select(*KEY, "n", "bits", "more", "skip", F.posexplode("prefix").alias("i", "word"))
     place = F.shiftleft(F.col("n").cast("long"), 34).bitwiseOR(F.shiftleft((F.col("skip") + F.col("i")).cast("long"), 2))
-    posts = posts.select("word", F.lit(0).cast("long").alias("part"), *KEY, place.alias("place"), "bits", "more")
+    posts = posts.select("word", *KEY, place.alias("place"), "bits", "more")
     # A list cannot be longer than its word is frequent, so only lists of frequent words need to be counted.
     often = F.shiftright("word", 43) > BLOCK
     # The last word of a prefix is its most frequent.
@@ -194,12 +212,13 @@ def postings(entries: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     dealt = posts.where(often).join(long, "word", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("side")))
     split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(meet)).alias("m"), *KEY, "place", "bits", "more")
-    return posts.where(~often).union(split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more")), ("word", "part")
+    split = split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more")
+    return posts.where(~often).withColumn("part", F.lit(0).cast("long")).unionByName(split), ("word", "part")
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     """The postings as arrays: ``n, pos, side`` from the place, the sketch's lanes ``b0 ... b3`` and their sum ``fold``."""
-    x = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("place", "bits", "more")}
+    x = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("word", "part", "place", "bits", "more")}
     place = t.column("place").to_numpy()
     x |= {"n": place >> 34, "pos": (place >> 2) & 0xFFFFFFFF, "side": place & 3, "b0": t.column("bits").to_numpy().view(np.uint64)}
     more = t.column("more").combine_chunks()
@@ -214,25 +233,28 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _ordered(t: pa.Table) -> dict[str, np.ndarray]:
-    """The columns of whole groups, with ``first``, where each starts; a group's lines in order."""
-    x = _columns(t)
-    new = np.ones(t.num_rows, bool)
-    new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
+    """The columns of whole groups, with ``first``, where each starts, and ``order``, the rows with a group's lines in order."""
+    new, x = np.concatenate(([True], _changes(t))), _columns(t)
     order = group_order(np.cumsum(new) - 1, *(x[c].astype(np.int64) for c in KEY))
-    return {c: v[order] for c, v in x.items()} | {"first": np.flatnonzero(new)}
+    return x | {"order": order, "first": np.flatnonzero(new)}
+
+
+def _changes(t: pa.Table) -> np.ndarray:
+    """Whether each row but the first belongs to another group than the one before."""
+    keys = [t.column(c).to_numpy() for c in ("word", "part") if c in t.column_names]
+    return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of some whole groups (word, part) at a time; in the batches a group's rows follow each other."""
+    """The columns of some whole groups (word and part, if any) at a time; in the batches a group's rows follow each other."""
     held, rows = [], 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
         if rows >= HELD:
             t = pa.Table.from_batches(held)
-            word, part = t.column("word").to_numpy(), t.column("part").to_numpy()
-            before = np.flatnonzero((word != word[-1]) | (part != part[-1]))  # of the last group
-            last = int(before[-1]) + 1 if len(before) else 0
+            before = np.flatnonzero(_changes(t))
+            last = int(before[-1]) + 1 if len(before) else 0  # where the last group starts
             if last:
                 yield _ordered(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
@@ -257,7 +279,7 @@ def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
     return differ, most
 
 
-def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word", "part"), every: bool = False) -> DataFrame:
+def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word",), every: bool = False) -> DataFrame:
     """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong, ended`` (the later line, with its size) that pass the filters in one list.
 
     Each posting gives its line's earliest strong one, and the weak ones
@@ -266,27 +288,27 @@ def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word", "p
     where no list is cut into parts.
     """
     # Groups are brought together here; each is ordered when it is read, which takes one sort of numbers.
-    ordered = posts.repartition("word", "part").sortWithinPartitions(*by)
+    ordered = posts.repartition(*by).sortWithinPartitions(*by)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for x in _groups(batches):
-            first, rows = x["first"], len(x["n"])
+            first, order, rows = x["first"], x["order"], len(x["order"])
             start = np.repeat(first, np.diff(first, append=rows))
             rank = np.arange(rows) - start
-            open_, found = np.flatnonzero(x["asked"] if every else rank > 0), []
+            open_, found = np.flatnonzero(x["asked"][order] if every else rank > 0), []
             weak = np.zeros(rows, np.int8)
             step = 0
             while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
-                other = start[open_] + step
-                differ, most = differing(x, other, open_, percent)
-                good = (differ <= most) & ((x["side"][open_] == 0) | (x["side"][other] != x["side"][open_]))
+                other, own = order[start[open_] + step], order[open_]
+                differ, most = differing(x, other, own, percent)
+                good = (differ <= most) & ((x["side"][own] == 0) | (x["side"][other] != x["side"][own]))
                 if good.any():
                     strong = good & (differ <= STRONG * most)
                     ended = strong.copy()
                     if not every:
                         weak[open_] += good
                         ended |= weak[open_] >= WEAK
-                    found.append((other[good], open_[good], strong[good], ended[good]))
+                    found.append((other[good], own[good], strong[good], ended[good]))
                     if not every:
                         open_ = open_[~ended]
                 step += 1
@@ -297,19 +319,28 @@ def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word", "p
     return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint, strong boolean, ended boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` whose full sets of words reach the limit: ``doc, h, at, n, doc_a, h_a``."""
+def line_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc, h, at, s``: the text of each line that is in ``pairs``."""
     wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(*[F.col(f"{c}_a").alias(c) for c in KEY]))).alias("k")).select("k.*").distinct(), "pair-lines")
     cases = bounded(cut(wanted.select("doc", "h").distinct(), "pair-docs"))
     texts = docs.select(*line_key(), "text").join(cases, ["doc", "h"], "left_semi")
     lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("at", "s"))
-    lines = cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
+    return cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
+
+
+def line_words(line: str) -> set[bytes]:
+    """The words of a line (:data:`TOKEN`) in UTF-8; of bytes, ``lower`` changes A-Z alone and ``split`` knows white space of ASCII alone."""
+    return set(line.encode().lower().split())
+
+
+def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs`` whose full sets of words, from the ``lines`` of :func:`line_texts`, reach the limit: ``doc, h, at, n, doc_a, h_a``."""
     both = pairs.join(lines.toDF("doc_a", "h_a", "at_a", "s"), ["doc_a", "h_a", "at_a"]).join(lines.toDF(*KEY, "t"), list(KEY))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
-            sets = [[set(TOKENS.findall(v.translate(ASCII_LOWER))) for v in x[c]] for c in "st"]
-            good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if 100 * len(p & q) >= percent * len(p | q)]
+            sets = [map(line_words, x[c]) for c in "st"]
+            good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if (100 + percent) * len(p & q) >= percent * (len(p) + len(q))]
             yield {c: [x[c][i] for i in good] for c in (*KEY, "n", "doc_a", "h_a")}
 
     return map_batches(both.select(*KEY, "n", "doc_a", "h_a", "s", "t"), work, "doc bigint, h bigint, at int, n bigint, doc_a bigint, h_a bigint")
@@ -332,26 +363,29 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
         equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
         scratch.drop(lines)
 
-        posts, by = postings(entries.select("first.*", "n", "bits", "more", "skip", "prefix"))
+        sets = entries.select("first.*", "n", "bits", "more", "skip", "prefix")
+        posts, by = postings(sets)
         found = candidates(posts, percent, by).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
         with arrow_rows(docs.sparkSession, HELD):
             found = cut(found, "line-candidates")
         # The earliest strong candidate, or else the earliest, is compared first.
         chosen = F.min(F.struct(~F.col("strong"), "doc_a", "h_a", "at_a")).alias("a")
         pairs = cut(found.groupBy(*KEY, "n").agg(chosen, F.max("ended").alias("ended")).select(*KEY, "n", "a.doc_a", "a.h_a", "a.at_a", "ended"), "line-pairs")
-        near = cut(verified(pairs.drop("ended"), docs, percent), "line-matches")
+        texts = line_texts(found, docs)
+        near = cut(verified(pairs.drop("ended"), texts, percent), "line-matches")
         failed = cut(pairs.select(*KEY, "ended").join(near, list(KEY), "left_anti"), "line-open")
         if not failed.isEmpty():
             rest = found.drop("strong", "ended").join(failed.drop("ended"), list(KEY), "left_semi").join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti")
-            more = _earliest(verified(cut(rest, "line-open-pairs"), docs, percent))
+            more = _earliest(verified(rest, texts, percent))
             near = near.union(cut(more, "line-more-matches"))
             # Where all that was noted fails, a search has ended too early; such a line is compared with all.
             again = cut(failed.where("ended").join(near, list(KEY), "left_anti").select(*KEY, F.lit(True).alias("asked")), "line-again")
             if not again.isEmpty():
-                marked = posts.join(bounded(again), list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-                words = cut(marked.where("asked").select("word").distinct(), "line-again-words")
-                every = candidates(marked.join(bounded(words), "word", "left_semi"), percent, by, every=True).drop("strong", "ended").distinct()
-                near = near.union(_earliest(verified(cut(every, "line-again-pairs"), docs, percent)))
+                again = bounded(again)
+                words = cut(sets.join(again, list(KEY), "left_semi").select(F.explode("prefix").alias("word")).distinct(), "line-again-words")
+                marked = posts.join(bounded(words), "word", "left_semi").join(again, list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+                every = cut(candidates(marked, percent, by, every=True).drop("strong", "ended").distinct(), "line-again-pairs")
+                near = near.union(_earliest(verified(every, line_texts(every, docs), percent)))
         return scratch.keep(cut(equal.union(near), "line-removals"))
 
 
