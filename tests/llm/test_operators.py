@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -651,6 +652,59 @@ def test_postings_hold_no_part_unless_lists_are_cut(spark, monkeypatch):
     assert "part" in posts.columns and by == ("word", "part")
 
 
+def test_a_line_is_named_without_its_hash_where_ids_differ(spark):
+    """The hash of the text is carried only where rows share an id; the lines removed are the same."""
+    rng = random.Random(31)
+    base = [" ".join(rng.sample(VOCAB, 12)) for _ in range(6)]
+    rows = [(i, "\n".join(rng.choice(base) for _ in range(3))) for i in range(12)]
+    removed = lambda given: line_dedup.later_matches(docs(spark, given), 80, 1)
+    alone, twice = removed(rows), removed([*rows, rows[0], (None, None), (None, base[0])])
+    assert "h" not in alone.columns and "h" in twice.columns
+    seen, expected = set(), set()
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if line in seen:
+                expected.add((i, k))
+            seen.add(line)
+    assert sorted((r.doc, r["at"]) for r in alone.collect()) == sorted(expected)
+    seen, expected = {base[0]}, set()  # of the text without an id, which comes first
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if line in seen:
+                expected.add((i, k))
+            seen.add(line)
+    assert sorted((r.doc, r["at"]) for r in twice.collect()) == sorted(expected)
+
+
+def test_most_postings_are_told_apart_by_one_number(monkeypatch):
+    """Of the pairs of a list, only those whose sketches are near are compared by all filters; no pair within the limit is lost."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(5, 400, 3000)
+    for percent in (50, 80, 90, 100):
+        other = np.maximum((n * rng.uniform(percent / 100, 100 / percent, 3000)).astype(np.int64), 1)
+        fits = 100 * np.minimum(n, other) >= percent * np.maximum(n, other)
+        limit = ((100 - percent) * (n + other)) // (100 + percent)
+        most = line_dedup.most_of_all(n, percent)
+        assert (np.minimum(limit, 64) <= most)[fits].all()
+    rows = 400
+    tested, full = [], line_dedup.differing
+    monkeypatch.setattr(line_dedup, "differing", lambda x, i, j, percent: tested.append(len(i)) or full(x, i, j, percent))
+    works = []
+    monkeypatch.setattr(line_dedup, "map_arrow", lambda df, work, schema: works.append(work))
+
+    class Posts:
+        columns = ("doc", "h", "at")
+        repartition = sortWithinPartitions = lambda self, *by: self
+
+    line_dedup.candidates(Posts(), 80)
+    bits = rng.integers(0, 1 << 63, rows)
+    bits[300] = bits[20]
+    t = pa.table({"word": np.zeros(rows, np.int64), "doc": np.arange(rows), "h": np.zeros(rows, np.int64), "at": np.zeros(rows, np.int32), "place": np.full(rows, 30 << 34), "bits": bits, "more": pa.nulls(rows, pa.binary())})
+    found = list(works[0](iter(t.to_batches())))
+    assert [(x["doc_a"].tolist(), x["doc"].tolist()) for x in found] == [([20], [300])]
+    assert sum(tested) < rows * rows / 20
+
+
 def test_lines_are_split_as_bytes():
     """Words as bytes are those of the rule, whatever characters a line holds."""
     line = "A\u00c4 a\u00e4\u00a0b\x1cC\td\x0bE\x0cF\rg \u2003H \x85 \u0130 \x00Z"

@@ -52,7 +52,7 @@ HELD = 1 << 16
 SHORT, MIDDLE = 48, 100
 #: A candidate ends a line's search in a list if at most this part of the words that may differ does by its sketch; so does the last of so many weaker ones.
 STRONG, WEAK = 0.5, 4
-#: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.
+#: A line: its document's id (the lowest number for null), text hash and place; "earlier" is the order of these.  Tables leave out the hash where no two rows share an id.
 KEY = ("doc", "h", "at")
 
 
@@ -61,22 +61,39 @@ def line_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
+def key_of(df: DataFrame) -> tuple[str, ...]:
+    """The columns that name a line in ``df``."""
+    return tuple(c for c in KEY if c in df.columns)
+
+
+def ids_differ(docs: DataFrame) -> bool:
+    """Whether no two rows have the same id; only the ids are read."""
+    return docs.groupBy(line_key()[0]).count().where("count > 1").isEmpty()
+
+
 def group_order(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """The order by ``group`` (ascending numbers from 0), then ``keys`` (64-bit integers), then place.
 
-    One sort of numbers that hold the group and the high bits of the first key; what these do not tell apart is sorted in full.
+    One sort of numbers that hold the group, the high bits of the first key and the place; what these do not tell apart is sorted in full.
     """
     if not len(group):
         return np.empty(0, np.int64)
-    room = 64 - max(int(group[-1]).bit_length(), 1)
+    low = len(group).bit_length()
+    room = max(64 - low - max(int(group[-1]).bit_length(), 1), 0)
     first = keys[0].view(np.uint64) - keys[0].min().view(np.uint64)
     first >>= np.uint64(max(int(first.max()).bit_length() - room, 0))
-    packed = (group.astype(np.uint64) << np.uint64(room)) | first
-    order = np.argsort(packed)
-    packed = packed[order]
+    packed = (((group.astype(np.uint64) << np.uint64(room)) | first) << np.uint64(low)) | np.arange(len(group), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << low) - 1)).view(np.int64)
+    packed >>= np.uint64(low)
     same = packed[1:] == packed[:-1]
-    if same.any():
-        tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    tied = np.flatnonzero(same)
+    tied = tied[np.logical_or.reduce([k[order[tied]] != k[order[tied + 1]] for k in keys])]  # equal keys are in their order
+    if len(tied):
+        run = np.concatenate(([0], np.cumsum(~same)))
+        unsorted = np.zeros(run[-1] + 1, bool)
+        unsorted[run[tied]] = True
+        tied = np.flatnonzero(unsorted[run])
         those = order[tied]
         order[tied] = those[np.lexsort((those, *(k[those] for k in reversed(keys)), group[those]))]
     return order
@@ -146,10 +163,11 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         line = places_before(breaks, starts) + owner  # each text starts a line too
         key = (counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 43) | (h >> np.uint64(21)).astype(np.int64)
         order = group_order(line, key)
-        key, line, owner, h = key[order], line[order], owner[order], h[order]
+        key, line = key[order], line[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line, owner, h = key[new], line[new], owner[new], h[new]
+        key, line, order = key[new], line[new], order[new]
+        h = h[order]
         first = np.flatnonzero(np.diff(line, prepend=-1))  # of each line with words
         n = np.diff(first, append=len(line))
         place = np.arange(len(key)) - np.repeat(first, n)
@@ -167,7 +185,7 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
         sizes = np.bincount(number[posted], minlength=len(first))[kept]
         skip = np.bincount(number[in_prefix & once], minlength=len(first))[kept]
         doc, text_hash = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
-        o = owner[first][kept]
+        o = owner[order[first]][kept]
         place_in_doc = line[first][kept] - (np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1))[o]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(key[posted]))
         signed = lambda x: x[kept].view(np.int64)
@@ -185,16 +203,17 @@ def line_sets(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
 
 
 def postings(entries: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """``word, doc, h, at, place, bits, more``: an entry under each word of its prefix; and the columns that tell the lists apart.
+    """``word, doc, h, at, place, bits, more`` (``h`` if the entries have it): an entry under each word of its prefix; and the columns that tell the lists apart.
 
     ``place`` has the set's size, the word's position and a side, from the
     high bits on.  If there are long lists, a column ``part`` is 0, or numbers
     two blocks of a long list that meet; the side is 1 or 2 for the members of
     two different blocks, else 0.
     """
-    posts = entries.select(*KEY, "n", "bits", "more", "skip", F.posexplode("prefix").alias("i", "word"))
+    key = key_of(entries)
+    posts = entries.select(*key, "n", "bits", "more", "skip", F.posexplode("prefix").alias("i", "word"))
     place = F.shiftleft(F.col("n").cast("long"), 34).bitwiseOR(F.shiftleft((F.col("skip") + F.col("i")).cast("long"), 2))
-    posts = posts.select("word", *KEY, place.alias("place"), "bits", "more")
+    posts = posts.select("word", *key, place.alias("place"), "bits", "more")
     # A list cannot be longer than its word is frequent, so only lists of frequent words need to be counted.
     often = F.shiftright("word", 43) > BLOCK
     # The last word of a prefix is its most frequent.
@@ -204,15 +223,15 @@ def postings(entries: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     long = bounded(cut(long.select("word", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "long-lists"))
     if long.isEmpty():
         return posts, ("word",)
-    block = F.pmod(F.xxhash64(*KEY), F.col("blocks"))
+    block = F.pmod(F.xxhash64(*key), F.col("blocks"))
     # Block b meets every block: as the first of two up to the last block, as the second from the first one on.
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
         (F.least(block, j) * F.col("blocks") + F.greatest(block, j)).alias("part"),
         F.when(block == j, 0).when(block < j, 1).otherwise(2).cast("long").alias("side")))
     dealt = posts.where(often).join(long, "word", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("side")))
-    split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(meet)).alias("m"), *KEY, "place", "bits", "more")
-    split = split.select("word", "m.part", *KEY, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more")
+    split = dealt.select("word", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(meet)).alias("m"), *key, "place", "bits", "more")
+    split = split.select("word", "m.part", *key, F.col("place").bitwiseOR(F.col("m.side")).alias("place"), "bits", "more")
     return posts.where(~often).withColumn("part", F.lit(0).cast("long")).unionByName(split), ("word", "part")
 
 
@@ -235,7 +254,7 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
 def _ordered(t: pa.Table) -> dict[str, np.ndarray]:
     """The columns of whole groups, with ``first``, where each starts, and ``order``, the rows with a group's lines in order."""
     new, x = np.concatenate(([True], _changes(t))), _columns(t)
-    order = group_order(np.cumsum(new) - 1, *(x[c].astype(np.int64) for c in KEY))
+    order = group_order(np.cumsum(new) - 1, *(x[c].astype(np.int64) for c in KEY if c in x))
     return x | {"order": order, "first": np.flatnonzero(new)}
 
 
@@ -279,8 +298,14 @@ def differing(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
     return differ, most
 
 
+def most_of_all(n: np.ndarray, percent: int) -> np.ndarray:
+    """In how many words a set of size ``n`` and any that is similar enough may differ, at most; 64 stands for all from there on."""
+    largest = 100 * n // max(percent, 1)
+    return np.minimum((100 - percent) * (n + largest) // (100 + percent), 64).astype(np.uint8)
+
+
 def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word",), every: bool = False) -> DataFrame:
-    """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong, ended`` (the later line, with its size) that pass the filters in one list.
+    """Pairs ``doc_a, h_a, at_a, doc, h, at, n, strong, ended`` (the later line, with its size; ``h`` as in ``posts``) that pass the filters in one list.
 
     Each posting gives its line's earliest strong one, and the weak ones
     before that, up to the one that ``ended`` the search; with ``every``, those
@@ -289,43 +314,56 @@ def candidates(posts: DataFrame, percent: int, by: tuple[str, ...] = ("word",),
     """
     # Groups are brought together here; each is ordered when it is read, which takes one sort of numbers.
     ordered = posts.repartition(*by).sortWithinPartitions(*by)
+    key = key_of(posts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for x in _groups(batches):
             first, order, rows = x["first"], x["order"], len(x["order"])
-            start = np.repeat(first, np.diff(first, append=rows))
-            rank = np.arange(rows) - start
-            open_, found = np.flatnonzero(x["asked"][order] if every else rank > 0), []
+            # Places in the order: of the open postings, and of the next earliest of their lists, which they meet.
+            own, other, found = np.arange(rows), np.repeat(first, np.diff(first, append=rows)), []
+            if every:
+                asked = x["asked"][order]
+                own, other = own[asked], other[asked]
+            fold, most = x["fold"][order], most_of_all(x["n"], percent)[order]
             weak = np.zeros(rows, np.int8)
-            step = 0
-            while len(open_ := open_[rank[open_] > step]):  # each open posting meets the next earliest of its list
-                other, own = order[start[open_] + step], order[open_]
-                differ, most = differing(x, other, own, percent)
-                good = (differ <= most) & ((x["side"][own] == 0) | (x["side"][other] != x["side"][own]))
-                if good.any():
-                    strong = good & (differ <= STRONG * most)
-                    ended = strong.copy()
-                    if not every:
-                        weak[open_] += good
-                        ended |= weak[open_] >= WEAK
-                    found.append((other[good], own[good], strong[good], ended[good]))
-                    if not every:
-                        open_ = open_[~ended]
-                step += 1
+            while (there := other < own).any():
+                if not there.all():
+                    own, other = own[there], other[there]
+                # Nearly all pairs differ by their sketches in more than any partner may; only the others pass all filters.
+                near = np.flatnonzero(np.bitwise_count(fold[other] ^ fold[own]) <= most[own])
+                if len(near):
+                    i, j = order[other[near]], order[own[near]]
+                    differ, limit = differing(x, i, j, percent)
+                    good = (differ <= limit) & ((x["side"][j] == 0) | (x["side"][i] != x["side"][j]))
+                    if good.any():
+                        strong = good & (differ <= STRONG * limit)
+                        ended = strong.copy()
+                        if not every:
+                            weak[j] += good
+                            ended |= weak[j] >= WEAK
+                        found.append((i[good], j[good], strong[good], ended[good]))
+                        if not every and ended.any():
+                            open_ = np.ones(len(own), bool)
+                            open_[near[ended]] = False
+                            own, other = own[open_], other[open_]
+                other = other + 1
             if found:
                 i, j, strong, ended = map(np.concatenate, zip(*found, strict=True))
-                yield {f"{c}_a": x[c][i] for c in KEY} | {c: x[c][j] for c in (*KEY, "n")} | {"strong": strong, "ended": ended}
+                yield {f"{c}_a": x[c][i] for c in key} | {c: x[c][j] for c in (*key, "n")} | {"strong": strong, "ended": ended}
 
-    return map_arrow(ordered, work, "doc_a bigint, h_a bigint, at_a int, doc bigint, h bigint, at int, n bigint, strong boolean, ended boolean")
+    types = {c: "int" if c == "at" else "bigint" for c in key}
+    return map_arrow(ordered, work, ", ".join([*(f"{c}_a {t}" for c, t in types.items()), *(f"{c} {t}" for c, t in types.items()), "n bigint, strong boolean, ended boolean"]))
 
 
 def line_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc, h, at, s``: the text of each line that is in ``pairs``."""
-    wanted = cut(pairs.select(F.explode(F.array(F.struct(*KEY), F.struct(*[F.col(f"{c}_a").alias(c) for c in KEY]))).alias("k")).select("k.*").distinct(), "pair-lines")
-    cases = bounded(cut(wanted.select("doc", "h").distinct(), "pair-docs"))
-    texts = docs.select(*line_key(), "text").join(cases, ["doc", "h"], "left_semi")
-    lines = texts.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("at", "s"))
-    return cut(lines.join(bounded(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)), "pair-texts")
+    """``doc, h, at, s`` (``h`` as in ``pairs``): the text of each line that is in ``pairs``."""
+    key = key_of(pairs)
+    doc = key[:-1]
+    wanted = cut(pairs.select(F.explode(F.array(F.struct(*key), F.struct(*[F.col(f"{c}_a").alias(c) for c in key]))).alias("k")).select("k.*").distinct(), "pair-lines")
+    cases = bounded(cut(wanted.select(*doc).distinct(), "pair-docs"))
+    texts = docs.select(*line_key(), "text").join(cases, list(doc), "left_semi")
+    lines = texts.select(*doc, F.posexplode(F.split("text", "\n")).alias("at", "s")).join(bounded(wanted), list(key), "left_semi")
+    return cut(lines.dropDuplicates(list(key)) if "h" in key else lines, "pair-texts")
 
 
 def line_words(line: str) -> set[bytes]:
@@ -334,56 +372,71 @@ def line_words(line: str) -> set[bytes]:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` whose full sets of words, from the ``lines`` of :func:`line_texts`, reach the limit: ``doc, h, at, n, doc_a, h_a``."""
-    both = pairs.join(lines.toDF("doc_a", "h_a", "at_a", "s"), ["doc_a", "h_a", "at_a"]).join(lines.toDF(*KEY, "t"), list(KEY))
+    """Those of the distinct ``pairs`` (from :func:`cut`) whose full sets of words, from the ``lines`` of :func:`line_texts`, reach the limit: ``doc, h, at, n, doc_a, h_a``, the hashes as in ``pairs``."""
+    key = key_of(pairs)
+    given = [f"{c}_a" for c in key]
+    both = lines.toDF(*given, "s").join(bounded(pairs), given).join(lines.toDF(*key, "t"), list(key))
+    out = [*key, "n", *given[:-1]]
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
             sets = [map(line_words, x[c]) for c in "st"]
             good = [i for i, (p, q) in enumerate(zip(*sets, strict=True)) if (100 + percent) * len(p & q) >= percent * (len(p) + len(q))]
-            yield {c: [x[c][i] for i in good] for c in (*KEY, "n", "doc_a", "h_a")}
+            yield {c: [x[c][i] for i in good] for c in out}
 
-    return map_batches(both.select(*KEY, "n", "doc_a", "h_a", "s", "t"), work, "doc bigint, h bigint, at int, n bigint, doc_a bigint, h_a bigint")
+    return map_batches(both.select(*out, "s", "t"), work, ", ".join(f"{c} {'int' if c == 'at' else 'bigint'}" for c in out))
 
 
 def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc, h, at, n`` of every line that matches an earlier one, with ``doc_a, h_a``, the document of an earlier match.
 
-    Lines are ordered by document id, text hash and place.
+    Lines are ordered by document id, text hash and place.  Where no two rows
+    have the same id, ``h`` and ``h_a`` are left out here and on the way.
     """
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError("doc_id must be an integer: earlier lines are those of smaller ids")
     with Scratch(docs.sparkSession) as scratch:
-        lines = cut(line_sets(docs, percent, least_words), "line-sets")
+        single = ids_differ(docs)
+        sets = line_sets(docs, percent, least_words)
+        lines = cut(sets.drop("h") if single else sets, "line-sets")
+        key = key_of(lines)
+        line = F.struct(*key)
         # A set is represented by its earliest line.
-        entries = lines.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "more", "skip", "prefix")))
-        entries = cut(entries, "line-entries")
-        repeats = entries.where("k > 1").select("s1", "s2", "first")
-        equal = lines.select(*KEY, F.col("n").cast("long").alias("n"), "s1", "s2").join(bounded(repeats), ["s1", "s2"]).where(F.struct(*KEY) != F.col("first"))
-        equal = cut(equal.select(*KEY, "n", F.col("first.doc").alias("doc_a"), F.col("first.h").alias("h_a")).distinct(), "equal-lines")
-        scratch.drop(lines)
-
-        sets = entries.select("first.*", "n", "bits", "more", "skip", "prefix")
+        repeated = cut(lines.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "repeated-sets")
+        copies = cut(lines.select(*key, F.col("n").cast("long").alias("n"), "s1", "s2").join(bounded(repeated), ["s1", "s2"]), "copied-lines")
+        earliest = cut(copies.groupBy("s1", "s2").agg(F.min(line).alias("first")), "earliest-lines")
+        least = bounded(earliest)
+        equal = copies.join(least, ["s1", "s2"]).where(line != F.col("first")).select(*key, "n", *(F.col(f"first.{c}").alias(f"{c}_a") for c in key[:-1]))
+        equal = cut(equal if single else equal.distinct(), "equal-lines")
+        entries = lines.join(least, ["s1", "s2"], "left").where(F.col("first").isNull() | (line == F.col("first")))
+        if not single:
+            entries = entries.dropDuplicates(["s1", "s2"])  # repeated rows
+        sets = entries.select(*key, "n", "bits", "more", "skip", "prefix")
+        if not single or least is earliest:  # else each reader leaves the copies out by itself
+            sets = cut(sets, "line-entries")
+            scratch.drop(lines)
+
         posts, by = postings(sets)
-        found = candidates(posts, percent, by).groupBy(*KEY, "n", "doc_a", "h_a", "at_a").agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
+        other = [f"{c}_a" for c in key]
+        found = candidates(posts, percent, by).groupBy(*key, "n", *other).agg(F.max("strong").alias("strong"), F.max("ended").alias("ended"))
         with arrow_rows(docs.sparkSession, HELD):
             found = cut(found, "line-candidates")
         # The earliest strong candidate, or else the earliest, is compared first.
-        chosen = F.min(F.struct(~F.col("strong"), "doc_a", "h_a", "at_a")).alias("a")
-        pairs = cut(found.groupBy(*KEY, "n").agg(chosen, F.max("ended").alias("ended")).select(*KEY, "n", "a.doc_a", "a.h_a", "a.at_a", "ended"), "line-pairs")
+        chosen = F.min(F.struct(~F.col("strong"), *other)).alias("a")
+        pairs = cut(found.groupBy(*key, "n").agg(chosen, F.max("ended").alias("ended")).select(*key, "n", *(f"a.{c}" for c in other), "ended"), "line-pairs")
         texts = line_texts(found, docs)
         near = cut(verified(pairs.drop("ended"), texts, percent), "line-matches")
-        failed = cut(pairs.select(*KEY, "ended").join(near, list(KEY), "left_anti"), "line-open")
+        failed = cut(pairs.select(*key, "ended").join(near, list(key), "left_anti"), "line-open")
         if not failed.isEmpty():
-            rest = found.drop("strong", "ended").join(failed.drop("ended"), list(KEY), "left_semi").join(pairs, [*KEY, "doc_a", "h_a", "at_a"], "left_anti")
-            more = _earliest(verified(rest, texts, percent))
+            rest = found.drop("strong", "ended").join(failed.drop("ended"), list(key), "left_semi").join(pairs, [*key, *other], "left_anti")
+            more = _earliest(verified(cut(rest, "line-rest"), texts, percent))
             near = near.union(cut(more, "line-more-matches"))
             # Where all that was noted fails, a search has ended too early; such a line is compared with all.
-            again = cut(failed.where("ended").join(near, list(KEY), "left_anti").select(*KEY, F.lit(True).alias("asked")), "line-again")
+            again = cut(failed.where("ended").join(near, list(key), "left_anti").select(*key, F.lit(True).alias("asked")), "line-again")
             if not again.isEmpty():
                 again = bounded(again)
-                words = cut(sets.join(again, list(KEY), "left_semi").select(F.explode("prefix").alias("word")).distinct(), "line-again-words")
-                marked = posts.join(bounded(words), "word", "left_semi").join(again, list(KEY), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+                words = cut(sets.join(again, list(key), "left_semi").select(F.explode("prefix").alias("word")).distinct(), "line-again-words")
+                marked = posts.join(bounded(words), "word", "left_semi").join(again, list(key), "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
                 every = cut(candidates(marked, percent, by, every=True).drop("strong", "ended").distinct(), "line-again-pairs")
                 near = near.union(_earliest(verified(every, line_texts(every, docs), percent)))
         return scratch.keep(cut(equal.union(near), "line-removals"))
@@ -391,7 +444,9 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, least_words: int = LE
 
 def _earliest(matches: DataFrame) -> DataFrame:
     """One match a line."""
-    return matches.groupBy(*KEY, "n").agg(F.min(F.struct("doc_a", "h_a")).alias("a")).select(*KEY, "n", "a.*")
+    key = key_of(matches)
+    other = [f"{c}_a" for c in key[:-1]]
+    return matches.groupBy(*key, "n").agg(F.min(F.struct(*other)).alias("a")).select(*key, "n", "a.*")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, one_source: int | None = None) -> DataFrame:
@@ -414,14 +469,18 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     the words of the rest): it is a copy, of which only scraps are left.
     """
     matches = later_matches(docs, percent, least_words)
-    # A document's removed lines, by the document they matched.
-    gone = matches.groupBy("doc", "h", "doc_a", "h_a").agg(F.collect_list("at").alias("at"), F.sum("n").alias("n"))
-    other = (F.col("doc_a") != F.col("doc")) | (F.col("h_a") != F.col("h"))
-    gone = gone.groupBy("doc", "h").agg(F.flatten(F.collect_list("at")).alias("gone"), F.sum("n").alias("n_gone"), F.coalesce(F.max(F.when(other, F.col("n"))), F.lit(0)).alias("from_one"))
+    doc = key_of(matches)[:-1]
+    if one_source is None:
+        gone = matches.groupBy(*doc).agg(F.collect_list("at").alias("gone"))
+    else:
+        # A document's removed lines, by the document they matched.
+        gone = matches.groupBy(*doc, *(f"{c}_a" for c in doc)).agg(F.collect_list("at").alias("at"), F.sum("n").alias("n"))
+        other = F.struct(*(f"{c}_a" for c in doc)) != F.struct(*doc)
+        gone = gone.groupBy(*doc).agg(F.flatten(F.collect_list("at")).alias("gone"), F.sum("n").alias("n_gone"), F.coalesce(F.max(F.when(other, F.col("n"))), F.lit(0)).alias("from_one"))
     gone = bounded(cut(gone, "removed-lines"))
     base = docs.drop("n_lines", "n_removed")
     keyed = base.select(*line_key(), F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"))
-    joined = keyed.join(gone, ["doc", "h"], "left")
+    joined = keyed.join(gone, list(doc), "left")
     given = F.col("row.text")
     parts = F.split(given, "\n")
 
@@ -433,7 +492,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     text = F.when(F.col("gone").isNull(), given).otherwise(F.transform(F.array(parts), rest_of)[0])
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
     n_lines = F.coalesce(F.octet_length(given) - F.octet_length(F.replace(given, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
-    out = joined.select(text.alias("text"), n_lines, n_removed, "row", "gone", "n_gone", "from_one")
+    out = joined.select(text.alias("text"), n_lines, n_removed, "row", "gone", *(["n_gone", "from_one"] if one_source is not None else []))
     if one_source is not None:
         rest = F.size(F.array_remove(F.split("text", TOKEN.replace("^", "")), ""))
         out = out.where(F.col("gone").isNull() | (100 * F.col("from_one") < one_source * (F.col("n_gone") + rest)))
