@@ -71,3 +71,12 @@ def test_no_pair_of_rows_is_shuffled(spark):
     got = negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_blocks_meet_without_broadcast(spark, monkeypatch):
+    """Copies of the anchors are small in files and large in memory; the driver must not collect them."""
+    plans, plain = [], negatives.map_arrow
+    monkeypatch.setattr(negatives, "map_arrow", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *more))
+    rows = table(spark, [(i, [i / 100, 0.5], i % 3) for i in range(100)])
+    assert negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0).count() > 0
+    assert sum("Join" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)

@@ -228,7 +228,7 @@ def hard_negatives(
     windows = chosen.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("slot", "top"))).alias("w"), F.min("least").alias("least"))  # at most `positives`
     none = F.lit(np.iinfo(np.int64).min)
     tops = [F.coalesce(F.get("w.top", F.lit(m)), none).alias(f"top{m}") for m in range(positives)]
-    asked = anchors.drop("anchor").join(windows.select(F.col("anchor").alias("row"), *tops, "least"), "row")
+    asked = anchors.drop("anchor").join(windows.select(F.col("anchor").alias("row"), *tops, "least").hint("merge"), "row")
 
     def in_slots(a: pa.StructScalar, first: int, end: int, x: pa.StructScalar, scores: np.ndarray) -> dict:
         slots = np.zeros(scores.shape, np.int8)
