@@ -31,7 +31,7 @@ LOW, HIGH = 50, 95
 SCALE = 256
 ANCHOR_BLOCK, ROW_BLOCK = 1024, 8192
 #: Blocks of a large table have more rows, up to these.
-MOST_ANCHORS, MOST_ROWS = 4096, 65536
+MOST_ANCHORS, MOST_ROWS = 4096, 16384
 #: Anchors whose scores with one block are held at once, and scores.
 STEP, SCORES = 128, 1 << 20
 #: Scores and what is computed from them stay exact below this size of a score.

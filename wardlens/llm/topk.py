@@ -34,7 +34,7 @@ from wardlens.llm.negatives import SCORES, STEP, beside, column, first_of, highe
 K, PARTS, SCALE = 10, 2, 1024
 QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 #: Blocks of a large table have more rows, up to these.
-MOST_QUERIES, MOST_VECTORS = 4096, 65536
+MOST_QUERIES, MOST_VECTORS = 4096, 16384
 #: Shares of entries are kept in 32 bits, of which this is the relative error at most.
 ROUNDED = 2.0**-23
 #: Scores are exact while the squared lengths of scaled vectors stay below this.
